@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import table
 from .exact_dedup import exact_dedup
 from .shard import shard_documents
+from .simhash import near_dedup
+from .token_files import token_round_trip
 
 
 def op1_shard_bfd(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,8 +21,18 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op6_token_rans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_round_trip(table(spark, sf_dir, "documents"))
+
+
+def op7_simhash_golay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_shard_bfd": op1_shard_bfd,
+    "op6_token_rans": op6_token_rans,
+    "op7_simhash_golay": op7_simhash_golay,
     "op10_exact_dedup": op10_exact_dedup,
 }
 

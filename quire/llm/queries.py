@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import table
 from .exact_dedup import exact_dedup
+from .line_dedup import line_dedup
 from .shard import shard_documents
 from .simhash import near_dedup
 from .token_files import token_round_trip
@@ -17,6 +19,11 @@ def op1_shard_bfd(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(table(spark, sf_dir, "documents"), shards=16)
 
 
+def op9_line_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = line_dedup(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_lines", "n_deleted", F.length("text").alias("n_chars"), F.md5(F.col("text").cast("binary")).alias("text_md5"))
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -33,10 +40,32 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_shard_bfd": op1_shard_bfd,
     "op6_token_rans": op6_token_rans,
     "op7_simhash_golay": op7_simhash_golay,
+    "op9_line_suffix_array": op9_line_suffix_array,
     "op10_exact_dedup": op10_exact_dedup,
 }
 
 SQL: dict[str, str] = {
+    "op9_line_suffix_array": """
+        with l as (select doc_id, generate_subscripts(string_split(text, chr(10)), 1) - 1 as line, unnest(string_split(text, chr(10))) as x from documents),
+        w as (select *, len(regexp_extract_all(x, '[^\\x20\\x09-\\x0D]+')) as words from l),
+        s as (select *, row_number() over (partition by doc_id order by line) as n from w where words > 0),
+        f as (select doc_id, n,
+            list(x) over a as ax, list(words) over a as aw, list(line) over a as al,
+            list(x) over b as bx, list(words) over b as bw, list(line) over b as bl
+            from s window a as (partition by doc_id order by n rows between current row and 9 following),
+                          b as (partition by doc_id order by n rows between 9 preceding and current row)),
+        m as (select *,
+            list_min(list_filter(range(1, len(aw) + 1), lambda j: list_sum(aw[1:j]) >= 10)) as am,
+            list_min(list_filter(range(1, len(bw) + 1), lambda j: list_sum(bw[len(bw) - j + 1:]) >= 10)) as bm from f),
+        r as (select doc_id, n, ax[1:am] as run, al[1:am] as lines from m where am is not null
+              union all select doc_id, n - bm + 1, bx[len(bx) - bm + 1:], bl[len(bl) - bm + 1:] from m where bm is not null),
+        h as (select *, min((doc_id, n)) over (partition by run) as head from r),
+        gone as (select distinct doc_id, unnest(lines) as line from h where (doc_id, n) > head),
+        g as (select doc_id, count(*) as n_deleted from gone group by doc_id),
+        t as (select l.doc_id, string_agg(x, chr(10) order by l.line) filter (gone.doc_id is null) as text, count(*) as n_lines
+              from l left join gone on gone.doc_id = l.doc_id and gone.line = l.line group by l.doc_id)
+        select t.doc_id, t.n_lines, coalesce(g.n_deleted, 0) as n_deleted, length(coalesce(t.text, '')) as n_chars, md5(coalesce(t.text, '')) as text_md5
+        from t left join g on g.doc_id = t.doc_id""",
     "op10_exact_dedup": """
         with d as (select doc_id, coalesce(text, '') t, regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]', '', 'g') n from documents),
         g as (select n, count(*) group_size, arg_min(doc_id, (-length(t), doc_id)) keep_id from d group by n)

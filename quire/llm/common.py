@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -71,6 +72,11 @@ def whole(text: str | Column = "text") -> Column:
     return F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body over value, which is computed once a row. A lambda of a higher-order function would compute a plain column anew for each element."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def gapless(df: DataFrame, keys: list[str], order: list[str | Column], spread: Column, buckets: int, name: str) -> DataFrame:
     """Add column name: 0, 1, 2, ... within equal keys, without bringing a key's rows into one task.
 

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import discard, gapless, materialize, whole
+from .common import discard, gapless, let, materialize, whole
 
 MIN_WORDS = 10
 
@@ -130,11 +130,12 @@ def line_dedup(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_i
     gone = repeated_lines(own, min_words).groupBy("id", "t").agg(F.collect_list("line").alias("gone"))
     gone = materialize(gone, "gone").withColumnsRenamed({"id": "id_", "t": "t_"})
     lines = F.split("text", "\n", -1)
-    kept = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("gone"))
-    joined = own.join(gone, F.col("id").eqNullSafe(F.col("id_")) & (F.xxhash64(whole()) == F.col("t_")), "left").withColumn("lines", lines)
+    others = lambda own: F.array_except(F.sequence(F.lit(0), F.size(own) - 1), F.col("gone"))
+    rest = let(lines, lambda own: F.array_join(F.transform(others(own), lambda i: F.get(own, i)), "\n"))
+    joined = own.join(gone, F.col("id").eqNullSafe(F.col("id_")) & (F.xxhash64(whole()) == F.col("t_")), "left")
     return joined.select(
         F.col("id").alias(id_col),
-        F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(F.transform(kept, lambda i: F.get("lines", i)), "\n")).alias(text),
-        F.greatest(F.size("lines"), F.lit(1)).alias("n_lines"),
+        F.when(F.col("gone").isNull(), F.col("text")).otherwise(rest).alias(text),
+        F.greatest(F.size(lines), F.lit(1)).alias("n_lines"),
         F.coalesce(F.size("gone"), F.lit(0)).alias("n_deleted"),
     )

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
+from .decontam import leaks
 from .exact_dedup import exact_dedup
 from .line_dedup import line_dedup
 from .shard import shard_documents
@@ -19,6 +20,10 @@ def op1_shard_bfd(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(table(spark, sf_dir, "documents"), shards=16)
 
 
+def op8_decontam_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op9_line_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = line_dedup(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_lines", "n_deleted", F.length("text").alias("n_chars"), F.md5(F.col("text").cast("binary")).alias("text_md5"))
@@ -40,6 +45,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_shard_bfd": op1_shard_bfd,
     "op6_token_rans": op6_token_rans,
     "op7_simhash_golay": op7_simhash_golay,
+    "op8_decontam_simhash": op8_decontam_simhash,
     "op9_line_suffix_array": op9_line_suffix_array,
     "op10_exact_dedup": op10_exact_dedup,
 }

@@ -10,6 +10,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -22,32 +23,94 @@ from .common import scratch_path, whole
 
 #: A single space between characters that are not white space: no token of a byte-level BPE vocabulary crosses it from the left.
 _SEAM = re.compile(r"(?<=\S) (?=\S)")
+#: White space other than spaces and line feeds; a text without it, and without the pairs, has a seam at each space but at its ends.
+_ODD = re.compile(r"[^\S \n]")
+_PAIRS = ("  ", " \n", "\n ")
+#: Marks that the vocabulary's pattern always parts from a letter before them.
+_MARKS = ".,!?;:"
+
+
+def seams(text: str) -> list[str]:
+    if any(x in text for x in _PAIRS) or text[:1] == " " or text[-1:] == " " or _ODD.search(text):
+        return _SEAM.split(text)
+    return text.split(" ")
+
+
+class _Kept(dict):
+    """Ids by piece; an unknown piece comes back as it is, and is noted."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.new: list[str] = []
+
+    def __missing__(self, piece: str) -> str:
+        self.new.append(piece)
+        return piece
 
 
 class SeamCache:
-    """Encodes texts piece by piece between seams; ids of pieces are kept, up to a number of pieces, as little-endian bytes."""
+    """Encodes texts piece by piece between seams; the ids of pieces that follow a seam are kept, up to a number of pieces.
+
+    New pieces without white space are encoded many at a time, a line feed after each: it is a token of its own there, so the ids can be told apart.
+    """
 
-    def __init__(self, path: str, most: int = 400_000) -> None:
+    def __init__(self, path: str, most: int = 900_000) -> None:
         from tokenizers import Tokenizer
 
-        self._tokenizer, self._most, self._kept = Tokenizer.from_file(path), most, {}
+        self._tokenizer, self._most, self._kept, self._marks = Tokenizer.from_file(path), most, _Kept(), {}
+        self._feed = self._ids("\n")
+
+    def _ids(self, text: str) -> np.ndarray:
+        (e,) = self._tokenizer.encode_batch_fast([text], add_special_tokens=False)
+        return np.array(e.ids, "<u4")
+
+    def _learn(self, new: list[str]) -> None:
+        kept, plain = self._kept, []
+        for x in new:
+            if len(self._feed) == 1 and x.split() == [x]:
+                plain.append(x)
+            else:
+                kept[x] = self._ids(" " + x).tobytes()
+        bare = {x: x.rstrip(_MARKS) for x in plain if x[-1] in _MARKS}
+        bare = {x: y for x, y in bare.items() if y and y[-1].isalpha()}
+        plain = [x for x in plain if x not in bare]
+        plain += {y for y in bare.values() if y not in kept}.difference(plain)
+        for at in range(0, len(plain), 1024):
+            part = plain[at : at + 1024]
+            ids = self._ids(" " + "\n ".join(part) + "\n")
+            ends, data, start = np.flatnonzero(ids == self._feed[0]).tolist(), ids.tobytes(), 0
+            if len(ends) != len(part):
+                raise ValueError("this tokenizer joins a line feed with other characters")
+            for x, end in zip(part, ends):
+                kept[x] = data[4 * start : 4 * end]
+                start = end + 1
+        for x, y in bare.items():
+            mark = x[len(y) :]
+            if mark not in self._marks:
+                self._marks[mark] = self._ids(mark).tobytes()
+            kept[x] = kept[y] + self._marks[mark]
+        if len(self._marks) > 10_000:
+            self._marks.clear()
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text, as little-endian unsigned 32-bit integers."""
-        pieces = []
+        kept, out = self._kept, []
         for text in texts:
-            first, *rest = _SEAM.split(text)
-            pieces.append([first, *[" " + x for x in rest]])
-        kept = self._kept
-        new = list({x for own in pieces for x in own if x not in kept})
-        for at in range(0, len(new), 4096):
-            part = new[at : at + 4096]
-            for x, e in zip(part, self._tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                kept[x] = np.array(e.ids, "<u4").tobytes()
-        out = [b"".join(map(kept.__getitem__, own)) for own in pieces]
+            first, *rest = seams(text)
+            out.append([self._ids(first).tobytes(), *map(kept.__getitem__, rest)])
+        if kept.new:
+            self._learn(list(dict.fromkeys(kept.new)))
+            kept.new.clear()
+            out = [[kept[x] if type(x) is str else x for x in own] for own in out]
         if len(kept) > self._most:
             kept.clear()
-        return out
+        return list(map(b"".join, out))
+
+
+@cache
+def seam_cache(path: str) -> SeamCache:
+    """One for each tokenizer and worker process; later tasks of the process find its pieces."""
+    return SeamCache(path)
 
 
 def default_tokenizer() -> str:
@@ -72,7 +135,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str | None = None,
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        cache, part, number = SeamCache(tokenizer), TaskContext.get().partitionId(), 0
+        pieces, part, number = seam_cache(tokenizer), TaskContext.get().partitionId(), 0
         ids, coded, held = [], [], 0
         end = np.array([end_id], "<u4").tobytes()
 
@@ -86,7 +149,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str | None = None,
         for b in batches:
             for at in range(0, b.num_rows, 256):
                 some = b.slice(at, 256)
-                for doc_id, x in zip(some.column(0).to_pylist(), cache.encode(some.column(1).to_pylist())):
+                for doc_id, x in zip(some.column(0).to_pylist(), pieces.encode(some.column(1).to_pylist())):
                     if held and held + len(x) // 4 + 1 > segment:
                         yield flush()
                         ids, coded, held, number = [], [], 0, number + 1

@@ -10,10 +10,12 @@ from pyspark.sql import functions as F
 from .common import table
 from .decontam import leaks
 from .exact_dedup import exact_dedup
+from .langid import language_id
 from .line_dedup import line_dedup
 from .shard import shard_documents
 from .simhash import near_dedup
 from .token_files import token_round_trip
+from .toxicity import score_toxicity
 
 
 def op1_shard_bfd(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,6 +35,14 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op2_langid_kernel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id(table(spark, sf_dir, "documents"))
+
+
+def op4_toxicity_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_token_rans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_round_trip(table(spark, sf_dir, "documents"))
 
@@ -43,6 +53,8 @@ def op7_simhash_golay(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_shard_bfd": op1_shard_bfd,
+    "op2_langid_kernel": op2_langid_kernel,
+    "op4_toxicity_fm": op4_toxicity_fm,
     "op6_token_rans": op6_token_rans,
     "op7_simhash_golay": op7_simhash_golay,
     "op8_decontam_simhash": op8_decontam_simhash,

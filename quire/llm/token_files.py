@@ -54,7 +54,7 @@ class SeamCache:
     New pieces without white space are encoded many at a time, a line feed after each: it is a token of its own there, so the ids can be told apart.
     """
 
-    def __init__(self, path: str, most: int = 900_000) -> None:
+    def __init__(self, path: str, most: int = 1_500_000) -> None:
         from tokenizers import Tokenizer
 
         self._tokenizer, self._most, self._kept, self._marks = Tokenizer.from_file(path), most, _Kept(), {}
@@ -77,7 +77,8 @@ class SeamCache:
         plain += {y for y in bare.values() if y not in kept}.difference(plain)
         for at in range(0, len(plain), 1024):
             part = plain[at : at + 1024]
-            ids = self._ids(" " + "\n ".join(part) + "\n")
+            lists = [" " + "\n ".join(part[i : i + 64]) + "\n" for i in range(0, len(part), 64)]
+            ids = np.concatenate([np.array(e.ids, "<u4") for e in self._tokenizer.encode_batch_fast(lists, add_special_tokens=False)])
             ends, data, start = np.flatnonzero(ids == self._feed[0]).tolist(), ids.tobytes(), 0
             if len(ends) != len(part):
                 raise ValueError("this tokenizer joins a line feed with other characters")
@@ -100,8 +101,9 @@ class SeamCache:
             out.append([self._ids(first).tobytes(), *map(kept.__getitem__, rest)])
         if kept.new:
             self._learn(list(dict.fromkeys(kept.new)))
+            known = {x: kept[x] for x in kept.new}
+            out = [[known[x] if type(x) is str else x for x in own] for own in out]
             kept.new.clear()
-            out = [[kept[x] if type(x) is str else x for x in own] for own in out]
         if len(kept) > self._most:
             kept.clear()
         return list(map(b"".join, out))

@@ -77,6 +77,12 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def without(docs: DataFrame, gone: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """docs but for the ids in gone's only column, null among them. The list is written first, so Spark knows its size when it chooses the join."""
+    gone = materialize(gone.toDF("_gone").distinct(), "gone")
+    return docs.join(gone, docs[id_col].eqNullSafe(F.col("_gone")), "left_anti")
+
+
 def gapless(df: DataFrame, keys: list[str], order: list[str | Column], spread: Column, buckets: int, name: str) -> DataFrame:
     """Add column name: 0, 1, 2, ... within equal keys, without bringing a key's rows into one task.
 

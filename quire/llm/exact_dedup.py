@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ASCII_SPACE, materialize, whole
+from .common import ASCII_SPACE, materialize, whole, without
 
 MIN_CHUNK, MAX_CHUNK = 512, 8192
 
@@ -76,9 +76,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text") ->
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs without the rows that are copies of another, all columns as they were."""
-    kept = exact_dedup(docs, id_col, text).filter("kept").select(F.col(id_col).alias("_kept")).distinct()
-    return docs.join(kept, docs[id_col].eqNullSafe(kept["_kept"]), "left_semi").dropDuplicates([id_col])
+    """docs without the rows that are copies of another, all columns as they were. Rows that share an id stay or go together."""
+    return without(docs, exact_dedup(docs, id_col, text).filter("not kept").select(id_col), id_col)
 
 
 __all__ = ["chunk_table", "exact_dedup", "keep_first"]

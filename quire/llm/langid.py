@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import without
+
 SPECTRUM = (2, 3, 4)
 BUCKETS = 1 << 16
 #: Labelled texts of each language that the fit takes on average, however many there are, and those of them that are landmarks.
@@ -152,6 +154,5 @@ def language_id(docs: DataFrame, held_out_of: int = 5, id_col: str = "doc_id") -
 
 
 def keep_identified(docs: DataFrame, least: float = 0.35, id_col: str = "doc_id") -> DataFrame:
-    """docs whose language is found with a share of at least least; undetermined texts and those torn between languages go."""
-    found = language_id(docs, id_col=id_col).filter((F.col("lang_pred") != "und") & (F.col("score") >= least)).select(F.col(id_col).alias("_found")).distinct()
-    return docs.join(found, docs[id_col].eqNullSafe(F.col("_found")), "left_semi")
+    """docs whose language is found with a share of at least least; undetermined texts and those torn between languages go. Rows that share an id stay or go together."""
+    return without(docs, language_id(docs, id_col=id_col).filter((F.col("lang_pred") == "und") | (F.col("score") < least)).select(id_col), id_col)

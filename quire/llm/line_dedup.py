@@ -126,16 +126,28 @@ def line_dedup(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_i
     and stays as it is. Rows that repeat id and text count as one and get the same result; of rows that repeat an id alone the order is by
     a hash of the text. An empty table gives an empty result; further columns are not looked at.
     """
-    own = docs.select(F.col(id_col).alias("id"), F.col(text).alias("text"))
-    gone = repeated_lines(own, min_words).groupBy("id", "t").agg(F.collect_list("line").alias("gone"))
+    found = _cut(docs, min_words, id_col, text)
+    return found.select(F.col("id").alias(id_col), F.col("cut").alias(text), "n_lines", "n_deleted")
+
+
+def keep_lines(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """docs with their cut texts, all other columns as they were, but for documents of which nothing but blank lines is left."""
+    found = _cut(docs, min_words, id_col, text).filter(F.col("n_deleted").eqNullSafe(0) | F.col("cut").rlike(r"[^\x20\x09-\x0D]"))
+    return found.select(*[F.col("cut").alias(c) if c == text else F.col("row")[c].alias(c) for c in docs.columns])
+
+
+def _cut(docs: DataFrame, min_words: int, id_col: str, text: str) -> DataFrame:
+    """row (all columns), id, cut (the text without later copies), n_lines, n_deleted."""
+    own = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("id"), F.col(text).alias("text"))
+    gone = repeated_lines(own.drop("row"), min_words).groupBy("id", "t").agg(F.collect_list("line").alias("gone"))
     gone = materialize(gone, "gone").withColumnsRenamed({"id": "id_", "t": "t_"})
     lines = F.split("text", "\n", -1)
     others = lambda own: F.array_except(F.sequence(F.lit(0), F.size(own) - 1), F.col("gone"))
     rest = let(lines, lambda own: F.array_join(F.transform(others(own), lambda i: F.get(own, i)), "\n"))
     joined = own.join(gone, F.col("id").eqNullSafe(F.col("id_")) & (F.xxhash64(whole()) == F.col("t_")), "left")
     return joined.select(
-        F.col("id").alias(id_col),
-        F.when(F.col("gone").isNull(), F.col("text")).otherwise(rest).alias(text),
+        "row", "id",
+        F.when(F.col("gone").isNull(), F.col("text")).otherwise(rest).alias("cut"),
         F.greatest(F.size(lines), F.lit(1)).alias("n_lines"),
         F.coalesce(F.size("gone"), F.lit(0)).alias("n_deleted"),
     )

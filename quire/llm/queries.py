@@ -14,8 +14,10 @@ from .langid import language_id
 from .line_dedup import line_dedup
 from .shard import shard_documents
 from .simhash import near_dedup
+from .spiece import round_trip
 from .token_files import token_round_trip
 from .toxicity import score_toxicity
+from .warc import resolved_pages
 
 
 def op1_shard_bfd(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,7 +30,7 @@ def op8_decontam_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_line_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = line_dedup(table(spark, sf_dir, "documents"))
-    return found.select("doc_id", "n_lines", "n_deleted", F.length("text").alias("n_chars"), F.md5(F.col("text").cast("binary")).alias("text_md5"))
+    return found.select("doc_id", F.col("n_lines").cast("long"), F.col("n_deleted").cast("long"), F.length("text").cast("long").alias("n_chars"), F.md5(F.col("text").cast("binary")).alias("text_md5"))
 
 
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -39,10 +41,18 @@ def op2_langid_kernel(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id(table(spark, sf_dir, "documents"))
 
 
+def op3_sentencepiece_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return round_trip(table(spark, sf_dir, "documents"))
+
+
 def op4_toxicity_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op5_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resolved_pages(spark, sf_dir)
+
+
 def op6_token_rans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_round_trip(table(spark, sf_dir, "documents"))
 
@@ -54,7 +64,9 @@ def op7_simhash_golay(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_shard_bfd": op1_shard_bfd,
     "op2_langid_kernel": op2_langid_kernel,
+    "op3_sentencepiece_suffix_array": op3_sentencepiece_suffix_array,
     "op4_toxicity_fm": op4_toxicity_fm,
+    "op5_warc_revisits": op5_warc_revisits,
     "op6_token_rans": op6_token_rans,
     "op7_simhash_golay": op7_simhash_golay,
     "op8_decontam_simhash": op8_decontam_simhash,
@@ -63,6 +75,19 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 SQL: dict[str, str] = {
+    "op5_warc_revisits": r"""
+        with u as (select *, regexp_extract(trim(url), '^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#]*)([^?#]*)(\?[^#]*)?', ['host', 'path', 'query']) as x from pages),
+        p as (select page_id, html, regexp_replace(lower(x.host), '^www\.|:(80|443)$', '', 'g') as host, regexp_replace(x.path, '/+$', '') as path,
+            list_sort(list_filter(string_split(x.query[2:], '&'), lambda q: q <> '' and not regexp_matches(q, '^(utm_[^=]*|fbclid|gclid|ref)(=|$)'))) as query from u),
+        c as (select page_id, '"' || md5(coalesce(html, '')) || '"' as tag, octet_length(encode(coalesce(html, ''))) as size, nullif(host, '') as host,
+            host || if(path = '', '/', path) || if(len(query) > 0, '?' || array_to_string(query, '&'), '') as canonical from p),
+        r as (select page_id, page_id + 1000 as ts, tag, if(host is null, null, canonical) as canonical from c),
+        j as (select r.page_id, r.canonical, r.tag, c.page_id as response_page, c.tag as was, c.size
+            from r asof left join (select * from c where host is not null) c on r.canonical = c.canonical and r.ts >= c.page_id)
+        select page_id, canonical, case when canonical is null then 'no_url' when response_page is null then 'missing' when tag = was then 'resolved' else 'mismatch' end as status,
+            if(tag = was, response_page, null) as response_page,
+            if(tag = was, concat_ws(chr(10), 'age=0', 'cache-control=max-age=600', 'content-length=' || size, 'content-type=text/html', 'etag=W/' || tag), null) as headers
+        from j""",
     "op9_line_suffix_array": """
         with l as (select doc_id, generate_subscripts(string_split(text, chr(10)), 1) - 1 as line, unnest(string_split(text, chr(10))) as x from documents),
         w as (select *, len(regexp_extract_all(x, '[^\\x20\\x09-\\x0D]+')) as words from l),

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, without
 from .components import components, forest
 
 #: The generator polynomial of the Golay code, x^11 + x^9 + x^7 + x^6 + x^5 + x + 1.
@@ -188,6 +188,5 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text", k: i
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs with one document of each group: that of the least id; a null id is never in a group's way."""
-    heads = near_dedup(docs, id_col, text).select(F.col("component_id").alias("_kept")).distinct()
-    return docs.join(heads, docs[id_col].eqNullSafe(F.col("_kept")), "left_semi").dropDuplicates([id_col])
+    """docs with one document of each group: that of the least id. Rows that share an id stay or go together."""
+    return without(docs, near_dedup(docs, id_col, text).filter(f"not {id_col} <=> component_id").select(id_col), id_col)

@@ -21,19 +21,22 @@ from pyspark.sql import functions as F
 from . import rans
 from .common import scratch_path, whole
 
-#: A single space between characters that are not white space: no token of a byte-level BPE vocabulary crosses it from the left.
-_SEAM = re.compile(r"(?<=\S) (?=\S)")
-#: White space other than spaces and line feeds; a text without it, and without the pairs, has a seam at each space but at its ends.
+#: No token of a byte-level BPE vocabulary crosses a single space between characters that aren't white space from the left; a single
+#: line feed between such characters is a token of its own.
+_SEAM = re.compile(r"(?<=\S) (?=\S)|(?<=\S)(?=\n\S)")
+#: White space other than spaces and line feeds.
 _ODD = re.compile(r"[^\S \n]")
-_PAIRS = ("  ", " \n", "\n ")
 #: Marks that the vocabulary's pattern always parts from a letter before them.
 _MARKS = ".,!?;:"
 
 
 def seams(text: str) -> list[str]:
-    if any(x in text for x in _PAIRS) or text[:1] == " " or text[-1:] == " " or _ODD.search(text):
+    """Pieces of the text. The first is as it is, or after a line feed that isn't there if the text has any characters; others follow a space that isn't shown, or begin with their line feed."""
+    if "  " in text or " \n" in text or "\n " in text or "\n\n" in text or _ODD.search(text):
         return _SEAM.split(text)
-    return text.split(" ")
+    if text[:1] in " \n" or text[-1] in " \n":
+        return _SEAM.split(text)
+    return text.replace("\n", " \n").split(" ")
 
 
 class _Kept(dict):
@@ -64,27 +67,34 @@ class SeamCache:
         (e,) = self._tokenizer.encode_batch_fast([text], add_special_tokens=False)
         return np.array(e.ids, "<u4")
 
-    def _learn(self, new: list[str]) -> None:
-        kept, plain = self._kept, []
-        for x in new:
-            if len(self._feed) == 1 and x.split() == [x]:
-                plain.append(x)
-            else:
-                kept[x] = self._ids(" " + x).tobytes()
-        bare = {x: x.rstrip(_MARKS) for x in plain if x[-1] in _MARKS}
-        bare = {x: y for x, y in bare.items() if y and y[-1].isalpha()}
-        plain = [x for x in plain if x not in bare]
-        plain += {y for y in bare.values() if y not in kept}.difference(plain)
-        for at in range(0, len(plain), 1024):
-            part = plain[at : at + 1024]
-            lists = [" " + "\n ".join(part[i : i + 64]) + "\n" for i in range(0, len(part), 64)]
+    def _batched(self, words: list[str], head: str) -> Iterator[bytes]:
+        """Ids of head and each word; head is a space or nothing, and no word has white space."""
+        for at in range(0, len(words), 1024):
+            part = words[at : at + 1024]
+            lists = [head + f"\n{head}".join(part[i : i + 64]) + "\n" for i in range(0, len(part), 64)]
             ids = np.concatenate([np.array(e.ids, "<u4") for e in self._tokenizer.encode_batch_fast(lists, add_special_tokens=False)])
             ends, data, start = np.flatnonzero(ids == self._feed[0]).tolist(), ids.tobytes(), 0
             if len(ends) != len(part):
                 raise ValueError("this tokenizer joins a line feed with other characters")
-            for x, end in zip(part, ends):
-                kept[x] = data[4 * start : 4 * end]
+            for end in ends:
+                yield data[4 * start : 4 * end]
                 start = end + 1
+
+    def _learn(self, new: list[str]) -> None:
+        kept, spaced, fed = self._kept, [], []
+        for x in new:
+            y = x[1:] if x[:1] == "\n" else x
+            if y and y.isprintable() and " " not in y and len(self._feed) == 1:
+                (spaced if y is x else fed).append(y)
+            else:
+                kept[x] = self._ids(x if x[:1] == "\n" else " " + x).tobytes()
+        bare = {x: x.rstrip(_MARKS) for x in spaced if x[-1] in _MARKS}
+        bare = {x: y for x, y in bare.items() if y and y[-1].isalpha()}
+        spaced = [x for x in spaced if x not in bare]
+        spaced += {y for y in bare.values() if y not in kept}.difference(spaced)
+        kept.update(zip(spaced, self._batched(spaced, " ")))
+        feed = self._feed.tobytes()
+        kept.update((f"\n{x}", feed + ids) for x, ids in zip(fed, self._batched(fed, "")))
         for x, y in bare.items():
             mark = x[len(y) :]
             if mark not in self._marks:
@@ -93,12 +103,22 @@ class SeamCache:
         if len(self._marks) > 10_000:
             self._marks.clear()
 
+    def _first(self, text: str) -> bytes:
+        """Ids of a text's first piece."""
+        if text.isprintable() and text and " " not in text and len(self._feed) == 1:
+            found = self._kept.get(f"\n{text}")
+            if found is None:
+                found = self._kept[f"\n{text}"] = self._ids(f"\n{text}").tobytes()
+            return found[4:]
+        return self._ids(text).tobytes()
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text, as little-endian unsigned 32-bit integers."""
         kept, out = self._kept, []
+        get = kept.__getitem__
         for text in texts:
-            first, *rest = seams(text)
-            out.append([self._ids(first).tobytes(), *map(kept.__getitem__, rest)])
+            first, *rest = seams(text) if text else [""]
+            out.append([self._first(first), *map(get, rest)])
         if kept.new:
             self._learn(list(dict.fromkeys(kept.new)))
             known = {x: kept[x] for x in kept.new}
@@ -165,8 +185,8 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str | None = None,
     sorted_.mapInArrow(run, _SEGMENT).write.parquet(path)
 
 
-def read_token_files(spark: SparkSession, path: str) -> DataFrame:
-    """One row per document in the files: doc_id, start, n_tokens, ids_crc32, ids (unsigned 32-bit little-endian bytes)."""
+def read_token_files(spark: SparkSession, path: str, with_ids: bool = True) -> DataFrame:
+    """One row per document in the files: doc_id, start, n_tokens, ids_crc32, and with_ids the ids (unsigned 32-bit little-endian bytes)."""
     segments = spark.read.schema(_SEGMENT).parquet(path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -177,9 +197,10 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
                 tokens, at = rans.decode(data).tobytes(), np.concatenate([[0], np.cumsum(own)])
                 if at[-1] * 4 != len(tokens):
                     raise ValueError(f"segment {number} of part {part} is damaged")
-                pieces = [tokens[4 * s : 4 * e] for s, e in zip(at, at[1:])]
+                pieces = [tokens[s:e] for s, e in zip((4 * at).tolist(), (4 * at[1:]).tolist())]
                 cells = [np.full(len(ids), part, np.int32), np.full(len(ids), number, np.int32), ids, at[:-1], own, np.array([zlib.crc32(x) for x in pieces], np.int64)]
-                yield pa.RecordBatch.from_arrays([*map(pa.array, cells), pa.array(pieces, pa.binary())], ["part", "segment", "doc_id", "at", "n_tokens", "ids_crc32", "ids"])
+                names = ["part", "segment", "doc_id", "at", "n_tokens", "ids_crc32", "ids"]
+                yield pa.RecordBatch.from_arrays([*map(pa.array, cells), pa.array(pieces if with_ids else [None] * len(ids), pa.binary())], names)
 
     rows = segments.mapInArrow(run, "part int, segment int, doc_id long, at long, n_tokens long, ids_crc32 long, ids binary")
     sizes = segments.groupBy(F.col("part").alias("p"), F.col("segment").alias("s")).agg(F.sum("n_tokens").alias("n"))
@@ -189,11 +210,11 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
     inside = Window.partitionBy("p").orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.withColumn("inner", F.coalesce(F.sum("n").over(inside), F.lit(0))).join(parts, F.col("p") == F.col("q")).select("p", "s", (F.col("base") + F.col("inner")).alias("base"))
     out = rows.join(starts, (F.col("part") == F.col("p")) & (F.col("segment") == F.col("s")))
-    return out.select("doc_id", (F.col("base") + F.col("at")).alias("start"), "n_tokens", "ids_crc32", "ids")
+    return out.select("doc_id", (F.col("base") + F.col("at")).alias("start"), "n_tokens", "ids_crc32", *["ids"] * with_ids)
 
 
 def token_round_trip(docs: DataFrame, tokenizer: str | None = None, end_id: int = 2, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """Write docs to files in the shared folder and read their digest back: doc_id, start, n_tokens, ids_crc32."""
     path = scratch_path(docs.sparkSession, "tokens")
     write_token_files(docs, path, tokenizer, end_id, id_col, text)
-    return read_token_files(docs.sparkSession, path).drop("ids")
+    return read_token_files(docs.sparkSession, path, with_ids=False)

@@ -276,7 +276,7 @@ class _Kept(dict):
 
 
 class Encoder:
-    def __init__(self, vocabulary: Vocabulary, most: int = 900_000, block: int = 400_000) -> None:
+    def __init__(self, vocabulary: Vocabulary, most: int = 500_000, block: int = 250_000) -> None:
         self.vocabulary, self._kept, self._most, self._block = vocabulary, _Kept(), most, block
 
     def segments(self, text: str) -> list[str]:
@@ -367,23 +367,26 @@ def default_model() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
-def encode_documents(docs: DataFrame, model: str | None = None, id_col: str = "doc_id", text: str = "text", batch_chars: int = 6_000_000) -> DataFrame:
+def _coded(batches: Iterator[pa.RecordBatch], model: str, batch_chars: int) -> Iterator[tuple[pa.RecordBatch, list[str], list[bytes]]]:
+    """Batches of (id, text), the texts and their ids, in parts of about batch_chars."""
+    for b in batches:
+        at, texts, size = 0, [], 0
+        for k in range(0, b.num_rows, 64):
+            some = b.column(1).slice(k, 64).to_pylist()
+            texts += some
+            size += sum(map(len, some))
+            if size >= batch_chars or k + 64 >= b.num_rows:
+                yield b.slice(at, len(texts)), texts, encoder(model).encode(texts)
+                at, texts, size = at + len(texts), [], 0
+
+
+def encode_documents(docs: DataFrame, model: str | None = None, id_col: str = "doc_id", text: str = "text", batch_chars: int = 3_000_000) -> DataFrame:
     """id, text, ids (unsigned 32-bit little-endian bytes) of every row. Null counts as empty and has no ids; texts are matched in batches of about batch_chars."""
     model = model or default_model()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            texts = b.column(1).to_pylist()
-            at, size = 0, 0
-            for i, t in enumerate(texts, 1):
-                size += len(t)
-                if size >= batch_chars or i == len(texts):
-                    coded = encoder(model).encode(texts[at:i])
-                    for k in range(at, i, 512):
-                        j = min(k + 512, i)
-                        some = b.slice(k, j - k)
-                        yield pa.RecordBatch.from_arrays([some.column(0), some.column(1), pa.array(coded[k - at : j - at], pa.binary())], ["id", "text", "ids"])
-                    at, size = i, 0
+        for b, _, coded in _coded(batches, model, batch_chars):
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(coded, pa.binary())], ["id", "text", "ids"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     out = docs.select(F.col(id_col).alias("id"), whole(text).alias("text")).mapInArrow(run, f"id {kind}, text string, ids binary")
@@ -391,27 +394,32 @@ def encode_documents(docs: DataFrame, model: str | None = None, id_col: str = "d
 
 
 def decode_documents(coded: DataFrame, model: str | None = None, id_col: str = "doc_id") -> DataFrame:
-    """id, n_ids, ids_crc32, decoded: the texts of ids; bytes that aren't UTF-8 become replacement characters."""
+    """id, text of the ids of every row; bytes that aren't UTF-8 become replacement characters, null ids an empty text."""
     model = model or default_model()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for at in range(0, b.num_rows, 512):
                 some = b.slice(at, 512)
-                ids = [x or b"" for x in some.column(1).to_pylist()]
-                cells = [pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array([zlib.crc32(x) for x in ids], pa.int64()), pa.array([encoder(model).decode(x) for x in ids], pa.string())]
-                yield pa.RecordBatch.from_arrays([some.column(0), *cells, some.column(2)], ["id", "n_ids", "ids_crc32", "decoded", "text"])
+                yield pa.RecordBatch.from_arrays([some.column(0), pa.array([encoder(model).decode(x or b"") for x in some.column(1).to_pylist()], pa.string())], ["id", "text"])
 
     kind = coded.schema[id_col].dataType.simpleString()
-    given = F.col("text") if "text" in coded.columns else F.lit(None).cast("string")
-    out = coded.select(F.col(id_col).alias("id"), "ids", given.alias("text")).mapInArrow(run, f"id {kind}, n_ids long, ids_crc32 long, decoded string, text string")
-    return out.withColumnRenamed("id", id_col)
+    return coded.select(F.col(id_col).alias("id"), "ids").mapInArrow(run, f"id {kind}, text string").withColumnRenamed("id", id_col)
 
 
-def round_trip(docs: DataFrame, model: str | None = None, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per row of docs: id, n_ids, ids_crc32 (of the little-endian ids), same (the decoded text is the text, its marks for spaces as spaces).
+def round_trip(docs: DataFrame, model: str | None = None, id_col: str = "doc_id", text: str = "text", batch_chars: int = 3_000_000) -> DataFrame:
+    """Encode and decode every row of docs: id, n_ids, ids_crc32 (of the little-endian ids), same (the decoded text is the text, its marks for spaces as spaces).
 
     Null counts as empty: no ids, and the same. Repeated rows are rows like others; an empty table gives an empty result.
     """
-    back = decode_documents(encode_documents(docs.select(id_col, F.col(text).alias("text")), model, id_col), model, id_col)
-    return back.select(id_col, "n_ids", "ids_crc32", F.col("decoded").eqNullSafe(F.replace("text", F.lit(SPACE), F.lit(" "))).alias("same"))
+    model = model or default_model()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b, texts, coded in _coded(batches, model, batch_chars):
+            same = [encoder(model).decode(x) == t.replace(SPACE, " ") for t, x in zip(texts, coded)]
+            cells = [pa.array([len(x) // 4 for x in coded], pa.int64()), pa.array([zlib.crc32(x) for x in coded], pa.int64()), pa.array(same, pa.bool_())]
+            yield pa.RecordBatch.from_arrays([b.column(0), *cells], ["id", "n_ids", "ids_crc32", "same"])
+
+    kind = docs.schema[id_col].dataType.simpleString()
+    out = docs.select(F.col(id_col).alias("id"), whole(text).alias("text")).mapInArrow(run, f"id {kind}, n_ids long, ids_crc32 long, same boolean")
+    return out.withColumnRenamed("id", id_col)

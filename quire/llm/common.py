@@ -5,8 +5,9 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -72,6 +73,21 @@ def whole(text: str | Column = "text") -> Column:
     return F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
 
 
+def text_slices(batch: pa.RecordBatch, column: int, most_chars: int, most_rows: int = 256) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
+    """Parts of a batch and their texts (null as empty), of at most so many rows and about so many characters; a longer text is a part by itself."""
+    at, texts, size = 0, [], 0
+    for k in range(0, batch.num_rows, 16):
+        for t in batch.column(column).slice(k, 16).to_pylist():
+            t = t or ""
+            if texts and (size + len(t) > most_chars or len(texts) == most_rows):
+                yield batch.slice(at, len(texts)), texts
+                at, texts, size = at + len(texts), [], 0
+            texts.append(t)
+            size += len(t)
+    if texts:
+        yield batch.slice(at, len(texts)), texts
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """body over value, which is computed once a row. A lambda of a higher-order function would compute a plain column anew for each element."""
     return F.element_at(F.transform(F.array(value), body), 1)

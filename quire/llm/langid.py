@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import without
+from .common import text_slices, without
 
 SPECTRUM = (2, 3, 4)
 BUCKETS = 1 << 16
@@ -26,6 +26,8 @@ FIT_ROWS, LANDMARKS = 500, 64
 #: More languages than these, by rows, aren't learned.
 MOST_LANGUAGES = 200
 RIDGE = 1e-3
+#: Characters and texts that are looked at together.
+SLICE_CHARS, SLICE_ROWS = 300_000, 64
 
 
 @cache
@@ -112,15 +114,16 @@ def learn(docs: DataFrame, held_out_of: int = 5, fit_rows: int = FIT_ROWS, id_co
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for at in range(0, b.num_rows, 32):
-                some = b.slice(at, 32)
-                r, g = presence(some.column(1).to_pylist())
-                cells = [g[r == i].astype(np.int32) for i in range(some.num_rows)]
+            for some, texts in text_slices(b, 1, SLICE_CHARS, SLICE_ROWS):
+                r, g = presence(texts)
+                cells = [g[r == i].astype(np.int32) for i in range(len(texts))]
                 yield pa.RecordBatch.from_arrays([some.column(0), pa.array(cells, pa.list_(pa.int32())), some.column(2)], ["lang", "grams", "place"])
 
     picked = rows.filter(place < share).select(F.col(lang).alias("lang"), F.col(text).alias("text"), place.alias("place")).mapInArrow(run, "lang string, grams array<int>, place double")
-    got = sorted(((p, x, np.array(g, np.int64)) for x, g, p in picked.collect() if g), key=lambda r: (r[0], r[1]))
-    return fit([g for _, _, g in got], [x for _, x, _ in got]) if got else None
+    got = picked.toArrow()
+    grams = [c.values.to_numpy().astype(np.int64) for c in got.column("grams")]
+    rows = sorted((p, x, i) for i, (p, x) in enumerate(zip(got.column("place").to_pylist(), got.column("lang").to_pylist())) if len(grams[i]))
+    return fit([grams[i] for _, _, i in rows], [x for _, x, _ in rows]) if rows else None
 
 
 def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text: str = "text") -> DataFrame:
@@ -131,11 +134,10 @@ def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for at in range(0, b.num_rows, 32):
-                some = b.slice(at, 32)
+            for some, texts in text_slices(b, 1, SLICE_CHARS, SLICE_ROWS):
                 names, shares = ["und"] * some.num_rows, np.zeros(some.num_rows)
                 if model is not None:
-                    raw, size = model.scores([t or "" for t in some.column(1).to_pylist()])
+                    raw, size = model.scores(texts)
                     raw = np.maximum(raw, 0)
                     best = raw.argmax(axis=1)
                     shares = np.where(size > 0, raw.max(axis=1) / np.maximum(raw.sum(axis=1), 1e-9), 0.0)

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import whole
+from .common import text_slices, whole
 
 #: Fixed values of the model file's format: model types, and types of pieces.
 UNIGRAM, BPE = 1, 2
@@ -370,14 +370,8 @@ def default_model() -> str:
 def _coded(batches: Iterator[pa.RecordBatch], model: str, batch_chars: int) -> Iterator[tuple[pa.RecordBatch, list[str], list[bytes]]]:
     """Batches of (id, text), the texts and their ids, in parts of about batch_chars."""
     for b in batches:
-        at, texts, size = 0, [], 0
-        for k in range(0, b.num_rows, 64):
-            some = b.column(1).slice(k, 64).to_pylist()
-            texts += some
-            size += sum(map(len, some))
-            if size >= batch_chars or k + 64 >= b.num_rows:
-                yield b.slice(at, len(texts)), texts, encoder(model).encode(texts)
-                at, texts, size = at + len(texts), [], 0
+        for some, texts in text_slices(b, 1, batch_chars, 4096):
+            yield some, texts, encoder(model).encode(texts)
 
 
 def encode_documents(docs: DataFrame, model: str | None = None, id_col: str = "doc_id", text: str = "text", batch_chars: int = 3_000_000) -> DataFrame:

@@ -150,9 +150,9 @@ def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text:
 
 
 def language_id(docs: DataFrame, held_out_of: int = 5, id_col: str = "doc_id") -> DataFrame:
-    """Learn from docs and predict all of them: id, held_out, lang_pred, score. An empty table gives an empty result."""
+    """Learn from docs and predict all of them: id, held_out (false for a null id, which is never learned from), lang_pred, score. An empty table gives an empty result."""
     found = identify(docs, learn(docs, held_out_of, id_col=id_col), id_col)
-    return found.select(id_col, (F.crc32(F.col(id_col).cast("string")) % held_out_of == 0).alias("held_out"), "lang_pred", "score")
+    return found.select(id_col, F.coalesce(F.crc32(F.col(id_col).cast("string")) % held_out_of == 0, F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
 def keep_identified(docs: DataFrame, least: float = 0.35, id_col: str = "doc_id") -> DataFrame:

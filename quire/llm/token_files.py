@@ -141,15 +141,15 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-_SEGMENT = "part int, segment int, n_docs long, n_tokens long, doc_ids binary, lengths binary, data binary"
+_SEGMENT = "part int, segment int, n_docs long, n_tokens long, doc_ids array<long>, lengths array<long>, data binary"
 _FIELDS = ["part", "segment", "n_docs", "n_tokens", "doc_ids", "lengths", "data"]
 
 
 def write_token_files(docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int = 2, id_col: str = "doc_id", text: str = "text", segment: int = 1 << 20) -> None:
     """Write all documents, in ascending order of id, as coded segments of about so many ids (a longer document has one of its own).
 
-    A null text is empty and has the end id alone. Rows that share an id follow each other in the order of their texts; ids must be integers
-    and not null. An empty table gives an empty one; further columns are not looked at.
+    A null text is empty and has the end id alone. Rows that share an id follow each other in the order of their texts; null
+    ids come first. An empty table gives an empty one; further columns are not looked at.
     """
     tokenizer = tokenizer or default_tokenizer()
 
@@ -162,10 +162,10 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str | None = None,
         end = np.array([end_id], "<u4").tobytes()
 
         def flush() -> pa.RecordBatch:
-            lengths = np.array([len(x) // 4 for x in coded], "<u4")
+            lengths = [len(x) // 4 for x in coded]
             data = rans.encode(np.frombuffer(b"".join(coded), "<u4"))
-            cells = [part, number, len(ids), int(lengths.sum()), zlib.compress(np.array(ids, "<i8").tobytes(), 1), zlib.compress(lengths.tobytes(), 1), data]
-            kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
+            cells = [part, number, len(ids), sum(lengths), ids, lengths, data]
+            kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary()]
             return pa.RecordBatch.from_arrays([pa.array([c], k) for c, k in zip(cells, kinds)], _FIELDS)
 
         for b in batches:
@@ -192,15 +192,15 @@ def read_token_files(spark: SparkSession, path: str, with_ids: bool = True) -> D
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for row in range(b.num_rows):
-                part, number, _, _, doc_ids, lengths, data = (b.column(i)[row].as_py() for i in range(7))
-                ids, own = np.frombuffer(zlib.decompress(doc_ids), "<i8"), np.frombuffer(zlib.decompress(lengths), "<u4").astype(np.int64)
+                part, number, data = (b.column(i)[row].as_py() for i in (0, 1, 6))
+                ids, own = b.column(4)[row].values, b.column(5)[row].values.to_numpy()
                 tokens, at = rans.decode(data).tobytes(), np.concatenate([[0], np.cumsum(own)])
                 if at[-1] * 4 != len(tokens):
                     raise ValueError(f"segment {number} of part {part} is damaged")
                 pieces = [tokens[s:e] for s, e in zip((4 * at).tolist(), (4 * at[1:]).tolist())]
                 cells = [np.full(len(ids), part, np.int32), np.full(len(ids), number, np.int32), ids, at[:-1], own, np.array([zlib.crc32(x) for x in pieces], np.int64)]
                 names = ["part", "segment", "doc_id", "at", "n_tokens", "ids_crc32", "ids"]
-                yield pa.RecordBatch.from_arrays([*map(pa.array, cells), pa.array(pieces if with_ids else [None] * len(ids), pa.binary())], names)
+                yield pa.RecordBatch.from_arrays([*(c if isinstance(c, pa.Array) else pa.array(c) for c in cells), pa.array(pieces if with_ids else [None] * len(ids), pa.binary())], names)
 
     rows = segments.mapInArrow(run, "part int, segment int, doc_id long, at long, n_tokens long, ids_crc32 long, ids binary")
     sizes = segments.groupBy(F.col("part").alias("p"), F.col("segment").alias("s")).agg(F.sum("n_tokens").alias("n"))

@@ -25,6 +25,8 @@ _WORD = re.compile(r"[^\W\d_]+")
 BEGINNINGS = (4, 5, 6)
 #: Labelled rows that the fit takes at most, terms that it keeps at most, and length of the terms' vectors.
 FIT_ROWS, TERMS, FACTORS = 12_000, 1024, 8
+#: Terms below this G statistic say too little to be told from chance.
+LEAST_G = 12.0
 THRESHOLD = 0.7
 
 
@@ -39,7 +41,7 @@ def terms(text: str) -> np.ndarray:
 
 
 def informative(rows: list[np.ndarray], labels: np.ndarray, most: int = TERMS, least: int = 3) -> np.ndarray:
-    """The terms with the largest G statistic against the label, of those that at least least rows have."""
+    """The terms with the largest G statistic against the label, LEAST_G or more, of those that at least least rows have."""
     flat = np.concatenate(rows) if rows else np.empty(0, np.uint32)
     of = np.repeat(labels, [len(r) for r in rows])
     every, n = np.unique(flat, return_counts=True)
@@ -54,6 +56,7 @@ def informative(rows: list[np.ndarray], labels: np.ndarray, most: int = TERMS, l
         return np.where(seen > 0, seen * np.log(np.maximum(seen, 1e-9) / np.maximum(expected, 1e-9)), 0.0)
 
     g = part(ones, n * pos / total) + part(n - ones, n * (total - pos) / total) + part(pos - ones, (total - n) * pos / total) + part(total - n - pos + ones, (total - n) * (total - pos) / total)
+    every, g = every[g >= LEAST_G], g[g >= LEAST_G]
     return np.sort(every[np.lexsort((every, -np.round(g, 9)))[:most]])
 
 
@@ -154,6 +157,6 @@ def toxicity(docs: DataFrame, machine: Machine | None, threshold: float = THRESH
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """Learn from the labels of docs and score all of docs: id, held_out, score, predicted."""
+    """Learn from the labels of docs and score all of docs: id, held_out (false for a null id, which is never learned from), score, predicted."""
     found = toxicity(docs, learn(docs, labels, id_col=id_col), id_col=id_col)
-    return found.select(id_col, (F.crc32(F.col(id_col).cast("string")) % 3 == 1).alias("held_out"), "score", "predicted")
+    return found.select(id_col, F.coalesce(F.crc32(F.col(id_col).cast("string")) % 3 == 1, F.lit(False)).alias("held_out"), "score", "predicted")

@@ -52,7 +52,7 @@ def resolve_revisits(records: DataFrame, spans: int = 64) -> DataFrame:
         "record_id", (F.col("kind") == "revisit").alias("again"), canonical_url(F.col("url")).alias("canonical"), "ts", F.coalesce("headers", F.create_map().cast("map<string,string>")).alias("headers")
     )
     first, last = own.agg(F.coalesce(F.min("ts"), F.lit(0)).cast("double"), F.coalesce(F.max("ts"), F.lit(0)).cast("double")).first()
-    span = F.coalesce(F.least(F.floor((F.col("ts") - first) / max(last - first, 1e-9) * spans), F.lit(spans - 1)), F.lit(0)).cast("int")
+    span = F.when(F.col("ts").isNull(), 0).otherwise(F.least(F.floor((F.col("ts") - first) / max(last - first, 1e-9) * spans), F.lit(spans - 1)).cast("int"))
     # records without a url are no time line; a hash of the id spreads them
     own = own.withColumn("span", F.when(F.col("canonical").isNull(), F.pmod(F.xxhash64("record_id"), F.lit(1 << 20)).cast("int")).otherwise(span))
     full = F.when(~F.col("again"), F.struct("ts", F.col("record_id").alias("id"), "headers"))

@@ -6,7 +6,6 @@ shared folder before the next, so no engine runs twice for a page, and never ins
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
@@ -17,6 +16,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import blocks as B
 from ..operators import score as S
+from ..sources.scratch import written
 
 Text = Callable[[bytes], str]
 Detect = Callable[[bytes], list]
@@ -66,14 +66,11 @@ def _with(pages: DataFrame, more: str) -> str:
 
 
 def _write(df: DataFrame) -> DataFrame:
-    spark = df.sparkSession
-    path = f"{spark.conf.get('spark.checkpoint.dir')}/cascade-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return written(df, "cascade")
 
 
 def recognise(pages: DataFrame, engines: Engines, image: str = "image") -> DataFrame:
-    """pages with blocks, method, engine, correction_applied, confidence_score and steps. Needs spark.checkpoint.dir."""
+    """pages with blocks, method, engine, correction_applied, confidence_score and steps."""
     kept = pages.columns
     settled: list[DataFrame] = []
     rest = pages.withColumn("steps", F.array(F.lit("ocr_mode:primary_first" if engines.primary else "ocr_mode:skip_primary")))

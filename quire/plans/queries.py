@@ -6,7 +6,7 @@ lineitem for documents, jobs and pages, events for logs. Texts have no Bangla, s
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -18,6 +18,7 @@ from ..functions.validate import corrupted_font, validate
 from ..operators import blocks as B
 from ..operators import corpus, documents, jobs, lexicon
 from ..operators import score as S
+from ..sources.scratch import shared_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -604,8 +605,6 @@ def recognition_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole page pipeline over conversations, with engines that read the bytes as text: the first only long ones, the quick one with little confidence."""
     from .cascade import Engines, process_pages
 
-    if not spark.conf.get("spark.checkpoint.dir", None):
-        spark.conf.set("spark.checkpoint.dir", "file://" + tempfile.mkdtemp(prefix="quire-"))
     c = table(spark, sf_dir, "conversations")
     none = F.array().cast("array<array<array<string>>>")
     pages = c.select(
@@ -626,8 +625,7 @@ def stream_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
     events = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", "true").parquet(f"{sf_dir}/events.parquet")
     events = events.withColumn("order", F.struct("ts", "event_id"))
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="quire-")
-    name = f"stream_states_{abs(hash(sf_dir)) % 10**9}"
+    name = f"stream_states_{uuid.uuid4().hex}"
     running = last_states(events, "user_id", "order", ["event_type", "event_id"]).writeStream.format("memory").queryName(name).outputMode("complete")
-    running.option("checkpointLocation", f"{root}/{name}-{id(events)}").trigger(availableNow=True).start().awaitTermination()
+    running.option("checkpointLocation", f"{shared_dir(spark)}/{name}").trigger(availableNow=True).start().awaitTermination()
     return spark.table(name)

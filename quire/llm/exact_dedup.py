@@ -67,6 +67,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text") ->
     digest = materialize(docs.select("id", recipe.alias("recipe"), F.length("text").alias("n"), F.sha2(norm.cast("binary"), 256).alias("sha")), "recipes")
     best = digest.groupBy("recipe").agg(F.max(F.struct("n", (-F.col("id")).alias("m"))).alias("best"), F.count("*").alias("group_size"))
     best = best.select(F.col("recipe").alias("of"), (-F.col("best.m")).alias("keep_id"), F.col("best.n").alias("most"), "group_size")
+    best = materialize(best, "best")  # a join of two plain exchanges, whose hot recipes Spark can split
     out = digest.join(best, F.col("recipe") == F.col("of"))
     return out.select(
         F.col("id").alias(id_col), "keep_id", "group_size",

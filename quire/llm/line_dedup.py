@@ -114,6 +114,7 @@ def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     found = materialize(first.unionAll(last), "intervals")
     place = F.struct("id", "t", "n")
     heads = found.groupBy("m", "p", "q").agg(F.min(place).alias("head")).select(F.col("m").alias("m_"), F.col("p").alias("p_"), F.col("q").alias("q_"), "head")
+    heads = materialize(heads, "heads")  # a join of two plain exchanges, whose hot intervals Spark can split
     later = found.join(heads, (F.col("m") == F.col("m_")) & (F.col("p") == F.col("p_")) & (F.col("q") == F.col("q_"))).filter(place > F.col("head"))
     return later.select("id", "t", F.explode("lines").alias("line")).distinct()
 

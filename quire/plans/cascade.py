@@ -25,17 +25,38 @@ _DETECTIONS = "array<struct<text:string,conf:double,points:array<struct<x:double
 
 @dataclass
 class Engines:
-    """primary and model read a page to text, quick and full to detections (text, confidence, points). A missing one is passed over. The model's engine is its name."""
+    """primary and model read a page to text, quick and full to detections (text, confidence, points). A missing one is passed over. The model's engine is its name.
+
+    more_models (name, function) are asked, in order, for what the model has no answer to.
+    """
 
     primary: Text | None = None
     quick: Detect | None = None
     model: Text | None = None
     full: Detect | None = None
     model_name: str = "ollama"
+    more_models: tuple[tuple[str, Text], ...] = ()
     least_chars: int = 20
     corrections: dict = field(default_factory=dict)
 
 
+def retrying(engine: Text, attempts: int = 2, delay: float = 2.0) -> Text:
+    """An engine that is asked again when it fails, after a pause; an empty answer is an answer."""
+    import time
+
+    def ask(image: bytes) -> str:
+        for left in range(attempts - 1, -1, -1):
+            try:
+                return engine(image)
+            except Exception:  # noqa: BLE001  engines are foreign code
+                if not left:
+                    raise
+                time.sleep(delay)
+        return ""
+
+    return ask
+
+
 def _read(pages: DataFrame, image: str, engine: Text) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -75,9 +96,9 @@ def recognise(pages: DataFrame, engines: Engines, image: str = "image") -> DataF
     settled: list[DataFrame] = []
     rest = pages.withColumn("steps", F.array(F.lit("ocr_mode:primary_first" if engines.primary else "ocr_mode:skip_primary")))
 
-    def done(df: DataFrame, source: str, method: str, engine: str, step: Column) -> DataFrame:
+    def done(df: DataFrame, source: str, method: str, engine: str | Column, step: Column) -> DataFrame:
         fixed = df.withColumn("fixed", B.correct_blocks("blocks", source, **engines.corrections))
-        out = fixed.select(*kept, F.col("fixed.blocks").alias("blocks"), F.lit(method).alias("method"), F.lit(engine).alias("engine"), F.col("fixed.changed").alias("correction_applied"), F.concat("steps", F.array(step)).alias("steps"))
+        out = fixed.select(*kept, F.col("fixed.blocks").alias("blocks"), F.lit(method).alias("method"), (F.lit(engine) if isinstance(engine, str) else engine).alias("engine"), F.col("fixed.changed").alias("correction_applied"), F.concat("steps", F.array(step)).alias("steps"))
         return out
 
     if engines.primary:
@@ -90,12 +111,21 @@ def recognise(pages: DataFrame, engines: Engines, image: str = "image") -> DataF
         seen = seen.withColumn("good", ~S.needs_fallback(S.page_score("blocks"), S.is_bangla("blocks")))
         settled.append(done(seen.filter("good"), "easyocr", "ocr_local", "easyocr", F.lit("llm:skipped_sufficient_local")))
         rest = seen.filter("not good").drop("seen", "blocks", "good")
-    if engines.model:
-        read = _write(_read(rest, image, engines.model)).withColumn("blocks", B.model_blocks("said"))
-        tried = _write(done(read.filter(F.length(T.strip("said")) >= 20), "ollama", "ocr_api", engines.model_name, F.lit("llm_chain:ok")))
+    if models := [(engines.model_name, engines.model)] * bool(engines.model) + list(engines.more_models):
+        answered: list[DataFrame] = []
+        for name, ask in models:
+            read = _write(_read(rest, image, ask)).withColumn("by", F.lit(name))
+            answered.append(read.filter("said <> ''"))
+            rest = read.filter("said = ''").drop("said", "by")
+        read = rest.withColumns({"said": F.lit(""), "by": F.lit(models[-1][0])})
+        for df in answered:
+            read = read.unionByName(df)
+        read = read.withColumn("blocks", B.model_blocks("said"))
+        long = F.length(T.strip("said")) >= 20
+        tried = _write(done(read.filter(long), "ollama", "ocr_api", F.col("by"), F.concat(F.lit("llm_chain:ok:"), "by")))
         settled.append(tried.filter(~S.script_mismatch("blocks")))
-        missed = tried.filter(S.script_mismatch("blocks")).select(*kept, F.concat("steps", F.array(F.lit("llm_chain:script_mismatch"))).alias("steps"))
-        short = read.filter(F.coalesce(F.length(T.strip("said")), F.lit(0)) < 20).select(*kept, F.concat("steps", F.array(F.lit("llm_chain:failed"))).alias("steps"))
+        missed = tried.filter(S.script_mismatch("blocks")).select(*kept, F.concat("steps", F.array(F.concat(F.lit("llm_chain:script_mismatch:"), "engine"))).alias("steps"))
+        short = read.filter(~long).select(*kept, F.concat("steps", F.array(F.lit("llm_chain:failed"))).alias("steps"))
         rest = missed.unionByName(short)
     if last := engines.full or engines.quick:
         seen = _write(_detect(rest, image, last)).withColumn("blocks", B.detection_blocks("seen"))

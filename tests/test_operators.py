@@ -9,7 +9,7 @@ from quire import api
 from quire.operators import blocks as B
 from quire.operators import corpus, documents, jobs, lexicon
 from quire.operators import score as S
-from quire.plans.cascade import Engines, process_pages
+from quire.plans.cascade import Engines, process_pages, retrying
 from quire.sources import files, sinks
 from quire.streaming import ingest as stream
 
@@ -202,6 +202,29 @@ def test_cascade_asks_each_engine_only_for_what_is_left(spark, tmp_path):
     assert got[6].decisions[0].keyword == "FINAL_ENGINE" and got[1].steps[0] == "type:scanned"
 
 
+def test_models_are_asked_in_turn(spark):
+    pages = _images(spark, ["one", "two", "नमस्ते"])
+    first = lambda b: "the first model's own answer" if b == b"one" else ""
+    second = lambda b: "अबचदएफगहइजकलमनओपरसत अबचदएफ" if b.startswith("न".encode()) else "the second model's own answer"
+    got = {r.page_number: r for r in process_pages(pages, Engines(model=first, model_name="ollama:q", more_models=(("gemini", second),))).collect()}
+    assert {n: (r.method, r.engine) for n, r in got.items()} == {1: ("ocr_api", "ollama:q"), 2: ("ocr_api", "gemini"), 3: ("ocr_local", "none")}
+    assert "llm_chain:script_mismatch:gemini" in got[3].steps
+
+
+def test_engines_are_asked_again():
+    tries = []
+
+    def fails_once(image):
+        tries.append(image)
+        if len(tries) == 1:
+            raise OSError
+        return "x"
+
+    assert retrying(fails_once, delay=0.0)(b"i") == "x" and len(tries) == 2
+    with pytest.raises(ZeroDivisionError):
+        retrying(lambda image: 1 / 0, delay=0.0)(b"i")
+
+
 def decoder(content: bytes):
     if content.startswith(b"bad"):
         raise ValueError("not a document")

@@ -51,16 +51,16 @@ def encode(ids: np.ndarray, lanes: int = 32, block: int = 16384) -> bytes:
     if ids.max() < 1 << 22:  # counting is faster than sorting
         every = np.bincount(ids)
         symbols = np.flatnonzero(every)
-        counts, index = every[symbols], (np.cumsum(every > 0) - 1)[ids]
+        counts, index = every[symbols], (np.cumsum(every > 0) - 1).astype(np.uint32)[ids]
     else:
         symbols, index, counts = np.unique(ids, return_inverse=True, return_counts=True)
     f = frequencies(counts)
     table = zlib.compress(np.diff(symbols, prepend=0).astype("<u4").tobytes() + f.astype("<u4").tobytes(), 6)
     steps = -(-min(n, block) // lanes)
     blocks = -(-n // (steps * lanes))
-    padded = np.full(blocks * steps * lanes, np.argmax(f), np.int64)
+    padded = np.full(blocks * steps * lanes, np.argmax(f), np.uint16)
     padded[:n] = index
-    wide = padded.reshape(blocks, steps, lanes).transpose(1, 0, 2).reshape(steps, -1)
+    wide = padded.reshape(blocks, steps, lanes).transpose(1, 0, 2).reshape(steps, -1)  # at most SCALE symbols: 16 bits are enough
     freq, start = f.astype(np.uint32), (np.cumsum(f) - f).astype(np.uint32)
     x = np.full(blocks * lanes, LOW, np.uint32)
     words, out = np.empty(wide.shape, np.uint16), np.empty(wide.shape, bool)

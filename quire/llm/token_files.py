@@ -40,24 +40,34 @@ def seams(text: str) -> list[str]:
 
 
 class _Kept(dict):
-    """Ids by piece; an unknown piece comes back as it is, and is noted."""
+    """Ids by piece, of the present and the last generation; an unknown piece comes back as it is, and is noted."""
 
     def __init__(self) -> None:
         super().__init__()
         self.new: list[str] = []
+        self.old: dict[str, bytes] = {}
 
-    def __missing__(self, piece: str) -> str:
-        self.new.append(piece)
-        return piece
+    def __missing__(self, piece: str) -> str | bytes:
+        found = self.old.get(piece)
+        if found is None:
+            self.new.append(piece)
+            return piece
+        self[piece] = found
+        return found
+
+    def age(self) -> None:
+        """Begin a new generation: what it doesn't meet again is forgotten with the next."""
+        self.old = dict(self)
+        self.clear()
 
 
 class SeamCache:
-    """Encodes texts piece by piece between seams; the ids of pieces that follow a seam are kept, up to a number of pieces.
+    """Encodes texts piece by piece between seams; the ids of pieces that follow a seam are kept, up to a number of pieces in each of two generations.
 
     New pieces without white space are encoded many at a time, a line feed after each: it is a token of its own there, so the ids can be told apart.
     """
 
-    def __init__(self, path: str, most: int = 1_500_000) -> None:
+    def __init__(self, path: str, most: int = 800_000) -> None:
         from tokenizers import Tokenizer
 
         self._tokenizer, self._most, self._kept, self._marks = Tokenizer.from_file(path), most, _Kept(), {}
@@ -125,7 +135,7 @@ class SeamCache:
             out = [[known[x] if type(x) is str else x for x in own] for own in out]
             kept.new.clear()
         if len(kept) > self._most:
-            kept.clear()
+            kept.age()
         return list(map(b"".join, out))
 
 

@@ -202,8 +202,8 @@ def format_duration(ms: str | Column) -> Column:
     v = F.coalesce((F.col(ms) if isinstance(ms, str) else ms).cast("double"), F.lit(0.0))
     s = v / 1000
     whole = lambda x: F.floor(x + 0.5).cast("string")
-    minutes = F.concat(F.floor(s / 60).cast("string"), F.lit("m "), F.format_string("%.1f", s % 60), F.lit("s"))
-    return F.when(F.isnan(v) | (v <= 0) | (v == float("inf")), "n/a").when(v < 1000, F.concat(whole(v), F.lit(" ms"))).when(s < 60, F.concat(F.format_string("%.2f", s), F.lit(" s"))).otherwise(minutes)
+    minutes = F.concat(F.floor(s / 60).cast("string"), F.lit("m "), F.format_string("%.1f", rounded(s % 60, 1)), F.lit("s"))
+    return F.when(F.isnan(v) | (v <= 0) | (v == float("inf")), "n/a").when(v < 1000, F.concat(whole(v), F.lit(" ms"))).when(s < 60, F.concat(F.format_string("%.2f", rounded(s, 2)), F.lit(" s"))).otherwise(minutes)
 
 
 def format_size(size: str | Column) -> Column:
@@ -211,7 +211,7 @@ def format_size(size: str | Column) -> Column:
     return (
         F.when(b < 1024, F.concat(b.cast("string"), F.lit(" B")))
         .when(b < 1024 * 1024, F.concat(F.floor(b / 1024 + 0.5).cast("string"), F.lit(" KB")))
-        .otherwise(F.concat(F.format_string("%.2f", b / (1024.0 * 1024)), F.lit(" MB")))
+        .otherwise(F.concat(F.format_string("%.2f", rounded(b / (1024.0 * 1024), 2)), F.lit(" MB")))
     )
 
 

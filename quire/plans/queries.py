@@ -533,8 +533,8 @@ def fix_artifacts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""with o as (select o_orderkey as id, o_custkey as n from orders) select id, n, case when n < 1024 then n || ' B' when n < 1048576 then floor(n / 1024 + 0.5)::bigint || ' KB' else printf('%.2f', n / 1048576) || ' MB' end as size,
-    case when n < 1000 then n || ' ms' when n < 60000 then printf('%.2f', n / 1000) || ' s' else floor(n / 60000)::bigint || 'm ' || printf('%.1f', n / 1000 % 60) || 's' end as duration from o where n > 0"""
+    f"""with o as (select o_orderkey as id, o_custkey as n from orders) select id, n, case when n < 1024 then n || ' B' when n < 1048576 then floor(n / 1024 + 0.5)::bigint || ' KB' else printf('%.2f', floor(n / 1048576 * 100 + 0.5) / 100) || ' MB' end as size,
+    case when n < 1000 then n || ' ms' when n < 60000 then printf('%.2f', floor(n / 1000 * 100 + 0.5) / 100) || ' s' else floor(n / 60000)::bigint || 'm ' || printf('%.1f', floor(n / 1000 % 60 * 10 + 0.5) / 10) || 's' end as duration from o where n > 0"""
 )
 def formats(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("n")).filter("n > 0")

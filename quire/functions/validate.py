@@ -20,36 +20,43 @@ def validate(text: str | Column, strict_combining: bool = True) -> Column:
 
     A text in a legacy encoding is rejected for that alone and has no metrics.
     """
-    t, n = T.col(text), F.length(T.col(text))
-    bangla, ascii_, brackets, symbols = T.bangla_ratio(t), T.ascii_ratio(t), T.bracket_density(t), T.symbol_noise(t)
+    t = T.col(text)
+    metrics = F.struct(
+        F.length(t).alias("n"), T.legacy_encoded(t).alias("encoded"), T.bangla_ratio(t).alias("bangla"), T.ascii_ratio(t).alias("ascii"), T.bracket_density(t).alias("brackets"),
+        T.symbol_noise(t).alias("symbols"), T.control_ratio(t).alias("control"), T.legacy_glyphs(t).alias("legacy"), T.cid_references(t).alias("cids"),
+        T.suspicious_glyphs(t).alias("suspicious"), T.entropy(t).alias("entropy"), T.invalid_combining(t, strict_combining).alias("combining"),
+    )
+    return T.let(metrics, _report)
+
+
+def _report(m: Column) -> Column:
     reasons = F.array_compact(
         F.array(
-            F.when(T.control_ratio(t) > 0.05, "control_characters"),
-            F.when(T.legacy_glyphs(t) >= 3, "winansa_artifacts"),
-            F.when(T.cid_references(t) >= 3, "cid_references"),
-            F.when(brackets > 0.05, "bracket_density"),
-            F.when((symbols > 0.12) & (bangla < 0.05), "symbol_noise"),
-            F.when(T.suspicious_glyphs(t) >= 5, "suspicious_glyphs"),
-            F.when((n > 100) & (T.entropy(t) < 2.0), "low_entropy"),
-            F.when(T.invalid_combining(t, strict_combining), "invalid_combining"),
+            F.when(m["control"] > 0.05, "control_characters"),
+            F.when(m["legacy"] >= 3, "winansa_artifacts"),
+            F.when(m["cids"] >= 3, "cid_references"),
+            F.when(m["brackets"] > 0.05, "bracket_density"),
+            F.when((m["symbols"] > 0.12) & (m["bangla"] < 0.05), "symbol_noise"),
+            F.when(m["suspicious"] >= 5, "suspicious_glyphs"),
+            F.when((m["n"] > 100) & (m["entropy"] < 2.0), "low_entropy"),
+            F.when(m["combining"], "invalid_combining"),
         )
     )
-    english = (bangla < 0.05) & (ascii_ > 0.8) & (n > 100) & (brackets <= 0.05) & (symbols <= 0.12)
-    legacy = T.legacy_encoded(t)
-    shown = lambda x: F.when(~legacy, x)
+    english = (m["bangla"] < 0.05) & (m["ascii"] > 0.8) & (m["n"] > 100) & (m["brackets"] <= 0.05) & (m["symbols"] <= 0.12)
+    shown = lambda x: F.when(~m["encoded"], x)
     return F.struct(
-        legacy.alias("bijoy_detected"),
-        shown(T.rounded(bangla)).alias("bangla_char_ratio"),
-        shown(T.suspicious_glyphs(t)).alias("suspicious_glyph_count"),
-        shown(T.rounded(ascii_)).alias("ascii_dominance"),
-        shown(T.rounded(T.entropy(t))).alias("entropy"),
-        shown(T.invalid_combining(t, strict_combining)).alias("invalid_combining"),
-        shown(T.rounded(T.control_ratio(t))).alias("control_char_ratio"),
-        shown(T.legacy_glyphs(t)).alias("winansa_artifact_count"),
-        shown(T.cid_references(t)).alias("cid_reference_count"),
-        shown(T.rounded(brackets)).alias("bracket_density"),
-        shown(T.rounded(symbols)).alias("symbol_noise_ratio"),
+        m["encoded"].alias("bijoy_detected"),
+        shown(T.rounded(m["bangla"])).alias("bangla_char_ratio"),
+        shown(m["suspicious"]).alias("suspicious_glyph_count"),
+        shown(T.rounded(m["ascii"])).alias("ascii_dominance"),
+        shown(T.rounded(m["entropy"])).alias("entropy"),
+        shown(m["combining"]).alias("invalid_combining"),
+        shown(T.rounded(m["control"])).alias("control_char_ratio"),
+        shown(m["legacy"]).alias("winansa_artifact_count"),
+        shown(m["cids"]).alias("cid_reference_count"),
+        shown(T.rounded(m["brackets"])).alias("bracket_density"),
+        shown(T.rounded(m["symbols"])).alias("symbol_noise_ratio"),
         shown(english).alias("possible_english_only"),
-        (~legacy & (F.size(reasons) == 0)).alias("is_valid"),
-        F.when(legacy, F.array(F.lit("bijoy_encoding"))).otherwise(reasons).alias("rejection_reasons"),
+        (~m["encoded"] & (F.size(reasons) == 0)).alias("is_valid"),
+        F.when(m["encoded"], F.array(F.lit("bijoy_encoding"))).otherwise(reasons).alias("rejection_reasons"),
     )

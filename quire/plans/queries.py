@@ -18,7 +18,7 @@ from ..functions.validate import corrupted_font, validate
 from ..operators import blocks as B
 from ..operators import corpus, documents, jobs, lexicon
 from ..operators import score as S
-from ..sources.scratch import shared_dir
+from ..sources.scratch import shared_dir, spread
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -40,7 +40,8 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(df) if name in ("documents", "pages", "conversations") else df
 
 
 def bangla(text: str | Column = "text") -> Column:
@@ -236,7 +237,7 @@ def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     d, l = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     pages = d.select(
         F.col("doc_id").cast("string").alias("doc_id"), F.lit(1).alias("page_number"), F.col("text").alias("full_text"), F.col("lang").alias("engine"), F.col("source").alias("domain"),
-        S.page_score(B.paragraphs("text")).alias("confidence_score"),
+        T.let(B.paragraphs("text"), lambda b: S.page_score(b)).alias("confidence_score"),
     )
     votes = l.select(F.col("doc_id").cast("string").alias("doc_id"), F.lit(1).alias("page_number"), (F.col("quality") == 1).alias("verified"), F.col("doc_id").alias("at"))
     return corpus.verify(pages, votes, "at")

@@ -23,6 +23,12 @@ def shared_dir(spark: SparkSession) -> str:
     return _own[0]
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores, if its files give fewer tasks than there are: a small file of one row group would keep one core busy. Large tables stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df._jdf.queryExecution().toRdd().getNumPartitions() >= cores else df.repartition(cores)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a table in the shared folder: its steps aren't run again."""
     path = f"{shared_dir(df.sparkSession)}/quire-{name}-{uuid.uuid4().hex}"

@@ -14,7 +14,7 @@ from quire.llm.common import materialize, table
 from quire.llm.decontam import keep_clean
 from quire.llm.langid import keep_identified
 from quire.llm.line_dedup import keep_lines
-from quire.llm.simhash import keep_one
+from quire.llm.minhash import keep_one
 from quire.llm.spiece import round_trip
 
 
@@ -29,7 +29,7 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays."""
+    """One document of each group of near copies stays: those that share at least 0.8 of their five-word shingles."""
     return keep_one(docs)
 
 

@@ -188,5 +188,5 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text", k: i
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs with one document of each group: that of the least id. Rows that share an id stay or go together."""
+    """docs with one document of each of near_dedup's groups: that of the least id. Rows that share an id stay or go together. The pipeline has `minhash.keep_one`."""
     return without(docs, near_dedup(docs, id_col, text).filter(f"not {id_col} <=> component_id").select(id_col), id_col)

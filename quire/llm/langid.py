@@ -32,15 +32,15 @@ SLICE_CHARS, SLICE_ROWS = 300_000, 64
 
 @cache
 def _letters() -> np.ndarray:
-    """By code point of the basic plane: 0 for what isn't a letter, else the code point of its lower case."""
-    return np.array([ord(chr(c).lower()[0]) if chr(c).isalpha() else 0 for c in range(1 << 16)], np.uint32)
+    """By code point: 0 for what isn't a letter, else the code point of its lower case."""
+    return np.array([ord(chr(c).lower()[0]) if chr(c).isalpha() else 0 for c in range(0x110000)], np.uint32)
 
 
 def presence(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Rows and buckets of the n-grams that are in each text, each once, in order; nothing for a text without letters."""
     table, sizes = _letters(), np.array([len(t) + 2 for t in texts])
     flat = np.frombuffer("".join(f" {t} " for t in texts).encode("utf-32-le", "replace"), np.uint32)
-    codes = np.where(flat < 1 << 16, table[np.minimum(flat, (1 << 16) - 1)], flat)
+    codes = table[flat]
     row = np.repeat(np.arange(len(texts), dtype=np.int64), sizes)
     keep = (codes > 0) | np.concatenate([[True], codes[:-1] > 0]) | np.concatenate([row[1:] != row[:-1], [True]]) if len(codes) else np.zeros(0, bool)
     codes, row = codes[keep], row[keep]

@@ -92,6 +92,15 @@ def test_language_of_odd_rows(spark, odd, odd_rows):
     assert langid.keep_identified(odd).columns == odd.columns
 
 
+def test_emoji_without_letters_have_no_language(spark):
+    r = random.Random(31)
+    rows = [(i, sentence(r, lang, 12), lang) for i in range(40) for lang in [list(LANGUAGES)[i % 2]]]
+    got = {x.doc_id: x for x in langid.language_id(make(spark, [*rows, (100, "😀 123"), (101, "\U0001f600\U0001f680"), (102, "\U00010400")])).collect()}
+    assert [(got[i].lang_pred, got[i].score) for i in (100, 101)] == [("und", 0.0)] * 2
+    assert [len(x) for x in langid.presence(["😀 123"])] == [0, 0]
+    assert got[102].lang_pred != "und" and (langid.presence(["\U00010400"])[1] == langid.presence(["\U00010428"])[1]).all()
+
+
 def test_scores_are_the_kernel_against_each_landmark():
     r = random.Random(4)
     texts = [sentence(r, lang, 12) for lang in LANGUAGES for _ in range(6)]

@@ -23,8 +23,8 @@ SPECTRUM = (2, 3, 4)
 BUCKETS = 1 << 16
 #: Labelled texts of each language that the fit takes on average, however many there are, and those of them that are landmarks.
 FIT_ROWS, LANDMARKS = 500, 64
-#: More languages than these, by rows, aren't learned.
-MOST_LANGUAGES = 200
+#: Landmarks in all, above which each language has fewer, one at least; languages that are scored together.
+ALL_LANDMARKS, LANGUAGE_BLOCK = 1024, 64
 RIDGE = 1e-3
 #: Characters and texts that are looked at together.
 SLICE_CHARS, SLICE_ROWS = 300_000, 64
@@ -75,15 +75,21 @@ class Model:
         filled = np.flatnonzero(size)
         if len(filled):
             starts = np.concatenate([[0], np.cumsum(size[filled])[:-1]])
-            out[filled] = np.add.reduceat(self.weights[buckets], starts, axis=0) / np.sqrt(size[filled])[:, None]
+            for at in range(0, len(self.languages), LANGUAGE_BLOCK):
+                some = self.weights[:, at : at + LANGUAGE_BLOCK]
+                out[filled, at : at + LANGUAGE_BLOCK] = np.add.reduceat(some[buckets], starts, axis=0) / np.sqrt(size[filled])[:, None]
         return out, size
 
 
 def fit(grams: list[np.ndarray], languages: list[str], landmarks: int = LANDMARKS, ridge: float = RIDGE) -> Model:
-    """grams: the buckets of each text. The first landmarks texts of each language stand for it."""
+    """grams: the buckets of each text. The first landmarks texts of each language stand for it, fewer if there are many languages."""
     names = sorted(set(languages))
-    y = np.array([[a == b for b in names] for a in languages], float)
-    marks = [i for name in names for i in [j for j, x in enumerate(languages) if x == name][:landmarks]]
+    landmarks = max(1, min(landmarks, ALL_LANDMARKS // max(1, len(names))))
+    of, own = {name: i for i, name in enumerate(names)}, [[] for _ in names]
+    y = np.array([of[x] for x in languages])
+    for i, k in enumerate(y):
+        own[k].append(i)
+    marks = [i for some in own for i in some[:landmarks]]
 
     def dense(some: list[np.ndarray]) -> np.ndarray:
         out = np.zeros((len(some), BUCKETS), np.float32)
@@ -93,8 +99,12 @@ def fit(grams: list[np.ndarray], languages: list[str], landmarks: int = LANDMARK
 
     b = dense([grams[i] for i in marks])
     k_mm = (b @ b.T).astype(float)
-    k_nm = np.concatenate([dense(grams[at : at + 128]) @ b.T for at in range(0, len(grams), 128)]).astype(float)
-    alpha = np.linalg.solve(k_nm.T @ k_nm + ridge * len(grams) * (k_mm + 1e-6 * np.eye(len(marks))), k_nm.T @ y)
+    squares, sums = np.zeros((len(marks), len(marks))), np.zeros((len(names), len(marks)))
+    for at in range(0, len(grams), 128):
+        k_nm = (dense(grams[at : at + 128]) @ b.T).astype(float)
+        squares += k_nm.T @ k_nm
+        np.add.at(sums, y[at : at + 128], k_nm)
+    alpha = np.linalg.solve(squares + ridge * len(grams) * (k_mm + 1e-6 * np.eye(len(marks))), sums.T)
     return Model(names, (b.T @ alpha).astype(np.float32))
 
 
@@ -104,13 +114,8 @@ def learn(docs: DataFrame, held_out_of: int = 5, fit_rows: int = FIT_ROWS, id_co
     The fit is bounded: of each language, rows whose id's hash is under a bound that takes fit_rows on average.
     """
     rows = docs.filter(F.col(lang).isNotNull() & F.col(text).isNotNull() & (F.crc32(F.col(id_col).cast("string")) % held_out_of != 0))
-    counts = rows.groupBy(F.col(lang).alias("lang")).count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()
-    if not counts:
-        return None
+    shares = rows.groupBy(F.col(lang).alias("lang_")).agg(F.least(F.lit(1.0), fit_rows / F.count("*")).alias("share_"))
     place = F.shiftrightunsigned(F.xxhash64(id_col), 11).cast("double") / 2.0**53
-    share = F.lit(0.0)
-    for name, n in counts:
-        share = F.when(F.col(lang) == name, min(1.0, fit_rows / n)).otherwise(share)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -119,7 +124,9 @@ def learn(docs: DataFrame, held_out_of: int = 5, fit_rows: int = FIT_ROWS, id_co
                 cells = [g[r == i].astype(np.int32) for i in range(len(texts))]
                 yield pa.RecordBatch.from_arrays([some.column(0), pa.array(cells, pa.list_(pa.int32())), some.column(2)], ["lang", "grams", "place"])
 
-    picked = rows.filter(place < share).select(F.col(lang).alias("lang"), F.col(text).alias("text"), place.alias("place")).mapInArrow(run, "lang string, grams array<int>, place double")
+    own = rows.select(F.col(lang).alias("lang"), F.col(text).alias("text"), place.alias("place"))
+    # a row a language, of which the model has a column
+    picked = own.join(F.broadcast(shares), (F.col("lang") == F.col("lang_")) & (F.col("place") < F.col("share_"))).select("lang", "text", "place").mapInArrow(run, "lang string, grams array<int>, place double")
     got = picked.toArrow()
     grams = [c.values.to_numpy().astype(np.int64) for c in got.column("grams")]
     rows = sorted((p, x, i) for i, (p, x) in enumerate(zip(got.column("place").to_pylist(), got.column("lang").to_pylist())) if len(grams[i]))

@@ -101,6 +101,16 @@ def test_emoji_without_letters_have_no_language(spark):
     assert got[102].lang_pred != "und" and (langid.presence(["\U00010400"])[1] == langid.presence(["\U00010428"])[1]).all()
 
 
+def test_rare_languages_are_learned_too(spark):
+    r = random.Random(32)
+    own = {f"l{k:03d}": "".join(chr(0x4E00 + 20 * k + i) for i in range(20)) for k in range(203)}
+    text = lambda lang: " ".join("".join(r.choice(own[lang]) for _ in range(4)) for _ in range(12))
+    rows = [(i, text(lang), lang) for i, lang in enumerate([x for x in own for _ in range(6 if x < "l200" else 4)])]
+    got = {x.doc_id: x for x in langid.language_id(make(spark, rows)).collect()}
+    learned = {lang for i, _, lang in rows if not got[i].held_out}
+    assert len(learned) > 200 and all(got[i].lang_pred == lang for i, _, lang in rows if lang in learned and not got[i].held_out)
+
+
 def test_scores_are_the_kernel_against_each_landmark():
     r = random.Random(4)
     texts = [sentence(r, lang, 12) for lang in LANGUAGES for _ in range(6)]

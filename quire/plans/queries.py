@@ -613,7 +613,7 @@ def recognition_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("text").cast("binary").alias("image"), none.alias("tables"), F.array().cast("array<struct<width:int,height:int>>").alias("images"),
     )
     words = lambda b, least: (t if len(t := b.decode()) >= least else "")
-    engines = Engines(primary=lambda b: words(b, 400), quick=lambda b: [(w, 0.3, [(i * 10.0, 0.0)]) for i, w in enumerate(b.decode().split()[:20])], model=lambda b: words(b, 100))
+    engines = Engines(primary=lambda b: words(b, 400), quick=lambda b: [(w, 0.3, [(i * 10.0, 0.0)]) for i, w in enumerate(b.decode().split())], model=lambda b: words(b, 100))
     out = process_pages(pages, engines)
     return out.select("doc_id", "page_number", "method", "engine", F.size("blocks").alias("blocks"), "confidence_score", F.array_join("steps", ",").alias("steps"))
 

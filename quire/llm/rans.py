@@ -4,6 +4,8 @@ A segment holds a frequency table that its blocks share. A block is coded by its
 checkpoint for each: where its words begin, the lanes' states and a CRC-32 of its ids, so blocks can be decoded in parallel and
 in any order. Here all lanes of all blocks of a segment advance together as one vector.
 
+A segment with more than SCALE distinct ids is coded as the 16-bit halves of its ids, under a magic of its own.
+
 Layout, little-endian: magic, ids, lanes, steps of a block, blocks, bytes of the table | table (zlib) | by block: first word,
 CRC-32, lane states | 16-bit words.
 """
@@ -16,7 +18,7 @@ import zlib
 import numpy as np
 
 #: Fixed values of the file format.
-MAGIC = b"QRA1"
+MAGIC, HALVES = b"QRA1", b"QRA2"
 HEAD = struct.Struct("<4sQIIII")
 SCALE_BITS = 16
 SCALE = 1 << SCALE_BITS
@@ -54,6 +56,8 @@ def encode(ids: np.ndarray, lanes: int = 32, block: int = 16384) -> bytes:
         counts, index = every[symbols], (np.cumsum(every > 0) - 1).astype(np.uint32)[ids]
     else:
         symbols, index, counts = np.unique(ids, return_inverse=True, return_counts=True)
+    if len(symbols) > SCALE:
+        return HALVES + encode(ids.view("<u2"), lanes, block)[len(MAGIC) :]
     f = frequencies(counts)
     table = zlib.compress(np.diff(symbols, prepend=0).astype("<u4").tobytes() + f.astype("<u4").tobytes(), 6)
     steps = -(-min(n, block) // lanes)
@@ -84,6 +88,8 @@ def encode(ids: np.ndarray, lanes: int = 32, block: int = 16384) -> bytes:
 def decode(data: bytes, only: tuple[int, int] | None = None) -> np.ndarray:
     """All ids, or those of blocks only[0] to only[1] - 1. A wrong checksum raises ValueError."""
     magic, n, lanes, steps, blocks, size = HEAD.unpack_from(data)
+    if magic == HALVES:
+        return decode(MAGIC + data[len(HALVES) :], only).astype("<u2").view("<u4")
     if magic != MAGIC:
         raise ValueError("not a segment of this format")
     if not n:

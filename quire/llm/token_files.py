@@ -1,16 +1,14 @@
 """Token-id output: texts to ids, ids to rANS segments, and back.
 
-Documents are range-partitioned and sorted by id. A task encodes its texts, appends the end id to each and cuts the stream into
+Documents are range-partitioned and sorted by id. A task encodes its texts (byte_pieces.py), appends the end id to each and cuts the stream into
 segments at document bounds. A segment is one row of the written table: part, segment, the documents' ids and lengths, and the coded
 ids (rans.py). Spark's writers carry the rows, so files go wherever Spark can write and tasks of lost executors are simply redone.
 """
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections.abc import Iterator
-from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -19,132 +17,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import rans
+from .byte_pieces import PieceEncoder, piece_encoder
 from .common import scratch_path, whole
 
-#: No token of a byte-level BPE vocabulary crosses a single space between characters that aren't white space from the left; a single
-#: line feed between such characters is a token of its own.
-_SEAM = re.compile(r"(?<=\S) (?=\S)|(?<=\S)(?=\n\S)")
-#: White space other than spaces and line feeds.
-_ODD = re.compile(r"[^\S \n]")
-#: Marks that the vocabulary's pattern always parts from a letter before them.
-_MARKS = ".,!?;:"
-
-
-def seams(text: str) -> list[str]:
-    """Pieces of the text. The first is as it is, or after a line feed that isn't there if the text has any characters; others follow a space that isn't shown, or begin with their line feed."""
-    if "  " in text or " \n" in text or "\n " in text or "\n\n" in text or _ODD.search(text):
-        return _SEAM.split(text)
-    if text[:1] in " \n" or text[-1] in " \n":
-        return _SEAM.split(text)
-    return text.replace("\n", " \n").split(" ")
-
-
-class _Kept(dict):
-    """Ids by piece, of the present and the last generation; an unknown piece comes back as it is, and is noted."""
-
-    def __init__(self) -> None:
-        super().__init__()
-        self.new: list[str] = []
-        self.old: dict[str, bytes] = {}
-
-    def __missing__(self, piece: str) -> str | bytes:
-        found = self.old.get(piece)
-        if found is None:
-            self.new.append(piece)
-            return piece
-        self[piece] = found
-        return found
-
-    def age(self) -> None:
-        """Begin a new generation: what it doesn't meet again is forgotten with the next."""
-        self.old = dict(self)
-        self.clear()
-
-
-class SeamCache:
-    """Encodes texts piece by piece between seams; the ids of pieces that follow a seam are kept, up to a number of pieces in each of two generations.
-
-    New pieces without white space are encoded many at a time, a line feed after each: it is a token of its own there, so the ids can be told apart.
-    """
-
-    def __init__(self, path: str, most: int = 800_000) -> None:
-        from tokenizers import Tokenizer
-
-        self._tokenizer, self._most, self._kept, self._marks = Tokenizer.from_file(path), most, _Kept(), {}
-        self._feed = self._ids("\n")
-
-    def _ids(self, text: str) -> np.ndarray:
-        (e,) = self._tokenizer.encode_batch_fast([text], add_special_tokens=False)
-        return np.array(e.ids, "<u4")
-
-    def _batched(self, words: list[str], head: str) -> Iterator[bytes]:
-        """Ids of head and each word; head is a space or nothing, and no word has white space."""
-        for at in range(0, len(words), 1024):
-            part = words[at : at + 1024]
-            lists = [head + f"\n{head}".join(part[i : i + 64]) + "\n" for i in range(0, len(part), 64)]
-            ids = np.concatenate([np.array(e.ids, "<u4") for e in self._tokenizer.encode_batch_fast(lists, add_special_tokens=False)])
-            ends, data, start = np.flatnonzero(ids == self._feed[0]).tolist(), ids.tobytes(), 0
-            if len(ends) != len(part):
-                raise ValueError("this tokenizer joins a line feed with other characters")
-            for end in ends:
-                yield data[4 * start : 4 * end]
-                start = end + 1
-
-    def _learn(self, new: list[str]) -> None:
-        kept, spaced, fed = self._kept, [], []
-        for x in new:
-            y = x[1:] if x[:1] == "\n" else x
-            if y and y.isprintable() and " " not in y and len(self._feed) == 1:
-                (spaced if y is x else fed).append(y)
-            else:
-                kept[x] = self._ids(x if x[:1] == "\n" else " " + x).tobytes()
-        bare = {x: x.rstrip(_MARKS) for x in spaced if x[-1] in _MARKS}
-        bare = {x: y for x, y in bare.items() if y and y[-1].isalpha()}
-        spaced = [x for x in spaced if x not in bare]
-        spaced += {y for y in bare.values() if y not in kept}.difference(spaced)
-        kept.update(zip(spaced, self._batched(spaced, " ")))
-        feed = self._feed.tobytes()
-        kept.update((f"\n{x}", feed + ids) for x, ids in zip(fed, self._batched(fed, "")))
-        for x, y in bare.items():
-            mark = x[len(y) :]
-            if mark not in self._marks:
-                self._marks[mark] = self._ids(mark).tobytes()
-            kept[x] = kept[y] + self._marks[mark]
-        if len(self._marks) > 10_000:
-            self._marks.clear()
-
-    def _first(self, text: str) -> bytes:
-        """Ids of a text's first piece."""
-        if text.isprintable() and text and " " not in text and len(self._feed) == 1:
-            found = self._kept.get(f"\n{text}")
-            if found is None:
-                found = self._kept[f"\n{text}"] = self._ids(f"\n{text}").tobytes()
-            return found[4:]
-        return self._ids(text).tobytes()
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text, as little-endian unsigned 32-bit integers."""
-        kept, out = self._kept, []
-        get = kept.__getitem__
-        for text in texts:
-            first, *rest = seams(text) if text else [""]
-            out.append([self._first(first), *map(get, rest)])
-        if kept.new:
-            self._learn(list(dict.fromkeys(kept.new)))
-            known = {x: kept[x] for x in kept.new}
-            out = [[known[x] if type(x) is str else x for x in own] for own in out]
-            kept.new.clear()
-        if len(kept) > self._most:
-            kept.age()
-        return list(map(b"".join, out))
-
-
-@cache
-def seam_cache(path: str) -> SeamCache:
-    """One for each tokenizer and worker process; later tasks of the process find its pieces."""
-    return SeamCache(path)
-
-
 def default_tokenizer() -> str:
     import public_tokenizers
 
@@ -155,43 +30,63 @@ _SEGMENT = "part int, segment int, n_docs long, n_tokens long, doc_ids array<lon
 _FIELDS = ["part", "segment", "n_docs", "n_tokens", "doc_ids", "lengths", "data"]
 
 
+def _documents(batch: pa.RecordBatch, encoder: PieceEncoder, end: np.ndarray) -> Iterator[tuple[list[int | None], np.ndarray, np.ndarray]]:
+    """Some documents' ids, their token ids, each with the end id, and the numbers of these."""
+    ids, held = batch.column(0), []
+    for at, found, sizes in encoder.encode(batch.column(1)):
+        if held and held[0] != at:
+            yield [ids[held[0]].as_py()], np.concatenate([*held[1], end]), np.array([sum(map(len, held[1])) + 1])
+            held = []
+        if len(sizes) == 1:  # of a long text there may be more
+            held = [at, [*(held[1] if held else []), found]]
+        else:
+            yield ids.slice(at, len(sizes)).to_pylist(), np.insert(found, np.cumsum(sizes), end[0]), sizes + 1
+    if held:
+        yield [ids[held[0]].as_py()], np.concatenate([*held[1], end]), np.array([sum(map(len, held[1])) + 1])
+
+
 def write_token_files(docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int = 2, id_col: str = "doc_id", text: str = "text", segment: int = 1 << 20) -> None:
     """Write all documents, in ascending order of id, as coded segments of about so many ids (a longer document has one of its own).
 
-    A null text is empty and has the end id alone. Rows that share an id follow each other in the order of their texts; null
-    ids come first. An empty table gives an empty one; further columns are not looked at.
+    A null text is empty and has the end id alone. Ids are integers; null ones come first. Rows that share an id follow each other in the order
+    of a hash of their texts, and may be many: ranges split them. An empty table gives an empty one; further columns are not looked at. Any file of the
+    tokenizers library will do; whole texts are encoded if its pattern isn't the usual one of byte-level BPE.
     """
     tokenizer = tokenizer or default_tokenizer()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import os
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        pieces, part, number = seam_cache(tokenizer), TaskContext.get().partitionId(), 0
-        ids, coded, held = [], [], 0
-        end = np.array([end_id], "<u4").tobytes()
+        encoder, part, number = piece_encoder(tokenizer), TaskContext.get().partitionId(), 0
+        ids: list[int | None] = []  # of the documents that the segment has so far
+        lengths: list[int] = []
+        coded: list[np.ndarray] = []
+        held, end = 0, np.array([end_id], np.uint32)
 
         def flush() -> pa.RecordBatch:
-            lengths = [len(x) // 4 for x in coded]
-            data = rans.encode(np.frombuffer(b"".join(coded), "<u4"))
-            cells = [part, number, len(ids), sum(lengths), ids, lengths, data]
+            cells = [part, number, len(ids), held, ids, lengths, rans.encode(np.concatenate(coded))]
             kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary()]
             return pa.RecordBatch.from_arrays([pa.array([c], k) for c, k in zip(cells, kinds)], _FIELDS)
 
         for b in batches:
-            for at in range(0, b.num_rows, 256):
-                some = b.slice(at, 256)
-                for doc_id, x in zip(some.column(0).to_pylist(), pieces.encode(some.column(1).to_pylist())):
-                    if held and held + len(x) // 4 + 1 > segment:
+            for doc_ids, found, sizes in _documents(b, encoder, end):
+                at = 0
+                while at < len(sizes):  # as many documents as the segment has room for, one at least
+                    fits = int(np.searchsorted(np.cumsum(sizes[at:]), segment - held, "right"))
+                    if ids and not fits:
                         yield flush()
-                        ids, coded, held, number = [], [], 0, number + 1
-                    ids.append(doc_id)
-                    coded.append(x + end)
-                    held += len(x) // 4 + 1
+                        ids, lengths, coded, held, number = [], [], [], 0, number + 1
+                        continue
+                    till = at + max(1, fits)
+                    n = int(sizes[at:till].sum())
+                    ids += doc_ids[at:till]
+                    lengths += sizes[at:till].tolist()
+                    coded.append(found[:n])
+                    found, held, at = found[n:], held + n, till
         if ids:
             yield flush()
 
-    sorted_ = docs.select(F.col(id_col).cast("long").alias("id"), whole(text).alias("text")).repartitionByRange("id").sortWithinPartitions("id", "text")
+    # rows of one id, or of one text, are interchangeable or ordered by a hash, so that ranges can split them
+    keys = [F.col(id_col).cast("long").alias("id"), whole(text).alias("text"), F.xxhash64(whole(text)).alias("h"), F.monotonically_increasing_id().alias("row")]
+    sorted_ = docs.select(*keys).repartitionByRange("id", "h", "row").sortWithinPartitions("id", "h", "text").select("id", "text")
     sorted_.mapInArrow(run, _SEGMENT).write.parquet(path)
 
 

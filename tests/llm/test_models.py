@@ -5,11 +5,12 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from pyspark.sql import functions as F
 
-from quire.llm import langid, rans, shard, spiece, token_files, toxicity, warc
+from quire.llm import byte_pieces, langid, rans, shard, spiece, token_files, toxicity, warc
 
 from .conftest import LANGUAGES, make, sentence
 
@@ -200,15 +201,49 @@ def test_token_files_against_the_library(spark, odd, odd_rows, tmp_path):
     assert token_files.token_round_trip(odd.limit(0)).collect() == []
 
 
-def test_seams_don_t_change_ids():
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_seams_don_t_change_ids(name, monkeypatch):
+    import public_tokenizers
     from tokenizers import Tokenizer
 
-    t, own = Tokenizer.from_file(token_files.default_tokenizer()), token_files.SeamCache(token_files.default_tokenizer(), most=20)
+    path = public_tokenizers.path(name)
+    t, own = Tokenizer.from_file(path), byte_pieces.PieceEncoder(path, most=20)
+    assert own.seamed == (name == "byte_bpe_50k.json")
+    monkeypatch.setattr(byte_pieces, "SLICE_BYTES", 60)
     r = random.Random(6)
-    parts = ["a", "I'll", "x,", "é.", "12", "?!", " ", "  ", "\n", "\n\n", "\t", "\r\n", "\xa0", "\x1c", "<|endoftext|>", "日本", "​", "'s", "b\nC", "😀"]
-    for _ in range(400):
-        text = "".join(r.choice(parts) + r.choice(["", " "]) for _ in range(r.randint(0, 12)))
-        assert own.encode([text])[0] == np.array(t.encode(text, add_special_tokens=False).ids, "<u4").tobytes(), repr(text)
+    parts = ["a", "I'll", "x,", "é.", "12", "?!", " ", "  ", "\n", "\n\n", "\t", "\r\n", "\xa0", "\x85", "\x1c", "<|endoftext|>", "<|end", "日本", "​", "'s", "b\nC", "😀", "Hello.", "\u0301", "foo.\nbar"]
+    for k in range(300):
+        texts = ["".join(r.choice(parts) + r.choice(["", " "]) for _ in range(r.randint(0, 40 if k % 5 == 0 else 12))) for _ in range(r.randint(1, 6))] + [None] * (k % 3 == 0)
+        got: list[list[int]] = [[] for _ in texts]
+        for at, ids, sizes in own.encode(pa.array(["x", *texts], pa.string()).slice(1)):
+            assert sizes.sum() == len(ids)
+            for i, x in enumerate(np.split(ids, np.cumsum(sizes)[:-1]), at):
+                got[i] += x.tolist()
+        assert got == [t.encode(x or "", add_special_tokens=False).ids for x in texts], texts
+
+
+def test_token_files_of_a_large_vocabulary_and_a_long_text(spark, tmp_path, monkeypatch):
+    ids = np.arange(100_000, dtype="<u4") * 40_000
+    assert (rans.decode(rans.encode(ids)) == ids).all() and (rans.decode(rans.encode(ids), (1, 3)) == ids[8192 : 3 * 8192]).all()
+    text = " ".join(f"w{i * i % 9973}" for i in range(3_000_000))
+    (a, found, n), *more = byte_pieces.piece_encoder(token_files.default_tokenizer()).encode(pa.array([text]))
+    assert len(more) >= 1 and all(x[0] == a for x in more)
+    from tokenizers import Tokenizer
+
+    want = Tokenizer.from_file(token_files.default_tokenizer()).encode(text[:200_000].rsplit(" ", 1)[0], add_special_tokens=False).ids
+    assert found[: len(want)].tolist() == want
+
+
+def test_rows_of_one_id_are_dealt_over_tasks(spark, tmp_path):
+    docs = spark.range(4000).selectExpr("7L as doc_id", "if(id % 2 = 0, 'same', concat('text ', id)) as text").repartition(4)
+    path = f"file://{tmp_path}/tokens"
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        token_files.write_token_files(docs, path)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    parts = [x.n for x in spark.read.parquet(path).groupBy("part").agg(F.sum("n_docs").alias("n")).collect()]
+    assert sum(parts) == 4000 and len(parts) >= 3 and max(parts) < 2500
 
 
 def test_pieces_against_the_library(spark, odd, odd_rows):

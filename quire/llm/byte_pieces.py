@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 #: Marks that the pattern parts from an ASCII letter before them.
 _MARKS = np.frombuffer(b".,!?;:", np.uint8)
 #: Bytes of text that are parted at once.
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 12 << 20
 
 
 def gather(flat: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -43,7 +43,7 @@ def _seamed(path: str) -> tuple[bool, list[str]]:
 class PieceEncoder:
     """Ids of words that follow a space, or begin with their line feed, are kept for later batches, up to most in each of two generations."""
 
-    def __init__(self, path: str, most: int = 600_000) -> None:
+    def __init__(self, path: str, most: int = 1_000_000) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -51,7 +51,7 @@ class PieceEncoder:
         seamed, self._added = _seamed(path)
         self._feed = self._encoded(["\n"])[0] if seamed else np.empty(0, np.uint32)
         self.seamed = seamed and len(self._feed) == 1
-        self._at: dict[str, int] = {}
+        self._words = pa.array([], pa.string())
         self._flat, self._start, self._size, self._seen = np.empty(0, np.uint32), np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, bool)
         self._marks = np.zeros(256, np.uint32)
         for m in _MARKS.tolist() if self.seamed else ():
@@ -128,7 +128,7 @@ class PieceEncoder:
             plain &= ~pc.match_substring(names, token).to_numpy(zero_copy_only=False)
         marked = plain & (sizes - fed > 1) & np.isin(byte(1), _MARKS) & ((byte(2) | 32) - 97 < 26)
         words = pc.if_else(pa.array(marked), pc.utf8_slice_codeunits(names, 0, -1), names).filter(pa.array(plain)).dictionary_encode()
-        at = self._known(words.dictionary.to_pylist())[words.indices.to_numpy()] if len(words) else np.empty(0, np.int64)
+        at = self._known(words.dictionary)[words.indices.to_numpy()] if len(words) else np.empty(0, np.int64)
         here, more = self._size[at], marked[plain]
         start = np.cumsum(here + more) - (here + more)
         local = np.empty(int((here + more).sum()), np.uint32)
@@ -138,18 +138,19 @@ class PieceEncoder:
         begin[plain], size[plain] = start, here + more
         return plain, local, begin, size
 
-    def _known(self, words: list[str]) -> np.ndarray:
-        """Places of words among the kept ones; those that aren't there are learned first."""
-        if len(self._at) + len(words) > 2 * self._most:
+    def _known(self, words: pa.Array) -> np.ndarray:
+        """Places of distinct words among the kept ones; those that aren't there are learned first."""
+        if len(self._words) + len(words) > 2 * self._most:
             self._age()
-        at = np.fromiter((self._at.get(w, -1) for w in words), np.int64, len(words))
-        new = np.flatnonzero(at < 0).tolist()
+        at = pc.fill_null(pc.index_in(words, self._words), -1).to_numpy().astype(np.int64)
+        new, feeds = at < 0, pc.starts_with(words, "\n").to_numpy(zero_copy_only=False)
         for fed in (False, True):
-            own = [i for i in new if (words[i][0] == "\n") == fed]
-            if own:
-                ids, sizes = self._asked([words[i][fed:] for i in own], fed)
+            own = np.flatnonzero(new & (feeds == fed))
+            if len(own):
+                learned = words.take(pa.array(own))
+                ids, sizes = self._asked((pc.utf8_slice_codeunits(learned, 1) if fed else learned).to_pylist(), fed)
                 at[own] = np.arange(len(own)) + len(self._size)
-                self._at.update((words[i], n) for n, i in enumerate(own, len(self._size)))
+                self._words = pa.concat_arrays([self._words, learned])
                 self._start = np.concatenate([self._start, len(self._flat) + np.cumsum(sizes) - sizes])
                 self._size, self._flat = np.concatenate([self._size, sizes]), np.concatenate([self._flat, ids])
                 self._seen = np.concatenate([self._seen, np.zeros(len(own), bool)])
@@ -174,10 +175,7 @@ class PieceEncoder:
         keep = np.flatnonzero(self._seen)
         if len(keep) > self._most:
             keep = keep[:0]
-        place = np.full(len(self._seen), -1, np.int64)
-        place[keep] = np.arange(len(keep))
-        self._at = {w: p for w, p in zip(self._at, place[list(self._at.values())].tolist()) if p >= 0}
-        sizes = self._size[keep]
+        self._words, sizes = self._words.take(pa.array(keep)), self._size[keep]
         self._flat = gather(self._flat, self._start[keep], sizes)
         self._start, self._size, self._seen = np.cumsum(sizes) - sizes, sizes, np.zeros(len(keep), bool)
 

@@ -3,7 +3,11 @@
 from __future__ import annotations
 
 import argparse
+import importlib
+import re
+import uuid
 from dataclasses import dataclass
+from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,6 +15,7 @@ from pyspark.sql import functions as F
 from .operators import corpus, documents, jobs
 from .plans.cascade import Engines, process_pages
 from .sources import files, sinks
+from .sources.scratch import written
 
 DOMAINS = ("unknown", "newspaper", "govt", "academic", "general")
 
@@ -25,19 +30,42 @@ class Conflict(ValueError):
 
 @dataclass
 class Tables:
-    """The engine's tables: documents, jobs (current state), pages, progress, verifications; user by name, as a filter of documents."""
+    """The engine's tables: documents, jobs (current state), pages (by doc_id), progress, verifications; chunks and chat_sessions where there are any. A user is a filter of documents."""
 
     documents: DataFrame
     jobs: DataFrame
     pages: DataFrame
     progress: DataFrame
     verifications: DataFrame
+    chunks: DataFrame | None = None
+    chat_sessions: DataFrame | None = None
+    users: DataFrame | None = None
+    calls: DataFrame | None = None
 
 
-def submit(spark: SparkSession, path: str, decoder, engines: Engines, domain: str = "unknown") -> DataFrame:
-    """Pages of all documents under a path, processed."""
-    pages = files.decode_pages(files.read_documents(spark, path), decoder).filter("error is null")
-    return process_pages(pages, engines, domain)
+@dataclass
+class Store:
+    """Where page JSON, verifications, corpus and statistics are, and exported files (page files, images, merged documents, texts, uploads)."""
+
+    pages: str
+    verifications: str
+    corpus: str
+    stats: str
+    exports: str | None = None
+
+
+def submit(spark: SparkSession, path: str, decoder, engines: Engines, domain: str = "unknown", user_id: str = "") -> dict[str, DataFrame]:
+    """All documents under a path, processed: documents and jobs in their last state, and pages."""
+    found = files.read_documents(spark, path)
+    decoded = written(files.decode_pages(found, decoder), "decoded")
+    end = written(jobs.outcomes(decoded), "outcomes")
+    own = end.select(
+        F.expr("uuid()").alias("id"), F.expr("uuid()").alias("job_id"), F.lit(user_id).alias("user_id"), F.concat("doc_id", F.lit(".pdf")).alias("filename"), "doc_id", "status", F.lit(domain).alias("domain"), "total_pages",
+        F.current_timestamp().alias("created_at"), "error_msg",
+    )
+    own = written(own, "submitted")  # ids are random
+    done = own.select(F.col("job_id").alias("id"), F.col("id").alias("document_id"), "status", "error_msg", F.col("created_at").alias("started_at"), F.current_timestamp().alias("completed_at"))
+    return {"documents": own.drop("job_id", "error_msg"), "jobs": done, "pages": process_pages(decoded.filter("error is null").drop("error"), engines, domain)}
 
 
 def job(t: Tables, job_id: str, user_id: str) -> DataFrame:
@@ -62,31 +90,69 @@ def cancel(t: Tables, doc_id: str, user_id: str) -> DataFrame:
     return out
 
 
-def delete(t: Tables, doc_id: str, user_id: str) -> dict[str, DataFrame]:
-    gone = t.documents.filter((F.col("doc_id") == doc_id) & (F.col("user_id") == user_id)).select("id")
+def delete(t: Tables, doc_id: str, user_id: str, store: Store | None = None) -> dict[str, DataFrame]:
+    """Each table without the document's rows; with a store, its exported files go as well."""
+    gone = t.documents.filter((F.col("doc_id") == doc_id) & (F.col("user_id") == user_id)).select("id", "doc_id")
     if gone.isEmpty():
         raise NotFound(doc_id)
-    return jobs.delete_documents({"documents": (t.documents, "id"), "jobs": (t.jobs, "document_id"), "pages": (t.pages, "document_id")}, gone)
+    tables = {"documents": (t.documents, "id"), "jobs": (t.jobs, "document_id"), "chunks": (t.chunks, "document_id"), "chat_sessions": (t.chat_sessions, "document_id")}
+    by_name = {"pages": (t.pages, "doc_id", "doc_id"), "progress": (t.progress, "doc_id", "doc_id"), "verifications": (t.verifications, "doc_id", "doc_id")}
+    out = jobs.delete_documents({k: v for k, v in (tables | by_name).items() if v[0] is not None}, gone)
+    if store is not None and store.exports:
+        plain = re.sub(r"([\[\]{}*?\\])", r"\\\1", doc_id)  # no wildcard
+        sinks.delete_files(t.documents.sparkSession, *[f"{store.exports}/{kind}/{plain}{end}" for kind in ("pages", "images", "merged", "texts", "uploads") for end in ("", "_*.json", ".json", "_*.txt", ".txt", ".pdf")])
+    return out
 
 
-def report(t: Tables, doc_id: str) -> DataFrame:
-    own = t.pages.filter(F.col("doc_id") == doc_id)
-    return documents.document_json(t.documents.filter(F.col("doc_id") == doc_id), own)
+def report(t: Tables, doc_id: str, user_id: str | None = None) -> DataFrame:
+    """doc_id and json of one document. NotFound without it or its pages, Conflict while it is being processed."""
+    own = t.documents.filter(F.col("doc_id") == doc_id)
+    own = own if user_id is None else own.filter(F.col("user_id") == user_id)
+    state = own.select("status").first()
+    if state is None:
+        raise NotFound(doc_id)
+    pages = t.pages.filter(F.col("doc_id") == doc_id)
+    if pages.isEmpty():
+        if state[0] in jobs.ACTIVE:
+            raise Conflict("the report isn't ready yet")
+        raise NotFound(f"{doc_id} has no pages")
+    return documents.document_json(own, pages)
 
 
 def stats(t: Tables) -> DataFrame:
-    return corpus.corpus_stats(corpus.corpus_records(corpus.verify(t.pages, t.verifications)))
+    """Texts are measured before the join with verifications, which then carries a few numbers a page."""
+    return corpus.corpus_stats(corpus.corpus_records(corpus.verify(corpus.measured(t.pages).drop("full_text"), t.verifications)))
 
 
 def export(t: Tables, path: str) -> None:
     sinks.write_corpus(corpus.verify(t.pages, t.verifications), path)
 
 
-def verify(t: Tables, doc_id: str, page_number: int, verified: bool = True) -> DataFrame:
-    """The verification to append, for a page that there is."""
+def verify(t: Tables, doc_id: str, page_number: int, verified: bool = True, store: Store | None = None) -> DataFrame:
+    """The verification of a page that there is, as a row. With a store it is appended there, and corpus and statistics are rebuilt."""
+    spark = t.pages.sparkSession
     if files.find_page(t.pages, doc_id, page_number).isEmpty():
         raise NotFound(f"{doc_id}, page {page_number}")
-    return t.pages.sparkSession.createDataFrame([(doc_id, page_number, verified)], "doc_id string, page_number int, verified boolean")
+    row = spark.createDataFrame([(doc_id, page_number, verified, datetime.now(timezone.utc))], files.VERIFICATION_SCHEMA)
+    if store is not None:
+        row.write.mode("append").json(store.verifications)
+        sinks.rebuild_corpus(spark, store.pages, store.corpus, store.stats, store.verifications)
+    return row
+
+
+def register(t: Tables, email: str, role: str = "user") -> DataFrame:
+    """The row of a new user; Conflict if the e-mail is taken."""
+    spark = t.users.sparkSession
+    asked = spark.createDataFrame([(email, str(uuid.uuid4()), role, True)], "email string, id string, role string, is_active boolean").withColumn("created_at", F.current_timestamp())
+    out = jobs.new_users(t.users, asked)
+    if out.isEmpty():
+        raise Conflict("email already registered")
+    return out
+
+
+def call_stats(t: Tables) -> DataFrame:
+    """Calls, tokens and errors by engine."""
+    return documents.call_stats(t.calls)
 
 
 def health(spark: SparkSession) -> dict[str, str]:
@@ -99,18 +165,28 @@ def parser() -> argparse.ArgumentParser:
     out.add_argument("output")
     out.add_argument("--domain", default="general")
     out.add_argument("--decoder", required=True)
+    out.add_argument("--engines", help="a function without arguments that gives the Engines; without it scanned pages stay unread")
     out.add_argument("--verbose", action="store_true")
     return out
 
 
-def main(arguments: list[str] | None = None) -> None:
-    import importlib
+def _named(name: str):
+    module, _, attribute = name.partition(":")
+    return getattr(importlib.import_module(module), attribute)
 
+
+def main(arguments: list[str] | None = None) -> None:
     a = parser().parse_args(arguments)
-    module, name = a.decoder.split(":")
     spark = SparkSession.builder.appName("quire").getOrCreate()
     spark.sparkContext.setLogLevel("INFO" if a.verbose else "WARN")
-    sinks.write_corpus(submit(spark, a.path, getattr(importlib.import_module(module), name), Engines(), a.domain), a.output)
+    engines = _named(a.engines)() if a.engines else Engines()
+    found = submit(spark, a.path, _named(a.decoder), engines, a.domain)
+    pages = written(found["pages"], "pages")
+    sinks.write_corpus(pages, a.output)
+    for status, error, n in found["jobs"].groupBy("status", "error_msg").count().orderBy("status", "error_msg").limit(20).collect():
+        print(f"{status}: {n} documents" + (f" ({error})" if error else ""))
+    for engine, n, mean in pages.groupBy("engine").agg(F.count("*"), F.avg("confidence_score")).orderBy("engine").limit(20).collect():
+        print(f"  {engine}: {n} pages, confidence {mean:.3f}")
 
 
 if __name__ == "__main__":

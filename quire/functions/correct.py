@@ -17,6 +17,7 @@ from .text import BANGLA, EDGE, WS, col, let
 ASCII_DIGITS, BANGLA_DIGITS = "0123456789", "০১২৩৪৫৬৭৮৯"
 LOOK_ALIKES, THEIR_DIGITS = "OolISsBGZ", "001155862"
 NOISE_WORDS = ("HERE", "SEAL", "COPY", "STAMP")
+#: What counts as a number, and as a reference number.
 _NUMERIC = rf"{EDGE}[\p{{Nd}}{LOOK_ALIKES}]+[.,\p{{Nd}}]*{EDGE}"
 _REFERENCE_NUMBER = rf"স্মারক[{WS}]*নং[{WS}]*[:।]?[{WS}]*[\p{{Nd}}.{WS}/]+"
 #: Small samples of own making; real lists come from tables.
@@ -76,7 +77,8 @@ def fix_digits(text: str | Column) -> Column:
     pieces = F.regexp_extract_all(col(text), F.lit(rf"[{WS}]+|[^{WS}]+"), F.lit(0))
     mixed = lambda w: w.rlike("[0-9]") & w.rlike(f"[{BANGLA_DIGITS}]")
     fixed = F.array_join(F.transform(pieces, lambda w: F.when(mixed(w), F.translate(w, ASCII_DIGITS, BANGLA_DIGITS)).otherwise(w)), "")
-    return F.when(T.bangla_ratio(text) < 0.3, col(text)).otherwise(fixed)
+    none = ~(col(text).rlike("[0-9]") & col(text).rlike(f"[{BANGLA_DIGITS}]"))  # no word can be mixed
+    return F.when(none | (T.bangla_ratio(text) < 0.3), col(text)).otherwise(fixed)
 
 
 def restore_vowels(text: str | Column, fixes: Mapping[str, str] = VOWEL_FIXES) -> Column:
@@ -110,8 +112,7 @@ def drop_devanagari_lines(text: str | Column, bangla_least: float = 0.35, devana
 
 
 def _numeric_fix(token: Column) -> Column:
-    """Only a dot beside letters keeps a token as it is: the pattern leaves nothing else that the context could refuse."""
-    return F.when(F.contains(token, F.lit(".")) & token.rlike(r"\p{L}"), token).otherwise(F.translate(token, LOOK_ALIKES, THEIR_DIGITS))
+    return F.when(T.numeric_context(token), F.translate(token, LOOK_ALIKES, THEIR_DIGITS)).otherwise(token)
 
 
 def fix_numbers(text: str | Column) -> Column:
@@ -145,6 +146,18 @@ def clean_table(rows: str | Column) -> Column:
     return F.transform(F.col(rows) if isinstance(rows, str) else rows, lambda r: F.transform(r, lambda c: T.strip(c)))
 
 
+TABLES = "array<struct<table_id:int,structure_confidence:double,rows:array<array<string>>>>"
+
+
+def digital_tables(tables: str | Column) -> Column:
+    """Tables of a decoder as structs (TABLES): cells cleaned, empty tables left out, each with its number among all of the page and its confidence."""
+    from ..operators.blocks import table_confidence
+
+    raw = F.coalesce(F.col(tables) if isinstance(tables, str) else tables, F.array().cast("array<array<array<string>>>"))
+    made = F.transform(raw, lambda t, i: let(clean_table(t), lambda r: F.struct((i + 1).alias("table_id"), table_confidence(r).alias("structure_confidence"), r.alias("rows"))))
+    return F.filter(made, lambda t: F.size(t["rows"]) > 0)
+
+
 def word_validity(text: str | Column, lexicon: Sequence[str]) -> Column:
     """Share of words with a Bangla character that a small lexicon has; 1 without such words. For a large one see operators.lexicon."""
     words = F.filter(T.tokens(text), lambda w: w.rlike(f"[{BANGLA}]"))
@@ -157,19 +170,23 @@ EASYOCR = ("easyocr", "easyocr_fallback", "EasyOCR_fallback")
 
 def correct(
     text: str | Column, source: str | Column, lexicon: Sequence[str] = (), word_fixes: Sequence[tuple[str, str]] = WORD_FIXES, vowel_fixes: Mapping[str, str] = VOWEL_FIXES,
-    validity: Column | None = None, composed: Column | None = None,
+    validity: Column | None = None, composed: Column | None = None, repaired: Column | None = None,
 ) -> Column:
-    """All stages but the model's, by source: text, log fields, and whether the model's stage is due (needs_repair).
+    """All stages by source: text, log fields, and whether the model's stage is due (needs_repair), and for which text (staged).
 
-    validity: the word validity, if it is known from a join with a large lexicon. composed: the text's nfc(), for use within a lambda.
+    validity: the word validity, if it is known from a join with a large lexicon. composed: the text's nfc(), for use within a lambda. repaired: what the
+    model's stage made of staged, or null; the stages after it go on from there.
     """
     src = F.lit(source) if isinstance(source, str) else source
     before = col(text)
 
     def staged(a: Column) -> Column:
-        return let(fix_digits(fix_virama(fix_vowel_signs(a))), lambda c: finished(a, c))
+        return let(fix_digits(fix_virama(fix_vowel_signs(a))), lambda first: repaired_(a, first))
+
+    def repaired_(a: Column, first: Column) -> Column:
+        return let(first if repaired is None else F.coalesce(repaired, first), lambda c: finished(a, first, c))
 
-    def finished(a: Column, c: Column) -> Column:
+    def finished(a: Column, first: Column, c: Column) -> Column:
         valid = validity if validity is not None else word_validity(a, lexicon)
         late = F.when(src == "ollama", restore_vowels(c, vowel_fixes)).when(src.isin(*EASYOCR), fix_artifacts(c, word_fixes)).otherwise(c)
         restored = lambda d: (src == "ollama") & (F.size(F.filter(T.tokens(c), lambda w: restore_vowels(w, vowel_fixes) != w)) > 0)
@@ -181,30 +198,43 @@ def correct(
                 F.array_compact(
                     F.array(
                         F.when(a != before, "unicode_normalization"),
-                        F.when(c != a, "pattern_correction"),
+                        F.when(first != a, "pattern_correction"),
+                        F.when(c != first, "gemini_bangla_validation"),
                         F.when(restored(d), "ollama_matra_restoration"),
                         F.when(src.isin(*EASYOCR) & (d != c), "stage_f_easyocr_artifacts"),
                     )
                 ).alias("corrections"),
                 src.alias("source"),
                 T.rounded(valid).alias("word_validity_ratio"),
+                F.when(c != first, T.rounded(word_validity(c, lexicon))).alias("word_validity_after_gemini"),
                 F.when(src.isin(*EASYOCR) & (d != c), sum((F.contains(before, F.lit(w)).cast("int") for w, _ in word_fixes), F.lit(0))).alias("stage_f_fixes"),
                 F.length(d).alias("corrected_length"),
                 T.edit_ratio(before, d).alias("edit_distance"),
-                ((src == "easyocr") & (T.bangla_ratio(c) > 0.2) & (valid < 0.15) & (F.length(c) > 30)).alias("needs_repair"),
+                ((src == "easyocr") & (T.bangla_ratio(first) > 0.2) & (valid < 0.15) & (F.length(first) > 30)).alias("needs_repair"),
+                first.alias("staged"),
             ),
         )
 
     return let(fix_combining(normalise(before, composed)), staged)
 
 
+def repaired(text: str, model: Callable[[str], str], prompt_chars: int = 2000) -> str:
+    """What a model makes of a text: its answer counts if it has over half of the text's length. A model that fails changes nothing."""
+    if len(text) < 20:
+        return text
+    try:
+        said = (model(text[:prompt_chars]) or "").strip()
+    except Exception:  # noqa: BLE001  models are foreign code
+        return text
+    return said if len(said) > len(text) * 0.5 else text
+
+
 def repair(corrected: DataFrame, model: Callable[[str], str], text: str = "text", due: str = "needs_repair", prompt_chars: int = 2000) -> DataFrame:
-    """The model's stage: rows that are due go through a function of a text, in batches; its answer counts if it has over half of the text's length."""
+    """The model's stage: rows that are due go through a function of a text, in batches."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            said = [(model(t[:prompt_chars]) or "").strip() for t in b[text]]
-            yield b.assign(**{text: [s if s and len(s) > len(t) * 0.5 else t for s, t in zip(said, b[text])]})
+            yield b.assign(**{text: [repaired(t, model, prompt_chars) for t in b[text]]})
 
     asked = corrected.filter(F.col(due) & (F.length(text) >= 20)).mapInPandas(run, corrected.schema)
     return corrected.filter(~(F.col(due) & (F.length(text) >= 20))).unionByName(asked)

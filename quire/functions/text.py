@@ -38,9 +38,21 @@ def ratio(part: Column, whole: Column) -> Column:
     return F.when(whole > 0, part / whole).otherwise(0.0)
 
 
-def rounded(value: Column, places: int = 4) -> Column:
-    """Half up, from the double as it is; ties don't depend on decimal printing."""
-    return F.floor(value * 10.0**places + 0.5) / 10.0**places
+def rounded(value: Column, places: int = 4, even: bool = True) -> Column:
+    """To so many places as Python's round(): the exact value of the double decides, and a tie goes to the even digit, or up."""
+    scale = 10.0**places
+    halves = lambda x: x * 134217729.0 - (x * 134217729.0 - x)  # the upper half of a double's bits
+    top = 134217729.0 * scale - (134217729.0 * scale - scale)
+
+    def near(v: Column) -> Column:
+        product = v * scale
+        upper, lower = halves(v), v - halves(v)
+        error = ((upper * top - product) + upper * (scale - top) + lower * top) + lower * (scale - top)  # of the product, exactly
+        whole = F.floor(product)
+        beyond = ((product - whole) - 0.5) + error
+        return (whole + F.when(beyond > 0, 1).when(beyond < 0, 0).otherwise(F.pmod(whole, F.lit(2)) if even else 1)) / scale
+
+    return let(value.cast("double"), near)
 
 
 def strip(text: str | Column) -> Column:
@@ -68,7 +80,8 @@ def letters(text: str | Column) -> Column:
 
 
 def _letter_share(text: str | Column, cls: str) -> Column:
-    return ratio(F.length(F.regexp_replace(col(text), rf"[^\p{{L}}]+|[^{cls}]", "")), letters(text))
+    """What isn't of the class goes in runs, so a text in another script is one match."""
+    return ratio(F.length(F.regexp_replace(col(text), rf"[^{cls}]+|\P{{L}}+", "")), letters(text))
 
 
 def bangla_ratio(text: str | Column) -> Column:
@@ -115,10 +128,25 @@ def cid_references(text: str | Column) -> Column:
 
 
 def entropy(text: str | Column) -> Column:
-    """Shannon entropy of the code points, in bits. A code point's count is what the text loses without it."""
-    n = F.length(col(text))
-    counts = F.transform(F.filter(F.array_distinct(F.split(col(text), "")), lambda c: c != ""), lambda c: (n - F.length(F.replace(col(text), c, F.lit("")))).cast("double"))
-    return F.when(n > 0, F.aggregate(counts, F.lit(0.0), lambda s, c: s - c / n * F.log2(c / n))).otherwise(0.0)
+    """Shannon entropy of the code points, in bits.
+
+    A character's count is what the text loses without it: ASCII ones are looked for one by one, others only if the rest of the text has them, and a
+    rest of many different ones (Chinese, say) is sorted and cut into runs.
+    """
+    t = col(text)
+    ascii_ = "".join(map(chr, [9, 10, 13, *range(32, 127)]))
+    plain = F.array(*map(F.lit, ascii_))
+    first = F.transform(plain, lambda c: F.octet_length(t) - F.octet_length(F.replace(t, c, F.lit(""))))
+
+    def others(rest: Column) -> Column:
+        cells = F.filter(F.split(rest, ""), lambda c: c != "")
+        few = lambda own: F.transform(own, lambda c: F.length(rest) - F.length(F.replace(rest, c, F.lit(""))))
+        runs = F.transform(F.regexp_extract_all(F.array_join(F.array_sort(cells), ""), F.lit(r"(?s)(.)\1*"), F.lit(0)), F.length)
+        return F.when(rest == "", F.array().cast("array<int>")).otherwise(let(F.array_distinct(cells), lambda own: F.when(F.size(own) <= 100, few(own)).otherwise(runs)))
+
+    counts = F.concat(first, let(F.regexp_replace(t, r"[\t\n\r -~]+", ""), others))
+    n = F.length(t)
+    return F.when(n > 0, F.aggregate(F.filter(counts, lambda c: c > 0), F.lit(0.0), lambda s, c: s - c / n * F.log2(c / n))).otherwise(0.0)
 
 
 def numeric_consistency(text: str | Column) -> Column:
@@ -156,6 +184,7 @@ def wrong_script(text: str | Column, bangla_least: float = BANGLA_LEAST, devanag
 
 def legacy_encoded(text: str | Column) -> Column:
     """Signs of a Bangla text in a font of before Unicode, scored; 3 or more are enough."""
+    # fixed values: the patterns, points and thresholds that results depend on
     t = col(text)
     score = (
         F.when(F.regexp_count(t, F.lit(rf"[{BANGLA}]+[a-zA-Z]+[{BANGLA}]*")) >= 3, 2).otherwise(0)
@@ -168,11 +197,31 @@ def legacy_encoded(text: str | Column) -> Column:
 
 
 def numeric_context(token: Column) -> Column:
-    """Whether a token is more digits, look-alikes and number marks than anything else."""
+    """Whether a token is more digits, look-alikes and number marks than anything else, and no address or abbreviation."""
     share = F.length(F.regexp_replace(token, r"[^\p{Nd}OolISsBGZ., ]+", "")) / F.greatest(F.length(token), F.lit(1))
     return ~F.contains(token, F.lit("@")) & ~(F.contains(token, F.lit(".")) & token.rlike(r"\p{L}")) & (share > 0.5)
 
 
+def resized(width: str | Column, height: str | Column, least: int = 896, most: int = 1280) -> Column:
+    """width and height of an image for a model: its longer edge is brought between least and most, its aspect kept as near as whole pixels allow."""
+    w, h = (F.col(x) if isinstance(x, str) else x for x in (width, height))
+    edge, aspect = F.greatest(w, h), w / F.greatest(h, F.lit(1))
+
+    def nearer(value: Column, key: Callable[[Column], Column]) -> Column:
+        low, high = F.floor(value), F.ceil(value)
+        return F.greatest(F.when(key(low) <= key(high), low).otherwise(high), F.lit(1)).cast("int")
+
+    wide = F.struct(F.lit(most).alias("width"), nearer(most / aspect, lambda n: F.when(n == 0, 0.0).otherwise(F.abs(aspect - most / n))).alias("height"))
+    tall = F.struct(nearer(most * aspect, lambda n: F.abs(aspect - n / most)).alias("width"), F.lit(most).alias("height"))
+    up = lambda x: F.floor(x * (least / F.greatest(edge, F.lit(1)))).cast("int")
+    small = F.struct(up(w).alias("width"), up(h).alias("height"))
+    return F.when(edge > most, F.when(aspect > 1.0, wide).otherwise(tall)).when(edge < least, small).otherwise(F.struct(w.cast("int").alias("width"), h.cast("int").alias("height")))
+
+
+def count_words(text: str | Column) -> Column:
+    return F.regexp_count(col(text), F.lit(f"[^{WS}]+"))
+
+
 def image_type(width: str | Column, height: str | Column) -> Column:
     w, h = (F.col(x) if isinstance(x, str) else x for x in (width, height))
     aspect = w / h
@@ -202,8 +251,8 @@ def format_duration(ms: str | Column) -> Column:
     v = F.coalesce((F.col(ms) if isinstance(ms, str) else ms).cast("double"), F.lit(0.0))
     s = v / 1000
     whole = lambda x: F.floor(x + 0.5).cast("string")
-    minutes = F.concat(F.floor(s / 60).cast("string"), F.lit("m "), F.format_string("%.1f", rounded(s % 60, 1)), F.lit("s"))
-    return F.when(F.isnan(v) | (v <= 0) | (v == float("inf")), "n/a").when(v < 1000, F.concat(whole(v), F.lit(" ms"))).when(s < 60, F.concat(F.format_string("%.2f", rounded(s, 2)), F.lit(" s"))).otherwise(minutes)
+    minutes = F.concat(F.floor(s / 60).cast("string"), F.lit("m "), F.format_string("%.1f", rounded(s % 60, 1, False)), F.lit("s"))
+    return F.when(F.isnan(v) | (v <= 0) | (v == float("inf")), "n/a").when(v < 1000, F.concat(whole(v), F.lit(" ms"))).when(s < 60, F.concat(F.format_string("%.2f", rounded(s, 2, False)), F.lit(" s"))).otherwise(minutes)
 
 
 def format_size(size: str | Column) -> Column:
@@ -211,7 +260,7 @@ def format_size(size: str | Column) -> Column:
     return (
         F.when(b < 1024, F.concat(b.cast("string"), F.lit(" B")))
         .when(b < 1024 * 1024, F.concat(F.floor(b / 1024 + 0.5).cast("string"), F.lit(" KB")))
-        .otherwise(F.concat(F.format_string("%.2f", rounded(b / (1024.0 * 1024), 2)), F.lit(" MB")))
+        .otherwise(F.concat(F.format_string("%.2f", rounded(b / (1024.0 * 1024), 2, False)), F.lit(" MB")))
     )
 
 

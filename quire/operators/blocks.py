@@ -129,26 +129,44 @@ def table_confidence(rows: str | Column) -> Column:
     return F.when(F.size(r) > 0, T.rounded(modal * 0.6 + filled * 0.4)).otherwise(0.0)
 
 
-def correct_blocks(blocks: str | Column, source: str, **options) -> Column:
-    """blocks with the texts of Bangla and mixed ones corrected and freed of Devanagari lines, and changed: whether any was. blocks must be a column of a row."""
+def _due(x: Column) -> Column:
+    return x["language"].isin("bn", "mixed") & (F.coalesce(x["text"], F.lit("")) != "")
+
+
+def repairable(blocks: str | Column, source: str, **options) -> Column:
+    """By block, the text that the model's stage gets, or null if the stage isn't due. blocks must be a column of a row."""
     b = F.col(blocks) if isinstance(blocks, str) else blocks
+    ask = lambda x, n: let(correct(x["text"], source, composed=F.coalesce(n, F.lit("")), **options), lambda k: F.when(k["needs_repair"], k["staged"]))
+    return F.zip_with(b, nfc_all(F.transform(b, lambda x: x["text"])), lambda x, n: F.when(_due(x), ask(x, n)))
+
 
-    def fix(x: Column, composed: Column) -> Column:
-        c = correct(x["text"], source, composed=F.coalesce(composed, F.lit("")), **options)
+def correct_blocks(blocks: str | Column, source: str, repaired: str | None = None, **options) -> Column:
+    """blocks with the texts of Bangla and mixed ones corrected and freed of Devanagari lines, and changed: whether any was. blocks must be a column of a row.
+
+    repaired: a column with what the model's stage made of the blocks that repairable() names, null where nothing.
+    """
+    b = F.col(blocks) if isinstance(blocks, str) else blocks
+
+    def fix(x: Column, n: Column) -> Column:
+        c = correct(x["text"], source, composed=F.coalesce(n["n"], F.lit("")), repaired=n["r"], **options)
         return let(c, lambda k: let(drop_devanagari_lines(k["text"]), lambda t: F.struct(t.alias("text"), ((F.size(k["corrections"]) > 0) | (F.size(T.split_lines(k["text"])) != F.size(T.split_lines(t)))).alias("changed"))))
 
-    due = lambda x: x["language"].isin("bn", "mixed") & (F.coalesce(x["text"], F.lit("")) != "")
     plain = lambda x: F.struct(x["text"].alias("text"), F.lit(False).alias("changed"))
-    fixed = F.zip_with(b, nfc_all(F.transform(b, lambda x: x["text"])), lambda x, n: F.when(due(x), fix(x, n)).otherwise(plain(x)))
+    better = F.coalesce(F.col(repaired) if repaired else F.lit(None), F.transform(b, lambda _: F.lit(None).cast("string")))
+    both = F.zip_with(nfc_all(F.transform(b, lambda x: x["text"])), better, lambda n, r: F.struct(n.alias("n"), r.alias("r")))
+    fixed = F.zip_with(b, both, lambda x, n: F.when(_due(x), fix(x, n)).otherwise(plain(x)))
     return let(
         fixed,
         lambda f: F.struct(F.zip_with(b, f, lambda x, y: x.withField("text", y["text"])).alias("blocks"), F.exists(f, lambda y: y["changed"]).alias("changed")),
     )
 
 
-def describe_image(width: str, height: str, description: Column | None = None) -> Column:
-    """Type, description and confidence of an embedded image; without a model's description, one of its type and size."""
+def described_image(number: Column, width: Column, height: Column, description: Column) -> Column:
+    """Number, type, description and confidence of an embedded image; without a model's description, one of its type and size."""
     kind = T.image_type(width, height)
-    said = F.nullif(F.substring(F.coalesce(description if description is not None else F.lit(None).cast("string"), F.lit("")), 1, 300), F.lit(""))
-    plain = F.concat(kind, F.lit(" ("), F.col(width).cast("string"), F.lit("x"), F.col(height).cast("string"), F.lit("px)"))
-    return F.struct(kind.alias("type"), F.lit("").alias("detected_text"), F.coalesce(said, plain).alias("description"), F.when(said.isNotNull(), 0.8).otherwise(0.5).alias("confidence"))
+    said = F.nullif(F.substring(F.coalesce(description, F.lit("")), 1, 300), F.lit(""))
+    plain = F.concat(kind, F.lit(" ("), width.cast("string"), F.lit("x"), height.cast("string"), F.lit("px)"))
+    return F.struct(
+        number.cast("int").alias("image_id"), kind.alias("type"), F.lit("").alias("detected_text"), F.coalesce(said, plain).alias("description"),
+        F.when(said.isNotNull(), 0.8).otherwise(0.5).alias("confidence"),
+    )

@@ -17,18 +17,26 @@ def latest(log: DataFrame, keys: list[str], by: str | Column) -> DataFrame:
     return out.select(*keys, *[F.col("_last")[c].alias(c) for c in rest])
 
 
+def measured(pages: DataFrame) -> DataFrame:
+    """pages with word_count, char_count and language_ratio_bn of their full_text: what records and statistics need of it, so joins needn't carry it."""
+    t = F.coalesce("full_text", F.lit(""))
+    return pages.withColumns({"word_count": T.count_words(t), "char_count": F.length(t), "language_ratio_bn": T.rounded(T.bangla_share(t))})
+
+
 def corpus_records(pages: DataFrame, given_tier: str | None = None) -> DataFrame:
     """One flat row per page: doc_id, page_number, full_text, source_image_path, engine, confidence_score, verified, domain, confidence_tier, language_ratio_bn,
-    has_table, has_image, word_count, char_count. tables and images are arrays, or already flags has_table and has_image."""
-    t = F.coalesce("full_text", F.lit(""))
+    has_table, has_image, word_count, char_count. tables and images are arrays, or already flags has_table and has_image. Pages that are measured()
+    already may come without full_text, and their records too."""
+    pages = pages if "word_count" in pages.columns else measured(pages)
     flag = lambda array, name: F.col(name) if name in pages.columns else F.coalesce(F.size(array) > 0, F.lit(False)) if array in pages.columns else F.lit(False)
     opt = lambda c, default: F.coalesce(F.col(c), F.lit(default)) if c in pages.columns else F.lit(default)
     given = F.col(given_tier) if given_tier else None
+    text = [F.coalesce("full_text", F.lit("")).alias("full_text")] if "full_text" in pages.columns else []
     return pages.select(
-        "doc_id", F.col("page_number").cast("int").alias("page_number"), t.alias("full_text"), opt("source_image_path", "").alias("source_image_path"), "engine",
+        "doc_id", F.col("page_number").cast("int").alias("page_number"), *text, opt("source_image_path", "").alias("source_image_path"), "engine",
         T.rounded(F.col("confidence_score")).alias("confidence_score"), opt("verified", False).alias("verified"), opt("domain", "unknown").alias("domain"),
-        tier(F.col("confidence_score"), opt("verified", False), given).alias("confidence_tier"), T.rounded(T.bangla_share(t)).alias("language_ratio_bn"),
-        flag("tables", "has_table").alias("has_table"), flag("images", "has_image").alias("has_image"), F.size(T.tokens(t)).alias("word_count"), F.length(t).alias("char_count"),
+        tier(F.col("confidence_score"), opt("verified", False), given).alias("confidence_tier"), "language_ratio_bn",
+        flag("tables", "has_table").alias("has_table"), flag("images", "has_image").alias("has_image"), "word_count", "char_count",
     )
 
 
@@ -56,9 +64,13 @@ def corpus_stats(records: DataFrame) -> DataFrame:
     return out.select("total_records", "by_domain", "by_tier", "by_engine", T.rounded(T.ratio(F.col("_c"), F.col("total_records"))).alias("avg_confidence"), "total_words", "total_chars")
 
 
-def verify(pages: DataFrame, verifications: DataFrame, at: str | Column | None = None) -> DataFrame:
-    """pages with verified set to the last verification of a page; pages without one keep theirs."""
-    own = verifications if at is None else latest(verifications, ["doc_id", "page_number"], at)
+def verify(pages: DataFrame, verifications: DataFrame, at: str | Column = "at") -> DataFrame:
+    """pages with verified set to the last verification of a page; pages without one keep theirs, and no page is repeated.
+
+    verifications: doc_id, page_number, verified and at, which orders them; of several at one time a positive one counts.
+    """
+    when = F.col(at) if isinstance(at, str) else at
+    own = latest(verifications.select("doc_id", "page_number", "verified", when.alias("at")), ["doc_id", "page_number"], F.struct("at", "verified"))
     own = own.select(F.col("doc_id").alias("_d"), F.col("page_number").alias("_p"), F.col("verified").alias("_v"))
     was = F.col("verified") if "verified" in pages.columns else F.lit(False)
     joined = pages.join(own, (F.col("doc_id") == F.col("_d")) & (F.col("page_number") == F.col("_p")), "left")

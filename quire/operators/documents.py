@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 
+#: Engines of this machine, and names of models that see images.
+VISION_KEYWORDS = ("llava", "bakllava", "moondream", "minicpm", "qwen", "llama3.2-vision")
 LOCAL_ENGINES = ("surya", "easyocr", "PyMuPDF")
 
 
@@ -97,7 +99,7 @@ def call_stats(calls: DataFrame) -> DataFrame:
     return calls.groupBy("engine").agg(F.count("*").alias("calls"), F.coalesce(F.sum("tokens"), F.lit(0)).alias("tokens"), F.count_if(F.coalesce("failed", F.lit(False))).alias("errors"))
 
 
-def pick_model(models: DataFrame, priority: DataFrame, keywords: tuple[str, ...] = ("llava", "bakllava", "moondream", "minicpm", "qwen", "llama3.2-vision")) -> DataFrame:
+def pick_model(models: DataFrame, priority: DataFrame, keywords: tuple[str, ...] = VISION_KEYWORDS) -> DataFrame:
     """name: the vision model of the best priority, else the first one. models: pos, name; priority: rank, expected. A theta join on the family's prefix.
 
     Both tables are lists of a service's configuration, of some tens of rows.

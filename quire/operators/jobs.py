@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import file_stem, normalise_email
 from .corpus import latest
 
 ACTIVE = ("pending", "processing")
@@ -50,13 +51,55 @@ def cancel(current: DataFrame, at: Column, key: str = "id") -> DataFrame:
     return transition(current, "failed", ACTIVE, at, F.lit("Canceled by user"), key)
 
 
-def delete_documents(tables: dict[str, tuple[DataFrame, str]], gone: DataFrame, key: str = "id") -> dict[str, DataFrame]:
-    """Each table (frame, name of the column with the document) without the rows of the documents in gone."""
-    ids = gone.select(F.col(key).alias("_gone")).distinct()
-    return {name: df.join(ids, df[on] == F.col("_gone"), "left_anti") for name, (df, on) in tables.items()}
+def delete_documents(tables: dict[str, tuple[DataFrame, str] | tuple[DataFrame, str, str]], gone: DataFrame, key: str = "id") -> dict[str, DataFrame]:
+    """Each table (frame, name of the column with the document, and of the column of gone that it matches: key if it isn't given) without the rows of the documents in gone."""
 
+    def left(df: DataFrame, on: str, of: str = key) -> DataFrame:
+        return df.join(gone.select(F.col(of).alias("_gone")).distinct(), df[on] == F.col("_gone"), "left_anti")
 
-def replace_pages(pages: DataFrame, fresh: DataFrame, key: str = "document_id") -> DataFrame:
+    return {name: left(*given) for name, given in tables.items()}
+
+
+def submissions(files: DataFrame, domain: str = "unknown", at: Column | None = None) -> DataFrame:
+    """A document and a job for each file (user_id, filename) that is admitted by name: id, user_id, filename, doc_id, status, domain, total_pages, created_at and
+    job_id. Ids are random, so the rows are written to the shared folder and read from there: documents() and jobs() of them agree."""
+    from ..sources.scratch import written
+
+    fresh = files.filter(F.lower("filename").endswith(".pdf")).select("user_id", "filename", F.expr("uuid()").alias("id"), F.expr("uuid()").alias("job_id"), F.expr("uuid()").alias("_u"))
+    unique = F.concat(F.replace("_u", F.lit("-"), F.lit("")), F.lit("_"), "filename")
+    out = fresh.select(
+        "id", "user_id", "filename", file_stem(unique).alias("doc_id"), F.lit("pending").alias("status"), F.lit(domain).alias("domain"), F.lit(0).alias("total_pages"),
+        (F.current_timestamp() if at is None else at).alias("created_at"), "job_id",
+    )
+    return written(out, "submissions")
+
+
+def documents(submitted: DataFrame) -> DataFrame:
+    return submitted.drop("job_id")
+
+
+def jobs(submitted: DataFrame) -> DataFrame:
+    none = F.lit(None)
+    return submitted.select(
+        F.col("job_id").alias("id"), F.col("id").alias("document_id"), none.cast("string").alias("celery_task_id"), F.lit("pending").alias("status"), none.cast("string").alias("error_msg"),
+        none.cast("timestamp").alias("started_at"), none.cast("timestamp").alias("completed_at"),
+    )
+
+
+def outcomes(pages: DataFrame) -> DataFrame:
+    """doc_id, status (done or failed), total_pages, error_msg of documents whose decoded pages (error null if all is well) these are."""
+    failed = F.max(F.when(F.col("error").isNotNull(), F.col("error")))
+    return pages.groupBy("doc_id").agg(
+        F.when(failed.isNotNull(), "failed").otherwise("done").alias("status"), F.count_if(F.col("error").isNull()).cast("int").alias("total_pages"), failed.alias("error_msg")
+    )
+
+
+def file_counts(files: DataFrame) -> DataFrame:
+    """selected and total: how many of the files are selected, and how many there are."""
+    return files.agg(F.count_if(F.coalesce("selected", F.lit(False))).alias("selected"), F.count("*").alias("total"))
+
+
+def replace_pages(pages: DataFrame, fresh: DataFrame, key: str = "doc_id") -> DataFrame:
     """pages with all rows of fresh's documents replaced by fresh: idempotent."""
     ids = fresh.select(F.col(key).alias("_fresh")).distinct()
     return pages.join(ids, pages[key] == F.col("_fresh"), "left_anti").unionByName(fresh)
@@ -64,8 +107,6 @@ def replace_pages(pages: DataFrame, fresh: DataFrame, key: str = "document_id")
 
 def new_users(users: DataFrame, asked: DataFrame) -> DataFrame:
     """The rows of asked whose e-mail, in lower case and stripped, no user has; the first row of each by id."""
-    from ..functions.text import normalise_email
-
     asked = asked.withColumn("email", normalise_email("email"))
     taken = users.select(normalise_email("email").alias("_taken")).distinct()
     fresh = asked.join(taken, F.col("email") == F.col("_taken"), "left_anti")
@@ -76,3 +117,12 @@ def distinct_files(files: DataFrame) -> DataFrame:
     """Files by name, size and time of change, each once; only PDF files are admitted."""
     pdf = (F.col("mime") == "application/pdf") | F.lower("name").endswith(".pdf")
     return files.filter(pdf).dropDuplicates(["name", "size", "modified"])
+
+
+def user_overview(documents: DataFrame, jobs: DataFrame, pages: DataFrame) -> DataFrame:
+    """user_id, documents, jobs, active, pages. jobs and pages (document_id) are counted by document before they meet documents, so a join carries a row a document."""
+    j = jobs.groupBy(F.col("document_id").alias("_j")).agg(F.count("*").alias("jobs"), F.count_if(F.col("status").isin(*ACTIVE)).alias("active"))
+    p = pages.groupBy(F.col("document_id").alias("_p")).agg(F.count("*").alias("pages"))
+    joined = documents.select("id", "user_id").join(j, F.col("id") == F.col("_j"), "left").join(p, F.col("id") == F.col("_p"), "left")
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).alias(c)
+    return joined.groupBy("user_id").agg(F.count("*").alias("documents"), total("jobs"), total("active"), total("pages"))

@@ -1,50 +1,78 @@
 """Recognition of page images by a cascade: each engine sees only the pages that those before it didn't settle.
 
-Engines are functions that the caller gives. They run in mapInPandas over the unsettled rows alone; what a tier settles is written to the
+Engines are functions that the caller gives. They run in mapInPandas over the unsettled rows alone; what a tier says is written to the
 shared folder before the next, so no engine runs twice for a page, and never inside a conditional expression, which Spark may evaluate for all rows.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+import time
+import uuid
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, field
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import correct as C
 from ..functions import text as T
 from ..operators import blocks as B
 from ..operators import score as S
+from ..sources.files import Settings
 from ..sources.scratch import written
 
-Text = Callable[[bytes], str]
+Text = Callable[[bytes], str | list[str]]
 Detect = Callable[[bytes], list]
 _DETECTIONS = "array<struct<text:string,conf:double,points:array<struct<x:double,y:double>>>>"
+#: Characters of the least usable answer, and of an error that is shown.
+LEAST_CHARS, ERROR_CHARS = 20, 180
 
+_made: dict[str, tuple[float, Callable | None]] = {}
 
-@dataclass
-class Engines:
-    """primary and model read a page to text, quick and full to detections (text, confidence, points). A missing one is passed over. The model's engine is its name.
 
-    more_models (name, function) are asked, in order, for what the model has no answer to.
+class Loaded:
+    """An engine that each worker process makes at first use and keeps. Factories are tried in turn until one works (say, for fewer languages).
+
+    While none does, the engine isn't available and fails at once; after so many seconds it is tried again.
     """
 
-    primary: Text | None = None
-    quick: Detect | None = None
-    model: Text | None = None
-    full: Detect | None = None
-    model_name: str = "ollama"
-    more_models: tuple[tuple[str, Text], ...] = ()
-    least_chars: int = 20
-    corrections: dict = field(default_factory=dict)
+    def __init__(self, *factories: Callable[[], Callable], recheck: float = 30.0) -> None:
+        self.factories, self.recheck, self.key = factories, recheck, uuid.uuid4().hex
+
+    def available(self) -> bool:
+        at, engine = _made.get(self.key, (-1e18, None))
+        if engine is None and time.monotonic() - at >= self.recheck:
+            for factory in self.factories:
+                try:
+                    engine = factory()
+                    break
+                except Exception:  # noqa: BLE001  engines are foreign code
+                    continue
+            _made[self.key] = (time.monotonic(), engine)
+        return _made[self.key][1] is not None
+
+    def __call__(self, x):
+        if not self.available():
+            raise RuntimeError("engine unavailable")
+        return _made[self.key][1](x)
+
 
+def prepared(engine: Callable, *steps: Callable[[bytes], bytes]) -> Callable:
+    """The engine over images that the steps (grey scale, threshold, resizing to text.resized(), ...) have made ready."""
 
-def retrying(engine: Text, attempts: int = 2, delay: float = 2.0) -> Text:
+    def ask(image: bytes):
+        for step in steps:
+            image = step(image)
+        return engine(image)
+
+    return ask
+
+
+def retrying(engine: Callable, attempts: int = 2, delay: float = 2.0) -> Callable:
     """An engine that is asked again when it fails, after a pause; an empty answer is an answer."""
-    import time
 
-    def ask(image: bytes) -> str:
+    def ask(image: bytes):
         for left in range(attempts - 1, -1, -1):
             try:
                 return engine(image)
@@ -57,29 +85,78 @@ def retrying(engine: Text, attempts: int = 2, delay: float = 2.0) -> Text:
     return ask
 
 
+@dataclass
+class Engines:
+    """primary and model read a page to text or lines, quick and full to detections (text, confidence, points). A missing one is passed over. The model's engine is its name.
+
+    more_models (name, function) are asked, in order, for what the model has no usable answer to; models that fail are asked attempts times. repairer makes
+    a better text of a doubtful one; describers say, in turn, what an embedded image shows. settings, if given, switch engines off and set thresholds.
+    """
+
+    primary: Text | None = None
+    quick: Detect | None = None
+    model: Text | None = None
+    full: Detect | None = None
+    model_name: str = "ollama"
+    more_models: tuple[tuple[str, Text], ...] = ()
+    least_chars: int = LEAST_CHARS
+    corrections: dict = field(default_factory=dict)
+    repairer: Callable[[str], str] | None = None
+    describers: tuple[Callable[[bytes], str], ...] = ()
+    attempts: int = 2
+    delay: float = 2.0
+    settings: Settings | None = None
+
+    @property
+    def lexicon(self) -> Sequence[str]:
+        return self.corrections.get("lexicon", ())
+
+    def models(self) -> list[tuple[str, Text]]:
+        s = self.settings
+        off = lambda name: s is not None and (name.startswith("ollama") and not s.ollama_enabled or name.startswith("gemini") and not s.gemini_enabled)
+        every = [(self.model_name, self.model)] * (self.model is not None) + list(self.more_models)
+        return [(name, retrying(ask, self.attempts, self.delay)) for name, ask in every if not off(name)]
+
+    def first(self) -> Text | None:
+        return self.primary if self.settings is None or self.settings.surya_enabled else None
+
+
+def _asked(engine: Callable, x, empty) -> tuple:
+    """What the engine says, and the start of its error; a page that it fails on is one that it finds nothing on."""
+    try:
+        return engine(bytes(x)) or empty, ""
+    except Exception as e:  # noqa: BLE001  engines are foreign code
+        return empty, (str(e) or type(e).__name__).replace("\n", " ")[:ERROR_CHARS]
+
+
 def _read(pages: DataFrame, image: str, engine: Text) -> DataFrame:
+    """pages with said (lines joined by line feeds) and why (an error, or nothing)."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield b.assign(said=[_safe(engine, x, "") for x in b[image]])
+            got = [_asked(engine, x, "") for x in b[image]]
+            yield b.assign(said=[x if isinstance(x, str) else "\n".join(x) for x, _ in got], why=[e for _, e in got])
 
-    return pages.mapInPandas(run, _with(pages, "said string"))
+    return pages.mapInPandas(run, _with(pages, "said string, why string"))
 
 
 def _detect(pages: DataFrame, image: str, engine: Detect) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = [[{"text": t, "conf": float(c), "points": [{"x": float(x), "y": float(y)} for x, y in p]} for t, c, p in _safe(engine, x, [])] for x in b[image]]
+            rows = [[{"text": t, "conf": float(c), "points": [{"x": float(x), "y": float(y)} for x, y in p]} for t, c, p in _asked(engine, x, [])[0]] for x in b[image]]
             yield b.assign(seen=rows)
 
     return pages.mapInPandas(run, _with(pages, f"seen {_DETECTIONS}"))
 
 
-def _safe(engine: Callable, image: bytes, empty):
-    """What the engine says; a page that it fails on is one that it finds nothing on."""
-    try:
-        return engine(bytes(image)) or empty
-    except Exception:  # noqa: BLE001  engines are foreign code
-        return empty
+def _mapped(pages: DataFrame, column: str, out: str, f: Callable) -> DataFrame:
+    """pages with the array f(value) of strings or nulls as a column out."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield b.assign(**{out: [None if x is None else f(x) for x in b[column]]})
+
+    return pages.mapInPandas(run, _with(pages, f"{out} array<string>"))
 
 
 def _with(pages: DataFrame, more: str) -> str:
@@ -90,74 +167,141 @@ def _write(df: DataFrame) -> DataFrame:
     return written(df, "cascade")
 
 
+def _log(*steps: str | Column) -> Column:
+    return F.concat("steps", F.array(*[F.lit(s) if isinstance(s, str) else s for s in steps]))
+
+
+def primary_text(said: str | Column, least_chars: int = LEAST_CHARS, devanagari_reject: float = 0.18, bangla_least: float = 0.12) -> Column:
+    """The first engine's lines as one text: cleaned, without Devanagari lines; empty if it is too short or still in the wrong script."""
+    clean = C.drop_devanagari_lines(C.clean_lines(F.split(T.col(said), "\n", -1)))
+    good = lambda t: (F.length(T.strip(t)) >= least_chars) & ~T.wrong_script(t, bangla_least, devanagari_reject)
+    return T.let(clean, lambda t: F.when(good(t), t).otherwise(""))
+
+
 def recognise(pages: DataFrame, engines: Engines, image: str = "image") -> DataFrame:
     """pages with blocks, method, engine, correction_applied, confidence_score and steps."""
     kept = pages.columns
     settled: list[DataFrame] = []
-    rest = pages.withColumn("steps", F.array(F.lit("ocr_mode:primary_first" if engines.primary else "ocr_mode:skip_primary")))
-
-    def done(df: DataFrame, source: str, method: str, engine: str | Column, step: Column) -> DataFrame:
-        fixed = df.withColumn("fixed", B.correct_blocks("blocks", source, **engines.corrections))
-        out = fixed.select(*kept, F.col("fixed.blocks").alias("blocks"), F.lit(method).alias("method"), (F.lit(engine) if isinstance(engine, str) else engine).alias("engine"), F.col("fixed.changed").alias("correction_applied"), F.concat("steps", F.array(step)).alias("steps"))
-        return out
-
-    if engines.primary:
-        read = _write(_read(rest, image, engines.primary))
-        long = F.length(T.strip("said")) >= engines.least_chars
-        settled.append(done(read.filter(long).withColumn("blocks", B.paragraphs("said")), "surya", "ocr_local", "surya", F.lit("surya:ok")))
-        rest = read.filter(~long).drop("said").withColumn("steps", F.concat("steps", F.array(F.lit("surya:empty_fallthrough"))))
+    primary, s = engines.first(), engines.settings or Settings()
+    limits = (s.ocr_min_bangla_ratio, s.ocr_devanagari_reject_threshold)
+    rest = pages.withColumn("steps", F.array(*map(F.lit, ["ocr_mode:surya_first", "surya:trying"] if primary else ["ocr_mode:skip_surya", "surya:skipped_by_env"])))
+    shown = lambda x: F.format_string("%.3f", T.rounded(x, 3))
+
+    def score(b: str) -> Column:
+        return S.page_score(b, lexicon=engines.lexicon)
+
+    def done(df: DataFrame, source: str, method: str, engine: str | Column, *steps: str | Column) -> DataFrame:
+        df = df.withColumn("steps", _log(*steps)) if steps else df
+        better = None
+        if source == "easyocr" and engines.repairer is not None:
+            # the model's stage, for the pages with a block that is due
+            due = df.withColumn("due", B.repairable(F.col("blocks"), source, **engines.corrections))
+            due = _write(due)
+            told = F.exists("due", lambda x: x.isNotNull())
+            made = _mapped(due.filter(told), "due", "better", lambda own: [None if t is None else C.repaired(t, engines.repairer) for t in own])
+            df, better = due.filter(~told).withColumn("better", F.lit(None).cast("array<string>")).unionByName(made).drop("due"), "better"
+        fixed = df.withColumn("fixed", B.correct_blocks("blocks", source, repaired=better, **engines.corrections))
+        return fixed.select(
+            *kept, F.col("fixed.blocks").alias("blocks"), F.lit(method).alias("method"), (F.lit(engine) if isinstance(engine, str) else engine).alias("engine"),
+            F.col("fixed.changed").alias("correction_applied"), "steps",
+        )
+
+    if primary:
+        read = _write(_read(rest, image, primary)).withColumn("said", primary_text("said", engines.least_chars, s.surya_devanagari_reject_threshold, s.surya_min_bangla_ratio))
+        settled.append(done(read.filter("said <> ''").withColumn("blocks", B.paragraphs("said")), "surya", "ocr_local", "surya", F.format_string("surya:ok:%dchars", F.length("said"))))
+        rest = read.filter("said = ''").drop("said", "why").withColumn("steps", _log("surya:empty_fallthrough"))
     if engines.quick:
         seen = _write(_detect(rest, image, engines.quick)).withColumn("blocks", B.detection_blocks("seen"))
-        seen = seen.withColumn("good", ~S.needs_fallback(S.page_score("blocks"), S.is_bangla("blocks")))
-        settled.append(done(seen.filter("good"), "easyocr", "ocr_local", "easyocr", F.lit("llm:skipped_sufficient_local")))
-        rest = seen.filter("not good").drop("seen", "blocks", "good")
-    if models := [(engines.model_name, engines.model)] * bool(engines.model) + list(engines.more_models):
+        seen = seen.withColumn("c", score("blocks")).withColumn("good", ~S.needs_fallback(F.col("c"), S.is_bangla("blocks")))
+        settled.append(done(seen.filter("good"), "easyocr", "ocr_local", "easyocr", F.concat(F.lit("llm:skipped_sufficient_local:"), shown(F.col("c")))))
+        rest = seen.filter("not good").drop("seen", "blocks", "good", "c")
+    if models := engines.models():
+        rest = rest.withColumns({"steps": _log("llm_chain:trying"), "reasons": F.array().cast("array<string>")})
         answered: list[DataFrame] = []
         for name, ask in models:
-            read = _write(_read(rest, image, ask)).withColumn("by", F.lit(name))
-            answered.append(read.filter("said <> ''"))
-            rest = read.filter("said = ''").drop("said", "by")
-        read = rest.withColumns({"said": F.lit(""), "by": F.lit(models[-1][0])})
-        for df in answered:
+            read = _write(_read(rest, image, ask)).withColumns({"by": F.lit(name), "said": T.strip("said")})
+            usable = F.length("said") >= LEAST_CHARS
+            answered.append(read.filter(usable))
+            why = F.concat(F.lit(f"{name}="), F.when(F.col("why") == "", "no usable text").otherwise(F.col("why")))
+            rest = read.filter(~usable).withColumn("reasons", F.concat("reasons", F.array(why))).drop("said", "by", "why")
+        read = answered[0]
+        for df in answered[1:]:
             read = read.unionByName(df)
-        read = read.withColumn("blocks", B.model_blocks("said"))
-        long = F.length(T.strip("said")) >= 20
-        tried = _write(done(read.filter(long), "ollama", "ocr_api", F.col("by"), F.concat(F.lit("llm_chain:ok:"), "by")))
-        settled.append(tried.filter(~S.script_mismatch("blocks")))
-        missed = tried.filter(S.script_mismatch("blocks")).select(*kept, F.concat("steps", F.array(F.concat(F.lit("llm_chain:script_mismatch:"), "engine"))).alias("steps"))
-        short = read.filter(~long).select(*kept, F.concat("steps", F.array(F.lit("llm_chain:failed"))).alias("steps"))
-        rest = missed.unionByName(short)
+        read = read.withColumns({"blocks": B.model_blocks("said"), "n": F.length("said")})
+        tried = _write(done(read.withColumn("was", F.col("steps")), "ollama", "ocr_api", F.col("by"), F.concat(F.lit("llm_chain:ok:"), "by", F.format_string(":%dchars", "n"))))
+        wrong = S.script_mismatch("blocks", *limits)
+        settled.append(tried.filter(~wrong))
+        missed = tried.filter(wrong).select(*kept, F.concat(F.slice("steps", 1, F.size("steps") - 1), F.array(F.concat(F.lit("llm_chain:script_mismatch:"), "engine"))).alias("steps"))
+        rest = missed.unionByName(rest.withColumn("steps", _log(F.concat(F.lit("llm_chain:failed:none:"), F.array_join("reasons", ";")))).select(*kept, "steps"))
     if last := engines.full or engines.quick:
-        seen = _write(_detect(rest, image, last)).withColumn("blocks", B.detection_blocks("seen"))
-        settled.append(done(seen, "easyocr", "ocr_local", "easyocr", F.lit("easyocr:full")))
+        seen = _write(_detect(rest.withColumn("steps", _log("easyocr:trying")), image, last)).withColumn("blocks", B.detection_blocks("seen"))
+        found = done(seen.withColumn("n", F.size("seen")), "easyocr", "ocr_local", "easyocr", F.format_string("easyocr:%ddetections", "n"))
+        mismatch = F.when(S.script_mismatch("blocks", *limits), F.array(F.lit("easyocr:script_mismatch"))).otherwise(F.array().cast("array<string>"))
+        n = F.size("steps")
+        steps = F.concat(F.slice("steps", F.lit(1), n - 1), mismatch, F.slice("steps", n, F.lit(1)), F.array(F.concat(F.lit("easyocr:score:"), shown(score("blocks")))))
+        settled.append(found.withColumn("steps", steps))
     else:
-        settled.append(done(rest.withColumn("blocks", F.array().cast(B.BLOCKS)), "easyocr", "ocr_local", "none", F.lit("unread")))
+        settled.append(done(rest.withColumn("blocks", F.array().cast(B.BLOCKS)), "none", "ocr_local", "none", "easyocr:unavailable"))
     out = settled[0]
     for df in settled[1:]:
         out = out.unionByName(df)
-    return out.withColumn("confidence_score", S.page_score("blocks"))
+    return out.withColumn("confidence_score", score("blocks"))
+
+
+def described(pages: DataFrame, describers: Sequence[Callable[[bytes], str]] = ()) -> DataFrame:
+    """pages with their embedded images as structs: image_id, type, detected_text, description, confidence. The first describer with an answer counts."""
+
+    def say(images) -> list[str | None]:
+        def one(image) -> str | None:
+            for ask in describers:
+                said, _ = _asked(ask, image["image_bytes"], "")
+                if said.strip():
+                    return said.strip()
+            return None
+
+        return [one(x) for x in images]
+
+    pages = pages.withColumn("images", F.coalesce("images", F.array().cast(pages.schema["images"].dataType)))
+    said = F.transform("images", lambda _: F.lit(None).cast("string"))
+    if describers and "image_bytes" in pages.schema["images"].dataType.elementType.names:
+        has = F.size("images") > 0
+        pages = pages.filter(~has).withColumn("said", F.array().cast("array<string>")).unionByName(_mapped(pages.filter(has), "images", "said", say))
+        said = F.col("said")
+    numbered = lambda x, t: F.struct(x.alias("x"), t.alias("t"))
+    made = F.transform(F.zip_with("images", said, numbered), lambda p, i: B.described_image(i + 1, p["x"]["width"], p["x"]["height"], p["t"]))
+    return pages.withColumn("images", made).drop("said")
 
 
-def process_pages(pages: DataFrame, engines: Engines, domain: str = "unknown") -> DataFrame:
-    """The whole page pipeline. pages: doc_id, page_number, text, image, tables (arrays of rows, may be null) and images (width, height).
+def process_pages(pages: DataFrame, engines: Engines, domain: str = "unknown", put: Callable[[str, int, bytes], str] | None = None) -> DataFrame:
+    """The whole page pipeline. pages: doc_id, page_number, text, image, tables (arrays of rows, may be null) and images (width, height; image_bytes for describers).
 
     A digital page with a valid text becomes blocks after its numbers are fixed; every other page goes through the cascade and has its table rebuilt from positions.
+    put saves the image of a page that is recognised and says where; it may fail.
     """
-    from ..functions.correct import clean_table, fix_numbers
     from ..functions.validate import validate
     from ..operators.documents import page_decisions
+    from ..sources.sinks import with_saved_images
 
     kept = ["doc_id", "page_number", "tables", "images"]
     routed = pages.withColumn("kind", T.page_type("text")).withColumn("valid", F.when(F.col("kind") == "digital", validate("text")["is_valid"]).otherwise(False))
-    digital = routed.filter("valid").select(
-        *kept, B.paragraphs(fix_numbers("text")["text"]).alias("blocks"), F.lit("digital").alias("method"), F.lit("PyMuPDF").alias("engine"), F.lit(False).alias("correction_applied"),
-        F.array(F.lit("type:digital"), F.concat(F.lit("digital_ok:"), F.length("text").cast("string"), F.lit("chars"))).alias("steps"),
+    # validated once; images of digital pages aren't needed any more
+    routed = _write(routed.withColumns({"image": F.when(~F.col("valid"), F.col("image")), "text": F.when(F.col("valid"), F.col("text"))}))
+    fixed = routed.filter("valid").withColumn("fixed", C.fix_numbers("text")["text"])
+    digital = fixed.select(
+        *kept, F.lit("").alias("source_image_path"), B.paragraphs("fixed").alias("blocks"), F.lit("digital").alias("method"), F.lit("PyMuPDF").alias("engine"), F.lit(False).alias("correction_applied"),
+        F.array(F.lit("type:digital"), F.format_string("digital_ok:%dchars", F.length("fixed"))).alias("steps"),
     )
-    digital = digital.withColumn("tables", F.transform("tables", clean_table)).withColumn("confidence_score", S.page_score("blocks"))
-    scanned = recognise(routed.filter("not valid").select(*kept, "image", "kind"), engines)
-    scanned = scanned.withColumn("steps", F.concat(F.array(F.concat(F.lit("type:"), F.col("kind"))), F.when(F.col("kind") == "digital", F.array(F.lit("digital_corrupt_rerouting"))).otherwise(F.array().cast("array<string>")), F.col("steps")))
-    scanned = scanned.withColumn("table", B.scanned_table(B.block_detections("blocks")))
-    scanned = scanned.withColumn("tables", F.when(F.col("table").isNotNull(), F.array("table")).otherwise(F.array().cast("array<array<array<string>>>"))).select(digital.columns)
-    out = digital.unionByName(scanned).withColumn("full_text", S.full_text("blocks"))
-    out = out.withColumn("confidence_score", S.with_floor(F.col("confidence_score"), F.col("method"), S.is_bangla("blocks"), F.col("full_text")))
+    digital = digital.withColumn("tables", C.digital_tables("tables")).withColumn("confidence_score", S.page_score("blocks", lexicon=engines.lexicon))
+    seen = with_saved_images(routed.filter("not valid").select(*kept, "image", "kind"), put)
+    scanned = recognise(seen, engines)
+    began = F.concat(F.array(F.concat(F.lit("type:"), F.col("kind"))), F.when(F.col("kind") == "digital", F.array(F.lit("digital_corrupt_rerouting"))).otherwise(F.array().cast("array<string>")))
+    scanned = scanned.withColumn("steps", F.concat(began, F.col("steps"))).withColumn("table", B.scanned_table(B.block_detections("blocks")))
+    one = F.struct(F.lit(1).alias("table_id"), B.table_confidence("table").alias("structure_confidence"), F.col("table").alias("rows"))
+    scanned = scanned.withColumn("tables", F.when(F.col("table").isNotNull(), F.array(one)).otherwise(F.array().cast(C.TABLES))).select(digital.columns)
+    out = described(digital.unionByName(scanned), engines.describers).withColumn("full_text", S.full_text("blocks"))
+    log = F.concat("steps", F.when(F.size("images") > 0, F.array(F.format_string("images:%d", F.size("images")))).otherwise(F.array().cast("array<string>")))
+    floored = S.with_floor(F.col("confidence_score"), F.col("method"), S.is_bangla("blocks"), F.col("full_text"))
+    out = out.withColumns({"raised": floored, "steps": log})
+    raised = F.when(F.col("raised") != F.col("confidence_score"), F.array(F.lit(f"llm_floor:{S.LLM_FLOOR:.2f}"))).otherwise(F.array().cast("array<string>"))
+    out = out.withColumns({"steps": F.concat("steps", raised), "confidence_score": F.col("raised")}).drop("raised")
     return out.withColumns({"verified": F.lit(False), "domain": F.lit(domain), "decisions": page_decisions()})

@@ -14,6 +14,15 @@ from ..functions import text as T
 
 MOST_BYTES = 100 * 1024 * 1024
 PAGE_SCHEMA = "page_number int, text string, image binary, tables array<array<array<string>>>, images array<struct<xref:int,image_bytes:binary,ext:string,width:int,height:int>>"
+#: What process_pages() gives, as JSON has it.
+PAGE_JSON = (
+    "doc_id string, page_number int, tables array<struct<table_id:int,structure_confidence:double,rows:array<array<string>>>>, "
+    "images array<struct<image_id:int,type:string,detected_text:string,description:string,confidence:double>>, source_image_path string, "
+    "blocks array<struct<block_id:int,type:string,language:string,text:string,confidence:double,bbox:struct<x1:double,y1:double,x2:double,y2:double>,is_handwritten:boolean>>, "
+    "method string, engine string, correction_applied boolean, steps array<string>, confidence_score double, full_text string, verified boolean, domain string, "
+    "decisions array<struct<page:int,keyword:string,detail:string,severity:string>>"
+)
+VERIFICATION_SCHEMA = "doc_id string, page_number int, verified boolean, at timestamp"
 PROGRESS_SCHEMA = "doc_id string, current_page int, total_pages int, status string, message string, updated_at string"
 
 
@@ -39,7 +48,7 @@ def decode_pages(documents: DataFrame, decoder: Callable[[bytes], Iterable[Mappi
                 try:
                     rows += [{"doc_id": doc, "page_number": i, **{k: page.get(k) for k in names[1:]}, "error": None} for i, page in enumerate(decoder(bytes(content)), 1)]
                 except Exception as e:  # noqa: BLE001  decoders are foreign code; the row says what happened
-                    rows.append({"doc_id": doc, **dict.fromkeys(names), "error": f"{type(e).__name__}: {e}"})
+                    rows.append({"doc_id": doc, **dict.fromkeys(names), "error": f"{type(e).__name__}: {e}".replace("\n", " ")[:180]})
                 if rows:
                     yield pd.DataFrame(rows, columns=["doc_id", *names, "error"], dtype=object)
 
@@ -66,13 +75,19 @@ def read_progress(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(PROGRESS_SCHEMA).option("mode", "DROPMALFORMED").json(path)
 
 
-def read_page_json(spark: SparkSession, root: str, schema: str | None = None) -> DataFrame:
-    """Page files page_<n>_<engine>.json or page_<n>.json in a folder for each document, with doc_id, page_number and engine of the path where the content has none."""
-    reader = spark.read.option("multiLine", True).option("pathGlobFilter", "page_*.json").option("recursiveFileLookup", "true").option("mode", "PERMISSIVE")
-    raw = (reader.schema(schema) if schema else reader).json(root)
+def read_page_json(spark: SparkSession, root: str, schema: str = PAGE_JSON) -> DataFrame:
+    """Pages that write_page_json() wrote, and page files page_<n>_<engine>.json or page_<n>.json in a folder for each document. The path gives
+    doc_id, page_number and engine where the content has none."""
+    reader = lambda names, whole: spark.read.schema(schema).option("pathGlobFilter", names).option("recursiveFileLookup", "true").option("multiLine", whole).json(root)
+    named = reader("page_*.json", True)
     path = F.url_decode(F.col("_metadata.file_path"))
-    named = {"doc_id": F.regexp_extract(path, r"([^/]+)/page_[^/]*$", 1), "page_number": F.regexp_extract(path, r"page_(\d+)[^/]*$", 1).cast("int"), "engine": F.nullif(F.regexp_extract(path, r"page_\d+_([^/]*)\.json$", 1), F.lit(""))}
-    return raw.withColumns({k: F.coalesce(F.col(k).cast("string" if k != "page_number" else "int"), v) if k in raw.columns else v for k, v in named.items()})
+    given = {"doc_id": F.regexp_extract(path, r"([^/]+)/page_[^/]*$", 1), "page_number": F.regexp_extract(path, r"page_(\d+)[^/]*$", 1).cast("int"), "engine": F.nullif(F.regexp_extract(path, r"page_\d+_([^/]*)\.json$", 1), F.lit(""))}
+    named = named.withColumns({k: F.coalesce(F.col(k), v) for k, v in given.items() if k in named.columns})
+    return named.unionByName(reader("part-*", False))
+
+
+def read_verifications(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(VERIFICATION_SCHEMA).option("mode", "DROPMALFORMED").json(path)
 
 
 def find_page(pages: DataFrame, doc_id: str, page_number: int) -> DataFrame:
@@ -114,6 +129,13 @@ class Settings:
                 setattr(out, f.name, raw.strip().lower() in ("1", "true", "yes", "on") if kind is bool else kind(raw))
         return out
 
-    def prompt(self, engine: str) -> str:
-        """The engine's prompt, or the general one."""
+    def prompt(self, engine: str, folder: str | None = None) -> str:
+        """The engine's prompt, or the general one: from <engine>.txt or ocr.txt in a folder, if it is there and not blank, else from the settings."""
+        for name in dict.fromkeys((engine, "ocr")) if folder else ():
+            try:
+                with open(os.path.join(folder, f"{name}.txt"), encoding="utf-8") as f:
+                    if said := f.read().strip():
+                        return said
+            except OSError:
+                continue
         return (self.ollama_prompt if engine == "ollama" else "") or self.ocr_prompt

@@ -1,32 +1,96 @@
-"""Sinks: page JSON, merged documents, texts, the corpus, statistics, progress, page rows."""
+"""Sinks: page JSON, merged documents, texts, the corpus, statistics, progress, page rows.
+
+Tables are rows in files that adaptive execution sizes, in a bounded number of folders, whatever the number of documents. Files by name, one a page or
+document, are an export: a function that the caller gives puts them where they belong.
+"""
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.corpus import corpus_records, corpus_stats, latest
+from ..operators.corpus import corpus_records, corpus_stats, latest, verify
 from ..operators.documents import document_json, document_rollup, document_text
-from .files import PROGRESS_SCHEMA
+from .files import PROGRESS_SCHEMA, read_page_json, read_verifications
+
+BUCKETS = 256
+
+
+def write_page_json(pages: DataFrame, root: str, mode: str = "append", buckets: int = BUCKETS) -> None:
+    """Pages as JSON lines in folders by a hash of doc_id; read_page_json() reads them back."""
+    bucketed = pages.withColumn("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(buckets)))
+    bucketed.hint("rebalance", "bucket").write.mode(mode).partitionBy("bucket").json(root)
+
+
+def _tagged(documents: DataFrame, pages: DataFrame) -> DataFrame:
+    tags = document_rollup(pages).select(F.col("doc_id").alias("_d"), "output_engine_tag")
+    return documents.join(tags, F.col("doc_id") == F.col("_d"), "left").drop("_d")
+
+
+def merged_documents(documents: DataFrame, pages: DataFrame) -> DataFrame:
+    """doc_id, output_engine_tag, json: each document with its pages in order, as one object."""
+    return _tagged(document_json(_tagged(documents, pages), pages), pages)
 
 
-def write_page_json(pages: DataFrame, root: str) -> None:
-    """A folder of JSON for each document. Documents are kept together first, so the number of files doesn't multiply."""
-    pages.repartition("doc_id").write.mode("append").partitionBy("doc_id").json(root)
+def document_texts(pages: DataFrame) -> DataFrame:
+    """doc_id, output_engine_tag, text: the texts of each document's pages in order."""
+    return _tagged(document_text(pages), pages)
 
 
 def write_merged_json(documents: DataFrame, pages: DataFrame, root: str) -> None:
-    """One object for each document, in folders by document and engine tag."""
-    tags = document_rollup(pages).select("doc_id", "output_engine_tag")
-    merged = document_json(documents.join(tags, "doc_id", "left"), pages)
-    merged.join(tags, "doc_id").repartition("doc_id").write.mode("append").partitionBy("doc_id", "output_engine_tag").text(root)
+    """merged_documents() as a table, in folders by tag."""
+    merged_documents(documents, pages).hint("rebalance", "output_engine_tag").write.mode("append").partitionBy("output_engine_tag").json(root)
 
 
 def write_texts(pages: DataFrame, root: str) -> None:
-    tags = document_rollup(pages).select("doc_id", "output_engine_tag")
-    document_text(pages).join(tags, "doc_id").repartition("doc_id").write.mode("append").partitionBy("doc_id", "output_engine_tag").text(root)
+    """document_texts() as a table, in folders by tag."""
+    document_texts(pages).hint("rebalance", "output_engine_tag").write.mode("append").partitionBy("output_engine_tag").json(root)
+
+
+def page_files(pages: DataFrame) -> DataFrame:
+    """name, content: <doc_id>/page_<n>_<engine>.json for each page."""
+    engine = F.regexp_replace(F.coalesce("engine", F.lit("unknown")), r"[^A-Za-z0-9._-]+", "-")
+    name = F.concat("doc_id", F.lit("/page_"), F.col("page_number").cast("string"), F.lit("_"), engine, F.lit(".json"))
+    return pages.select(name.alias("name"), F.to_json(F.struct(*pages.columns)).alias("content"))
+
+
+def document_files(rows: DataFrame, column: str, suffix: str) -> DataFrame:
+    """name, content: <doc_id>_<tag><suffix> for each row of merged_documents() or document_texts()."""
+    return rows.select(F.concat_ws("_", "doc_id", "output_engine_tag", F.lit("")).alias("name"), F.col(column).alias("content")).select(
+        F.concat(F.regexp_replace("name", "_$", ""), F.lit(suffix)).alias("name"), "content"
+    )
+
+
+def export_files(files: DataFrame, put: Callable[[str, str], None]) -> DataFrame:
+    """name, error: what becomes of each file (name, content) that put() is asked to write; the error is null if all is well. Files are written when the result is."""
+    import pandas as pd
+
+    def one(name: str, content: str) -> str | None:
+        try:
+            put(name, content)
+        except Exception as e:  # noqa: BLE001  stores are foreign code
+            return str(e)[:180] or type(e).__name__
+        return None
+
+    def run(batches):
+        for b in batches:
+            yield pd.DataFrame({"name": b["name"], "error": [one(*x) for x in zip(b["name"], b["content"])]}, dtype=object)
+
+    return files.select("name", "content").mapInPandas(run, "name string, error string")
+
+
+def delete_files(spark: SparkSession, *patterns: str) -> int:
+    """Delete files and folders by path patterns, through Spark's file systems; how many there were. For the exports of a document, not for tables."""
+    gone = 0
+    for pattern in patterns:
+        at = spark._jvm.org.apache.hadoop.fs.Path(pattern)
+        system = at.getFileSystem(spark._jsc.hadoopConfiguration())
+        for found in system.globStatus(at) or []:
+            gone += bool(system.delete(found.getPath(), True))
+    return gone
 
 
 def write_corpus(pages: DataFrame, path: str, form: str = "parquet") -> None:
@@ -38,11 +102,12 @@ def write_stats(records: DataFrame, path: str) -> None:
     corpus_stats(records).write.mode("overwrite").json(path)
 
 
-def rebuild_corpus(spark: SparkSession, pages_path: str, corpus_path: str, stats_path: str, schema: str) -> None:
-    """Corpus and statistics anew from all page JSON."""
-    pages = spark.read.schema(schema).json(pages_path)
+def rebuild_corpus(spark: SparkSession, pages_path: str, corpus_path: str, stats_path: str, verifications_path: str | None = None) -> None:
+    """Corpus and statistics anew from all page JSON and the last verification of each page."""
+    pages = read_page_json(spark, pages_path)
+    pages = verify(pages, read_verifications(spark, verifications_path)) if verifications_path else pages
     write_corpus(pages, corpus_path)
-    write_stats(spark.read.parquet(corpus_path), stats_path)
+    write_stats(spark.read.parquet(corpus_path).drop("full_text"), stats_path)
 
 
 def append_progress(snapshots: DataFrame, path: str) -> None:
@@ -53,14 +118,22 @@ def last_progress(spark: SparkSession, path: str) -> DataFrame:
     return latest(spark.read.schema(PROGRESS_SCHEMA).option("mode", "DROPMALFORMED").json(path), ["doc_id"], "updated_at")
 
 
-def write_page_rows(pages: DataFrame, path: str) -> None:
-    """Replace the rows of the documents that pages holds, and no others: overwriting by partition makes a repeat harmless."""
-    pages.repartition("document_id").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("document_id").parquet(path)
+def write_page_rows(pages: DataFrame, path: str, run: int = 0) -> None:
+    """Append a run's rows of documents; read_page_rows() then has only the last run of each document, so a repeat replaces what was there."""
+    pages.withColumn("run", F.lit(f"{time.time_ns() // 1000:018d}-{run:010d}")).write.mode("append").partitionBy("run").parquet(path)
 
 
-def save_images(pages: DataFrame, put: Callable[[str, int, bytes], str]) -> DataFrame:
-    """doc_id, page_number, source_image_path: what put() says of each image, empty if it fails."""
-    import pandas as pd
+def read_page_rows(spark: SparkSession, path: str) -> DataFrame:
+    """The page rows of the last run of each document: a partial maximum by document, then a join with its list."""
+    rows = spark.read.option("basePath", path).parquet(path).withColumn("run", F.col("run").cast("string"))
+    last = rows.groupBy(F.col("doc_id").alias("_d")).agg(F.max("run").alias("_r"))
+    return rows.join(last, (F.col("doc_id") == F.col("_d")) & (F.col("run") == F.col("_r")), "left_semi").drop("run")
+
+
+def with_saved_images(pages: DataFrame, put: Callable[[str, int, bytes], str] | None) -> DataFrame:
+    """pages with source_image_path: what put() says of each image, empty if it fails, or without put()."""
+    if put is None:
+        return pages.withColumn("source_image_path", F.lit(""))
 
     def safe(d: str, n: int, x: bytes) -> str:
         try:
@@ -70,6 +143,15 @@ def save_images(pages: DataFrame, put: Callable[[str, int, bytes], str]) -> Data
 
     def run(batches):
         for b in batches:
-            yield pd.DataFrame({"doc_id": b["doc_id"], "page_number": b["page_number"], "source_image_path": [safe(*r) for r in zip(b["doc_id"], b["page_number"], b["image"])]})
+            yield b.assign(source_image_path=[safe(*r) for r in zip(b["doc_id"], b["page_number"], b["image"])])
+
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pages.schema)
+    return pages.mapInPandas(run, f"{fields}, source_image_path string")
+
+
+def save_images(pages: DataFrame, put: Callable[[str, int, bytes], str]) -> DataFrame:
+    """doc_id, page_number, source_image_path."""
+    own = pages.select("doc_id", F.col("page_number").cast("int").alias("page_number"), "image")
+    return with_saved_images(own, put).select("doc_id", "page_number", "source_image_path")
+
 
-    return pages.select("doc_id", F.col("page_number").cast("int"), "image").mapInPandas(run, "doc_id string, page_number int, source_image_path string")

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from ..operators.corpus import latest
 from ..sources.files import MOST_BYTES, admitted
 from ..sources.sinks import write_page_rows
 
@@ -22,13 +23,14 @@ def inbox(spark: SparkSession, path: str, files_per_batch: int = 1000, most_byte
 def ingest(
     documents: DataFrame, process: Callable[[DataFrame], DataFrame], pages_path: str, checkpoint: str, canceled: Callable[[], DataFrame] | None = None
 ) -> StreamingQuery:
-    """Process what is there, then stop. Each batch replaces its documents' page rows, so a batch that is run again changes nothing. canceled gives doc_ids to leave out."""
+    """Process what is there, then stop. Each batch's page rows replace those that their documents had (sinks.read_page_rows()), so a batch that is run again
+    changes nothing. canceled gives doc_ids to leave out."""
 
-    def batch(df: DataFrame, _: int) -> None:
+    def batch(df: DataFrame, number: int) -> None:
         if canceled is not None:
             gone = canceled().select(F.col("doc_id").alias("_gone")).distinct()
             df = df.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
-        write_page_rows(process(df).withColumnRenamed("doc_id", "document_id"), pages_path)
+        write_page_rows(process(df), pages_path, number)
 
     return documents.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
@@ -38,6 +40,20 @@ def last_states(events: DataFrame, key: str, at: str, columns: list[str]) -> Dat
     return events.groupBy(key).agg(F.max_by(F.struct(*columns), at).alias("last")).select(key, "last.*")
 
 
+def write_last_states(states: DataFrame, key: str, path: str, checkpoint: str) -> StreamingQuery:
+    """Write what each batch changes of a stream of last states (update mode) as rows of path; last_of() has the last of each key. Stops when all is read."""
+
+    def batch(df: DataFrame, number: int) -> None:
+        df.withColumn("batch", F.lit(number).cast("long")).write.mode("append").parquet(path)
+
+    return states.writeStream.outputMode("update").foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def last_of(spark: SparkSession, path: str, key: str) -> DataFrame:
+    """The rows that write_last_states() wrote last for each key. A batch that was run again wrote the same rows."""
+    return latest(spark.read.parquet(path), [key], "batch").drop("batch")
+
+
 def event_counts(events: DataFrame, at: str, width: str, late: str, *keys: str) -> DataFrame:
     """Events by time window and keys, with a watermark for late ones."""
     return events.withWatermark(at, late).groupBy(F.window(at, width), *keys).agg(F.count("*").alias("n")).select(F.col("window.start").alias("start"), *keys, "n")

@@ -1,6 +1,6 @@
 from __future__ import annotations
 
-from quire.plans.queries import recognition_cascade
+from quire.plans.page_queries import recognition_cascade
 
 
 def test_quick_engine_reads_whole_texts(spark, tmp_path):
@@ -9,6 +9,6 @@ def test_quick_engine_reads_whole_texts(spark, tmp_path):
     spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
     got = {x.page_number: x for x in recognition_cascade(spark, str(tmp_path)).collect()}
     assert len(got) == len(texts)
-    # the model has nothing for fewer than 100 characters; of the quick engine's words each is a block
+    # of the words of the quick engine each is a block
     assert [got[i].blocks for i in (0, 1)] == [len(texts[i].split()) for i in (0, 1)], got
     assert got[0].engine == got[1].engine, got

@@ -1,26 +1,54 @@
 """Benchmark decontamination by SimHash of item-sized windows (native).
 
-A document is a sequence of hashed five-word shingles. Windows as long as an item are fingerprinted by SimHash. Fingerprints within RADIUS
-bits of an item's agree with it, up to one bit, in one of BLOCKS blocks: the items' blocks with each bit flipped form the index, the windows'
-blocks probe it. Candidates within the radius are verified by the similarity of the bags of shingles, the sum of the lesser over that of the larger counts.
+A document is a sequence of hashed five-word shingles. Windows as long as an item are fingerprinted by SimHash. A radius that follows from the similarity
+holds all but a few in a million of the fingerprints of windows that are similar enough; such a one agrees with the item's, up to one bit, in one of its blocks: the items' blocks
+with each bit flipped form the index, the windows' blocks probe it, and so find the items. Candidates within the radius are verified by the similarity of the
+bags of shingles, the sum of the lesser over that of the larger counts.
 
-Which windows need a fingerprint is decided without loss. One whose first shingle isn't the item's can slide right and gain; where no shingle of the
+Which windows need a fingerprint is decided without loss. A window shares at least similarity x its size of shingles with an item, so documents that have
+fewer of an item's have none. One whose first shingle isn't the item's can slide right and gain; where no shingle of the
 item occurs twice, one whose preceding shingle is the item's can slide left and gain. So windows start at the first of adjacent shingles of the item,
 or at each of them if one of them recurs in the document; at the document's end they are moved back, and a shorter document is one window.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import ASCII_SPACE, let, materialize, whole, without
 
 SHINGLE, SIMILARITY = 5, 0.8
-#: At similarity 0.8 the fingerprints of 64 bits differ in 9.7 bits on average, deviation 2.9. 23 errors leave one of 12 blocks at most one.
-RADIUS, BLOCKS = 23, 12
+#: Deviations above the mean of fingerprints' distances that the radius takes in: all but two in a million.
+DEVIATIONS = 4.6
 #: A table below this many bytes goes to every task; a larger one is joined by a shuffle.
 BROADCAST_BYTES = 32 << 20
+#: Rows of the map that keeps shingles of no item out of that shuffle, 64 bits each.
+MAP_BITS = 20
+_SPACES = " \t\n\x0b\x0c\r"
+
+
+def radius(similarity: float) -> int:
+    """Bits of 64 within which fingerprints of windows and items of that similarity are: bits differ with the angle of the bags, whose cosine is 2s / (1 + s) or more."""
+    if not 0 < similarity <= 1:
+        raise ValueError("a similarity above 0, up to 1")
+    share = math.acos(min(1.0, 2 * similarity / (1 + similarity))) / math.pi
+    return min(64, math.ceil(64 * share + DEVIATIONS * math.sqrt(64 * share * (1 - share))))
+
+
+def placed_shingles(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
+    """p and x for each row of docs and each place p, from 0, of its text: x is the hash of the k words from there on, as of shingles(). The columns other than text are kept.
+
+    Words are zipped with those after them and hashed in a row each, so no lambda runs over them.
+    """
+    rest = [c for c in docs.columns if c != "text"]
+    words = docs.select(*rest, F.split(F.btrim(F.lower(whole()), F.lit(_SPACES)), f"{ASCII_SPACE}+").alias("_w0"))
+    ahead = words.select("*", *[F.slice("_w0", F.lit(i + 1), F.greatest(F.size("_w0") - i, F.lit(0))).alias(f"_w{i}") for i in range(1, k)])
+    each = ahead.select(*rest, F.posexplode(F.arrays_zip(*[f"_w{i}" for i in range(k)])).alias("p", "c"))
+    full = (F.col("c")[f"_w{k - 1}"].isNotNull() | (F.col("p") == 0)) & (F.col("c._w0") != "")
+    return each.filter(full).select(*rest, "p", F.xxhash64(*[F.col("c")[f"_w{i}"] for i in range(k)]).alias("x"))
 
 
 def shingles(text: str | Column = "text", k: int = SHINGLE) -> Column:
@@ -49,19 +77,19 @@ def simhash(hashes: Column) -> Column:
     return let(hashes, lambda own: F.aggregate(F.sequence(F.lit(0), F.lit(15)), zero, lambda s, lane: s.bitwiseOR(ones(own, lane))))
 
 
-def _bounds() -> list[tuple[int, int]]:
-    cuts = [64 * b // BLOCKS for b in range(BLOCKS + 1)]
+def _bounds(blocks: int) -> list[tuple[int, int]]:
+    cuts = [64 * b // blocks for b in range(blocks + 1)]
     return [(a, b - a) for a, b in zip(cuts, cuts[1:])]
 
 
-def block_keys(fp: Column, flipped: bool) -> Column:
-    """Block number and value, as one integer; with flipped, also the values that differ in one bit."""
+def block_keys(fp: Column, flipped: bool, within: int) -> Column:
+    """Block number and value, as one long; with flipped, also the values that differ in one bit. So many blocks that within errors leave one at most one."""
     out = []
-    for number, (at, width) in enumerate(_bounds()):
-        value = F.shiftrightunsigned(fp, at).bitwiseAND(F.lit((1 << width) - 1))
-        base = value + (number << 8)
-        out += [base, *[base.bitwiseXOR(F.lit(1 << i)) for i in range(width)]] if flipped else [base]
-    return F.array(*[x.cast("int") for x in out])
+    for number, (at, width) in enumerate(_bounds(within // 2 + 1)):
+        value = F.shiftrightunsigned(fp, at).bitwiseAND(F.lit(((1 << width) - 1) - (1 << 64 if width == 64 else 0)))
+        one = lambda i: F.lit((1 << i) - (1 << 64 if i == 63 else 0))
+        out += [F.xxhash64(F.lit(number), x) for x in ([value, *[value.bitwiseXOR(one(i)) for i in range(width)]] if flipped else [value])]
+    return F.array(*out)
 
 
 def bag_similarity(a: Column, b: Column) -> Column:
@@ -79,23 +107,34 @@ def _small(df: DataFrame, row_bytes: int) -> DataFrame:
     return F.broadcast(df) if df.count() * row_bytes <= BROADCAST_BYTES else df
 
 
+def _likely(shingled: DataFrame, listed: DataFrame) -> DataFrame:
+    """Rows of shingled (x) that may be in listed (h): a map of 2^MAP_BITS rows at most says which parts of the hashes occur, and drops nearly all others."""
+    part, bit = (lambda h: F.shiftrightunsigned(h, 64 - MAP_BITS)), (lambda h: F.shiftrightunsigned(h, 58 - MAP_BITS).bitwiseAND(F.lit(63)).cast("int"))
+    known = listed.select(part(F.col("h")).alias("part_"), F.call_function("shiftleft", F.lit(1).cast("long"), bit(F.col("h"))).alias("m")).groupBy("part_").agg(F.bit_or("m").alias("bits_"))
+    met = shingled.join(F.broadcast(known), part(F.col("x")) == F.col("part_"))
+    return met.filter(F.call_function("shiftrightunsigned", "bits_", bit(F.col("x"))).bitwiseAND(F.lit(1)) == 1).drop("part_", "bits_")
+
+
 def leaks(docs: DataFrame, items: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_id", item_col: str = "item_id", text: str = "text") -> DataFrame:
     """One row per document and item that it holds: id, item id, similarity (of the best window), start (its first word, from 0).
 
-    Only windows with the item's number of shingles are compared, or the whole of a shorter document. A null, empty or blank text, on either
+    Only windows with the item's number of shingles are compared, or the whole of a shorter document. Of windows of equal similarity the first counts. A null, empty or blank text, on either
     side, has no shingles and leaks nothing; a text of fewer than five words is one shingle and meets only its equal. Rows that repeat an id are
     looked at one by one and give one row an item together, likewise items that repeat an id. Empty tables give an empty result.
     """
+    within = radius(similarity)
     goal = materialize(items.select(F.col(item_col).alias("item"), shingles(text).alias("goal")).filter(F.size("goal") > 0), "items")
     listed = materialize(goal.select("item", F.size("goal").alias("n"), F.explode(F.array_distinct("goal")).alias("h")), "item-shingles")
-    own = docs.select(F.col(id_col).alias("id"), F.xxhash64(whole(text)).alias("t"), shingles(text).alias("s"))
-    hits = own.select("id", "t", F.posexplode("s").alias("p", "x")).join(_small(listed, 64), F.col("x") == F.col("h")).select("id", "t", "item", "n", "p", "h")
+    own = docs.select(F.col(id_col).alias("id"), F.xxhash64(whole(text)).alias("t"), F.col(text).alias("text"))
+    all_ = placed_shingles(own)
+    known = _small(listed, 64)
+    hits = (all_ if known is not listed else _likely(all_, listed)).join(known, F.col("x") == F.col("h")).select("id", "t", "item", "n", "p", "h")
     hits = materialize(hits.distinct(), "hits")
 
     # the starts of windows, for each document, item and size; a document's hits on one item are never more than its words
     line = Window.partitionBy("id", "t", "item", "n")
-    recurs = hits.groupBy("id", "t", "item", "n", "h").agg(F.count("*").alias("c")).groupBy("id", "t", "item", "n").agg(F.max("c").alias("most"))
-    recurs = recurs.select(*[F.col(c).alias(f"{c}_") for c in ("id", "t", "item", "n")], "most")
+    recurs = hits.groupBy("id", "t", "item", "n", "h").agg(F.count("*").alias("c")).groupBy("id", "t", "item", "n").agg(F.max("c").alias("most"), F.sum("c").alias("all"))
+    recurs = recurs.filter(F.col("all") >= similarity * F.col("n") - 1e-9).select(*[F.col(c).alias(f"{c}_") for c in ("id", "t", "item", "n")], "most")
     edge = F.coalesce(F.lag("p").over(line.orderBy("p")) < F.col("p") - 1, F.lit(True))
     same = [F.col(c).eqNullSafe(F.col(f"{c}_")) for c in ("id", "t", "item", "n")]
     starts = hits.withColumn("edge", edge).join(recurs, same).filter("edge or most > 1").select("id", "t", "n", "p").distinct()
@@ -115,9 +154,9 @@ def leaks(docs: DataFrame, items: DataFrame, similarity: float = SIMILARITY, id_
     placed = materialize(windows.withColumn("key", F.xxhash64("n", "window")), "windows")
     distinct = materialize(placed.select("key", "n", "window").distinct().withColumn("fp", simhash(F.col("window"))), "prints")
     index = goal.select("item", F.size("goal").alias("m"), "goal", simhash(F.col("goal")).alias("g"))
-    index = index.select("item", "m", "goal", "g", F.explode(block_keys(F.col("g"), True)).alias("block_"))
-    probe = distinct.select("key", "n", "window", "fp", F.explode(block_keys(F.col("fp"), False)).alias("block"))
-    near = F.bit_count(F.col("fp").bitwiseXOR(F.col("g"))) <= RADIUS
+    index = index.select("item", "m", "goal", "g", F.explode(block_keys(F.col("g"), True, within)).alias("block_"))
+    probe = distinct.select("key", "n", "window", "fp", F.explode(block_keys(F.col("fp"), False, within)).alias("block"))
+    near = F.bit_count(F.col("fp").bitwiseXOR(F.col("g"))) <= within
     met = probe.join(index, (F.col("n") == F.col("m")) & (F.col("block") == F.col("block_")) & near).select("n", "window", "item", "goal").distinct()
     met = met.withColumn("similarity", bag_similarity(F.col("window"), F.col("goal"))).filter(F.col("similarity") >= similarity)
     met = met.select(F.col("n").alias("n_"), F.col("window").alias("window_"), "item", "similarity")
@@ -127,5 +166,5 @@ def leaks(docs: DataFrame, items: DataFrame, similarity: float = SIMILARITY, id_
 
 
 def keep_clean(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs without the documents that leak an item."""
+    """docs without the documents that leak an item. Rows that share an id stay or go together, null ids too; documents without words stay."""
     return without(docs, leaks(docs, items, id_col=id_col, text=text).select(id_col), id_col)

@@ -25,7 +25,7 @@ def op1_shard_bfd(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_decontam_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).withColumn("start", F.col("start").cast("long"))
 
 
 def op9_line_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -88,6 +88,17 @@ SQL: dict[str, str] = {
             if(tag = was, response_page, null) as response_page,
             if(tag = was, concat_ws(chr(10), 'age=0', 'cache-control=max-age=600', 'content-length=' || size, 'content-type=text/html', 'etag=W/' || tag), null) as headers
         from j""",
+    "op8_decontam_simhash": r"""
+        with d as (select doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[\x20\x09-\x0D]+'), lambda w: w <> '') as w from documents),
+        b as (select item_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[\x20\x09-\x0D]+'), lambda w: w <> '') as w from benchmark),
+        s as (select doc_id, m, generate_subscripts(s, 1) - 1 as p, unnest(s) as x from (select doc_id, greatest(len(w) - 4, 1) as m, list_transform(range(1, greatest(len(w) - 4, 1) + 1), lambda i: array_to_string(w[i:i + 4], ' ')) as s from d where len(w) > 0)),
+        i as (select item_id, n, unnest(s) as x from (select item_id, greatest(len(w) - 4, 1) as n, list_transform(range(1, greatest(len(w) - 4, 1) + 1), lambda i: array_to_string(w[i:i + 4], ' ')) as s from b where len(w) > 0)),
+        k as (select item_id, n, x, count(*) as c from i group by all),
+        h as (select doc_id, item_id, n, m, c, p, x from s join k using (x)),
+        starts as (select distinct doc_id, item_id, n, m, greatest(least(p, m - n), 0) as start from h),
+        shared as (select doc_id, item_id, n, m, start, x, least(count(*), any_value(c)) as both_ from starts join h using (doc_id, item_id, n, m) where p >= start and p < start + n group by all),
+        v as (select doc_id, item_id, start, sum(both_) / (n + least(n, m) - sum(both_)) as similarity from shared group by doc_id, item_id, n, m, start)
+        select doc_id, item_id, max(similarity) as similarity, arg_max(start, (similarity, -start)) as start from v where similarity >= 0.8 group by doc_id, item_id""",
     "op9_line_suffix_array": """
         with l as (select doc_id, generate_subscripts(string_split(text, chr(10)), 1) - 1 as line, unnest(string_split(text, chr(10))) as x from documents),
         w as (select *, len(regexp_extract_all(x, '[^\\x20\\x09-\\x0D]+')) as words from l),

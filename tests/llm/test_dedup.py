@@ -188,7 +188,7 @@ def _shingles(t):
     return [tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))] if w else []
 
 
-def _leaks_brute(docs, items):
+def _leaks_brute(docs, items, similarity=0.8):
     from collections import Counter
 
     out = {}
@@ -199,7 +199,7 @@ def _leaks_brute(docs, items):
             if s and g:
                 n = len(g)
                 best = max(sum((Counter(s[a : a + n]) & Counter(g)).values()) / (len(s[a : a + n]) + n - sum((Counter(s[a : a + n]) & Counter(g)).values())) for a in range(max(1, len(s) - n + 1)))
-                if best >= 0.8:
+                if best >= similarity:
                     out[i, k] = max(out.get((i, k), 0), best)
     return out
 
@@ -210,7 +210,9 @@ def bench():
     return [(k, sentence(r, "aa", 25 + 3 * k)) for k in range(8)] + [(8, "one"), (9, None), (10, ""), (11, " ".join(["again and"] * 20)), (12, "only three words")]
 
 
-def test_decontamination_against_brute_force(spark, bench):
+@pytest.mark.parametrize(("similarity", "broadcast"), [(0.8, 32 << 20), (0.8, 0), (0.5, 32 << 20), (0.3, 0), (1.0, 0)])
+def test_decontamination_against_brute_force(spark, bench, monkeypatch, similarity, broadcast):
+    monkeypatch.setattr(decontam, "BROADCAST_BYTES", broadcast)
     r = random.Random(6)
     docs = [(1, None), (2, ""), (3, "one"), (4, "Only three WORDS"), (None, bench[0][1])]
     for i in range(10, 50):
@@ -224,13 +226,27 @@ def test_decontamination_against_brute_force(spark, bench):
         docs.append((i, " ".join([sentence(r, "bb", r.randint(0, 40)), *words, sentence(r, "bb", r.randint(0, 40))]).strip().upper()))
     docs += [(60, " ".join(["again and"] * 33)), (61, bench[2][1] + " " + bench[2][1]), (62, " ".join(bench[3][1].split()[10:]) + " " + bench[3][1] + " " + bench[4][1])]
     items = spark.createDataFrame(bench, "item_id long, text string")
-    got = {(x.doc_id, x.item_id): x.similarity for x in decontam.leaks(make(spark, docs), items).collect()}
-    want = _leaks_brute(docs, bench)
-    assert len(want) > 25 and got == pytest.approx(want)
+    got = {(x.doc_id, x.item_id): x.similarity for x in decontam.leaks(make(spark, docs), items, similarity).collect()}
+    want = _leaks_brute(docs, bench, similarity)
+    assert len(want) > 12 and got == pytest.approx(want)
+    if similarity != 0.8:
+        return
     kept = decontam.keep_clean(make(spark, docs), items)
     assert {x.doc_id for x in kept.collect()} == {i for i, _ in docs} - {i for i, _ in want}
 
 
+def test_radius_follows_from_the_similarity():
+    assert decontam.radius(0.8) == 23 and decontam.radius(1.0) == 0 and decontam.radius(0.5) > decontam.radius(0.6) > 23
+    with pytest.raises(ValueError):
+        decontam.radius(0.0)
+
+
+def test_placed_shingles_are_the_arrays(spark, odd):
+    got = decontam.placed_shingles(odd.select(F.monotonically_increasing_id().alias("k"), "text").cache()).groupBy("k").agg(F.array_sort(F.collect_list(F.struct("p", "x"))).alias("s"))
+    want = odd.select(F.monotonically_increasing_id().alias("k"), decontam.shingles("text").alias("s")).filter(F.size("s") > 0)
+    assert {x.k: [y.x for y in x.s] for x in got.collect()} == {x.k: x.s for x in want.collect()}
+
+
 def test_decontamination_of_no_rows(spark, odd, bench):
     items = spark.createDataFrame(bench, "item_id long, text string")
     assert decontam.leaks(odd.limit(0), items).collect() == []

@@ -3,8 +3,9 @@
 A server-not-modified revisit has no payload: it says that the latest full response to the same URL still holds. Resolution is an as-of join on
 the canonical URL: the latest earlier full response is found, its validators are checked against the revisit's, and headers that a 304 may carry replace the stored ones.
 
-The join splits every URL's time line into spans. Within a span a window carries the last response on; between spans, of which there is a bounded number for a
-URL, the last response of each is carried on. So a URL with a large part of all records is spread over tasks like any other.
+A URL's records at one time are one point, made by partial aggregation, so however many share a time they don't meet in a task. A window carries the last
+response on from point to point. A URL with a crowd of points is cut into spans by the quantiles of its own times; between them, of which there is a bounded number,
+the last response of each is carried on. Revisits then look their point up in a join whose hot points Spark can split.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import materialize, table
 
 #: Query parameters that only track, and header fields of a 304 that describe the message itself and never replace stored ones.
 TRACKING = r"^(utm_[^=]*|fbclid|gclid|ref)(=|$)"
@@ -26,7 +27,7 @@ _URL = r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#]*)([^?#]*)(\?[^#]*
 
 
 def canonical_url(url: Column) -> Column:
-    """Host in lower case without www. and default port, path without closing slashes, query sorted and without tracking; no scheme or fragment. Null if there is no host."""
+    """Host in lower case without www. and default port, path without closing slashes, query sorted and without tracking; no scheme or fragment. Null if there is no host, as in a null, empty or blank URL."""
     url = F.trim(url)
     host = F.regexp_replace(F.lower(F.regexp_extract(url, _URL, 1)), r"^www\.|:(80|443)$", "")
     path = F.regexp_replace(F.regexp_extract(url, _URL, 2), "/+$", "")
@@ -40,31 +41,47 @@ def _bare(etag: Column) -> Column:
     return F.regexp_replace(etag, "^W/", "")
 
 
-def resolve_revisits(records: DataFrame, spans: int = 64) -> DataFrame:
+def in_spans(points: DataFrame, crowded: DataFrame, spans: int) -> DataFrame:
+    """points (canonical, ts, ...) with span, which grows with ts: URLs in crowded (of_) are cut at the quantiles of their own times, so a stray time changes nothing; others have one span."""
+    at = points.join(crowded, F.col("canonical") == F.col("of_")).select("canonical", F.col("ts").cast("double").alias("t"))
+    cuts = at.groupBy("canonical").agg(F.percentile_approx("t", [i / spans for i in range(1, spans)], 50 * spans).alias("cuts")).withColumnRenamed("canonical", "of_")
+    cut = points.join(materialize(cuts, "cuts"), F.col("canonical") == F.col("of_"), "left")  # a row for each crowded URL, of which there are at most all points over crowd
+    return cut.withColumn("span", F.greatest(F.coalesce(F.size(F.filter("cuts", lambda c: c < F.col("ts"))), F.lit(0)), F.lit(0))).drop("of_", "cuts")
+
+
+def resolve_revisits(records: DataFrame, spans: int = 256, crowd: int = 200_000) -> DataFrame:
     """One row per revisit of records (record_id, kind, url, ts, headers; kind is response or revisit, ts a number, headers a map of lower-case names).
 
     Returns record_id, canonical, status, response_id, headers. status: resolved, if the validators agree (entity tags weakly, or else dates of
     last change); unverified, if the two have none in common; mismatch; missing, without an earlier response; no_url. Only the first two have a response_id and
     merged headers. Of records at one time a response comes before a revisit and the larger record_id last. Nulls: a null url is no_url, a null ts is
-    before all others, null headers are none. Repeated revisits have a row each; an empty table gives an empty result.
+    before all others, null headers are none. Repeated revisits have a row each; an empty table gives an empty result. URLs with more than crowd times are cut into so many spans.
     """
     own = records.filter(F.col("kind").isin("response", "revisit")).select(
         "record_id", (F.col("kind") == "revisit").alias("again"), canonical_url(F.col("url")).alias("canonical"), "ts", F.coalesce("headers", F.create_map().cast("map<string,string>")).alias("headers")
     )
-    first, last = own.agg(F.coalesce(F.min("ts"), F.lit(0)).cast("double"), F.coalesce(F.max("ts"), F.lit(0)).cast("double")).first()
-    span = F.when(F.col("ts").isNull(), 0).otherwise(F.least(F.floor((F.col("ts") - first) / max(last - first, 1e-9) * spans), F.lit(spans - 1)).cast("int"))
-    # records without a url are no time line; a hash of the id spreads them
-    own = own.withColumn("span", F.when(F.col("canonical").isNull(), F.pmod(F.xxhash64("record_id"), F.lit(1 << 20)).cast("int")).otherwise(span))
-    full = F.when(~F.col("again"), F.struct("ts", F.col("record_id").alias("id"), "headers"))
-    line = Window.partitionBy("canonical", "span").orderBy(F.col("ts").asc_nulls_first(), "again", "record_id").rowsBetween(Window.unboundedPreceding, 0)
-    near = own.withColumn("near", F.last(full, ignorenulls=True).over(line)).filter("again")
-    kept = own.filter(~F.col("again") & F.col("canonical").isNotNull())
-    kept = kept.groupBy("canonical", "span").agg(F.max_by(F.struct("ts", F.col("record_id").alias("id"), "headers"), F.struct("ts", "record_id")).alias("last"))
-    marks = near.filter("near is null and canonical is not null").select("canonical", "span").distinct().select("canonical", "span", F.lit(None).cast(kept.schema["last"].dataType).alias("last"))
-    back = Window.partitionBy("canonical").orderBy("span").rowsBetween(Window.unboundedPreceding, -1)
-    carried = kept.unionAll(marks).groupBy("canonical", "span").agg(F.first("last", ignorenulls=True).alias("last"))
-    carried = carried.withColumn("far", F.last("last", ignorenulls=True).over(back)).filter("far is not null").select(F.col("canonical").alias("c_"), F.col("span").alias("s_"), "far")
-    found = near.join(carried, (F.col("canonical") == F.col("c_")) & (F.col("span") == F.col("s_")), "left").withColumn("found", F.coalesce("near", "far"))
+    response = lambda x: F.when(~F.col("again"), x)
+    points = own.filter("canonical is not null").groupBy("canonical", "ts").agg(
+        F.max_by(response(F.struct(F.col("record_id").alias("id"), "headers")), response(F.col("record_id"))).alias("full"), F.bool_or("again").alias("asked")
+    )
+    points = materialize(points, "points")
+    by_time = lambda *keys: Window.partitionBy("canonical", *keys).orderBy(F.col("ts").asc_nulls_first())
+    crowded = points.groupBy("canonical").agg(F.count("*").alias("n")).filter(F.col("n") > crowd).select(F.col("canonical").alias("of_"))
+    crowded = materialize(crowded, "crowded")
+    if crowded.isEmpty():
+        answers = points.withColumn("found", F.last("full", ignorenulls=True).over(by_time())).filter("asked")
+    else:
+        cut = in_spans(points, crowded, spans)
+        near = materialize(cut.withColumn("near", F.last("full", ignorenulls=True).over(by_time("span"))), "near")
+        last = near.groupBy("canonical", "span").agg(F.max_by("full", F.when(F.col("full").isNotNull(), F.struct(F.col("ts").isNotNull(), "ts"))).alias("last"))
+        before = Window.partitionBy("canonical").orderBy("span").rowsBetween(Window.unboundedPreceding, -1)
+        far = last.withColumn("far", F.last("last", ignorenulls=True).over(before)).select(F.col("canonical").alias("c_"), F.col("span").alias("s_"), "far")
+        joined = near.filter("asked").join(materialize(far, "far"), (F.col("canonical") == F.col("c_")) & (F.col("span") == F.col("s_")))
+        answers = joined.withColumn("found", F.coalesce("near", "far"))
+    answers = materialize(answers.select(F.col("canonical").alias("c_"), F.col("ts").alias("t_"), "found"), "answers")
+    asked = own.filter("again").drop("again")
+    found = asked.filter("canonical is not null").join(answers, (F.col("canonical") == F.col("c_")) & F.col("ts").eqNullSafe(F.col("t_"))).drop("c_", "t_")
+    found = found.unionByName(asked.filter("canonical is null").withColumn("found", F.lit(None).cast(answers.schema["found"].dataType)))
     was, now = F.col("found.headers"), F.col("headers")
     tags = was["etag"].isNotNull() & now["etag"].isNotNull()
     dates = was["last-modified"].isNotNull() & now["last-modified"].isNotNull()
@@ -136,7 +153,11 @@ def warc_record(data: bytes) -> tuple[int, str, str | None, int | None, list[tup
 
 
 def resolved_pages(spark: SparkSession, sf_dir: str, after: int = 1000) -> DataFrame:
-    """Over the table of pages: page_id (of the revisit), canonical, status, response_page (whose response holds), headers (merged, sorted, name=value lines)."""
+    """Over the table of pages: page_id (of the revisit), canonical, status, response_page (whose response holds), headers (merged, sorted, name=value lines).
+
+    A row for each row of pages. A null html is empty; a page without a URL is no_url; a null page_id has a revisit at no time, before all others. Rows that repeat a
+    page_id are records of one time. An empty table gives an empty result; further columns are not looked at.
+    """
     found = resolve_revisits(recrawl(table(spark, sf_dir, "pages"), after))
     lines = F.array_join(F.transform(F.array_sort(F.map_entries("headers")), lambda e: F.concat(e["key"], F.lit("="), e["value"])), "\n")
     return found.select(((F.col("record_id") - 1) / 2).cast("long").alias("page_id"), "canonical", "status", (F.col("response_id") / 2).cast("long").alias("response_page"), lines.alias("headers"))

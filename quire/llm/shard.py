@@ -1,14 +1,14 @@
 """Sharding by best-fit-decreasing bin packing.
 
-Groups of equal texts are indivisible. Groups of one size are interchangeable, so the packer sees a histogram of group sizes:
-at most sqrt(2 x total bytes) distinct sizes, in practice some thousands. It places each size, largest first, into the
+Groups of equal texts are indivisible. Groups of one size are interchangeable, so the packer sees a histogram of group sizes, rounded up to 12 significant
+bits: at most some 200 000 sizes, however much there is. It places each size, largest first, into the
 fullest bin that still takes it, found in a balanced tree over (room, bin), many equal groups at a time. Which group of a
 size goes where follows from its gapless rank among the groups of that size, numbered without a single-task step.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import discard, gapless, materialize, whole
@@ -109,6 +109,13 @@ def pack_into(histogram: list[tuple[int, int]], bins: int) -> list[tuple[int, in
     return own + found
 
 
+def size_class(size: Column, capacity: int | None = None, bits: int = 12) -> Column:
+    """size rounded up to so many significant bits, but not beyond a capacity that it fits: what is placed by it never takes more room than it was given."""
+    low = F.greatest(F.length(F.bin(size)) - bits, F.lit(0))
+    up = F.call_function("shiftleft", F.call_function("shiftright", size + F.call_function("shiftleft", F.lit(1).cast("long"), low) - 1, low), low)
+    return up if capacity is None else F.when(size <= capacity, F.least(up, F.lit(capacity))).otherwise(up)
+
+
 def shard_documents(docs: DataFrame, shards: int | None = 16, capacity: int | None = None, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row of docs: id, size, text_crc32, law, shard, slot, grown_shard. Law: bytes.
 
@@ -128,7 +135,8 @@ def shard_documents(docs: DataFrame, shards: int | None = 16, capacity: int | No
         ),
         "sizes",
     )
-    groups = materialize(base.groupBy("digest").agg(F.sum("size").alias("group_size"), F.count("*").alias("copies")), "groups")
+    groups = base.groupBy("digest").agg(F.sum("size").alias("bytes"))
+    groups = materialize(groups.select("digest", size_class(F.col("bytes"), capacity).alias("group_size")), "groups")
     histogram = [(r[0], r[1]) for r in groups.groupBy("group_size").count().collect()]
     rows = base.count()
     placed = pack_into(histogram, shards) if capacity is None else best_fit_decreasing(histogram, capacity)
@@ -141,7 +149,9 @@ def shard_documents(docs: DataFrame, shards: int | None = 16, capacity: int | No
     where = ranked.join(allotted, F.col("group_size") == F.col("_size")).select(
         F.col("digest").alias("_digest"), F.filter("upto", lambda x: F.col("rank") < x["end"])[0]["shard"].alias("shard")
     )
-    out = materialize(base.join(where, F.col("digest") == F.col("_digest")).select("id", "size", "text_crc32", "shard"), "sharded")
+    out = base.join(where, F.col("digest") == F.col("_digest")).select("id", "size", "text_crc32", "shard", F.monotonically_increasing_id().alias("row"))
+    out = materialize(out, "sharded")
     discard(spark, base, groups)
-    out = gapless(out, ["shard"], ["id", "text_crc32"], F.xxhash64("id"), max(64, rows // 1_000_000), "slot")
+    # the row's number spreads rows that share id and text as well
+    out = gapless(out, ["shard"], ["id", "text_crc32", "row"], F.xxhash64("id", "row"), max(64, rows // 1_000_000), "slot")
     return out.select(F.col("id").alias(id_col), "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))

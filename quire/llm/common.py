@@ -55,8 +55,8 @@ def _forget() -> None:
     for spark, path in _made:
         try:
             _delete(spark, path)
-        except Exception:  # noqa: BLE001  the session has ended; the folder is the cluster's to clean
-            return
+        except Exception:  # noqa: BLE001  if the session has ended, the folder is the cluster's to clean
+            continue
 
 
 def whole(text: str | Column = "text") -> Column:
@@ -86,8 +86,9 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 def without(docs: DataFrame, gone: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """docs but for the ids in gone's only column, null among them. The list is written first, so Spark knows its size when it chooses the join."""
-    gone = materialize(gone.toDF("_gone").distinct(), "gone")
-    return docs.join(gone, docs[id_col].eqNullSafe(F.col("_gone")), "left_anti")
+    name = f"gone_{uuid.uuid4().hex}"  # no column of docs
+    gone = materialize(gone.toDF(name).distinct(), "gone")
+    return docs.join(gone, docs[id_col].eqNullSafe(F.col(name)), "left_anti")
 
 
 def gapless(df: DataFrame, keys: list[str], order: list[str | Column], spread: Column, buckets: int, name: str) -> DataFrame:

@@ -65,8 +65,9 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text") ->
     norm = normalised("text")
     recipe = F.transform(chunks(norm), lambda c: identifier(c, salt))
     digest = materialize(docs.select("id", recipe.alias("recipe"), F.length("text").alias("n"), F.sha2(norm.cast("binary"), 256).alias("sha")), "recipes")
-    best = digest.groupBy("recipe").agg(F.max(F.struct("n", (-F.col("id")).alias("m"))).alias("best"), F.count("*").alias("group_size"))
-    best = best.select(F.col("recipe").alias("of"), (-F.col("best.m")).alias("keep_id"), F.col("best.n").alias("most"), "group_size")
+    order = F.struct((-F.col("n")).alias("n"), F.col("id").isNull().alias("none"), "id")  # ids of any type that has an order
+    best = digest.groupBy("recipe").agg(F.min(order).alias("best"), F.count("*").alias("group_size"))
+    best = best.select(F.col("recipe").alias("of"), F.col("best.id").alias("keep_id"), (-F.col("best.n")).alias("most"), "group_size")
     best = materialize(best, "best")  # a join of two plain exchanges, whose hot recipes Spark can split
     out = digest.join(best, F.col("recipe") == F.col("of"))
     return out.select(
@@ -77,7 +78,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text") ->
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs without the rows that are copies of another, all columns as they were. Rows that share an id stay or go together."""
+    """docs without the rows that are copies of another, all columns as they were. Rows that share an id stay or go together, null ids too; null and blank texts are copies of each other."""
     return without(docs, exact_dedup(docs, id_col, text).filter("not kept").select(id_col), id_col)
 
 

@@ -16,19 +16,14 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from .kept import Kept, gather
+
 #: Marks that the pattern parts from an ASCII letter before them.
 _MARKS = np.frombuffer(b".,!?;:", np.uint8)
 #: Bytes of text that are parted at once.
 SLICE_BYTES = 12 << 20
 
 
-def gather(flat: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """flat[start[0] : start[0] + size[0]], flat[start[1] : ...], ... in one array."""
-    total = int(size.sum())
-    shift = np.repeat(start - (np.cumsum(size) - size), size)
-    return flat[shift + np.arange(total)]
-
-
 def _seamed(path: str) -> tuple[bool, list[str]]:
     """Whether a tokenizer file has the pattern that the seams are for; the tokens that are found in texts before it applies."""
     with open(path, encoding="utf-8") as f:
@@ -47,12 +42,10 @@ class PieceEncoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self._tokenizer, self._most = Tokenizer.from_file(path), most
+        self._tokenizer, self._kept = Tokenizer.from_file(path), Kept(most)
         seamed, self._added = _seamed(path)
         self._feed = self._encoded(["\n"])[0] if seamed else np.empty(0, np.uint32)
         self.seamed = seamed and len(self._feed) == 1
-        self._words = pa.array([], pa.string())
-        self._flat, self._start, self._size, self._seen = np.empty(0, np.uint32), np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, bool)
         self._marks = np.zeros(256, np.uint32)
         for m in _MARKS.tolist() if self.seamed else ():
             own = self._encoded([chr(m)])[0]
@@ -128,34 +121,30 @@ class PieceEncoder:
             plain &= ~pc.match_substring(names, token).to_numpy(zero_copy_only=False)
         marked = plain & (sizes - fed > 1) & np.isin(byte(1), _MARKS) & ((byte(2) | 32) - 97 < 26)
         words = pc.if_else(pa.array(marked), pc.utf8_slice_codeunits(names, 0, -1), names).filter(pa.array(plain)).dictionary_encode()
-        at = self._known(words.dictionary)[words.indices.to_numpy()] if len(words) else np.empty(0, np.int64)
-        here, more = self._size[at], marked[plain]
+        kept = self._kept
+        at = kept.places(words.dictionary, self._learn)[words.indices.to_numpy()] if len(words) else np.empty(0, np.int64)
+        here, more = kept.size[at], marked[plain]
         start = np.cumsum(here + more) - (here + more)
         local = np.empty(int((here + more).sum()), np.uint32)
-        local[np.repeat(start - (np.cumsum(here) - here), here) + np.arange(here.sum())] = gather(self._flat, self._start[at], here)
+        local[np.repeat(start - (np.cumsum(here) - here), here) + np.arange(here.sum())] = gather(kept.flat, kept.start[at], here)
         local[(start + here)[more]] = self._marks[byte(1)[plain][more]]
         begin, size = np.zeros(len(names), np.int64), np.zeros(len(names), np.int64)
         begin[plain], size[plain] = start, here + more
         return plain, local, begin, size
 
-    def _known(self, words: pa.Array) -> np.ndarray:
-        """Places of distinct words among the kept ones; those that aren't there are learned first."""
-        if len(self._words) + len(words) > 2 * self._most:
-            self._age()
-        at = pc.fill_null(pc.index_in(words, self._words), -1).to_numpy().astype(np.int64)
-        new, feeds = at < 0, pc.starts_with(words, "\n").to_numpy(zero_copy_only=False)
+    def _learn(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words, and how many each has."""
+        feeds = pc.starts_with(words, "\n").to_numpy(zero_copy_only=False)
+        sizes, start, every, held = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64), [], 0
         for fed in (False, True):
-            own = np.flatnonzero(new & (feeds == fed))
+            own = np.flatnonzero(feeds == fed)
             if len(own):
-                learned = words.take(pa.array(own))
-                ids, sizes = self._asked((pc.utf8_slice_codeunits(learned, 1) if fed else learned).to_pylist(), fed)
-                at[own] = np.arange(len(own)) + len(self._size)
-                self._words = pa.concat_arrays([self._words, learned])
-                self._start = np.concatenate([self._start, len(self._flat) + np.cumsum(sizes) - sizes])
-                self._size, self._flat = np.concatenate([self._size, sizes]), np.concatenate([self._flat, ids])
-                self._seen = np.concatenate([self._seen, np.zeros(len(own), bool)])
-        self._seen[at] = True
-        return at
+                some = words.take(pa.array(own))
+                ids, sizes[own] = self._asked((pc.utf8_slice_codeunits(some, 1) if fed else some).to_pylist(), fed)
+                start[own] = held + np.cumsum(sizes[own]) - sizes[own]
+                every.append(ids)
+                held += len(ids)
+        return gather(np.concatenate(every), start, sizes), sizes
 
     def _asked(self, words: list[str], fed: bool) -> tuple[np.ndarray, np.ndarray]:
         """Ids of words after a space, or after a line feed that is the first id, and their numbers. A line feed after each word tells them apart."""
@@ -170,15 +159,6 @@ class PieceEncoder:
         sizes = np.diff(ends, prepend=-1)
         return (np.concatenate([self._feed, ids[:-1]]), sizes) if fed else (np.delete(ids, ends), sizes - 1)
 
-    def _age(self) -> None:
-        """Forget what was not met since this was last done; all, if that would leave too many."""
-        keep = np.flatnonzero(self._seen)
-        if len(keep) > self._most:
-            keep = keep[:0]
-        self._words, sizes = self._words.take(pa.array(keep)), self._size[keep]
-        self._flat = gather(self._flat, self._start[keep], sizes)
-        self._start, self._size, self._seen = np.cumsum(sizes) - sizes, sizes, np.zeros(len(keep), bool)
-
 
 def _parts(text: str, most: int) -> Iterator[str]:
     """The text cut before single spaces between characters that aren't white space, in parts of at least most characters."""

@@ -12,7 +12,6 @@ Characters without a piece become byte pieces, or the unknown id if the vocabula
 from __future__ import annotations
 
 import heapq
-import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -20,16 +19,17 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_slices, whole
+from .common import whole
+from .kept import Kept, gather
 
 #: Fixed values of the model file's format: model types, and types of pieces.
 UNIGRAM, BPE = 1, 2
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 SPACE = "▁"
-_SPACED = re.compile(r" +[^ ]*")
 
 
 def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -71,17 +71,18 @@ class Vocabulary:
         self.depth = max((len(p) for p, _ in own), default=1)
         #: Characters of pieces have ranks from 1 on; all others share the one that no piece has.
         self.letters = np.array(sorted({ord(c) for p, _ in own for c in p}), np.uint32)
-        if len(self.letters) > 65_000:
-            raise ValueError("a vocabulary of more than 65 000 characters isn't supported")
+        #: Ranks that a key of 64 bits holds; their number without a piece, and the one above all.
+        self.per = 4 if len(self.letters) < (1 << 16) - 2 else 2
+        self.most = (1 << 64 // self.per) - 1
         self.ids = np.array([i for _, i in own], np.int64)
         self.lengths = np.array([len(p) for p, _ in own], np.int64)
-        self.levels = -(-self.depth // 4)
-        grid = np.zeros((len(own), self.levels * 4), np.uint64)
+        self.levels = -(-self.depth // self.per)
+        grid = np.zeros((len(own), self.levels * self.per), np.uint64)
         for row, (p, _) in enumerate(own):
             grid[row, : len(p)] = self.ranks(np.array([ord(c) for c in p], np.uint32))
-        self.low = self._packed(grid)
-        grid[np.arange(grid.shape[1])[None, :] >= self.lengths[:, None]] = 0xFFFF
-        self.high = self._packed(grid)
+        self.low = [packed([grid[:, a + j] for j in range(self.per)]) for a in range(0, grid.shape[1], self.per)]
+        grid[np.arange(grid.shape[1])[None, :] >= self.lengths[:, None]] = self.most
+        self.high = [packed([grid[:, a + j] for j in range(self.per)]) for a in range(0, grid.shape[1], self.per)]
         self.texts = [bytes([int(p[3:5], 16)]) if t == BYTE else b"" if t == CONTROL else " ⁇ ".encode() if t == UNKNOWN else p.replace(SPACE, " ").encode() for p, _, t in pieces]
 
     @classmethod
@@ -102,25 +103,27 @@ class Vocabulary:
             raise ValueError("only unigram and BPE models are supported")
         return cls(pieces, kind, prefix)
 
-    @staticmethod
-    def _packed(grid: np.ndarray) -> list[np.ndarray]:
-        return [(grid[:, a] << np.uint64(48)) | (grid[:, a + 1] << np.uint64(32)) | (grid[:, a + 2] << np.uint64(16)) | grid[:, a + 3] for a in range(0, grid.shape[1], 4)]
-
     def ranks(self, points: np.ndarray) -> np.ndarray:
         at = np.minimum(np.searchsorted(self.letters, points), len(self.letters) - 1)
-        return np.where(self.letters[at] == points, at + 1, 0xFFFE).astype(np.uint64)
+        return np.where(self.letters[at] == points, at + 1, self.most - 1).astype(np.uint64)
+
+
+def packed(ranks: list[np.ndarray]) -> np.ndarray:
+    """Ranks side by side in 64 bits, the first on top."""
+    out, bits = ranks[0], np.uint64(64 // len(ranks))
+    for r in ranks[1:]:
+        out = (out << bits) | r
+    return out
 
 
 class SuffixArray:
-    """Of a sequence of ranks with 0 between segments, sorted by the first depth ranks."""
-
-    def __init__(self, ranks: np.ndarray, levels: int) -> None:
-        padded = np.concatenate([ranks, np.zeros(4 * levels, np.uint64)])
-        n, s = len(ranks), np.uint64(16)
-        pairs = (padded[:-1] << s) | padded[1:]
-        fours = (pairs[:-2] << np.uint64(32)) | pairs[2:]
-        keys = [fours[4 * i : 4 * i + n] for i in range(levels)]
-        order = np.argsort(keys[0], kind="stable")
+    """Of a sequence of ranks with 0 between segments, sorted by the first levels times per ranks."""
+
+    def __init__(self, ranks: np.ndarray, levels: int, per: int = 4) -> None:
+        padded, n = np.concatenate([ranks, np.zeros(per * levels, np.uint64)]), len(ranks)
+        every = packed([padded[j : len(padded) - per + 1 + j] for j in range(per)])
+        keys = [every[per * i : per * i + n] for i in range(levels)]
+        order = np.argsort(keys[0])
         sorted_ = [keys[0][order]]
         # ties of the first level are broken by the others
         tie = np.concatenate([[False], sorted_[0][1:] == sorted_[0][:-1]])
@@ -157,7 +160,7 @@ class SuffixArray:
 
 def edges(vocabulary: Vocabulary, ranks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start, length and id of every piece's every occurrence, sorted by start, then length."""
-    index = SuffixArray(ranks, vocabulary.levels)
+    index = SuffixArray(ranks, vocabulary.levels, vocabulary.per)
     lo, hi = index.bounds(vocabulary.low, False), index.bounds(vocabulary.high, True)
     n = hi - lo
     which = np.repeat(np.arange(len(n)), n)
@@ -263,49 +266,103 @@ def best_path(vocabulary: Vocabulary, start: np.ndarray, length: np.ndarray, ids
     return got[:, 0], got[:, 1]
 
 
-class _Kept(dict):
-    """Ids by segment; an unknown segment comes back as it is, and is noted."""
-
-    def __init__(self) -> None:
-        super().__init__()
-        self.new: list[str] = []
-
-    def __missing__(self, segment: str) -> str:
-        self.new.append(segment)
-        return segment
+def safe_cuts(start: np.ndarray, length: np.ndarray, most: int) -> np.ndarray:
+    """The places from 1 to most that no edge (start, length) lies across. Edges that start before most must all be there."""
+    cover = np.zeros(most + 2, np.int64)
+    long = (length > 1) & (start < most)
+    np.add.at(cover, start[long] + 1, 1)
+    np.add.at(cover, np.minimum(start[long] + length[long], most + 1), -1)
+    return np.flatnonzero(np.cumsum(cover[: most + 1]) == 0)[1:]
 
 
 class Encoder:
-    def __init__(self, vocabulary: Vocabulary, most: int = 500_000, block: int = 250_000) -> None:
-        self.vocabulary, self._kept, self._most, self._block = vocabulary, _Kept(), most, block
-
-    def segments(self, text: str) -> list[str]:
-        """What follows the first space of each segment of the text, the prefix included."""
-        if SPACE in text:
-            text = text.replace(SPACE, " ")
-        if not text:
-            return []
-        if not self.vocabulary.parts or not self.vocabulary.dummy_prefix:
-            return [text]
-        if "  " in text or text[0] == " " or text[-1] == " ":
-            return [x[1:] for x in _SPACED.findall(" " + text)]
-        return text.split(" ")
-
-    def _learn(self, new: list[str]) -> None:
-        v, block, held = self.vocabulary, [], 0
-        for x in new:
+    def __init__(self, vocabulary: Vocabulary, most: int = 1_000_000, block: int = 250_000) -> None:
+        self.vocabulary, self._kept, self._block = vocabulary, Kept(most), block
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts in a row, and the number of each text's."""
+        v = self.vocabulary
+        texts = pc.replace_substring(texts.fill_null(""), SPACE, " ")
+        filled = pc.binary_length(texts).to_numpy() > 0
+        if not v.parts or not v.dummy_prefix:
+            ids, sizes = self._ids([self._full(x) if x else "" for x in texts.to_pylist()])
+            return ids, sizes
+        parted = pc.split_pattern(texts, " ")
+        docs = parted.offsets.to_numpy().astype(np.int64)
+        docs -= docs[0]
+        coded = parted.flatten().dictionary_encode()
+        of, names = coded.indices.to_numpy(), coded.dictionary
+        at = self._kept.places(names, lambda new: self._ids([self._full(x) for x in new.to_pylist()]))
+        local, start, size = self._kept.flat, self._kept.start[at], self._kept.size[at]
+        # spaces that follow each other belong to the word after them
+        hollow = (pc.binary_length(names).to_numpy() == 0)[of]
+        begins = np.zeros(len(of), bool)
+        begins[docs[:-1]] = True
+        begins[1:] |= ~hollow[:-1]
+        runs = np.flatnonzero(begins)
+        count = np.diff(np.append(runs, len(of)))
+        first, sizes = start[of[runs]], size[of[runs]]
+        joined = np.flatnonzero(count > 1)
+        if len(joined):
+            asked: dict[str, int] = {}
+            which = np.array([asked.setdefault(" ".join(names.take(pa.array(of[a : a + n])).to_pylist()), len(asked)) for a, n in zip(runs[joined].tolist(), count[joined].tolist())])
+            ids, own = self._ids([self._full(x) for x in asked])
+            first[joined], sizes[joined] = (len(local) + np.cumsum(own) - own)[which], own[which]
+            local = np.concatenate([local, ids])
+        sizes[np.searchsorted(runs, docs[:-1][~filled])] = 0  # an empty text has no ids
+        total = np.concatenate([[0], np.cumsum(sizes)])
+        return gather(local, first, sizes), np.diff(total[np.searchsorted(runs, docs)])
+
+    def _full(self, text: str) -> str:
+        return (SPACE if self.vocabulary.dummy_prefix else "") + text.replace(" ", SPACE)
+
+    def _ids(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of each of texts, which no piece crosses, in a row, and their numbers. Texts are matched in blocks; a longer one is cut where no piece crosses."""
+        found: list[np.ndarray] = []
+        sizes: list[np.ndarray] = []
+        block, held = [], 0
+
+        def match() -> None:
+            nonlocal block, held
+            if block:
+                ids, own = self._match(block)
+                found.append(ids)
+                sizes.append(own)
+            block, held = [], 0
+
+        for x in texts:
+            if len(x) > self._block:
+                match()
+                ids = np.concatenate([self._match(parts)[0] for parts in self._cut(x)])
+                if not self.vocabulary.bytes:  # unknown characters in a row are one, also across a cut
+                    ids = ids[np.concatenate([[True], (ids[1:] != self.vocabulary.unknown) | (ids[:-1] != self.vocabulary.unknown)])]
+                found.append(ids)
+                sizes.append(np.array([len(ids)]))
+                continue
             block.append(x)
-            held += len(x) + 2
+            held += len(x) + 1
             if held >= self._block:
-                self._match(block)
-                block, held = [], 0
-        if block:
-            self._match(block)
-
-    def _match(self, new: list[str]) -> None:
-        v, kept = self.vocabulary, self._kept
-        head = SPACE if v.dummy_prefix else ""
-        full = [head + x.replace(" ", SPACE) for x in new]
+                match()
+        match()
+        return (np.concatenate(found), np.concatenate(sizes)) if sizes else (np.empty(0, np.uint32), np.empty(0, np.int64))
+
+    def _cut(self, text: str) -> Iterator[list[str]]:
+        """A long text in parts that no piece crosses, as short as the pieces allow, about a block of them at a time."""
+        v, at, most = self.vocabulary, 0, self._block
+        while at < len(text):
+            ranks = v.ranks(np.frombuffer(text[at : at + most + v.depth].encode("utf-32-le", "replace"), np.uint32))
+            start, length, _ = edges(v, ranks)
+            end = min(most, len(text) - at)
+            cuts = safe_cuts(start, length, end)
+            if len(cuts):  # the text's end is one
+                places = [0, *cuts.tolist()]
+                yield [text[at + a : at + b] for a, b in zip(places, places[1:])]
+                at, most = at + places[-1], self._block
+            else:
+                most *= 2
+
+    def _match(self, full: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        v = self.vocabulary
         points = np.frombuffer("\0".join([*full, ""]).encode("utf-32-le", "replace"), np.uint32)
         bounds = np.concatenate([[0], np.cumsum([len(x) + 1 for x in full])])
         ranks = v.ranks(points)
@@ -317,40 +374,28 @@ class Encoder:
         found = (start[at] == s) & (length[at] == e - s) if len(start) else np.zeros(len(s), bool)
         token = np.where(found, ids[at] if len(start) else 0, -1)
         cuts = np.searchsorted(s, bounds)
-        data, plain = token.astype("<u4").tobytes(), np.concatenate([[0], np.cumsum(token < 0)])
-        clean = (plain[cuts[1:]] == plain[cuts[:-1]]).tolist()
-        cuts = cuts.tolist()
-        for k, x in enumerate(new):
-            a, b = cuts[k], cuts[k + 1]
-            if clean[k]:
-                kept[x] = data[4 * a : 4 * b]
-                continue
-            own: list[int] = []
-            for i in range(a, b):
-                if token[i] >= 0:
-                    own.append(int(token[i]))
-                elif v.bytes:
-                    own += [v.bytes[c] for c in chr(points[s[i]]).encode("utf-8", "replace")]
-                elif not own or own[-1] != v.unknown:
-                    own.append(v.unknown)
-            kept[x] = np.array(own, "<u4").tobytes()
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text, as little-endian unsigned 32-bit integers."""
-        kept = self._kept
-        get = kept.__getitem__
-        out = [list(map(get, self.segments(t))) for t in texts]
-        if kept.new:
-            self._learn(list(dict.fromkeys(kept.new)))
-            known = {x: kept[x] for x in kept.new}
-            out = [[known[x] if type(x) is str else x for x in own] for own in out]
-            kept.new.clear()
-        if len(kept) > self._most:
-            kept.clear()
-        return list(map(b"".join, out))
-
-    def decode(self, ids: bytes) -> str:
-        out = b"".join(map(self.vocabulary.texts.__getitem__, np.frombuffer(ids, "<u4").tolist()))
+        bare = np.flatnonzero(token < 0)
+        n = np.ones(len(token), np.int64)
+        if v.bytes:
+            point = points[s[bare]]
+            n[bare] = 1 + (point > 0x7F) + (point > 0x7FF) + (point > 0xFFFF)
+        else:
+            token[bare] = v.unknown
+            again = np.zeros(len(token), bool)
+            again[1:] = ~found[1:] & ~found[:-1]
+            again[cuts[:-1][cuts[:-1] < len(token)]] = False
+            n[again] = 0
+        out = np.repeat(token, n)
+        first = np.cumsum(n) - n
+        if v.bytes and len(bare):
+            own = np.frombuffer("".join(map(chr, point.tolist())).encode("utf-8", "replace"), np.uint8)
+            table = np.array([v.bytes[c] for c in range(256)])
+            out[np.repeat(first[bare] - (np.cumsum(n[bare]) - n[bare]), n[bare]) + np.arange(len(own))] = table[own]
+        total = np.concatenate([[0], np.cumsum(n)])
+        return out.astype(np.uint32), np.diff(total[cuts])
+
+    def decode(self, ids: np.ndarray) -> str:
+        out = b"".join(map(self.vocabulary.texts.__getitem__, ids.tolist()))
         return (out[1:] if self.vocabulary.dummy_prefix and out[:1] == b" " else out).decode("utf-8", "replace")
 
 
@@ -367,20 +412,25 @@ def default_model() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
-def _coded(batches: Iterator[pa.RecordBatch], model: str, batch_chars: int) -> Iterator[tuple[pa.RecordBatch, list[str], list[bytes]]]:
-    """Batches of (id, text), the texts and their ids, in parts of about batch_chars."""
+def _coded(batches: Iterator[pa.RecordBatch], model: str, batch_bytes: int) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
+    """Batches of (id, text) and the texts' ids, in parts of about batch_bytes; a longer text is a part by itself."""
     for b in batches:
-        for some, texts in text_slices(b, 1, batch_chars, 4096):
-            yield some, texts, encoder(model).encode(texts)
+        ends, at = np.cumsum(pc.binary_length(b.column(1)).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)), 0
+        while at < b.num_rows:
+            till = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + batch_bytes, "right")))
+            some = b.slice(at, till - at)
+            ids, sizes = encoder(model).encode(some.column(1))
+            yield some, np.split(ids, np.cumsum(sizes)[:-1])
+            at = till
 
 
-def encode_documents(docs: DataFrame, model: str | None = None, id_col: str = "doc_id", text: str = "text", batch_chars: int = 3_000_000) -> DataFrame:
-    """id, text, ids (unsigned 32-bit little-endian bytes) of every row. Null counts as empty and has no ids; texts are matched in batches of about batch_chars."""
+def encode_documents(docs: DataFrame, model: str | None = None, id_col: str = "doc_id", text: str = "text", batch_bytes: int = 8 << 20) -> DataFrame:
+    """id, text, ids (unsigned 32-bit little-endian bytes) of every row. Null counts as empty and has no ids; texts are matched in batches of about batch_bytes."""
     model = model or default_model()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b, _, coded in _coded(batches, model, batch_chars):
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(coded, pa.binary())], ["id", "text", "ids"])
+        for b, coded in _coded(batches, model, batch_bytes):
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([x.astype("<u4").tobytes() for x in coded], pa.binary())], ["id", "text", "ids"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     out = docs.select(F.col(id_col).alias("id"), whole(text).alias("text")).mapInArrow(run, f"id {kind}, text string, ids binary")
@@ -395,13 +445,13 @@ def decode_documents(coded: DataFrame, model: str | None = None, id_col: str = "
         for b in batches:
             for at in range(0, b.num_rows, 512):
                 some = b.slice(at, 512)
-                yield pa.RecordBatch.from_arrays([some.column(0), pa.array([encoder(model).decode(x or b"") for x in some.column(1).to_pylist()], pa.string())], ["id", "text"])
+                yield pa.RecordBatch.from_arrays([some.column(0), pa.array([encoder(model).decode(np.frombuffer(x or b"", "<u4")) for x in some.column(1).to_pylist()], pa.string())], ["id", "text"])
 
     kind = coded.schema[id_col].dataType.simpleString()
     return coded.select(F.col(id_col).alias("id"), "ids").mapInArrow(run, f"id {kind}, text string").withColumnRenamed("id", id_col)
 
 
-def round_trip(docs: DataFrame, model: str | None = None, id_col: str = "doc_id", text: str = "text", batch_chars: int = 3_000_000) -> DataFrame:
+def round_trip(docs: DataFrame, model: str | None = None, id_col: str = "doc_id", text: str = "text", batch_bytes: int = 8 << 20) -> DataFrame:
     """Encode and decode every row of docs: id, n_ids, ids_crc32 (of the little-endian ids), same (the decoded text is the text, its marks for spaces as spaces).
 
     Null counts as empty: no ids, and the same. Repeated rows are rows like others; an empty table gives an empty result.
@@ -409,9 +459,9 @@ def round_trip(docs: DataFrame, model: str | None = None, id_col: str = "doc_id"
     model = model or default_model()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b, texts, coded in _coded(batches, model, batch_chars):
-            same = [encoder(model).decode(x) == t.replace(SPACE, " ") for t, x in zip(texts, coded)]
-            cells = [pa.array([len(x) // 4 for x in coded], pa.int64()), pa.array([zlib.crc32(x) for x in coded], pa.int64()), pa.array(same, pa.bool_())]
+        for b, coded in _coded(batches, model, batch_bytes):
+            same = [encoder(model).decode(x) == t.replace(SPACE, " ") for t, x in zip(b.column(1).to_pylist(), coded)]
+            cells = [pa.array([len(x) for x in coded], pa.int64()), pa.array([zlib.crc32(x.astype("<u4").tobytes()) for x in coded], pa.int64()), pa.array(same, pa.bool_())]
             yield pa.RecordBatch.from_arrays([b.column(0), *cells], ["id", "n_ids", "ids_crc32", "same"])
 
     kind = docs.schema[id_col].dataType.simpleString()

@@ -15,18 +15,18 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import whole
+from .common import discard, materialize, whole
 
 _WORD = re.compile(r"[^\W\d_]+")
 #: Lengths of the beginnings of words that are terms.
 BEGINNINGS = (4, 5, 6)
 #: Labelled rows that the fit takes at most, terms that it keeps at most, and length of the terms' vectors.
 FIT_ROWS, TERMS, FACTORS = 12_000, 1024, 8
-#: Terms below this G statistic say too little to be told from chance.
-LEAST_G = 12.0
+#: Terms below this G statistic, and those of fewer rows, say too little.
+LEAST_G, LEAST_ROWS = 4.0, 3
 THRESHOLD = 0.7
 
 
@@ -40,24 +40,18 @@ def terms(text: str) -> np.ndarray:
     return np.unique(np.array([h for w in set(_WORD.findall(text.lower())) for h in word_terms(w)], np.uint32))
 
 
-def informative(rows: list[np.ndarray], labels: np.ndarray, most: int = TERMS, least: int = 3) -> np.ndarray:
-    """The terms with the largest G statistic against the label, LEAST_G or more, of those that at least least rows have."""
-    flat = np.concatenate(rows) if rows else np.empty(0, np.uint32)
-    of = np.repeat(labels, [len(r) for r in rows])
-    every, n = np.unique(flat, return_counts=True)
-    ones = np.zeros(len(every))
-    one, c = np.unique(flat[of == 1], return_counts=True)
-    ones[np.searchsorted(every, one)] = c
-    keep = n >= least
-    every, n, ones = every[keep], n[keep].astype(float), ones[keep]
-    total, pos = len(labels), labels.sum()
+def informative(rows: DataFrame, most: int = TERMS, least: int = LEAST_ROWS) -> np.ndarray:
+    """Of rows (y, terms), the terms with the largest G statistic against y, LEAST_G or more, of those that at least least rows have. Counted where the rows are; at most most come here."""
+    total, pos = rows.agg(F.count("*"), F.sum("y")).first()
+    counts = rows.select("y", F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").cast("double").alias("n"), F.sum("y").alias("ones")).filter(F.col("n") >= least)
+    n, ones = F.col("n"), F.col("ones")
 
-    def part(seen: np.ndarray, expected: np.ndarray) -> np.ndarray:
-        return np.where(seen > 0, seen * np.log(np.maximum(seen, 1e-9) / np.maximum(expected, 1e-9)), 0.0)
+    def part(seen: Column, expected: Column) -> Column:
+        return F.when(seen > 0, seen * F.ln(seen / expected)).otherwise(0.0)
 
     g = part(ones, n * pos / total) + part(n - ones, n * (total - pos) / total) + part(pos - ones, (total - n) * pos / total) + part(total - n - pos + ones, (total - n) * (total - pos) / total)
-    every, g = every[g >= LEAST_G], g[g >= LEAST_G]
-    return np.sort(every[np.lexsort((every, -np.round(g, 9)))[:most]])
+    best = counts.select("term", F.round(g, 9).alias("g")).filter(F.col("g") >= LEAST_G).orderBy(F.desc("g"), "term").limit(most)
+    return np.sort(np.array([r[0] for r in best.collect()], np.uint32))
 
 
 @dataclass
@@ -74,23 +68,29 @@ class Machine:
         return float(1 / (1 + np.exp(-np.clip(z, -40, 40))))
 
 
-def fit(rows: list[np.ndarray], labels: np.ndarray, factors: int = FACTORS, rounds: int = 250, rate: float = 0.05, decay: float = 2e-5) -> Machine:
-    """Logistic loss by full-batch Adam; deterministic."""
-    hashes = informative(rows, labels)
+def gradient(x: np.ndarray, y: np.ndarray, p: dict[str, np.ndarray], decay: float) -> tuple[float, dict[str, np.ndarray]]:
+    """The mean logistic loss, with decay / 2 times the squares of weights and vectors, and its gradient by bias (b), weights (w) and vectors (v)."""
+    v, w = p["v"].astype(x.dtype), p["w"].astype(x.dtype)
+    xv = x @ v
+    z = p["b"] + x @ w + 0.5 * ((xv**2).sum(axis=1) - x @ (v**2).sum(axis=1))
+    z = np.clip(z, -40, 40)
+    loss = float(np.mean(np.logaddexp(0, z) - y * z) + decay / 2 * ((p["w"] ** 2).sum() + (p["v"] ** 2).sum()))
+    e = ((1 / (1 + np.exp(-z)) - y) / len(y)).astype(x.dtype)
+    return loss, {"b": np.array([e.sum()]), "w": x.T @ e + decay * p["w"], "v": x.T @ (e[:, None] * xv) - v * (x.T @ e)[:, None] + decay * p["v"]}
+
+
+def fit(rows: list[np.ndarray], labels: np.ndarray, hashes: np.ndarray, factors: int = FACTORS, rounds: int = 250, rate: float = 0.05, decay: float = 2e-5) -> Machine:
+    """A machine over hashes (sorted), of the rows' terms among them. Logistic loss by full-batch Adam; deterministic."""
     x = np.zeros((len(rows), len(hashes)), np.float32)
     for i, r in enumerate(rows):
-        x[i, np.flatnonzero(np.isin(hashes, r, assume_unique=True))] = 1
+        x[i, np.searchsorted(hashes, r[np.isin(r, hashes)])] = 1
     base = (labels.sum() + 0.5) / (len(labels) + 1.0)
     p = {"b": np.array([np.log(base / (1 - base))]), "w": np.zeros(len(hashes)), "v": np.random.default_rng(0).normal(0, 0.01, (len(hashes), factors))}
     m, s = ({k: np.zeros_like(a) for k, a in p.items()} for _ in range(2))
     for t in range(1, rounds + 1):
         if not len(hashes):
             break
-        v = p["v"].astype(np.float32)
-        xv = x @ v
-        z = p["b"] + x @ p["w"].astype(np.float32) + 0.5 * ((xv**2).sum(axis=1) - x @ (v**2).sum(axis=1))
-        e = ((1 / (1 + np.exp(-np.clip(z, -40, 40))) - labels) / len(labels)).astype(np.float32)
-        g = {"b": np.array([e.sum()]), "w": x.T @ e + decay * p["w"], "v": x.T @ (e[:, None] * xv) - v * (x.T @ e)[:, None] + decay * p["v"]}
+        _, g = gradient(x, labels, p, decay)
         for k in p:
             m[k] = 0.9 * m[k] + 0.1 * g[k]
             s[k] = 0.999 * s[k] + 0.001 * g[k] ** 2
@@ -99,7 +99,7 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, factors: int = FACTORS, roun
 
 
 def learn(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, id_col: str = "doc_id", text: str = "text", label: str = "toxic") -> Machine | None:
-    """A machine of the labelled rows whose CRC-32 of the id modulo 3 isn't 1, at most fit_rows of them, picked by a hash of the id; None without any."""
+    """A machine of the labelled documents whose CRC-32 of the id modulo 3 isn't 1, at most fit_rows of them, picked by a hash of the id; None without any. An id on several rows counts once, with the last of its texts in order."""
     usable = labels.filter(F.col(label).isNotNull() & F.col(id_col).isNotNull() & (F.crc32(F.col(id_col).cast("string")) % 3 != 1))
     picked = usable.groupBy(F.col(id_col).alias("_id")).agg(F.max(label).cast("double").alias("y")).orderBy(F.xxhash64("_id"), "_id").limit(fit_rows)
 
@@ -112,12 +112,15 @@ def learn(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, id_col:
 
     kind = docs.schema[id_col].dataType.simpleString()
     own = docs.select(F.col(id_col).alias("id"), whole(text).alias("text")).join(F.broadcast(picked), F.col("id") == F.col("_id"))  # at most fit_rows pairs of numbers
-    got = own.select("id", "text", "y").mapInArrow(run, f"id {kind}, y double, terms array<long>").toArrow().sort_by("id")
-    y = got.column("y").to_numpy()
-    if not len(y):
+    one = own.groupBy("id").agg(F.max("text").alias("text"), F.max("y").alias("y"))
+    known = materialize(one.mapInArrow(run, f"id {kind}, y double, terms array<long>"), "terms")
+    if known.isEmpty():
         return None
-    rows = [c.values.to_numpy().astype(np.uint32) for c in got.column("terms")]
-    return fit(rows, y)
+    hashes = informative(known)
+    wanted = F.array(*[F.lit(int(h)) for h in hashes]).cast("array<long>") if len(hashes) else F.array().cast("array<long>")
+    got = known.select("id", "y", F.array_intersect("terms", wanted).alias("terms")).toArrow().sort_by("id")  # so few terms of so few rows
+    discard(docs.sparkSession, known)
+    return fit([c.values.to_numpy().astype(np.uint32) for c in got.column("terms")], got.column("y").to_numpy(), hashes)
 
 
 class _Places(dict):

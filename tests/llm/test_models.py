@@ -47,6 +47,17 @@ def test_bytes_are_near_equal_and_capacity_is_kept(spark):
     assert max(total.values()) <= 3000 and len(total) <= sum(total.values()) / 3000 * 11 / 9 + 1
 
 
+def test_rows_that_share_id_and_text_are_spread_and_sizes_rounded_up(spark):
+    docs = spark.range(3000).selectExpr("1L as doc_id", "'same' as text")
+    got = shard.shard_documents(docs, shards=4).collect()
+    assert len({x.shard for x in got}) == 1 and sorted(x.slot for x in got) == list(range(3000))
+    sizes = [1, 4095, 4096, 4097, 123_456_789, (1 << 40) + 1]
+    up = [x.c for x in spark.createDataFrame([(i, n) for i, n in enumerate(sizes)], "i int, n long").orderBy("i").select(shard.size_class(F.col("n")).alias("c")).collect()]
+    assert up[:3] == sizes[:3] and all(n <= u <= n * (1 + 1 / 2048) for n, u in zip(sizes, up))
+    kept = spark.createDataFrame([(4097,)], "n long").select(shard.size_class(F.col("n"), 4097).alias("c")).first().c
+    assert kept == 4097
+
+
 def test_best_fit_decreasing_against_a_plain_one():
     r = random.Random(2)
     for _ in range(40):
@@ -150,6 +161,47 @@ def test_pairs_decide_toxicity(spark):
     assert sum(x.predicted == truth[x.doc_id] for x in held) >= 0.97 * len(held)
 
 
+def test_the_machine_against_its_definition():
+    r = np.random.default_rng(4)
+    m = toxicity.Machine(np.arange(20, dtype=np.uint32), 0.3, r.normal(size=20), r.normal(size=(20, 5)))
+    for n in (0, 1, 2, 7, 20):
+        own = np.sort(r.choice(20, n, replace=False))
+        z = m.bias + sum(m.weights[i] for i in own) + sum(float(m.vectors[i] @ m.vectors[j]) for a, i in enumerate(own) for j in own[a + 1 :])
+        assert m.score(own) == pytest.approx(1 / (1 + np.exp(-z)))
+
+
+def test_the_gradient_against_differences():
+    r = np.random.default_rng(5)
+    x, y = (r.random((30, 6)) < 0.4).astype(float), (r.random(30) < 0.5).astype(float)
+    p = {"b": np.array([0.2]), "w": r.normal(size=6), "v": r.normal(size=(6, 3)) * 0.5}
+    _, g = toxicity.gradient(x, y, p, 0.01)
+    for k in p:
+        for at in np.ndindex(p[k].shape):
+            up, down = ({**p, k: p[k].copy()} for _ in range(2))
+            up[k][at] += 1e-5
+            down[k][at] -= 1e-5
+            slope = (toxicity.gradient(x, y, up, 0.01)[0] - toxicity.gradient(x, y, down, 0.01)[0]) / 2e-5
+            assert g[k][at] == pytest.approx(slope, abs=1e-6)
+
+
+def test_informative_terms_against_brute_force(spark):
+    r = random.Random(9)
+    rows = [(float(y), sorted(r.sample(range(40), 6) + [100] * y + [101] * (y and r.random() < 0.5))) for y in (int(r.random() < 0.3) for _ in range(200))]
+    got = toxicity.informative(spark.createDataFrame(rows, "y double, terms array<long>"), most=5).tolist()
+
+    def g(term):
+        out, n = 0.0, len(rows)
+        for has in (True, False):
+            for y in (0.0, 1.0):
+                seen = sum((term in t) == has and v == y for v, t in rows)
+                expected = sum((term in t) == has for _, t in rows) * sum(v == y for v, _ in rows) / n
+                out += seen * np.log(seen / expected) if seen else 0
+        return round(out, 9)
+
+    every = sorted({t for _, ts in rows for t in ts}, key=lambda t: (-g(t), t))
+    assert got == sorted(t for t in every[:5] if g(t) >= toxicity.LEAST_G) and 100 in got
+
+
 def test_toxicity_of_odd_rows(spark, odd, odd_rows):
     none = spark.createDataFrame([], "doc_id long, toxic int")
     assert {x.score for x in toxicity.score_toxicity(odd, none).collect()} == {0.0}
@@ -254,9 +306,12 @@ def test_pieces_against_the_library(spark, odd, odd_rows):
     r = random.Random(7)
     parts = ["the", "straße", "e.g.", "1234", "()", " ", "   ", "\n", "\t", "日本語", "😀", "▁", "\x00", "ﬁ", "zzzzzzzz", "http://x.y"]
     texts = ["".join(r.choice(parts) for _ in range(r.randint(0, 15))) for _ in range(300)] + ["ab" * 2000]
-    for text, ids in zip(texts, own.encode(texts)):
-        assert np.frombuffer(ids, "<u4").tolist() == sp.encode(text), repr(text)
-        assert own.decode(ids) == sp.decode(sp.encode(text))
+    texts += ["".join(r.choice("日本語abcdzé中文字") for _ in range(r.randint(290, 1200))) for _ in range(20)]  # longer than a block, without spaces
+    for at in range(0, len(texts), 40):
+        ids, sizes = own.encode(pa.array(["x", *texts[at : at + 40]]).slice(1))
+        for text, found in zip(texts[at : at + 40], np.split(ids, np.cumsum(sizes)[:-1])):
+            assert found.tolist() == sp.encode(text), repr(text)
+            assert own.decode(found) == sp.decode(sp.encode(text))
     got = spiece.round_trip(odd).collect()
     assert len(got) == len(odd_rows) and all(x.same for x in got)
     want = Counter((i, len(sp.encode(t or ""))) for i, t in odd_rows)
@@ -279,10 +334,32 @@ def test_unigram_is_the_best_path():
         return max(found or [v.scores[v.ids].min() - 10 + best(text[1:])])
 
     for text in ("abab", "aabbabab", "b a ab", "axb"):
-        ids = np.frombuffer(own.encode([text])[0], "<u4").tolist()
+        ids = own.encode(pa.array([text]))[0].tolist()
         got = sum(v.scores[i] if i else v.scores[v.ids].min() - 10 for i in ids)
         assert got == pytest.approx(best("▁" + text.replace(" ", "▁")))
-    assert own.decode(own.encode(["ab ab"])[0]) == "ab ab"
+    assert own.decode(own.encode(pa.array(["ab ab"]))[0]) == "ab ab"
+    small = spiece.Encoder(v, block=7)
+    for text in ("ab" * 20, "xx" * 9, "abxxab" * 5, "a" * 40):
+        assert small.encode(pa.array([text]))[0].tolist() == own.encode(pa.array([text]))[0].tolist()
+
+
+def test_a_long_text_without_spaces():
+    import sentencepiece
+
+    r = random.Random(20)
+    text = "".join(r.choices("ABCDEFGHijklmnopqrstuvwxyz0123456789+/中文字", k=3_000_000))
+    own = spiece.Encoder(spiece.encoder(spiece.default_model()).vocabulary)
+    ids, sizes = own.encode(pa.array([text]))
+    assert sizes.tolist() == [len(ids)] and own.decode(ids) == text
+    assert ids[:50_000].tolist() == sentencepiece.SentencePieceProcessor(model_file=spiece.default_model()).encode(text[:200_000])[:50_000]
+
+
+def test_vocabularies_of_many_characters():
+    points = [*range(0x4E00, 0x9FFF), *range(0xAC00, 0xD7A3), *range(0x20000, 0x29000)]
+    pieces = [("<unk>", 0.0, spiece.UNKNOWN), ("▁", -1.0, 1), *((chr(c), -2.0, 1) for c in points), ("中文", -1.5, 1)]
+    v = spiece.Vocabulary(pieces, spiece.BPE)
+    assert v.per == 2
+    assert [pieces[i][0] for i in spiece.Encoder(v).encode(pa.array(["中文中 x" + chr(0x28FFF)]))[0]] == ["▁", "中文", "中", "▁", "<unk>", chr(0x28FFF)]
 
 
 def test_suffix_array_finds_every_occurrence():
@@ -304,14 +381,15 @@ def test_canonical_urls(spark):
     assert got == ["a.com/x?a=1&b=2", "a.com/x?a=1&b=2", "a.com/", "h.org/", None, None, None, "a.com/x.html"]
 
 
-def test_revisits_against_brute_force(spark):
+@pytest.mark.parametrize("crowd", [5, 1000])
+def test_revisits_against_brute_force(spark, crowd):
     r = random.Random(8)
     rows = []
     for i in range(300):
         kind = r.choice(["response", "revisit"])
         headers = r.choice([None, {}, {"etag": f'"{r.randint(0, 1)}"', "content-length": "5", "age": str(i)}, {"etag": f'W/"{r.randint(0, 1)}"'}, {"last-modified": str(r.randint(0, 1))}])
         rows.append((i, kind, f"http://h.org/{0 if r.random() < 0.4 else r.randint(0, 9)}" if i % 29 else None, None if i % 41 == 5 else r.randint(0, 60), headers))
-    got = {x.record_id: x for x in warc.resolve_revisits(spark.createDataFrame(rows, "record_id long, kind string, url string, ts long, headers map<string,string>"), spans=7).collect()}
+    got = {x.record_id: x for x in warc.resolve_revisits(spark.createDataFrame(rows, "record_id long, kind string, url string, ts long, headers map<string,string>"), spans=7, crowd=crowd).collect()}
     place = lambda x: (x[3] is not None, x[3] or 0, x[1] == "revisit", x[0])
     assert len(got) == sum(x[1] == "revisit" for x in rows)
     for row in (x for x in rows if x[1] == "revisit"):
@@ -335,6 +413,15 @@ def test_revisits_against_brute_force(spark):
         assert x.headers == (None if status == "mismatch" else a | {k: v for k, v in b.items() if k not in warc.UNMERGED})
 
 
+def test_a_stray_time_leaves_the_spans_of_a_hot_url_even(spark):
+    points = spark.range(20_000).selectExpr("'u' as canonical", "if(id = 0, 1, 1700000000 + id) as ts").unionAll(spark.range(10).selectExpr("concat('v', id)", "id"))
+    crowded = spark.createDataFrame([("u",)], "of_ string")
+    got = warc.in_spans(points, crowded, 16).groupBy("canonical", "span").agg(F.count("*").alias("n"), F.min("ts").alias("lo"), F.max("ts").alias("hi")).collect()
+    hot = sorted((x for x in got if x.canonical == "u"), key=lambda x: x.span)
+    assert len(hot) == 16 and max(x.n for x in hot) < 1.2 * 20_000 / 16 and all(a.hi < b.lo for a, b in zip(hot, hot[1:]))
+    assert all(x.span == 0 for x in got if x.canonical != "u")
+
+
 def test_warc_bytes_round_trip(spark, tmp_path):
     rows = [(1, "response", "http://a.com/", 5, {"etag": '"x"', "content-type": "text/html"}, b"<p>\r\n\r\nbody"), (2, "revisit", None, None, None, None), (3, "response", "http://a.com/é", 6, {}, b"")]
     records = spark.createDataFrame(rows, "record_id long, kind string, url string, ts long, headers map<string,string>, payload binary")

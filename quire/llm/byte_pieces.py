@@ -21,7 +21,7 @@ from .kept import Kept, gather
 #: Marks that the pattern parts from an ASCII letter before them.
 _MARKS = np.frombuffer(b".,!?;:", np.uint8)
 #: Bytes of text that are parted at once.
-SLICE_BYTES = 12 << 20
+SLICE_BYTES = 6 << 20
 
 
 def _seamed(path: str) -> tuple[bool, list[str]]:
@@ -38,7 +38,7 @@ def _seamed(path: str) -> tuple[bool, list[str]]:
 class PieceEncoder:
     """Ids of words that follow a space, or begin with their line feed, are kept for later batches, up to most in each of two generations."""
 
-    def __init__(self, path: str, most: int = 1_000_000) -> None:
+    def __init__(self, path: str, most: int = 400_000) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 

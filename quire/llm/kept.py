@@ -12,8 +12,10 @@ import pyarrow.compute as pc
 def gather(flat: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
     """flat[start[0] : start[0] + size[0]], flat[start[1] : ...], ... in one array."""
     total = int(size.sum())
-    shift = np.repeat(start - (np.cumsum(size) - size), size)
-    return flat[shift + np.arange(total)]
+    narrow = np.int32 if max(total, len(flat)) < 1 << 31 else np.int64
+    at = np.repeat((start - (np.cumsum(size) - size)).astype(narrow), size)
+    at += np.arange(total, dtype=narrow)
+    return flat[at]
 
 
 class Kept:
@@ -38,6 +40,7 @@ class Kept:
             self.size, self.flat = np.concatenate([self.size, sizes]), np.concatenate([self.flat, ids])
             self._seen = np.concatenate([self._seen, np.zeros(len(new), bool)])
         self._seen[at] = True
+        pa.default_memory_pool().release_unused()
         return at
 
     def _age(self) -> None:

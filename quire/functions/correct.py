@@ -84,13 +84,22 @@ def fix_digits(text: str | Column) -> Column:
 def restore_vowels(text: str | Column, fixes: Mapping[str, str] = VOWEL_FIXES) -> Column:
     """Words whose vowel signs were lost, by a dictionary; all white space becomes single spaces."""
     known = F.create_map(*[F.lit(x) for pair in fixes.items() for x in pair]) if fixes else F.create_map().cast("map<string,string>")
-    bare = lambda w: F.regexp_replace(w, r"[।,?!;:()]+\z", "")
+    return replaced_words(T.tokens(text), known)
+
+
+def bare_word(word: Column) -> Column:
+    """A word without the marks that close it."""
+    return F.regexp_replace(word, r"[।,?!;:()]+\z", "")
+
+
+def replaced_words(words: Column, known: Column) -> Column:
+    """Words, those that a map knows without their closing marks replaced, with single spaces between."""
 
     def fix(w: Column) -> Column:
-        found = F.element_at(known, bare(w))
-        return F.when(found.isNull() | (found == ""), w).otherwise(F.concat(found, F.substring(w, F.length(bare(w)) + 1, F.length(w))))
+        found = F.element_at(known, bare_word(w))
+        return F.when(found.isNull() | (found == ""), w).otherwise(F.concat(found, F.substring(w, F.length(bare_word(w)) + 1, F.length(w))))
 
-    return F.array_join(F.transform(T.tokens(text), fix), " ")
+    return F.array_join(F.transform(words, fix), " ")
 
 
 def fix_artifacts(text: str | Column, fixes: Sequence[tuple[str, str]] = WORD_FIXES) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions.correct import bare_word, replaced_words
 
 
 def word_validity(df: DataFrame, lexicon: DataFrame, id_col: str, text: str = "text", only: str | None = f"[{T.BANGLA}]", word: str = "word") -> DataFrame:
@@ -20,3 +21,16 @@ def word_validity(df: DataFrame, lexicon: DataFrame, id_col: str, text: str = "t
     joined = counted.join(known, F.col("w") == F.col("known"), "left")
     out = joined.groupBy(id_col).agg(F.sum("n").alias("n_words"), F.sum(F.when(F.col("known").isNotNull(), F.col("n")).otherwise(0)).alias("hits"))
     return out.select(id_col, "n_words", F.when(F.col("n_words") > 0, F.col("hits") / F.col("n_words")).otherwise(1.0).alias("validity"))
+
+
+def replace_words(df: DataFrame, replacements: DataFrame, id_col: str, text: str = "text", wrong: str = "wrong", right: str = "right") -> DataFrame:
+    """id, text: words that a table of any size replaces are replaced, as correct.restore_vowels() does by a small map; all white space becomes single spaces.
+
+    Each different word of a text crosses the join once, and only replacements come back to it, as a map. Of several replacements of a word the least counts.
+    """
+    table = replacements.filter(F.col(right) != "").groupBy(F.col(wrong).alias("_wrong")).agg(F.min(right).alias("_right"))
+    words = df.select(F.col(id_col).alias("_id"), F.explode(F.array_distinct(F.transform(T.tokens(text), bare_word))).alias("_word"))
+    found = words.join(table, F.col("_word") == F.col("_wrong")).groupBy("_id").agg(F.map_from_entries(F.collect_set(F.struct("_wrong", "_right"))).alias("_map"))
+    joined = df.join(found, F.col(id_col).eqNullSafe(F.col("_id")), "left")
+    plain = F.array_join(T.tokens(text), " ")
+    return joined.select(id_col, F.when(F.col("_map").isNull(), plain).otherwise(replaced_words(T.tokens(text), F.col("_map"))).alias(text))

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,15 +13,12 @@ from ..operators import blocks as B
 from ..operators import corpus, documents, jobs
 from ..operators import score as S
 from ..sources import files, sinks
-from ..sources.scratch import shared_dir
+from ..sources.scratch import scratch_path
 from .cascade import Engines, primary_text, process_pages
 from .queries import (
     _BN, _PARTS, _SQL_BN, _STATUS, _UNICODE, BENGALI, LATIN, NAGARI, _artifacts, _correct, _documents, _jobs, _validation_sql, bangla, matches, number, q, query, rounded, share, strip, table, tag, tokens,
 )
 
-def _scratch(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/quire-{name}-{uuid.uuid4().hex}"
-
 
 def _md5(x: str | Column) -> Column:
     return F.md5((F.col(x) if isinstance(x, str) else x).cast("binary"))
@@ -253,7 +249,7 @@ def decoded_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"select distinct {strip('x')} as word from (select unnest(string_split(replace(text, ' ', chr(10)), chr(10))) as x from benchmark) where not starts_with(x, '#') and {strip('x')} <> ''")
 def lexicon_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A word list in a file, read back as a lexicon."""
-    at = _scratch(spark, "words")
+    at = scratch_path(spark, "words")
     words = table(spark, sf_dir, "benchmark").select(F.explode(F.split("text", " ")).alias("w"))
     words.unionAll(spark.createDataFrame([("# note",), ("",)], "w string")).write.text(at)
     return files.read_lexicon(spark, at)
@@ -269,7 +265,7 @@ def admitted_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("select user_id::varchar as doc_id, (max(event_id) % 9)::int as current_page, 'processing' as status from events group by user_id")
 def progress_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Snapshots of progress, appended as files; the last of each document is read back."""
-    at = _scratch(spark, "progress")
+    at = scratch_path(spark, "progress")
     e = table(spark, sf_dir, "events")
     shot = e.select(F.col("user_id").cast("string").alias("doc_id"), (F.col("event_id") % 9).cast("int").alias("current_page"), F.lit(9).alias("total_pages"), F.lit("processing").alias("status"), F.lit("").alias("message"), F.lpad(F.col("event_id").cast("string"), 20, "0").alias("updated_at"))
     sinks.append_progress(shot.filter("current_page < 5"), at)
@@ -292,20 +288,24 @@ _TURNS = "select conv_id::varchar as doc_id, turn::int as page_number, text as f
 @query(
     f"""with p as ({_TURNS}), v as (select *, page_number % 3 = 1 or (page_number % 3 = 0 and conv_odd) as verified from (select *, doc_id::bigint % 2 = 1 as conv_odd from p))
     select doc_id, page_number, engine, verified, case when confidence_score >= 0.85 and verified then 'gold' when confidence_score >= 0.65 then 'silver' else 'bronze' end as confidence_tier,
-    len({tokens('full_text')})::int as word_count, length(full_text)::int as char_count, domain from v"""
+    len({tokens('full_text')})::int as word_count, length(full_text)::int as char_count, domain, page_number % 3 = 2 as has_table, page_number >= 4 as has_image, domain || '.png' as source_image_path from v"""
 )
 def verified_twice(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Page JSON written and read back, pages verified twice with other verdicts, and the corpus that is rebuilt of both."""
-    at = _scratch(spark, "store")
+    at = scratch_path(spark, "store")
     pages = _turns(spark, sf_dir)
-    sinks.write_page_json(pages, f"{at}/pages")
+    row = F.struct(F.lit(1).alias("table_id"), F.lit(1.0).alias("structure_confidence"), F.array(F.array(F.lit("x"))).alias("rows"))
+    some = lambda due, x: F.when(due, F.array(x)).otherwise(F.slice(F.array(x), 1, 0))
+    image = B.described_image(F.lit(1), F.lit(1), F.lit(2), F.lit(None).cast("string"))
+    more = {"tables": some(F.col("page_number") % 3 == 2, row), "images": some(F.col("page_number") >= 4, image), "source_image_path": F.concat("domain", F.lit(".png"))}
+    sinks.write_page_json(pages.withColumns(more), f"{at}/pages")
     first, last = F.timestamp_seconds(F.lit(1)), F.timestamp_seconds(F.lit(2))
     key = pages.select("doc_id", "page_number")
     odd = F.col("doc_id").cast("long") % 2 == 1
     key.select("*", (F.col("page_number") % 3 != 1).alias("verified"), first.alias("at")).write.json(f"{at}/votes")
     key.select("*", ((F.col("page_number") % 3 == 1) | ((F.col("page_number") % 3 == 0) & odd)).alias("verified"), last.alias("at")).write.mode("append").json(f"{at}/votes")
     sinks.rebuild_corpus(spark, f"{at}/pages", f"{at}/corpus", f"{at}/stats", f"{at}/votes")
-    return spark.read.parquet(f"{at}/corpus").select("doc_id", "page_number", "engine", "verified", "confidence_tier", "word_count", "char_count", "domain")
+    return spark.read.parquet(f"{at}/corpus").select("doc_id", "page_number", "engine", "verified", "confidence_tier", "word_count", "char_count", "domain", "has_table", "has_image", "source_image_path")
 
 
 _TAGGED = "with p as (" + _TURNS + "), t as (select doc_id, if(count(distinct engine) > 1, 'mixed', replace(min(engine), 'ollama:x', 'ollama')) as tag from p group by doc_id)"
@@ -316,7 +316,7 @@ _TAGGED = "with p as (" + _TURNS + "), t as (select doc_id, if(count(distinct en
 )
 def document_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Merged documents, written and read back."""
-    at = _scratch(spark, "merged")
+    at = scratch_path(spark, "merged")
     pages = _turns(spark, sf_dir)
     docs = pages.select("doc_id").distinct().withColumn("kind", F.lit("k"))
     sinks.write_merged_json(docs, pages, at)
@@ -340,7 +340,7 @@ def exported_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("select l_orderkey::varchar as doc_id, l_linenumber::int as page_number, if(l_returnflag = 'R', 'second', 'first') as text from lineitem l where l_returnflag = 'R' or l_orderkey not in (select l_orderkey from lineitem where l_returnflag = 'R')")
 def page_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows of two runs; the second replaces those of its documents."""
-    at = _scratch(spark, "rows")
+    at = scratch_path(spark, "rows")
     p = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").cast("string").alias("doc_id"), F.col("l_linenumber").cast("int").alias("page_number"), "l_returnflag")
     sinks.write_page_rows(p.select("doc_id", "page_number", F.lit("first").alias("text")), at)
     sinks.write_page_rows(p.filter("l_returnflag = 'R'").select("doc_id", "page_number", F.lit("second").alias("text")), at, 1)

@@ -6,7 +6,6 @@ lineitem for documents, jobs and pages, events for logs. Texts have no Bangla, s
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -18,7 +17,7 @@ from ..functions.validate import corrupted_font, validate
 from ..operators import blocks as B
 from ..operators import corpus, documents, jobs, lexicon
 from ..operators import score as S
-from ..sources.scratch import shared_dir, spread
+from ..sources.scratch import scratch_path, spread
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -289,6 +288,32 @@ def word_validity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", T.rounded(F.col("validity"), 6).alias("validity"))
 
 
+@query(
+    f"""with t as (select doc_id, {_SQL_BN} as text from documents), lex as (select distinct unnest({tokens(f'translate(text, {q(LATIN)}, {q(BENGALI)})')}) as w from benchmark),
+    w as (select doc_id, w from (select doc_id, unnest({tokens('text')}) as w from t) where regexp_matches(w, '[{_BN}]')),
+    s as (select doc_id, count(*) as n_words, count(lex.w) as hits from w left join lex on w.w = lex.w group by doc_id)
+    select d.doc_id, coalesce(n_words, 0) as n_words, {rounded('case when coalesce(n_words, 0) > 0 then hits / n_words else 1 end', 6)} as validity from documents d left join s on d.doc_id = s.doc_id"""
+)
+def bangla_word_validity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Only words with a Bangla character count."""
+    words = table(spark, sf_dir, "benchmark").select(F.explode(T.tokens(bangla())).alias("word"))
+    out = lexicon.word_validity(table(spark, sf_dir, "documents").select("doc_id", bangla().alias("text")), words, "doc_id")
+    return out.select("doc_id", "n_words", T.rounded(F.col("validity"), 6).alias("validity"))
+
+
+@query(
+    f"""with r as (select w as wrong, upper(w) || '+' as good from (select distinct unnest({tokens('text')}) as w from benchmark) where length(w) > 6 and not regexp_matches(w, '[।,?!;:()]+\\z')),
+    w as (select doc_id, generate_subscripts(t, 1) as i, unnest(t) as w from (select doc_id, {tokens('text')} as t from documents)), b as (select *, {sub('w', '[।,?!;:()]+' + chr(92) + 'z')} as b from w),
+    j as (select doc_id, string_agg(if(good is null, w, good || substring(w, length(b) + 1)), ' ' order by i) as t, count(good) as n from b left join r on b = wrong group by doc_id)
+    select d.doc_id, md5(coalesce(t, '')) as md5 from documents d left join j on d.doc_id = j.doc_id"""
+)
+def replaced_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of the benchmark replaced in documents, by a join with their table."""
+    w = table(spark, sf_dir, "benchmark").select(F.explode(T.tokens("text")).alias("wrong")).distinct().filter((F.length("wrong") > 6) & ~F.col("wrong").rlike(r"[।,?!;:()]+\z"))
+    out = lexicon.replace_words(table(spark, sf_dir, "documents").select("doc_id", "text"), w.select("wrong", F.concat(F.upper("wrong"), F.lit("+")).alias("right")), "doc_id")
+    return out.select("doc_id", F.md5(F.col("text").cast("binary")).alias("md5"))
+
+
 @query(
     """with p as (select conv_id, turn, case role when 'user' then 'surya' when 'assistant' then 'gemini' else 'ollama:x' end as engine, length(text) % 1000 / 1000.0 as c from conversations)
     select conv_id as doc_id, count(*) as pages, printf('%.6f', avg(c))::double as mean_confidence, count(*) filter (engine in ('surya', 'easyocr', 'PyMuPDF')) as pages_local,
@@ -630,9 +655,13 @@ def new_users(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jobs.new_users(users, table(spark, sf_dir, "customer").select(F.col("c_name").alias("email"), F.col("c_custkey").alias("id")))
 
 
-@query("select source as name, n_chars as size, lang as modified from documents group by all")
+@query(
+    """with f as (select source || if(n_chars % 3 = 0, '.PDF', '.txt') as name, n_chars as size, lang as modified, if(n_chars % 2 = 0, 'application/pdf', 'text/plain') as mime from documents)
+    select name, size, modified from f where mime = 'application/pdf' or ends_with(lower(name), '.pdf') group by all"""
+)
 def distinct_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").select(F.col("source").alias("name"), F.col("n_chars").alias("size"), F.col("lang").alias("modified"), F.lit("application/pdf").alias("mime"))
+    name, mime = F.concat("source", F.when(F.col("n_chars") % 3 == 0, ".PDF").otherwise(".txt")), F.when(F.col("n_chars") % 2 == 0, "application/pdf").otherwise("text/plain")
+    d = table(spark, sf_dir, "documents").select(name.alias("name"), F.col("n_chars").alias("size"), F.col("lang").alias("modified"), mime.alias("mime"))
     return jobs.distinct_files(d).select("name", "size", "modified")
 
 
@@ -667,6 +696,6 @@ def stream_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
     events = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", "true").parquet(f"{sf_dir}/events.parquet")
     events = events.withColumn("order", F.struct("ts", "event_id"))
-    at = f"{shared_dir(spark)}/stream_states_{uuid.uuid4().hex}"
+    at = scratch_path(spark, "stream-states")
     write_last_states(last_states(events, "user_id", "order", ["event_type", "event_id"]), "user_id", f"{at}/rows", f"{at}/checkpoint").awaitTermination()
     return last_of(spark, f"{at}/rows", "user_id").select("user_id", "event_type", "event_id")

@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 _own: list[str] = []
+_made: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or what the context was given; in local mode else a temporary one."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or what the context was given; in local mode, where there is one machine, else a temporary one that goes at exit."""
     if found := spark.conf.get("spark.checkpoint.dir", None):
         return found
     if (given := spark.sparkContext._jsc.sc().getCheckpointDir()).isDefined():
@@ -20,6 +23,7 @@ def shared_dir(spark: SparkSession) -> str:
         raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     if not _own:
         _own.append("file://" + tempfile.mkdtemp(prefix="quire-"))
+        atexit.register(shutil.rmtree, _own[0].removeprefix("file://"), ignore_errors=True)
     return _own[0]
 
 
@@ -29,8 +33,39 @@ def spread(df: DataFrame) -> DataFrame:
     return df if df._jdf.queryExecution().toRdd().getNumPartitions() >= cores else df.repartition(cores)
 
 
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder. What is there goes with discard(), or when the driver ends."""
+    path = f"{shared_dir(spark)}/quire-{name}-{uuid.uuid4().hex}"
+    if not _made:
+        atexit.register(_forget)
+    _made.append((spark, path))
+    return path
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a table in the shared folder: its steps aren't run again."""
-    path = f"{shared_dir(df.sparkSession)}/quire-{name}-{uuid.uuid4().hex}"
+    """df as a Parquet table in the shared folder: its lineage is cut, its steps aren't run again, and it outlives executors."""
+    path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def discard(spark: SparkSession, *tables: DataFrame) -> None:
+    """Delete tables of written() that are no longer read."""
+    for df in tables:
+        for file in df.inputFiles()[:1]:
+            for at in [x for x in _made if x[1].rsplit("/", 1)[-1] in file]:
+                _delete(*at)
+                _made.remove(at)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def _forget() -> None:
+    for spark, path in _made:
+        try:
+            _delete(spark, path)
+        except Exception:  # noqa: BLE001  if the session has ended, the folder is the cluster's to clean
+            continue

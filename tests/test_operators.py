@@ -135,6 +135,13 @@ def test_lexicon_join(spark):
     assert {r.id: (r.n_words, r.validity) for r in lexicon.word_validity(df, lex, "id").collect()} == {1: (3, pytest.approx(2 / 3)), 2: (0, 1.0), 3: (0, 1.0)}
 
 
+def test_words_are_replaced_by_a_table(spark):
+    df = spark.createDataFrame([(1, "ab,  x ab!\ncd"), (2, "zz  y"), (3, None), (None, "ab")], "id int, text string")
+    table = spark.createDataFrame([("ab", "AB"), ("ab", "ZB"), ("cd", ""), ("x", None), (None, "n")], "wrong string, right string")
+    got = {r.id: r.text for r in lexicon.replace_words(df, table, "id").collect()}
+    assert got == {1: "AB, x AB! cd", 2: "zz y", 3: "", None: "AB"}
+
+
 def _state(spark):
     d = spark.createDataFrame([("1", "u", "D1", "a.pdf", "processing", "govt", 4, 5), ("2", "u", "D2", "b.pdf", "done", "govt", 2, 9), ("3", "v", "D3", "c.pdf", "pending", "govt", 1, 1)], "id string, user_id string, doc_id string, filename string, status string, domain string, total_pages int, created_at int")
     j = spark.createDataFrame([("j1", "1", "processing", None, 1, None), ("j2", "2", "done", None, 1, 2)], "id string, document_id string, status string, error_msg string, started_at int, completed_at int")

@@ -27,6 +27,14 @@ Detect = Callable[[bytes], list]
 _DETECTIONS = "array<struct<text:string,conf:double,points:array<struct<x:double,y:double>>>>"
 #: Characters of the least usable answer, and of an error that is shown.
 LEAST_CHARS, ERROR_CHARS = 20, 180
+#: What a page's log says of each step, and the engines' names and methods.
+TYPE, DIGITAL_OK, REROUTED, IMAGES, FLOOR = "type:", "digital_ok:%dchars", "digital_corrupt_rerouting", "images:%d", "llm_floor:%.2f"
+PRIMARY_FIRST, NO_PRIMARY = ("ocr_mode:surya_first", "surya:trying"), ("ocr_mode:skip_surya", "surya:skipped_by_env")
+PRIMARY_OK, PRIMARY_EMPTY, QUICK_OK = "surya:ok:%dchars", "surya:empty_fallthrough", "llm:skipped_sufficient_local:"
+MODELS, MODEL_OK, MODEL_CHARS, MODEL_MISMATCH, MODELS_FAILED = "llm_chain:trying", "llm_chain:ok:", ":%dchars", "llm_chain:script_mismatch:", "llm_chain:failed:none:"
+LAST, LAST_FOUND, LAST_MISMATCH, LAST_SCORE, LAST_MISSING = "easyocr:trying", "easyocr:%ddetections", "easyocr:script_mismatch", "easyocr:score:", "easyocr:unavailable"
+DIGITAL, LOCAL, API = "digital", "ocr_local", "ocr_api"
+PDF_TEXT, PRIMARY, DETECTOR = "PyMuPDF", "surya", "easyocr"
 
 _made: dict[str, tuple[float, Callable | None]] = {}
 
@@ -184,7 +192,7 @@ def recognise(pages: DataFrame, engines: Engines, image: str = "image") -> DataF
     settled: list[DataFrame] = []
     primary, s = engines.first(), engines.settings or Settings()
     limits = (s.ocr_min_bangla_ratio, s.ocr_devanagari_reject_threshold)
-    rest = pages.withColumn("steps", F.array(*map(F.lit, ["ocr_mode:surya_first", "surya:trying"] if primary else ["ocr_mode:skip_surya", "surya:skipped_by_env"])))
+    rest = pages.withColumn("steps", F.array(*map(F.lit, PRIMARY_FIRST if primary else NO_PRIMARY)))
     shown = lambda x: F.format_string("%.3f", T.rounded(x, 3))
 
     def score(b: str) -> Column:
@@ -193,7 +201,7 @@ def recognise(pages: DataFrame, engines: Engines, image: str = "image") -> DataF
     def done(df: DataFrame, source: str, method: str, engine: str | Column, *steps: str | Column) -> DataFrame:
         df = df.withColumn("steps", _log(*steps)) if steps else df
         better = None
-        if source == "easyocr" and engines.repairer is not None:
+        if source == DETECTOR and engines.repairer is not None:
             # the model's stage, for the pages with a block that is due
             due = df.withColumn("due", B.repairable(F.col("blocks"), source, **engines.corrections))
             due = _write(due)
@@ -208,15 +216,15 @@ def recognise(pages: DataFrame, engines: Engines, image: str = "image") -> DataF
 
     if primary:
         read = _write(_read(rest, image, primary)).withColumn("said", primary_text("said", engines.least_chars, s.surya_devanagari_reject_threshold, s.surya_min_bangla_ratio))
-        settled.append(done(read.filter("said <> ''").withColumn("blocks", B.paragraphs("said")), "surya", "ocr_local", "surya", F.format_string("surya:ok:%dchars", F.length("said"))))
-        rest = read.filter("said = ''").drop("said", "why").withColumn("steps", _log("surya:empty_fallthrough"))
+        settled.append(done(read.filter("said <> ''").withColumn("blocks", B.paragraphs("said")), PRIMARY, LOCAL, PRIMARY, F.format_string(PRIMARY_OK, F.length("said"))))
+        rest = read.filter("said = ''").drop("said", "why").withColumn("steps", _log(PRIMARY_EMPTY))
     if engines.quick:
         seen = _write(_detect(rest, image, engines.quick)).withColumn("blocks", B.detection_blocks("seen"))
         seen = seen.withColumn("c", score("blocks")).withColumn("good", ~S.needs_fallback(F.col("c"), S.is_bangla("blocks")))
-        settled.append(done(seen.filter("good"), "easyocr", "ocr_local", "easyocr", F.concat(F.lit("llm:skipped_sufficient_local:"), shown(F.col("c")))))
+        settled.append(done(seen.filter("good"), DETECTOR, LOCAL, DETECTOR, F.concat(F.lit(QUICK_OK), shown(F.col("c")))))
         rest = seen.filter("not good").drop("seen", "blocks", "good", "c")
     if models := engines.models():
-        rest = rest.withColumns({"steps": _log("llm_chain:trying"), "reasons": F.array().cast("array<string>")})
+        rest = rest.withColumns({"steps": _log(MODELS), "reasons": F.array().cast("array<string>")})
         answered: list[DataFrame] = []
         for name, ask in models:
             read = _write(_read(rest, image, ask)).withColumns({"by": F.lit(name), "said": T.strip("said")})
@@ -228,20 +236,20 @@ def recognise(pages: DataFrame, engines: Engines, image: str = "image") -> DataF
         for df in answered[1:]:
             read = read.unionByName(df)
         read = read.withColumns({"blocks": B.model_blocks("said"), "n": F.length("said")})
-        tried = _write(done(read.withColumn("was", F.col("steps")), "ollama", "ocr_api", F.col("by"), F.concat(F.lit("llm_chain:ok:"), "by", F.format_string(":%dchars", "n"))))
+        tried = _write(done(read, "ollama", API, F.col("by"), F.concat(F.lit(MODEL_OK), "by", F.format_string(MODEL_CHARS, "n"))))
         wrong = S.script_mismatch("blocks", *limits)
         settled.append(tried.filter(~wrong))
-        missed = tried.filter(wrong).select(*kept, F.concat(F.slice("steps", 1, F.size("steps") - 1), F.array(F.concat(F.lit("llm_chain:script_mismatch:"), "engine"))).alias("steps"))
-        rest = missed.unionByName(rest.withColumn("steps", _log(F.concat(F.lit("llm_chain:failed:none:"), F.array_join("reasons", ";")))).select(*kept, "steps"))
+        missed = tried.filter(wrong).select(*kept, F.concat(F.slice("steps", 1, F.size("steps") - 1), F.array(F.concat(F.lit(MODEL_MISMATCH), "engine"))).alias("steps"))
+        rest = missed.unionByName(rest.withColumn("steps", _log(F.concat(F.lit(MODELS_FAILED), F.array_join("reasons", ";")))).select(*kept, "steps"))
     if last := engines.full or engines.quick:
-        seen = _write(_detect(rest.withColumn("steps", _log("easyocr:trying")), image, last)).withColumn("blocks", B.detection_blocks("seen"))
-        found = done(seen.withColumn("n", F.size("seen")), "easyocr", "ocr_local", "easyocr", F.format_string("easyocr:%ddetections", "n"))
-        mismatch = F.when(S.script_mismatch("blocks", *limits), F.array(F.lit("easyocr:script_mismatch"))).otherwise(F.array().cast("array<string>"))
+        seen = _write(_detect(rest.withColumn("steps", _log(LAST)), image, last)).withColumn("blocks", B.detection_blocks("seen"))
+        found = done(seen.withColumn("n", F.size("seen")), DETECTOR, LOCAL, DETECTOR, F.format_string(LAST_FOUND, "n"))
+        mismatch = F.when(S.script_mismatch("blocks", *limits), F.array(F.lit(LAST_MISMATCH))).otherwise(F.array().cast("array<string>"))
         n = F.size("steps")
-        steps = F.concat(F.slice("steps", F.lit(1), n - 1), mismatch, F.slice("steps", n, F.lit(1)), F.array(F.concat(F.lit("easyocr:score:"), shown(score("blocks")))))
+        steps = F.concat(F.slice("steps", F.lit(1), n - 1), mismatch, F.slice("steps", n, F.lit(1)), F.array(F.concat(F.lit(LAST_SCORE), shown(score("blocks")))))
         settled.append(found.withColumn("steps", steps))
     else:
-        settled.append(done(rest.withColumn("blocks", F.array().cast(B.BLOCKS)), "none", "ocr_local", "none", "easyocr:unavailable"))
+        settled.append(done(rest.withColumn("blocks", F.array().cast(B.BLOCKS)), "none", LOCAL, "none", LAST_MISSING))
     out = settled[0]
     for df in settled[1:]:
         out = out.unionByName(df)
@@ -288,20 +296,20 @@ def process_pages(pages: DataFrame, engines: Engines, domain: str = "unknown", p
     routed = _write(routed.withColumns({"image": F.when(~F.col("valid"), F.col("image")), "text": F.when(F.col("valid"), F.col("text"))}))
     fixed = routed.filter("valid").withColumn("fixed", C.fix_numbers("text")["text"])
     digital = fixed.select(
-        *kept, F.lit("").alias("source_image_path"), B.paragraphs("fixed").alias("blocks"), F.lit("digital").alias("method"), F.lit("PyMuPDF").alias("engine"), F.lit(False).alias("correction_applied"),
-        F.array(F.lit("type:digital"), F.format_string("digital_ok:%dchars", F.length("fixed"))).alias("steps"),
+        *kept, F.lit("").alias("source_image_path"), B.paragraphs("fixed").alias("blocks"), F.lit(DIGITAL).alias("method"), F.lit(PDF_TEXT).alias("engine"), F.lit(False).alias("correction_applied"),
+        F.array(F.lit(TYPE + DIGITAL), F.format_string(DIGITAL_OK, F.length("fixed"))).alias("steps"),
     )
     digital = digital.withColumn("tables", C.digital_tables("tables")).withColumn("confidence_score", S.page_score("blocks", lexicon=engines.lexicon))
     seen = with_saved_images(routed.filter("not valid").select(*kept, "image", "kind"), put)
     scanned = recognise(seen, engines)
-    began = F.concat(F.array(F.concat(F.lit("type:"), F.col("kind"))), F.when(F.col("kind") == "digital", F.array(F.lit("digital_corrupt_rerouting"))).otherwise(F.array().cast("array<string>")))
+    began = F.concat(F.array(F.concat(F.lit(TYPE), F.col("kind"))), F.when(F.col("kind") == "digital", F.array(F.lit(REROUTED))).otherwise(F.array().cast("array<string>")))
     scanned = scanned.withColumn("steps", F.concat(began, F.col("steps"))).withColumn("table", B.scanned_table(B.block_detections("blocks")))
     one = F.struct(F.lit(1).alias("table_id"), B.table_confidence("table").alias("structure_confidence"), F.col("table").alias("rows"))
     scanned = scanned.withColumn("tables", F.when(F.col("table").isNotNull(), F.array(one)).otherwise(F.array().cast(C.TABLES))).select(digital.columns)
     out = described(digital.unionByName(scanned), engines.describers).withColumn("full_text", S.full_text("blocks"))
-    log = F.concat("steps", F.when(F.size("images") > 0, F.array(F.format_string("images:%d", F.size("images")))).otherwise(F.array().cast("array<string>")))
+    log = F.concat("steps", F.when(F.size("images") > 0, F.array(F.format_string(IMAGES, F.size("images")))).otherwise(F.array().cast("array<string>")))
     floored = S.with_floor(F.col("confidence_score"), F.col("method"), S.is_bangla("blocks"), F.col("full_text"))
     out = out.withColumns({"raised": floored, "steps": log})
-    raised = F.when(F.col("raised") != F.col("confidence_score"), F.array(F.lit(f"llm_floor:{S.LLM_FLOOR:.2f}"))).otherwise(F.array().cast("array<string>"))
+    raised = F.when(F.col("raised") != F.col("confidence_score"), F.array(F.lit(FLOOR % S.LLM_FLOOR))).otherwise(F.array().cast("array<string>"))
     out = out.withColumns({"steps": F.concat("steps", raised), "confidence_score": F.col("raised")}).drop("raised")
     return out.withColumns({"verified": F.lit(False), "domain": F.lit(domain), "decisions": page_decisions()})

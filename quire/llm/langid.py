@@ -17,12 +17,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_slices, without
+from .common import materialize, text_slices, without
 
 SPECTRUM = (2, 3, 4)
 BUCKETS = 1 << 16
 #: Labelled texts of each language that the fit takes on average, however many there are, and those of them that are landmarks.
 FIT_ROWS, LANDMARKS = 500, 64
+#: Texts of all languages, above which each language has fewer, LEAST_ROWS at least.
+ALL_ROWS, LEAST_ROWS = 8000, 8
 #: Landmarks in all, above which each language has fewer, one at least; languages that are scored together.
 ALL_LANDMARKS, LANGUAGE_BLOCK = 1024, 64
 RIDGE = 1e-3
@@ -85,11 +87,12 @@ def fit(grams: list[np.ndarray], languages: list[str], landmarks: int = LANDMARK
     """grams: the buckets of each text. The first landmarks texts of each language stand for it, fewer if there are many languages."""
     names = sorted(set(languages))
     landmarks = max(1, min(landmarks, ALL_LANDMARKS // max(1, len(names))))
+    step = -(-len(names) // ALL_LANDMARKS)  # of so many languages one has a landmark
     of, own = {name: i for i, name in enumerate(names)}, [[] for _ in names]
     y = np.array([of[x] for x in languages])
     for i, k in enumerate(y):
         own[k].append(i)
-    marks = [i for some in own for i in some[:landmarks]]
+    marks = [i for some in own[:: max(1, step)] for i in some[:landmarks]]
 
     def dense(some: list[np.ndarray]) -> np.ndarray:
         out = np.zeros((len(some), BUCKETS), np.float32)
@@ -111,10 +114,12 @@ def fit(grams: list[np.ndarray], languages: list[str], landmarks: int = LANDMARK
 def learn(docs: DataFrame, held_out_of: int = 5, fit_rows: int = FIT_ROWS, id_col: str = "doc_id", text: str = "text", lang: str = "lang") -> Model | None:
     """A model of the rows with a language whose CRC-32 of the id isn't a multiple of held_out_of; None without such rows.
 
-    The fit is bounded: of each language, rows whose id's hash is under a bound that takes fit_rows on average.
+    The fit is bounded: of each language, rows whose id's hash is under a bound that takes fit_rows on average, fewer if all languages together had more than ALL_ROWS.
     """
     rows = docs.filter(F.col(lang).isNotNull() & F.col(text).isNotNull() & (F.crc32(F.col(id_col).cast("string")) % held_out_of != 0))
-    shares = rows.groupBy(F.col(lang).alias("lang_")).agg(F.least(F.lit(1.0), fit_rows / F.count("*")).alias("share_"))
+    shares = materialize(rows.groupBy(F.col(lang).alias("lang_")).agg(F.count("*").alias("n")), "languages")
+    each = min(fit_rows, max(LEAST_ROWS, ALL_ROWS // max(1, shares.count())))
+    shares = shares.select("lang_", F.least(F.lit(1.0), each / F.col("n")).alias("share_"))
     place = F.shiftrightunsigned(F.xxhash64(id_col), 11).cast("double") / 2.0**53
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -128,7 +133,7 @@ def learn(docs: DataFrame, held_out_of: int = 5, fit_rows: int = FIT_ROWS, id_co
     # a row a language, of which the model has a column
     picked = own.join(F.broadcast(shares), (F.col("lang") == F.col("lang_")) & (F.col("place") < F.col("share_"))).select("lang", "text", "place").mapInArrow(run, "lang string, grams array<int>, place double")
     got = picked.toArrow()
-    grams = [c.values.to_numpy().astype(np.int64) for c in got.column("grams")]
+    grams = [c.values.to_numpy() for c in got.column("grams")]
     rows = sorted((p, x, i) for i, (p, x) in enumerate(zip(got.column("place").to_pylist(), got.column("lang").to_pylist())) if len(grams[i]))
     return fit([grams[i] for _, _, i in rows], [x for _, x, _ in rows]) if rows else None
 
@@ -163,5 +168,5 @@ def language_id(docs: DataFrame, held_out_of: int = 5, id_col: str = "doc_id") -
 
 
 def keep_identified(docs: DataFrame, least: float = 0.35, id_col: str = "doc_id") -> DataFrame:
-    """docs whose language is found with a share of at least least; undetermined texts and those torn between languages go. Rows that share an id stay or go together."""
+    """docs whose language is found with a share of at least least; undetermined texts and those torn between languages go. Rows that share an id stay or go together, null ids too; without labelled rows all go."""
     return without(docs, language_id(docs, id_col=id_col).filter((F.col("lang_pred") == "und") | (F.col("score") < least)).select(id_col), id_col)

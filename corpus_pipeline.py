@@ -1,6 +1,7 @@
 """A corpus pipeline: documents in a known language, each line run once, one of near copies, no benchmark items, as token ids.
 
-Each stage takes (spark, docs, sf_dir), works on all that the stage before it kept, and returns a DataFrame; all but the last return the columns of documents.
+Each stage takes (spark, docs, sf_dir), works on all that the stage before it kept, and returns a DataFrame; all but the last return the columns of documents,
+and whatever others docs has. A null text counts as empty. Rows that share an id, null ids too, stay or go together, but for what line dedup makes of their texts. Empty tables give empty ones.
 """
 
 from __future__ import annotations
@@ -19,27 +20,27 @@ from quire.llm.spiece import round_trip
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without letters or torn between languages go."""
+    """Documents without letters, null and empty ones among them, or torn between languages go; so do all if no row has a language."""
     return keep_identified(docs)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Later copies of repeated line runs leave the texts; a document of which nothing but blank lines is left goes."""
+    """Later copies of repeated line runs leave the texts, the first by id and line stays; a document of which nothing but blank lines is left goes. Null and empty texts, without any line to repeat, stay."""
     return keep_lines(docs).withColumn("n_chars", F.length("text").cast("long"))
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays: those that share at least 0.8 of their five-word shingles."""
+    """One document of each group of near copies stays, that of the least id: those that share at least 0.8 of their five-word shingles. Texts without words are copies of each other."""
     return keep_one(docs)
 
 
 def benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold an item of the benchmark go."""
+    """Documents that hold an item of the benchmark go. Items without words are in none."""
     return keep_clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Ids of what is left, checked by decoding: doc_id, n_ids, ids_crc32, same."""
+    """Ids of what is left, checked by decoding: doc_id, n_ids, ids_crc32, same; a row each, repeated ones too."""
     return round_trip(docs)
 
 

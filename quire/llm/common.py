@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import atexit
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -10,55 +9,18 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..sources.scratch import shared_dir
+from ..sources.scratch import discard, scratch_path
+from ..sources.scratch import written as materialize
+
+__all__ = ["ASCII_SPACE", "discard", "gapless", "let", "materialize", "scratch_path", "table", "text_slices", "whole", "without"]
 
 #: ASCII white space, as in the contracts: space, and tab to carriage return.
 ASCII_SPACE = r"[\x20\x09-\x0D]"
 
-_made: list[tuple[SparkSession, str]] = []
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scratch_path(spark: SparkSession, name: str) -> str:
-    path = f"{shared_dir(spark)}/quire-{name}-{uuid.uuid4().hex}"
-    if not _made:
-        atexit.register(_forget)
-    _made.append((spark, path))
-    return path
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Cut the lineage: a Parquet table in the shared folder, which outlives executors."""
-    path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def discard(spark: SparkSession, *tables: DataFrame) -> None:
-    """Delete scratch tables that are no longer read."""
-    for df in tables:
-        for file in df.inputFiles()[:1]:
-            for at in [x for x in _made if x[1].rsplit("/", 1)[-1] in file]:
-                _delete(*at)
-                _made.remove(at)
-
-
-def _delete(spark: SparkSession, path: str) -> None:
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
-
-
-def _forget() -> None:
-    for spark, path in _made:
-        try:
-            _delete(spark, path)
-        except Exception:  # noqa: BLE001  if the session has ended, the folder is the cluster's to clean
-            continue
-
-
 def whole(text: str | Column = "text") -> Column:
     """The text, null as empty."""
     return F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))

@@ -40,6 +40,15 @@ def test_exact_dedup_of_no_rows_and_kept_columns(spark, odd):
     assert not {6, 7} & {r.doc_id for r in kept.collect()}
 
 
+def test_ids_of_other_types(spark, odd):
+    named = odd.withColumn("doc_id", F.concat(F.lit("d"), F.col("doc_id").cast("string")))
+    assert sorted(x.keep_id for x in exact_dedup.exact_dedup(named).collect() if x.doc_id == "d7") == ["d8"]
+    least = spark.createDataFrame([(-(1 << 63), "x"), (5, "x")], "doc_id long, text string")
+    assert {x.keep_id for x in exact_dedup.exact_dedup(least).collect()} == {-(1 << 63)}
+    assert {x.component_id for x in simhash.near_dedup(named).collect() if x.doc_id in ("d6", "d7")} == {"d6"}
+    assert line_dedup.line_dedup(named).count() == odd.count() and decontam.leaks(named, spark.createDataFrame([("i", "one two")], "item_id string, text string")).collect() == []
+
+
 def test_chunks_are_local_to_an_edit(spark):
     r = random.Random(2)
     text = "".join(sentence(r, "aa", 4000).split())

@@ -45,3 +45,28 @@ def test_gapless_numbers_are_in_order(spark):
     df = spark.range(1000).select((F.col("id") % 3).alias("k"), F.col("id").alias("v"))
     got = gapless(df, ["k"], ["v"], (F.col("v") / 100).cast("int"), 10, "place").collect()
     assert all(x.place == x.v // 3 for x in got)
+
+
+def test_odd_rows_go_through_all_stages(spark, odd, odd_rows, tmp_path):
+    spark.createDataFrame([(1, "x " * 30), (2, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = odd.withColumnsRenamed({"t": "_gone", "fp": "bucket"})  # names that steps might use themselves
+    columns = docs.columns
+    for name, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, str(tmp_path))
+        if name != "sentencepiece":
+            assert docs.columns == columns
+            docs.write.parquet(f"{tmp_path}/{name}")
+            docs = spark.read.parquet(f"{tmp_path}/{name}")
+    left = docs.collect()
+    assert {x.doc_id for x in left} <= {i for i, _ in odd_rows} and all(x.same for x in left)
+    assert not {1, 2, 3, 16} & {x.doc_id for x in left}  # no letters
+
+
+def test_empty_tables_go_through_all_stages(spark, odd, tmp_path):
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = odd.limit(0)
+    for name, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, str(tmp_path))
+        docs.write.parquet(f"{tmp_path}/{name}")
+        docs = spark.read.parquet(f"{tmp_path}/{name}")
+        assert docs.count() == 0

@@ -128,14 +128,15 @@ def export(t: Tables, path: str) -> None:
     sinks.write_corpus(corpus.verify(t.pages, t.verifications), path)
 
 
-def verify(t: Tables, doc_id: str, page_number: int, verified: bool = True, store: Store | None = None) -> DataFrame:
-    """The verification of a page that there is, as a row. With a store it is appended there, and corpus and statistics are rebuilt."""
+def verify(t: Tables, doc_id: str, page_number: int, verified: bool = True, store: Store | None = None, rebuild: bool = True) -> DataFrame:
+    """The verification of a page that there is, as a row. With a store it is appended there, and corpus and statistics are rebuilt, or left for a later rebuild of many verifications."""
     spark = t.pages.sparkSession
     if files.find_page(t.pages, doc_id, page_number).isEmpty():
         raise NotFound(f"{doc_id}, page {page_number}")
     row = spark.createDataFrame([(doc_id, page_number, verified, datetime.now(timezone.utc))], files.VERIFICATION_SCHEMA)
     if store is not None:
         row.write.mode("append").json(store.verifications)
+    if store is not None and rebuild:
         sinks.rebuild_corpus(spark, store.pages, store.corpus, store.stats, store.verifications)
     return row
 

@@ -179,9 +179,9 @@ EASYOCR = ("easyocr", "easyocr_fallback", "EasyOCR_fallback")
 
 def correct(
     text: str | Column, source: str | Column, lexicon: Sequence[str] = (), word_fixes: Sequence[tuple[str, str]] = WORD_FIXES, vowel_fixes: Mapping[str, str] = VOWEL_FIXES,
-    validity: Column | None = None, composed: Column | None = None, repaired: Column | None = None,
+    validity: Column | None = None, composed: Column | None = None, repaired: Column | None = None, log: bool = True,
 ) -> Column:
-    """All stages by source: text, log fields, and whether the model's stage is due (needs_repair), and for which text (staged).
+    """All stages by source: text, corrections, with log the other log fields, and whether the model's stage is due (needs_repair), and for which text (staged).
 
     validity: the word validity, if it is known from a join with a large lexicon. composed: the text's nfc(), for use within a lambda. repaired: what the
     model's stage made of staged, or null; the stages after it go on from there.
@@ -199,11 +199,19 @@ def correct(
         valid = validity if validity is not None else word_validity(a, lexicon)
         late = F.when(src == "ollama", restore_vowels(c, vowel_fixes)).when(src.isin(*EASYOCR), fix_artifacts(c, word_fixes)).otherwise(c)
         restored = lambda d: (src == "ollama") & (F.size(F.filter(T.tokens(c), lambda w: restore_vowels(w, vowel_fixes) != w)) > 0)
+        logged = lambda d: [
+            F.length(before).alias("original_length"),
+            src.alias("source"),
+            T.rounded(valid).alias("word_validity_ratio"),
+            F.when(c != first, T.rounded(word_validity(c, lexicon))).alias("word_validity_after_gemini"),
+            F.when(src.isin(*EASYOCR) & (d != c), sum((F.contains(before, F.lit(w)).cast("int") for w, _ in word_fixes), F.lit(0))).alias("stage_f_fixes"),
+            F.length(d).alias("corrected_length"),
+            T.edit_ratio(before, d).alias("edit_distance"),
+        ]
         return let(
             late,
             lambda d: F.struct(
                 d.alias("text"),
-                F.length(before).alias("original_length"),
                 F.array_compact(
                     F.array(
                         F.when(a != before, "unicode_normalization"),
@@ -213,12 +221,7 @@ def correct(
                         F.when(src.isin(*EASYOCR) & (d != c), "stage_f_easyocr_artifacts"),
                     )
                 ).alias("corrections"),
-                src.alias("source"),
-                T.rounded(valid).alias("word_validity_ratio"),
-                F.when(c != first, T.rounded(word_validity(c, lexicon))).alias("word_validity_after_gemini"),
-                F.when(src.isin(*EASYOCR) & (d != c), sum((F.contains(before, F.lit(w)).cast("int") for w, _ in word_fixes), F.lit(0))).alias("stage_f_fixes"),
-                F.length(d).alias("corrected_length"),
-                T.edit_ratio(before, d).alias("edit_distance"),
+                *(logged(d) if log else []),
                 ((src == "easyocr") & (T.bangla_ratio(first) > 0.2) & (valid < 0.15) & (F.length(first) > 30)).alias("needs_repair"),
                 first.alias("staged"),
             ),

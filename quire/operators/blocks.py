@@ -136,7 +136,7 @@ def _due(x: Column) -> Column:
 def repairable(blocks: str | Column, source: str, **options) -> Column:
     """By block, the text that the model's stage gets, or null if the stage isn't due. blocks must be a column of a row."""
     b = F.col(blocks) if isinstance(blocks, str) else blocks
-    ask = lambda x, n: let(correct(x["text"], source, composed=F.coalesce(n, F.lit("")), **options), lambda k: F.when(k["needs_repair"], k["staged"]))
+    ask = lambda x, n: let(correct(x["text"], source, composed=F.coalesce(n, F.lit("")), log=False, **options), lambda k: F.when(k["needs_repair"], k["staged"]))
     return F.zip_with(b, nfc_all(F.transform(b, lambda x: x["text"])), lambda x, n: F.when(_due(x), ask(x, n)))
 
 
@@ -148,7 +148,7 @@ def correct_blocks(blocks: str | Column, source: str, repaired: str | None = Non
     b = F.col(blocks) if isinstance(blocks, str) else blocks
 
     def fix(x: Column, n: Column) -> Column:
-        c = correct(x["text"], source, composed=F.coalesce(n["n"], F.lit("")), repaired=n["r"], **options)
+        c = correct(x["text"], source, composed=F.coalesce(n["n"], F.lit("")), repaired=n["r"], log=False, **options)
         return let(c, lambda k: let(drop_devanagari_lines(k["text"]), lambda t: F.struct(t.alias("text"), ((F.size(k["corrections"]) > 0) | (F.size(T.split_lines(k["text"])) != F.size(T.split_lines(t)))).alias("changed"))))
 
     plain = lambda x: F.struct(x["text"].alias("text"), F.lit(False).alias("changed"))

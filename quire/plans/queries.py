@@ -514,7 +514,7 @@ def _correct(x: str) -> str:
 
 @query(f"with t as (select doc_id, {_SQL_BN} as t from documents), c as (select doc_id, t, {_correct('t')} as c from t) select doc_id, length(c) as n, md5(c) as md5, c <> t as changed from c")
 def correct_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = table(spark, sf_dir, "documents").select("doc_id", bangla().alias("t")).select("doc_id", "t", C.correct("t", "surya").alias("c"))
+    t = table(spark, sf_dir, "documents").select("doc_id", bangla().alias("t")).select("doc_id", "t", C.correct("t", "surya", log=False).alias("c"))
     return t.select("doc_id", F.length("c.text").cast("long").alias("n"), F.md5(F.col("c.text").cast("binary")).alias("md5"), (F.col("c.text") != F.col("t")).alias("changed"))
 
 

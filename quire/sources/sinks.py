@@ -130,6 +130,11 @@ def read_page_rows(spark: SparkSession, path: str) -> DataFrame:
     return rows.join(last, (F.col("doc_id") == F.col("_d")) & (F.col("run") == F.col("_r")), "left_semi").drop("run")
 
 
+def compact_page_rows(spark: SparkSession, path: str, to: str) -> None:
+    """The current page rows of path as one run in a new place: what superseded runs held isn't read any more."""
+    write_page_rows(read_page_rows(spark, path).hint("rebalance"), to)
+
+
 def with_saved_images(pages: DataFrame, put: Callable[[str, int, bytes], str] | None) -> DataFrame:
     """pages with source_image_path: what put() says of each image, empty if it fails, or without put()."""
     if put is None:

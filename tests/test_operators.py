@@ -339,6 +339,8 @@ def test_files_sinks_and_streaming(spark, tmp_path):
     last = rows.filter("doc_id like 'e%'").first().doc_id
     sinks.write_page_rows(spark.createDataFrame([(last, 1, "new")], "doc_id string, page_number int, text string"), f"{tmp_path}/rows", 7)
     assert sinks.read_page_rows(spark, f"{tmp_path}/rows").count() == 3
+    sinks.compact_page_rows(spark, f"{tmp_path}/rows", f"{tmp_path}/rows2")
+    assert sorted(map(tuple, spark.read.parquet(f"{tmp_path}/rows2").drop("run").collect())) == sorted(map(tuple, sinks.read_page_rows(spark, f"{tmp_path}/rows").collect()))
     (inbox / "f.pdf").write_bytes(b"x")
     canceled = files.read_documents(spark, f"{inbox}/f.pdf").select("doc_id")
     stream.ingest(stream.inbox(spark, str(inbox)), process, f"{tmp_path}/rows", f"{tmp_path}/check", lambda: canceled).awaitTermination()
@@ -355,6 +357,8 @@ def test_files_sinks_and_streaming(spark, tmp_path):
     state = _state(spark)
     store = api.Store(f"{tmp_path}/json", f"{tmp_path}/votes", f"{tmp_path}/corpus2", f"{tmp_path}/stats2")
     t = api.Tables(state.documents, state.jobs, back, state.progress, state.verifications)
+    api.verify(t, doc, 1, False, store, rebuild=False)
+    assert not (tmp_path / "corpus2").exists()
     for verdict, tier in ((True, True), (False, False)):
         api.verify(t, doc, 1, verdict, store)
         found = spark.read.parquet(store.corpus).filter("page_number = 1").collect()

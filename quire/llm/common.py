@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 from ..sources.scratch import discard, scratch_path
 from ..sources.scratch import written as materialize
 
-__all__ = ["ASCII_SPACE", "discard", "gapless", "let", "materialize", "scratch_path", "table", "text_slices", "whole", "without"]
+__all__ = ["ASCII_SPACE", "discard", "gapless", "let", "materialize", "scratch_path", "settled", "table", "text_slices", "whole", "without"]
 
 #: ASCII white space, as in the contracts: space, and tab to carriage return.
 ASCII_SPACE = r"[\x20\x09-\x0D]"
@@ -41,6 +42,18 @@ def text_slices(batch: pa.RecordBatch, column: int, most_chars: int, most_rows:
         yield batch.slice(at, len(texts)), texts
 
 
+def settled(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """run, after which the worker, which Spark keeps for later tasks, gives the memory that it has freed back to the system."""
+
+    def whole_run(batches: Iterator) -> Iterator:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+            libc.malloc_trim(0)
+
+    return whole_run
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """body over value, which is computed once a row. A lambda of a higher-order function would compute a plain column anew for each element."""
     return F.element_at(F.transform(F.array(value), body), 1)

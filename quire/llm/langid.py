@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, text_slices, without
+from .common import materialize, settled, text_slices, without
 
 SPECTRUM = (2, 3, 4)
 BUCKETS = 1 << 16
@@ -131,7 +131,7 @@ def learn(docs: DataFrame, held_out_of: int = 5, fit_rows: int = FIT_ROWS, id_co
 
     own = rows.select(F.col(lang).alias("lang"), F.col(text).alias("text"), place.alias("place"))
     # a row a language, of which the model has a column
-    picked = own.join(F.broadcast(shares), (F.col("lang") == F.col("lang_")) & (F.col("place") < F.col("share_"))).select("lang", "text", "place").mapInArrow(run, "lang string, grams array<int>, place double")
+    picked = own.join(F.broadcast(shares), (F.col("lang") == F.col("lang_")) & (F.col("place") < F.col("share_"))).select("lang", "text", "place").mapInArrow(settled(run), "lang string, grams array<int>, place double")
     got = picked.toArrow()
     grams = [c.values.to_numpy() for c in got.column("grams")]
     rows = sorted((p, x, i) for i, (p, x) in enumerate(zip(got.column("place").to_pylist(), got.column("lang").to_pylist())) if len(grams[i]))
@@ -157,7 +157,7 @@ def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text:
                 yield pa.RecordBatch.from_arrays([some.column(0), pa.array(names, pa.string()), pa.array(shares.astype(float))], ["id", "lang_pred", "score"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    out = docs.select(F.col(id_col).alias("id"), F.col(text).alias("text")).mapInArrow(run, f"id {kind}, lang_pred string, score double")
+    out = docs.select(F.col(id_col).alias("id"), F.col(text).alias("text")).mapInArrow(settled(run), f"id {kind}, lang_pred string, score double")
     return out.withColumnRenamed("id", id_col)
 
 

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, without
+from .common import materialize, settled, without
 from .components import components
 from .simhash import fingerprint, shingle_hashes, word_bytes
 from .simhash import links as golay_links
@@ -74,7 +74,7 @@ def _prints(docs: DataFrame, id_col: str, text: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column(0), *cells], ["id", "print", "n", "keys", "fp"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("id"), F.col(text).alias("text")).mapInArrow(run, f"id {kind}, print binary, n long, keys array<long>, fp long")
+    return docs.select(F.col(id_col).alias("id"), F.col(text).alias("text")).mapInArrow(settled(run), f"id {kind}, print binary, n long, keys array<long>, fp long")
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, id_col: str, text: str) -> DataFrame:
@@ -88,7 +88,7 @@ def _sets(docs: DataFrame, wanted: DataFrame, id_col: str, text: str) -> DataFra
                 sets = [shingle_set(t.as_py()) for t in b.column(0).slice(at, 256)]
                 yield pa.RecordBatch.from_arrays([pa.array(map(_print, sets), pa.binary()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], ["print_", "own"])
 
-    found = again.mapInArrow(run, "print_ binary, own array<long>").join(wanted, F.col("print_") == F.col("print"))
+    found = again.mapInArrow(settled(run), "print_ binary, own array<long>").join(wanted, F.col("print_") == F.col("print"))
     return found.groupBy("node").agg(F.any_value("own").alias("own"))
 
 

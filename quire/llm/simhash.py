@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, without
+from .common import materialize, settled, without
 from .components import components, forest
 
 #: The generator polynomial of the Golay code, x^11 + x^9 + x^7 + x^6 + x^5 + x + 1.
@@ -66,7 +66,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text: str = "text", k:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view(np.int64))], ["id", "fp"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("id"), F.col(text).alias("text")).mapInArrow(run, f"id {kind}, fp long")
+    return docs.select(F.col(id_col).alias("id"), F.col(text).alias("text")).mapInArrow(settled(run), f"id {kind}, fp long")
 
 
 @cache
@@ -140,7 +140,7 @@ def _keys(fps: DataFrame, side: int) -> DataFrame:
                 rows, keys = fuzzy_keys(part)[side]
                 yield pa.RecordBatch.from_arrays([pa.array(part[rows]), pa.array(keys)], ["fp", "key"])
 
-    return fps.select("fp").mapInArrow(run, "fp long, key long")
+    return fps.select("fp").mapInArrow(settled(run), "fp long, key long")
 
 
 def links(fps: DataFrame, radius: int = RADIUS, crowd: int = 64, tile: int = 2048) -> DataFrame:

@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import whole
+from .common import settled, whole
 from .kept import Kept, gather
 
 #: Fixed values of the model file's format: model types, and types of pieces.
@@ -276,7 +276,7 @@ def safe_cuts(start: np.ndarray, length: np.ndarray, most: int) -> np.ndarray:
 
 
 class Encoder:
-    def __init__(self, vocabulary: Vocabulary, most: int = 500_000, block: int = 250_000) -> None:
+    def __init__(self, vocabulary: Vocabulary, most: int = 400_000, block: int = 64_000) -> None:
         self.vocabulary, self._kept, self._block = vocabulary, Kept(most), block
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -424,7 +424,7 @@ def _coded(batches: Iterator[pa.RecordBatch], model: str, batch_bytes: int) -> I
             at = till
 
 
-def encode_documents(docs: DataFrame, model: str | None = None, id_col: str = "doc_id", text: str = "text", batch_bytes: int = 8 << 20) -> DataFrame:
+def encode_documents(docs: DataFrame, model: str | None = None, id_col: str = "doc_id", text: str = "text", batch_bytes: int = 2 << 20) -> DataFrame:
     """id, text, ids (unsigned 32-bit little-endian bytes) of every row. Null counts as empty and has no ids; texts are matched in batches of about batch_bytes."""
     model = model or default_model()
 
@@ -433,7 +433,7 @@ def encode_documents(docs: DataFrame, model: str | None = None, id_col: str = "d
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([x.astype("<u4").tobytes() for x in coded], pa.binary())], ["id", "text", "ids"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    out = docs.select(F.col(id_col).alias("id"), whole(text).alias("text")).mapInArrow(run, f"id {kind}, text string, ids binary")
+    out = docs.select(F.col(id_col).alias("id"), whole(text).alias("text")).mapInArrow(settled(run), f"id {kind}, text string, ids binary")
     return out.select(F.col("id").alias(id_col), F.col("text").alias(text), "ids")
 
 
@@ -448,10 +448,10 @@ def decode_documents(coded: DataFrame, model: str | None = None, id_col: str = "
                 yield pa.RecordBatch.from_arrays([some.column(0), pa.array([encoder(model).decode(np.frombuffer(x or b"", "<u4")) for x in some.column(1).to_pylist()], pa.string())], ["id", "text"])
 
     kind = coded.schema[id_col].dataType.simpleString()
-    return coded.select(F.col(id_col).alias("id"), "ids").mapInArrow(run, f"id {kind}, text string").withColumnRenamed("id", id_col)
+    return coded.select(F.col(id_col).alias("id"), "ids").mapInArrow(settled(run), f"id {kind}, text string").withColumnRenamed("id", id_col)
 
 
-def round_trip(docs: DataFrame, model: str | None = None, id_col: str = "doc_id", text: str = "text", batch_bytes: int = 8 << 20) -> DataFrame:
+def round_trip(docs: DataFrame, model: str | None = None, id_col: str = "doc_id", text: str = "text", batch_bytes: int = 2 << 20) -> DataFrame:
     """Encode and decode every row of docs: id, n_ids, ids_crc32 (of the little-endian ids), same (the decoded text is the text, its marks for spaces as spaces).
 
     Null counts as empty: no ids, and the same. Repeated rows are rows like others; an empty table gives an empty result.
@@ -465,5 +465,5 @@ def round_trip(docs: DataFrame, model: str | None = None, id_col: str = "doc_id"
             yield pa.RecordBatch.from_arrays([b.column(0), *cells], ["id", "n_ids", "ids_crc32", "same"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    out = docs.select(F.col(id_col).alias("id"), whole(text).alias("text")).mapInArrow(run, f"id {kind}, n_ids long, ids_crc32 long, same boolean")
+    out = docs.select(F.col(id_col).alias("id"), whole(text).alias("text")).mapInArrow(settled(run), f"id {kind}, n_ids long, ids_crc32 long, same boolean")
     return out.withColumnRenamed("id", id_col)

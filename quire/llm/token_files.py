@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from . import rans
 from .byte_pieces import PieceEncoder, piece_encoder
-from .common import scratch_path, whole
+from .common import scratch_path, settled, whole
 
 def default_tokenizer() -> str:
     import public_tokenizers
@@ -87,7 +87,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str | None = None,
     # rows of one id, or of one text, are interchangeable or ordered by a hash, so that ranges can split them
     keys = [F.col(id_col).cast("long").alias("id"), whole(text).alias("text"), F.xxhash64(whole(text)).alias("h"), F.monotonically_increasing_id().alias("row")]
     sorted_ = docs.select(*keys).repartitionByRange("id", "h", "row").sortWithinPartitions("id", "h", "text").select("id", "text")
-    sorted_.mapInArrow(run, _SEGMENT).write.parquet(path)
+    sorted_.mapInArrow(settled(run), _SEGMENT).write.parquet(path)
 
 
 def read_token_files(spark: SparkSession, path: str, with_ids: bool = True) -> DataFrame:
@@ -107,7 +107,7 @@ def read_token_files(spark: SparkSession, path: str, with_ids: bool = True) -> D
                 names = ["part", "segment", "doc_id", "at", "n_tokens", "ids_crc32", "ids"]
                 yield pa.RecordBatch.from_arrays([*(c if isinstance(c, pa.Array) else pa.array(c) for c in cells), pa.array(pieces if with_ids else [None] * len(ids), pa.binary())], names)
 
-    rows = segments.mapInArrow(run, "part int, segment int, doc_id long, at long, n_tokens long, ids_crc32 long, ids binary")
+    rows = segments.mapInArrow(settled(run), "part int, segment int, doc_id long, at long, n_tokens long, ids_crc32 long, ids binary")
     sizes = segments.groupBy(F.col("part").alias("p"), F.col("segment").alias("s")).agg(F.sum("n_tokens").alias("n"))
     parts = sizes.groupBy(F.col("p").alias("q")).agg(F.sum("n").alias("n"))  # a row for each written file
     before = Window.orderBy("q").rowsBetween(Window.unboundedPreceding, -1)

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, materialize, whole
+from .common import discard, materialize, settled, whole
 
 _WORD = re.compile(r"[^\W\d_]+")
 #: Lengths of the beginnings of words that are terms.
@@ -113,7 +113,7 @@ def learn(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, id_col:
     kind = docs.schema[id_col].dataType.simpleString()
     own = docs.select(F.col(id_col).alias("id"), whole(text).alias("text")).join(F.broadcast(picked), F.col("id") == F.col("_id"))  # at most fit_rows pairs of numbers
     one = own.groupBy("id").agg(F.max("text").alias("text"), F.max("y").alias("y"))
-    known = materialize(one.mapInArrow(run, f"id {kind}, y double, terms array<long>"), "terms")
+    known = materialize(one.mapInArrow(settled(run), f"id {kind}, y double, terms array<long>"), "terms")
     if known.isEmpty():
         return None
     hashes = informative(known)
@@ -155,7 +155,7 @@ def toxicity(docs: DataFrame, machine: Machine | None, threshold: float = THRESH
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(scores), pa.array((scores >= threshold).astype(np.int32))], ["id", "score", "predicted"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    out = docs.select(F.col(id_col).alias("id"), whole(text).alias("text")).mapInArrow(run, f"id {kind}, score double, predicted int")
+    out = docs.select(F.col(id_col).alias("id"), whole(text).alias("text")).mapInArrow(settled(run), f"id {kind}, score double, predicted int")
     return out.withColumnRenamed("id", id_col)
 
 

@@ -75,26 +75,31 @@ def count_of(text: str | Column, cls: str) -> Column:
     return F.length(F.regexp_replace(col(text), f"[^{cls}]+", ""))
 
 
+def _beyond_ascii(text: str | Column) -> Column:
+    """The text without ASCII characters: one quick range before a class of many."""
+    return F.regexp_replace(col(text), r"[\x00-\x7F]+", "")
+
+
 def letters(text: str | Column) -> Column:
     return count_of(text, r"\p{L}")
 
 
-def _letter_share(text: str | Column, cls: str) -> Column:
-    """What isn't of the class goes in runs, so a text in another script is one match."""
-    return ratio(F.length(F.regexp_replace(col(text), rf"[^{cls}]+|\P{{L}}+", "")), letters(text))
+def _letter_share(text: str | Column, cls: str, among: Column | None = None, within: Column | None = None) -> Column:
+    """What isn't of the class goes in runs, so a text in another script is one match. among: the number of letters, if it is known; within: a part that has all of the class."""
+    return ratio(F.length(F.regexp_replace(col(text) if within is None else within, rf"[^{cls}]+|\P{{L}}+", "")), letters(text) if among is None else among)
 
 
-def bangla_ratio(text: str | Column) -> Column:
+def bangla_ratio(text: str | Column, among: Column | None = None) -> Column:
     """Bangla letters among letters; vowel signs aren't letters."""
-    return _letter_share(text, BANGLA)
+    return _letter_share(text, BANGLA, among, _beyond_ascii(text))
 
 
-def devanagari_ratio(text: str | Column) -> Column:
-    return _letter_share(text, DEVANAGARI)
+def devanagari_ratio(text: str | Column, among: Column | None = None) -> Column:
+    return _letter_share(text, DEVANAGARI, among, _beyond_ascii(text))
 
 
-def ascii_ratio(text: str | Column) -> Column:
-    return _letter_share(text, "A-Za-z")
+def ascii_ratio(text: str | Column, among: Column | None = None) -> Column:
+    return _letter_share(text, "A-Za-z", among)
 
 
 def bangla_share(text: str | Column) -> Column:
@@ -103,15 +108,16 @@ def bangla_share(text: str | Column) -> Column:
 
 
 def suspicious_glyphs(text: str | Column) -> Column:
-    return count_of(text, SUSPICIOUS)
+    return count_of(_beyond_ascii(text), SUSPICIOUS)
 
 
 def legacy_glyphs(text: str | Column) -> Column:
-    return count_of(text, LEGACY_FONT)
+    return count_of(_beyond_ascii(text), LEGACY_FONT)
 
 
 def control_ratio(text: str | Column) -> Column:
-    return ratio(count_of(text, r"\x01-\x08\x0b\x0c\x0e-\x1f"), F.length(col(text)))
+    low = F.regexp_replace(col(text), r"[ -\x{10FFFF}]+", "")
+    return ratio(count_of(low, r"\x01-\x08\x0b\x0c\x0e-\x1f"), F.length(col(text)))
 
 
 def bracket_density(text: str | Column) -> Column:
@@ -179,10 +185,10 @@ def page_type(text: str | Column, least: int = DIGITAL_CHARS) -> Column:
 
 
 def wrong_script(text: str | Column, bangla_least: float = BANGLA_LEAST, devanagari_reject: float = DEVANAGARI_REJECT) -> Column:
-    return (letters(text) >= SCRIPT_LETTERS) & (devanagari_ratio(text) >= devanagari_reject) & (bangla_ratio(text) < bangla_least)
+    return let(letters(text), lambda n: (n >= SCRIPT_LETTERS) & (devanagari_ratio(text, n) >= devanagari_reject) & (bangla_ratio(text, n) < bangla_least))
 
 
-def legacy_encoded(text: str | Column) -> Column:
+def legacy_encoded(text: str | Column, share: Column | None = None) -> Column:
     """Signs of a Bangla text in a font of before Unicode, scored; 3 or more are enough."""
     # fixed values: the patterns, points and thresholds that results depend on
     t = col(text)
@@ -190,7 +196,7 @@ def legacy_encoded(text: str | Column) -> Column:
         F.when(F.regexp_count(t, F.lit(rf"[{BANGLA}]+[a-zA-Z]+[{BANGLA}]*")) >= 3, 2).otherwise(0)
         + F.when(t.rlike(rf"[{BANGLA}]+@|@[{BANGLA}]"), 2).otherwise(0)
         + F.when(t.rlike(r"\p{Nd}+\[\p{Nd}+\]\p{Nd}+"), 2).otherwise(0)
-        + F.when((F.length(t) > 500) & (bangla_ratio(t) < 0.15), 1).otherwise(0)
+        + F.when((F.length(t) > 500) & ((bangla_ratio(t) if share is None else share) < 0.15), 1).otherwise(0)
         + F.when(legacy_glyphs(t) >= 2, 1).otherwise(0)
     )
     return (F.length(t) >= 200) & (score >= 3)

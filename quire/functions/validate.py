@@ -21,12 +21,13 @@ def validate(text: str | Column, strict_combining: bool = True) -> Column:
     A text in a legacy encoding is rejected for that alone and has no metrics.
     """
     t = T.col(text)
-    metrics = F.struct(
-        F.length(t).alias("n"), T.legacy_encoded(t).alias("encoded"), T.bangla_ratio(t).alias("bangla"), T.ascii_ratio(t).alias("ascii"), T.bracket_density(t).alias("brackets"),
+    # letters and the Bangla share are counted once
+    metrics = lambda n, share: F.struct(
+        F.length(t).alias("n"), T.legacy_encoded(t, share).alias("encoded"), share.alias("bangla"), T.ascii_ratio(t, n).alias("ascii"), T.bracket_density(t).alias("brackets"),
         T.symbol_noise(t).alias("symbols"), T.control_ratio(t).alias("control"), T.legacy_glyphs(t).alias("legacy"), T.cid_references(t).alias("cids"),
         T.suspicious_glyphs(t).alias("suspicious"), T.entropy(t).alias("entropy"), T.invalid_combining(t, strict_combining).alias("combining"),
     )
-    return T.let(metrics, _report)
+    return T.let(T.let(T.letters(t), lambda n: T.let(T.bangla_ratio(t, n), lambda share: metrics(n, share))), _report)
 
 
 def _report(m: Column) -> Column:

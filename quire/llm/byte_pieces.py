@@ -36,13 +36,14 @@ def _seamed(path: str) -> tuple[bool, list[str]]:
 
 
 class PieceEncoder:
-    """Ids of words that follow a space, or begin with their line feed, are kept for later batches, up to most in each of two generations."""
+    """Ids of words that follow a space, or begin with their line feed, are kept for later batches, up to most in each of two generations. special_as_text: special tokens aren't found in texts."""
 
-    def __init__(self, path: str, most: int = 400_000) -> None:
+    def __init__(self, path: str, most: int = 400_000, special_as_text: bool = False) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self._tokenizer, self._kept = Tokenizer.from_file(path), Kept(most)
+        self._tokenizer.encode_special_tokens = special_as_text
         seamed, self._added = _seamed(path)
         self._feed = self._encoded(["\n"])[0] if seamed else np.empty(0, np.uint32)
         self.seamed = seamed and len(self._feed) == 1

@@ -10,8 +10,11 @@ from pyspark.sql import functions as F
 from .common import table
 from .decontam import leaks
 from .exact_dedup import exact_dedup
+from .fill_middle import fill_digest
 from .langid import language_id
 from .line_dedup import line_dedup
+from .mixing import mixed_sources
+from .token_links import linked_tokens
 from .shard import shard_documents
 from .simhash import near_dedup
 from .spiece import round_trip
@@ -61,6 +64,18 @@ def op7_simhash_golay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup(table(spark, sf_dir, "documents"))
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linked_tokens(table(spark, sf_dir, "documents"))
+
+
+def op12_mix_pareto(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixed_sources(table(spark, sf_dir, "documents"))
+
+
+def op13_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_digest(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_shard_bfd": op1_shard_bfd,
     "op2_langid_kernel": op2_langid_kernel,
@@ -72,6 +87,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_decontam_simhash": op8_decontam_simhash,
     "op9_line_suffix_array": op9_line_suffix_array,
     "op10_exact_dedup": op10_exact_dedup,
+    "op11_token_alignment": op11_token_alignment,
+    "op12_mix_pareto": op12_mix_pareto,
+    "op13_fill_middle": op13_fill_middle,
 }
 
 SQL: dict[str, str] = {
@@ -124,4 +142,20 @@ SQL: dict[str, str] = {
         with d as (select doc_id, coalesce(text, '') t, regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]', '', 'g') n from documents),
         g as (select n, count(*) group_size, arg_min(doc_id, (-length(t), doc_id)) keep_id from d group by n)
         select doc_id, keep_id, group_size, doc_id = keep_id as kept, sha256(n) as text_sha256 from d join g using (n)""",
+    "op12_mix_pareto": r"""
+        with d as (select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) as size,
+            (('0x' || md5('42:' || coalesce(doc_id::varchar, '') || ':' || md5(coalesce(text, '')))[:13])::bigint::double + 0.5) / 4503599627370496.0::double as u from documents),
+        s as (select source, sum(size)::bigint as words, ([5, 2, 1])[((row_number() over (order by source nulls last) - 1) % 3 + 1)::int]::bigint as weight from d group by source),
+        o as (select *, 2.0::double * words / weight as full_at from s),
+        l as (select *, (sum(words) over () * 1.5::double - coalesce(sum(2 * words) over (order by full_at, source nulls last rows between unbounded preceding and 1 preceding), 0)::double)
+            / sum(weight) over (order by full_at, source nulls last rows between current row and unbounded following)::double as level, row_number() over (order by full_at, source nulls last) as rank from o),
+        v as (select coalesce(arg_min(level, rank) filter (2 * words > weight * level), 0) as level from l),
+        t as (select source, words, least((2 * words)::double, weight * v.level) as target, coalesce(least((2 * words)::double, weight * v.level) / nullif(words, 0), 0) as mean from s, v),
+        r as (select d.*, words, target, floor(mean)::bigint as copies, mean - floor(mean) as chance from d join t on d.source is not distinct from t.source),
+        k as (select *, if(chance > 0, (u / (1 - u)) / (chance / (1 - chance)), null) as odds from r),
+        n as (select source, floor(max(target) - sum(copies * size) + 0.5::double)::bigint as lack from k group by source),
+        c as (select source, odds, sum(size) as n, count(*) as sharers, sum(sum(size)) over (partition by source order by odds) - sum(size) as before from k where odds is not null group by source, odds),
+        e as (select c.source, odds as edge, (lack - before) // sharers as part from c join n on c.source is not distinct from n.source where before < lack and lack <= before + n)
+        select doc_id, size::bigint as size, words as source_size, target, (copies * size + case when odds < edge then size when odds = edge then least(size, part) else 0 end)::bigint as taken
+        from k left join e on k.source is not distinct from e.source""",
 }

@@ -99,9 +99,9 @@ def file_counts(files: DataFrame) -> DataFrame:
     return files.agg(F.count_if(F.coalesce("selected", F.lit(False))).alias("selected"), F.count("*").alias("total"))
 
 
-def replace_pages(pages: DataFrame, fresh: DataFrame, key: str = "doc_id") -> DataFrame:
-    """pages with all rows of fresh's documents replaced by fresh: idempotent."""
-    ids = fresh.select(F.col(key).alias("_fresh")).distinct()
+def replace_pages(pages: DataFrame, fresh: DataFrame, key: str = "doc_id", documents: DataFrame | None = None) -> DataFrame:
+    """pages with all rows of a run's documents replaced by fresh: idempotent. documents: the run's, with or without rows; without it those of fresh."""
+    ids = (fresh if documents is None else documents).select(F.col(key).alias("_fresh")).distinct()
     return pages.join(ids, pages[key] == F.col("_fresh"), "left_anti").unionByName(fresh)
 
 

@@ -12,7 +12,7 @@ from ..functions import text as T
 from ..operators import blocks as B
 from ..operators import corpus, documents, jobs
 from ..operators import score as S
-from ..sources import files, sinks
+from ..sources import files, sinks, store
 from ..sources.scratch import scratch_path
 from .cascade import Engines, primary_text, process_pages
 from .queries import (
@@ -321,7 +321,7 @@ def document_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = pages.select("doc_id").distinct().withColumn("kind", F.lit("k"))
     sinks.write_merged_json(docs, pages, at)
     whole = F.from_json("json", "document struct<doc_id:string,kind:string,output_engine_tag:string>, pages array<struct<page_number:int,full_text:string>>")
-    r = spark.read.schema("doc_id string, json string, output_engine_tag string").json(at).select(whole.alias("r"))
+    r = store.current(spark, at, form="json").select(whole.alias("r"))
     chars = F.aggregate("r.pages", F.lit(0).cast("long"), lambda s, p: s + F.length(p["full_text"]))
     return r.select("r.document.*", F.size("r.pages").cast("long").alias("pages"), F.col("r.pages")[0]["page_number"].alias("first_page"), chars.alias("chars"))
 
@@ -343,7 +343,7 @@ def page_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     at = scratch_path(spark, "rows")
     p = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").cast("string").alias("doc_id"), F.col("l_linenumber").cast("int").alias("page_number"), "l_returnflag")
     sinks.write_page_rows(p.select("doc_id", "page_number", F.lit("first").alias("text")), at)
-    sinks.write_page_rows(p.filter("l_returnflag = 'R'").select("doc_id", "page_number", F.lit("second").alias("text")), at, 1)
+    sinks.write_page_rows(p.filter("l_returnflag = 'R'").select("doc_id", "page_number", F.lit("second").alias("text")), at)
     return sinks.read_page_rows(spark, at)
 
 
@@ -467,3 +467,44 @@ def recognition_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     engines = Engines(_primary, _quick, _first_model, _full, model_name="ollama:a", more_models=(("gemini", _second_model),), attempts=1)
     out = process_pages(pages, engines)
     return out.select("doc_id", "page_number", "method", "engine", F.size("blocks").alias("blocks"), "confidence_score", F.array_join("steps", ",").alias("steps"))
+
+
+#: Runs over conversations: the second has no turns after the second one of every third, and none at all of every fifth; of all others it has nothing to say.
+_SECOND = "(doc_id::bigint % 3 = 0 or doc_id::bigint % 5 = 0)"
+
+
+def _two_runs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Pages of a first run, pages of a second, and the documents of the second."""
+    first = _turns(spark, sf_dir)
+    key = F.col("doc_id").cast("long")
+    again = first.filter((key % 3 == 0) | (key % 5 == 0))
+    second = again.filter((key % 5 != 0) & (F.col("page_number") <= 2)).withColumn("engine", F.lit("easyocr"))
+    return first, second, again.select("doc_id").distinct()
+
+
+_RUNS = f"r as (select doc_id, page_number, if({_SECOND}, 'easyocr', engine) as engine, full_text from ({_TURNS}) where not {_SECOND} or (doc_id::bigint % 5 <> 0 and page_number <= 2))"
+
+
+@query(
+    f"""with {_RUNS} select 'page json' as name, doc_id, page_number, engine, md5(full_text) as md5 from r union all select 'page rows', doc_id, page_number, engine, md5(full_text) from r
+    union all select 'folded rows', doc_id, page_number, engine, md5(full_text) from r
+    union all select 'texts', doc_id, null, if(count(distinct engine) > 1, 'mixed', replace(min(engine), 'ollama:x', 'ollama')), md5(string_agg(full_text, chr(10) || chr(10) order by page_number)) from r group by doc_id"""
+)
+def replaced_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two runs written to every table of pages: the second has fewer pages of some documents and none of others."""
+    at = scratch_path(spark, "runs")
+    first, second, documents = _two_runs(spark, sf_dir)
+    for pages, ids in ((first, None), (second, documents)):
+        sinks.write_page_json(pages, f"{at}/json", ids, 8)
+        sinks.write_texts(pages, f"{at}/texts", ids)
+    sinks.write_page_rows(first, f"{at}/rows")
+    sinks.write_page_rows(second, f"{at}/rows", documents)
+    for n, (pages, ids) in enumerate(((first, first.select("doc_id").distinct()), (second, documents))):
+        sinks.write_page_rows(pages, f"{at}/runs", ids, str(n))
+        sinks.write_page_rows(pages, f"{at}/folded", ids, str(n))
+    sinks.fold_page_rows(spark, f"{at}/folded")
+    shown = lambda df, name: df.select(F.lit(name).alias("name"), "doc_id", "page_number", "engine", _md5("full_text").alias("md5"))
+    texts = store.current(spark, f"{at}/texts", form="json").select(F.lit("texts").alias("name"), "doc_id", F.lit(None).cast("int").alias("page_number"), F.col("output_engine_tag").alias("engine"), _md5("text").alias("md5"))
+    same = sinks.read_page_rows(spark, f"{at}/rows").exceptAll(sinks.read_page_rows(spark, f"{at}/runs"))  # none: at once or by runs is the same
+    out = shown(files.read_page_json(spark, f"{at}/json"), "page json").unionAll(shown(sinks.read_page_rows(spark, f"{at}/runs"), "page rows"))
+    return out.unionAll(shown(sinks.read_page_rows(spark, f"{at}/folded"), "folded rows")).unionAll(texts).unionAll(shown(same, "differs"))

@@ -9,6 +9,7 @@ from dataclasses import dataclass, fields
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..functions import text as T
 
@@ -75,15 +76,19 @@ def read_progress(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(PROGRESS_SCHEMA).option("mode", "DROPMALFORMED").json(path)
 
 
-def read_page_json(spark: SparkSession, root: str, schema: str = PAGE_JSON) -> DataFrame:
+def read_page_json(spark: SparkSession, root: str, schema: str | StructType = PAGE_JSON) -> DataFrame:
     """Pages that write_page_json() wrote, and page files page_<n>_<engine>.json or page_<n>.json in a folder for each document. The path gives
     doc_id, page_number and engine where the content has none."""
-    reader = lambda names, whole: spark.read.schema(schema).option("pathGlobFilter", names).option("recursiveFileLookup", "true").option("multiLine", whole).json(root)
-    named = reader("page_*.json", True)
+    named = spark.read.schema(schema).option("pathGlobFilter", "page_*.json").option("recursiveFileLookup", "true").option("multiLine", True).json(root)
     path = F.url_decode(F.col("_metadata.file_path"))
     given = {"doc_id": F.regexp_extract(path, r"([^/]+)/page_[^/]*$", 1), "page_number": F.regexp_extract(path, r"page_(\d+)[^/]*$", 1).cast("int"), "engine": F.nullif(F.regexp_extract(path, r"page_\d+_([^/]*)\.json$", 1), F.lit(""))}
     named = named.withColumns({k: F.coalesce(F.col(k), v) for k, v in given.items() if k in named.columns})
-    return named.unionByName(reader("part-*", False))
+    from . import store
+
+    written = StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    if not store.exists(spark, f"{root}/rows"):
+        return named
+    return named.unionByName(store.current(spark, root, form="json", schema=written))
 
 
 def read_verifications(spark: SparkSession, path: str) -> DataFrame:

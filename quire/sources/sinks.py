@@ -1,12 +1,11 @@
 """Sinks: page JSON, merged documents, texts, the corpus, statistics, progress, page rows.
 
-Tables are rows in files that adaptive execution sizes, in a bounded number of folders, whatever the number of documents. Files by name, one a page or
+Tables are rows in a bounded number of folders, whatever the number of documents; what a run writes of a document replaces what was there (store.py). Files by name, one a page or
 document, are an export: a function that the caller gives puts them where they belong.
 """
 
 from __future__ import annotations
 
-import time
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,15 +13,17 @@ from pyspark.sql import functions as F
 
 from ..operators.corpus import corpus_records, corpus_stats, latest, verify
 from ..operators.documents import document_json, document_rollup, document_text
+from . import store
 from .files import PROGRESS_SCHEMA, read_page_json, read_verifications
 
-BUCKETS = 256
 
+def _documents(given: DataFrame | None, rows: DataFrame) -> DataFrame:
+    return rows.select("doc_id") if given is None else given.select("doc_id")
 
-def write_page_json(pages: DataFrame, root: str, mode: str = "append", buckets: int = BUCKETS) -> None:
-    """Pages as JSON lines in folders by a hash of doc_id; read_page_json() reads them back."""
-    bucketed = pages.withColumn("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(buckets)))
-    bucketed.hint("rebalance", "bucket").write.mode(mode).partitionBy("bucket").json(root)
+
+def write_page_json(pages: DataFrame, root: str, documents: DataFrame | None = None, buckets: int = store.BUCKETS) -> None:
+    """Pages as JSON lines in a table (store.py): they replace all pages of the documents, which are those of pages if they aren't given. read_page_json() reads them back."""
+    store.replace(pages, _documents(documents, pages), root, form="json", buckets=buckets)
 
 
 def _tagged(documents: DataFrame, pages: DataFrame) -> DataFrame:
@@ -41,13 +42,13 @@ def document_texts(pages: DataFrame) -> DataFrame:
 
 
 def write_merged_json(documents: DataFrame, pages: DataFrame, root: str) -> None:
-    """merged_documents() as a table, in folders by tag."""
-    merged_documents(documents, pages).hint("rebalance", "output_engine_tag").write.mode("append").partitionBy("output_engine_tag").json(root)
+    """merged_documents() as JSON lines in a table, with the tag as a column: they replace what it had of the documents, as a second run may be another engine's."""
+    store.replace(merged_documents(documents, pages), documents, root, form="json")
 
 
-def write_texts(pages: DataFrame, root: str) -> None:
-    """document_texts() as a table, in folders by tag."""
-    document_texts(pages).hint("rebalance", "output_engine_tag").write.mode("append").partitionBy("output_engine_tag").json(root)
+def write_texts(pages: DataFrame, root: str, documents: DataFrame | None = None) -> None:
+    """document_texts() likewise; documents, if given, are those of the run, with or without pages."""
+    store.replace(document_texts(pages), _documents(documents, pages), root, form="json")
 
 
 def page_files(pages: DataFrame) -> DataFrame:
@@ -118,21 +119,27 @@ def last_progress(spark: SparkSession, path: str) -> DataFrame:
     return latest(spark.read.schema(PROGRESS_SCHEMA).option("mode", "DROPMALFORMED").json(path), ["doc_id"], "updated_at")
 
 
-def write_page_rows(pages: DataFrame, path: str, run: int = 0) -> None:
-    """Append a run's rows of documents; read_page_rows() then has only the last run of each document, so a repeat replaces what was there."""
-    pages.withColumn("run", F.lit(f"{time.time_ns() // 1000:018d}-{run:010d}")).write.mode("append").partitionBy("run").parquet(path)
+def write_page_rows(pages: DataFrame, path: str, documents: DataFrame | None = None, run: str | None = None) -> None:
+    """Page rows of documents, which replace those that they had; a document without rows has none from then on. documents: the run's, if they aren't just those with rows.
+
+    With a run they are appended under its name, in the order of which runs count, and fold_page_rows() puts them in their places; without one that is done at once.
+    """
+    ids = _documents(documents, pages)
+    if run is None:
+        fold_page_rows(pages.sparkSession, path)
+        store.replace(pages, ids, path)
+    else:
+        store.append(pages, ids, path, run)
 
 
 def read_page_rows(spark: SparkSession, path: str) -> DataFrame:
-    """The page rows of the last run of each document: a partial maximum by document, then a join with its list."""
-    rows = spark.read.option("basePath", path).parquet(path).withColumn("run", F.col("run").cast("string"))
-    last = rows.groupBy(F.col("doc_id").alias("_d")).agg(F.max("run").alias("_r"))
-    return rows.join(last, (F.col("doc_id") == F.col("_d")) & (F.col("run") == F.col("_r")), "left_semi").drop("run")
+    """The page rows of the last run of each document."""
+    return store.current(spark, path)
 
 
-def compact_page_rows(spark: SparkSession, path: str, to: str) -> None:
-    """The current page rows of path as one run in a new place: what superseded runs held isn't read any more."""
-    write_page_rows(read_page_rows(spark, path).hint("rebalance"), to)
+def fold_page_rows(spark: SparkSession, path: str) -> None:
+    """Put appended runs in their places: what they supersede isn't read any more."""
+    store.fold(spark, path)
 
 
 def with_saved_images(pages: DataFrame, put: Callable[[str, int, bytes], str] | None) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.corpus import latest
+from ..sources import store
 from ..sources.files import MOST_BYTES, admitted
 from ..sources.sinks import write_page_rows
 
@@ -20,19 +22,29 @@ def inbox(spark: SparkSession, path: str, files_per_batch: int = 1000, most_byte
     return admitted(reader.load(path), most_bytes)
 
 
+def first_start(spark: SparkSession, checkpoint: str) -> str:
+    """When the stream with this checkpoint first began, as text that sorts; kept beside it, so that its batches have the same names when they are run again."""
+    at = f"{checkpoint}/first"
+    if not store.exists(spark, at):
+        spark.createDataFrame([(f"{time.time_ns() // 1000:018d}",)], "value string").coalesce(1).write.mode("overwrite").text(at)
+    return spark.read.text(at).first()[0]
+
+
 def ingest(
     documents: DataFrame, process: Callable[[DataFrame], DataFrame], pages_path: str, checkpoint: str, canceled: Callable[[], DataFrame] | None = None
 ) -> StreamingQuery:
-    """Process what is there, then stop. Each batch's page rows replace those that their documents had (sinks.read_page_rows()), so a batch that is run again
-    changes nothing. canceled gives doc_ids to leave out."""
+    """Process what is there, then stop. Each batch's page rows replace those that their documents had (sinks.read_page_rows()), and a document that comes back without pages is emptied. A batch that is run
+    again replaces itself: runs are named by the stream's first start, then by the batch. canceled gives doc_ids to leave out. sinks.fold_page_rows() tidies up, now and then."""
+    spark = documents.sparkSession
+    began = first_start(spark, checkpoint)
 
     def batch(df: DataFrame, number: int) -> None:
         if canceled is not None:
             gone = canceled().select(F.col("doc_id").alias("_gone")).distinct()
             df = df.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
-        write_page_rows(process(df), pages_path, number)
+        write_page_rows(process(df), pages_path, df, f"{began}-{number:010d}")
 
-    return documents.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return documents.writeStream.foreachBatch(batch).option("checkpointLocation", f"{checkpoint}/stream").trigger(availableNow=True).start()
 
 
 def last_states(events: DataFrame, key: str, at: str, columns: list[str]) -> DataFrame:
@@ -52,8 +64,3 @@ def write_last_states(states: DataFrame, key: str, path: str, checkpoint: str) -
 def last_of(spark: SparkSession, path: str, key: str) -> DataFrame:
     """The rows that write_last_states() wrote last for each key. A batch that was run again wrote the same rows."""
     return latest(spark.read.parquet(path), [key], "batch").drop("batch")
-
-
-def event_counts(events: DataFrame, at: str, width: str, late: str, *keys: str) -> DataFrame:
-    """Events by time window and keys, with a watermark for late ones."""
-    return events.withWatermark(at, late).groupBy(F.window(at, width), *keys).agg(F.count("*").alias("n")).select(F.col("window.start").alias("start"), *keys, "n")

@@ -12,7 +12,7 @@ from quire.operators import blocks as B
 from quire.operators import corpus, documents, jobs, lexicon
 from quire.operators import score as S
 from quire.plans.cascade import Engines, Loaded, prepared, process_pages, retrying
-from quire.sources import files, sinks
+from quire.sources import files, sinks, store
 from quire.streaming import ingest as stream
 
 DETECTIONS = "i int, d array<struct<text:string,conf:double,points:array<struct<x:double,y:double>>>>"
@@ -337,10 +337,11 @@ def test_files_sinks_and_streaming(spark, tmp_path):
     rows = sinks.read_page_rows(spark, f"{tmp_path}/rows")
     assert rows.count() == 5
     last = rows.filter("doc_id like 'e%'").first().doc_id
-    sinks.write_page_rows(spark.createDataFrame([(last, 1, "new")], "doc_id string, page_number int, text string"), f"{tmp_path}/rows", 7)
+    before = sorted(map(tuple, rows.collect()))
+    sinks.fold_page_rows(spark, f"{tmp_path}/rows")
+    assert sorted(map(tuple, sinks.read_page_rows(spark, f"{tmp_path}/rows").collect())) == before and not any((tmp_path / "rows" / "runs").glob("run=*"))
+    sinks.write_page_rows(spark.createDataFrame([(last, 1, "new")], "doc_id string, page_number int, text string"), f"{tmp_path}/rows")
     assert sinks.read_page_rows(spark, f"{tmp_path}/rows").count() == 3
-    sinks.compact_page_rows(spark, f"{tmp_path}/rows", f"{tmp_path}/rows2")
-    assert sorted(map(tuple, spark.read.parquet(f"{tmp_path}/rows2").drop("run").collect())) == sorted(map(tuple, sinks.read_page_rows(spark, f"{tmp_path}/rows").collect()))
     (inbox / "f.pdf").write_bytes(b"x")
     canceled = files.read_documents(spark, f"{inbox}/f.pdf").select("doc_id")
     stream.ingest(stream.inbox(spark, str(inbox)), process, f"{tmp_path}/rows", f"{tmp_path}/check", lambda: canceled).awaitTermination()
@@ -355,21 +356,21 @@ def test_files_sinks_and_streaming(spark, tmp_path):
     assert back.count() == 2 and {tuple(r) for r in back.select("doc_id", "page_number", "engine", "full_text").collect()} == {tuple(r) for r in done.select("doc_id", "page_number", "engine", "full_text").collect()}
     doc = back.first().doc_id
     state = _state(spark)
-    store = api.Store(f"{tmp_path}/json", f"{tmp_path}/votes", f"{tmp_path}/corpus2", f"{tmp_path}/stats2")
+    kept = api.Store(f"{tmp_path}/json", f"{tmp_path}/votes", f"{tmp_path}/corpus2", f"{tmp_path}/stats2")
     t = api.Tables(state.documents, state.jobs, back, state.progress, state.verifications)
-    api.verify(t, doc, 1, False, store, rebuild=False)
+    api.verify(t, doc, 1, False, kept, rebuild=False)
     assert not (tmp_path / "corpus2").exists()
     for verdict, tier in ((True, True), (False, False)):
-        api.verify(t, doc, 1, verdict, store)
-        found = spark.read.parquet(store.corpus).filter("page_number = 1").collect()
-        assert [r.verified for r in found] == [tier] and spark.read.json(store.stats).first().total_records == 2
+        api.verify(t, doc, 1, verdict, kept)
+        found = spark.read.parquet(kept.corpus).filter("page_number = 1").collect()
+        assert [r.verified for r in found] == [tier] and spark.read.json(kept.stats).first().total_records == 2
     sinks.write_corpus(done, f"{tmp_path}/corpus")
     sinks.write_stats(spark.read.parquet(f"{tmp_path}/corpus"), f"{tmp_path}/stats")
     assert spark.read.json(f"{tmp_path}/stats").first().total_records == 2
     sinks.write_texts(done, f"{tmp_path}/texts")
     sinks.write_merged_json(docs.select("doc_id").distinct(), done, f"{tmp_path}/merged")
-    assert "page one" in "".join(r.text for r in spark.read.json(f"{tmp_path}/texts").collect())
-    assert {r.output_engine_tag for r in spark.read.json(f"{tmp_path}/merged").collect()} <= {"mixed", "digital", "easyocr", "surya", None}
+    assert "page one" in "".join(r.text for r in store.current(spark, f"{tmp_path}/texts", form="json").collect())
+    assert {r.output_engine_tag for r in store.current(spark, f"{tmp_path}/merged", form="json").collect()} <= {"mixed", "digital", "easyocr", "surya", None}
     out = tmp_path / "export"
     out.mkdir()
 

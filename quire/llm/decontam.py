@@ -2,13 +2,13 @@
 
 A document is a sequence of hashed five-word shingles. Windows as long as an item are fingerprinted by SimHash. A radius that follows from the similarity
 holds all but a few in a million of the fingerprints of windows that are similar enough; such a one agrees with the item's, up to one bit, in one of its blocks: the items' blocks
-with each bit flipped form the index, the windows' blocks probe it, and so find the items. Candidates within the radius are verified by the similarity of the
+with each bit flipped form the index, and a window's blocks probe it for the items that its document may hold. What is within the radius is verified by the similarity of the
 bags of shingles, the sum of the lesser over that of the larger counts.
 
-Which windows need a fingerprint is decided without loss. A window shares at least similarity x its size of shingles with an item, so documents that have
-fewer of an item's have none. One whose first shingle isn't the item's can slide right and gain; where no shingle of the
-item occurs twice, one whose preceding shingle is the item's can slide left and gain. So windows start at the first of adjacent shingles of the item,
-or at each of them if one of them recurs in the document; at the document's end they are moved back, and a shorter document is one window.
+Which items a document may hold, and where, is decided without loss (candidates()): it has one of an item's rarest shingles, and as many of all as the similarity asks for. A window whose first shingle isn't the
+item's can slide right and gain; where no shingle of the item occurs twice, one whose preceding shingle is the item's can slide left and gain. So windows start at the first of adjacent shingles of the item,
+or at each of them if one of them recurs in the document; at the document's end they are moved back, and a shorter document is one window. The item stays with its windows, so the number of
+comparisons follows that of candidates and not the product of windows and items.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ASCII_SPACE, let, materialize, whole, without
+from .common import ASCII_SPACE, discard, let, materialize, whole, without
 
 SHINGLE, SIMILARITY = 5, 0.8
 #: Deviations above the mean of fingerprints' distances that the radius takes in: all but two in a million.
@@ -123,46 +123,69 @@ def leaks(docs: DataFrame, items: DataFrame, similarity: float = SIMILARITY, id_
     looked at one by one and give one row an item together, likewise items that repeat an id. Empty tables give an empty result.
     """
     within = radius(similarity)
-    goal = materialize(items.select(F.col(item_col).alias("item"), shingles(text).alias("goal")).filter(F.size("goal") > 0), "items")
-    listed = materialize(goal.select("item", F.size("goal").alias("n"), F.explode(F.array_distinct("goal")).alias("h")), "item-shingles")
+    goal = items.select(F.col(item_col).alias("item"), shingles(text).alias("goal")).filter(F.size("goal") > 0)
+    goal = materialize(goal.distinct().withColumn("n", F.size("goal")).withColumn("g", F.xxhash64("item", "goal")), "items")
+    listed = materialize(goal.select(F.explode("goal").alias("h")).distinct(), "item-shingles")
     own = docs.select(F.col(id_col).alias("id"), F.xxhash64(whole(text)).alias("t"), F.col(text).alias("text"))
     all_ = placed_shingles(own)
-    known = _small(listed, 64)
-    hits = (all_ if known is not listed else _likely(all_, listed)).join(known, F.col("x") == F.col("h")).select("id", "t", "item", "n", "p", "h")
+    known = _small(listed, 32)
+    # an occurrence once, however many items have its shingle
+    hits = (all_ if known is not listed else _likely(all_, listed)).join(known, F.col("x") == F.col("h")).select("id", "t", "p", "x")
     hits = materialize(hits.distinct(), "hits")
 
-    # the starts of windows, for each document, item and size; a document's hits on one item are never more than its words
-    line = Window.partitionBy("id", "t", "item", "n")
-    recurs = hits.groupBy("id", "t", "item", "n", "h").agg(F.count("*").alias("c")).groupBy("id", "t", "item", "n").agg(F.max("c").alias("most"), F.sum("c").alias("all"))
-    recurs = recurs.filter(F.col("all") >= similarity * F.col("n") - 1e-9).select(*[F.col(c).alias(f"{c}_") for c in ("id", "t", "item", "n")], "most")
+    # the hits of documents on the items that they may hold; a document's hits on one item are never more than its words
+    near = materialize(candidates(hits, goal, similarity), "candidates")
+    wanted_hits = near.join(goal.select(F.col("g").alias("g_"), "n", F.explode(F.array_distinct("goal")).alias("h")), F.col("g") == F.col("g_")).drop("g_")
+    at = hits.select(F.col("id").alias("id_"), F.col("t").alias("t_"), "p", "x")
+    met = materialize(wanted_hits.join(at, F.col("id").eqNullSafe(F.col("id_")) & (F.col("t") == F.col("t_")) & (F.col("h") == F.col("x"))).select("id", "t", "g", "n", "p", "h"), "met")
+    line = Window.partitionBy("id", "t", "g", "n")
+    recurs = met.groupBy("id", "t", "g", "n", "h").agg(F.count("*").alias("c")).groupBy("id", "t", "g", "n").agg(F.max("c").alias("most"), F.sum("c").alias("all"))
+    recurs = recurs.filter(F.col("all") >= similarity * F.col("n") - 1e-9).select(*[F.col(c).alias(f"{c}_") for c in ("id", "t", "g", "n")], "most")
     edge = F.coalesce(F.lag("p").over(line.orderBy("p")) < F.col("p") - 1, F.lit(True))
-    same = [F.col(c).eqNullSafe(F.col(f"{c}_")) for c in ("id", "t", "item", "n")]
-    starts = hits.withColumn("edge", edge).join(recurs, same).filter("edge or most > 1").select("id", "t", "n", "p").distinct()
-    wanted = starts.groupBy("id", "t").agg(F.collect_set(F.struct("n", "p")).alias("wanted")).select(F.col("id").alias("id_"), F.col("t").alias("t_"), "wanted")
+    same = [F.col(c).eqNullSafe(F.col(f"{c}_")) for c in ("id", "t", "g", "n")]
+    starts = met.withColumn("edge", edge).join(recurs, same).filter("edge or most > 1").select("id", "t", "g", "n", "p").distinct()
+    wanted = starts.groupBy("id", "t").agg(F.collect_set(F.struct("n", "p", "g")).alias("wanted")).select(F.col("id").alias("id_"), F.col("t").alias("t_"), "wanted")
     wanted = materialize(wanted, "wanted")
-    few = wanted.agg(F.coalesce(F.sum(F.size("wanted") * 16 + 32), F.lit(0))).first()[0] <= BROADCAST_BYTES
+    few = wanted.agg(F.coalesce(F.sum(F.size("wanted") * 24 + 32), F.lit(0))).first()[0] <= BROADCAST_BYTES
     texts = docs.select(F.col(id_col).alias("id"), F.xxhash64(whole(text)).alias("t"), whole(text).alias("text"))
     again = texts.join(F.broadcast(wanted) if few else wanted, F.col("id").eqNullSafe(F.col("id_")) & (F.col("t") == F.col("t_")))
 
     def cut(s: Column) -> Column:
         first = lambda w: F.greatest(F.least(w["p"], F.size(s) - w["n"]), F.lit(0))
-        return F.transform("wanted", lambda w: F.struct(w["n"].alias("n"), first(w).alias("start"), F.slice(s, first(w) + 1, w["n"]).alias("window")))
+        return F.transform("wanted", lambda w: F.struct(w["n"].alias("n"), w["g"].alias("g"), first(w).alias("start"), F.slice(s, first(w) + 1, w["n"]).alias("window")))
 
     windows = again.select("id", F.explode(let(shingles("text"), cut)).alias("w")).select("id", "w.*")
-    windows = windows.dropDuplicates(["id", "n", "start", "window"])
-    # one fingerprint for each distinct window, whatever the number of documents that have it
+    windows = windows.dropDuplicates(["id", "g", "start", "window"])
+    # one fingerprint for each distinct window, whatever the number of documents that have it, and one comparison with an item
     placed = materialize(windows.withColumn("key", F.xxhash64("n", "window")), "windows")
-    distinct = materialize(placed.select("key", "n", "window").distinct().withColumn("fp", simhash(F.col("window"))), "prints")
-    index = goal.select("item", F.size("goal").alias("m"), "goal", simhash(F.col("goal")).alias("g"))
-    index = index.select("item", "m", "goal", "g", F.explode(block_keys(F.col("g"), True, within)).alias("block_"))
-    probe = distinct.select("key", "n", "window", "fp", F.explode(block_keys(F.col("fp"), False, within)).alias("block"))
-    near = F.bit_count(F.col("fp").bitwiseXOR(F.col("g"))) <= within
-    met = probe.join(index, (F.col("n") == F.col("m")) & (F.col("block") == F.col("block_")) & near).select("n", "window", "item", "goal").distinct()
-    met = met.withColumn("similarity", bag_similarity(F.col("window"), F.col("goal"))).filter(F.col("similarity") >= similarity)
-    met = met.select(F.col("n").alias("n_"), F.col("window").alias("window_"), "item", "similarity")
-    out = placed.join(met, (F.col("n") == F.col("n_")) & (F.col("window") == F.col("window_")))
+    distinct = materialize(placed.select("key", "g", "n", "window").distinct().withColumn("fp", simhash(F.col("window"))), "prints")
+    index = goal.select("item", F.col("g").alias("g_"), "goal", simhash(F.col("goal")).alias("print")).select("*", F.explode(block_keys(F.col("print"), True, within)).alias("block_"))
+    probe = distinct.select("key", "g", "n", "window", "fp", F.explode(block_keys(F.col("fp"), False, within)).alias("block"))
+    close = F.bit_count(F.col("fp").bitwiseXOR(F.col("print"))) <= within
+    found = probe.join(index, (F.col("g") == F.col("g_")) & (F.col("block") == F.col("block_")) & close).select("key", "g", "window", "item", "goal").distinct()
+    found = found.withColumn("similarity", bag_similarity(F.col("window"), F.col("goal"))).filter(F.col("similarity") >= similarity)
+    found = found.select(F.col("key").alias("key_"), F.col("g").alias("g_"), F.col("window").alias("window_"), "item", "similarity")
+    out = placed.join(found, (F.col("key") == F.col("key_")) & (F.col("g") == F.col("g_")) & (F.col("window") == F.col("window_")))
     best = out.groupBy("id", "item").agg(F.max(F.struct("similarity", -F.col("start"))).alias("best"))
-    return best.select(F.col("id").alias(id_col), F.col("item").alias(item_col), F.col("best.similarity").alias("similarity"), (-F.col("best.col2")).alias("start"))
+    out = best.select(F.col("id").alias(id_col), F.col("item").alias(item_col), F.col("best.similarity").alias("similarity"), (-F.col("best.col2")).alias("start"))
+    out = materialize(out, "leaks")
+    discard(docs.sparkSession, goal, listed, hits, near, met, wanted, placed, distinct)
+    return out
+
+
+def candidates(hits: DataFrame, goal: DataFrame, similarity: float) -> DataFrame:
+    """id, t, g: the items (g, n, goal) that a document (id, t) may hold, by its hits (id, t, p, x).
+
+    A text of that similarity shares at least similarity x n of an item's n shingles, counted with repeats, so of the n - similarity x n + 1 rarest it has one: only these are looked up. Stock phrases,
+    which many documents and items have, are among them only where an item has little else.
+    """
+    often = hits.groupBy("x").agg(F.count("*").alias("often")).withColumnRenamed("x", "x_")
+    each = goal.select("g", "n", F.explode("goal").alias("h"))
+    ranked = each.join(materialize(often, "often"), F.col("h") == F.col("x_"), "left").select("g", "n", "h", F.coalesce("often", F.lit(0)).alias("often"))
+    rank = F.row_number().over(Window.partitionBy("g").orderBy("often", "h"))  # an item's shingles
+    rare = F.col("n") - F.ceil(F.lit(similarity) * F.col("n") - 1e-9) + 1
+    probes = ranked.withColumn("rank", rank).filter((F.col("rank") <= rare) & (F.col("often") > 0)).select("g", "h").distinct()
+    return hits.join(materialize(probes, "probes"), F.col("x") == F.col("h")).select("id", "t", "g").distinct()
 
 
 def keep_clean(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:

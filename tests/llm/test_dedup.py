@@ -269,3 +269,26 @@ def test_native_simhash_is_the_majority(spark):
     got = [x.s for x in spark.createDataFrame([(i, h) for i, h in enumerate(lists)], "i int, h array<long>").orderBy("i").select(decontam.simhash(F.col("h")).alias("s")).collect()]
     for s, h in zip(got, lists):
         assert s & (1 << 64) - 1 == sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+
+def test_candidates_stay_few_where_items_share_stock_phrases(spark):
+    """Many items of one length that share most of a passage: a document is compared with the items that it may hold, not with all."""
+    r = random.Random(77)
+    stock = [f"s{i}" for i in range(12)]
+    items = [(f"i{k}", " ".join(stock[:8] + [f"w{k}x{j}" for j in range(20)] + stock[8:])) for k in range(400)]
+    docs = [(k, " ".join([f"d{k}y{j}" for j in range(30)] + stock + [f"e{k}y{j}" for j in range(30)])) for k in range(200)]
+    docs += [(1000 + k, " ".join([f"f{k}"] + items[k][1].split() + [f"g{k}"])) for k in range(0, 400, 40)]
+    r.shuffle(docs)
+    bench = spark.createDataFrame(items, "item_id string, text string")
+    listed = bench.select(F.xxhash64("item_id").alias("g"), decontam.shingles("text").alias("goal")).withColumn("n", F.size("goal")).cache()
+    known = listed.select(F.explode("goal").alias("h")).distinct()
+    hits = decontam.placed_shingles(make(spark, docs).select(F.col("doc_id").alias("id"), F.xxhash64("text").alias("t"), "text")).join(known, F.col("x") == F.col("h")).select("id", "t", "p", "x")
+    assert hits.count() * 400 > 100_000 > 1000 > decontam.candidates(hits, listed, 0.8).count() == 10
+    assert sorted((x.doc_id, x.item_id) for x in decontam.leaks(make(spark, docs), bench).collect()) == sorted((1000 + k, f"i{k}") for k in range(0, 400, 40))
+
+
+def test_items_that_repeat_an_id_keep_their_own_lengths(spark):
+    words = [f"w{i}" for i in range(40)]
+    items = spark.createDataFrame([("i", " ".join(words[:12])), ("i", " ".join(words[20:40])), ("j", " ".join(words[:12])), (None, " ".join(words[20:40]))], "item_id string, text string")
+    got = decontam.leaks(make(spark, [(1, "x " + " ".join(words[:12]) + " y"), (2, " ".join(words[20:40]))]), items).collect()
+    assert sorted((x.doc_id, x.item_id or "", x.similarity) for x in got) == [(1, "i", 1.0), (1, "j", 1.0), (2, "", 1.0), (2, "i", 1.0)]

@@ -14,7 +14,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialize, settled, text_slices, without
@@ -114,13 +114,18 @@ def fit(grams: list[np.ndarray], languages: list[str], landmarks: int = LANDMARK
 def learn(docs: DataFrame, held_out_of: int = 5, fit_rows: int = FIT_ROWS, id_col: str = "doc_id", text: str = "text", lang: str = "lang") -> Model | None:
     """A model of the rows with a language whose CRC-32 of the id isn't a multiple of held_out_of; None without such rows.
 
-    The fit is bounded: of each language, rows whose id's hash is under a bound that takes fit_rows on average, fewer if all languages together had more than ALL_ROWS.
+    The fit is bounded: of each language the fit_rows rows of least place, a hash of id and text, fewer if all languages together had more than ALL_ROWS, but LEAST_ROWS of each at least. Rows that agree in both
+    are one example. So what is learned hangs on no id, and a language has all of its examples if they are that few.
     """
     rows = docs.filter(F.col(lang).isNotNull() & F.col(text).isNotNull() & (F.crc32(F.col(id_col).cast("string")) % held_out_of != 0))
-    shares = materialize(rows.groupBy(F.col(lang).alias("lang_")).agg(F.count("*").alias("n")), "languages")
+    place = F.shiftrightunsigned(F.xxhash64(id_col, text), 11).cast("double") / 2.0**53
+    own = rows.select(F.col(lang).alias("lang"), F.col(text).alias("text"), place.alias("place"))
+    shares = materialize(own.groupBy(F.col("lang").alias("lang_")).agg(F.approx_count_distinct("place", 0.02).alias("n")), "languages")
     each = min(fit_rows, max(LEAST_ROWS, ALL_ROWS // max(1, shares.count())))
-    shares = shares.select("lang_", F.least(F.lit(1.0), each / F.col("n")).alias("share_"))
-    place = F.shiftrightunsigned(F.xxhash64(id_col), 11).cast("double") / 2.0**53
+    # about twice as many examples as are wanted, and then the first of them
+    shares = materialize(shares.select("lang_", F.least(F.lit(1.0), (2 * each + 64) / F.col("n")).alias("share_")), "shares")
+    some = own.join(shares, (F.col("lang") == F.col("lang_")) & (F.col("place") < F.col("share_"))).groupBy("lang", "place").agg(F.min("text").alias("text"))
+    first = some.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("place"))).filter(F.col("rank") <= each)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -129,9 +134,7 @@ def learn(docs: DataFrame, held_out_of: int = 5, fit_rows: int = FIT_ROWS, id_co
                 cells = [g[r == i].astype(np.int32) for i in range(len(texts))]
                 yield pa.RecordBatch.from_arrays([some.column(0), pa.array(cells, pa.list_(pa.int32())), some.column(2)], ["lang", "grams", "place"])
 
-    own = rows.select(F.col(lang).alias("lang"), F.col(text).alias("text"), place.alias("place"))
-    # a row a language, of which the model has a column
-    picked = own.join(F.broadcast(shares), (F.col("lang") == F.col("lang_")) & (F.col("place") < F.col("share_"))).select("lang", "text", "place").mapInArrow(settled(run), "lang string, grams array<int>, place double")
+    picked = first.select("lang", "text", "place").mapInArrow(settled(run), "lang string, grams array<int>, place double")
     got = picked.toArrow()
     grams = [c.values.to_numpy() for c in got.column("grams")]
     rows = sorted((p, x, i) for i, (p, x) in enumerate(zip(got.column("place").to_pylist(), got.column("lang").to_pylist())) if len(grams[i]))

@@ -96,16 +96,18 @@ def resolve_revisits(records: DataFrame, spans: int = 256, crowd: int = 200_000)
 def recrawl(pages: DataFrame, after: int) -> DataFrame:
     """The records of a crawl in order of page_id that asks for each page again, conditionally, after so many later pages, and is told that it is not modified.
 
-    For each page a response (record 2 x page_id) with an entity tag of its bytes, and a revisit (record 2 x page_id + 1) with the tag that was asked about.
+    For each page a response with an entity tag of its bytes, and a revisit with the tag that was asked about. A record's id is the page's, whatever its type, and whether it is the revisit. Times are
+    decimals, so that none of a page id, of any integer type or text of digits, is too large; an id that isn't a number has no time.
     """
     tag = F.concat(F.lit('"'), F.md5(F.coalesce("html", F.lit("")).cast("binary")), F.lit('"'))
     size = F.octet_length(F.coalesce("html", F.lit(""))).cast("string")
     full = F.create_map(F.lit("etag"), tag, F.lit("content-type"), F.lit("text/html"), F.lit("content-length"), size, F.lit("cache-control"), F.lit("max-age=60"))
     none = F.create_map(F.lit("etag"), F.concat(F.lit("W/"), tag), F.lit("content-length"), F.lit("0"), F.lit("cache-control"), F.lit("max-age=600"), F.lit("age"), F.lit("0"))
-    cell = lambda plus, kind, late, headers: F.struct(
-        (2 * F.col("page_id") + plus).alias("record_id"), F.lit(kind).alias("kind"), F.col("url").alias("url"), (F.col("page_id") + late).alias("ts"), headers.alias("headers")
+    number = F.expr("try_cast(page_id as decimal(20, 0))")
+    cell = lambda kind, late, headers: F.struct(
+        F.struct(F.col("page_id").alias("page"), F.lit(kind == "revisit").alias("again")).alias("record_id"), F.lit(kind).alias("kind"), F.col("url").alias("url"), (number + late).alias("ts"), headers.alias("headers")
     )
-    return pages.select(F.explode(F.array(cell(0, "response", 0, full), cell(1, "revisit", after, none))).alias("r")).select("r.*")
+    return pages.select(F.explode(F.array(cell("response", 0, full), cell("revisit", after, none))).alias("r")).select("r.*")
 
 
 def write_records(records: DataFrame, path: str) -> None:
@@ -156,8 +158,8 @@ def resolved_pages(spark: SparkSession, sf_dir: str, after: int = 1000) -> DataF
     """Over the table of pages: page_id (of the revisit), canonical, status, response_page (whose response holds), headers (merged, sorted, name=value lines).
 
     A row for each row of pages. A null html is empty; a page without a URL is no_url; a null page_id has a revisit at no time, before all others. Rows that repeat a
-    page_id are records of one time. An empty table gives an empty result; further columns are not looked at.
+    page_id are records of one time, and ids that aren't numbers have none. Integer ids of any size come out as they are. An empty table gives an empty result; further columns are not looked at.
     """
     found = resolve_revisits(recrawl(table(spark, sf_dir, "pages"), after))
     lines = F.array_join(F.transform(F.array_sort(F.map_entries("headers")), lambda e: F.concat(e["key"], F.lit("="), e["value"])), "\n")
-    return found.select(((F.col("record_id") - 1) / 2).cast("long").alias("page_id"), "canonical", "status", (F.col("response_id") / 2).cast("long").alias("response_page"), lines.alias("headers"))
+    return found.select(F.col("record_id.page").alias("page_id"), "canonical", "status", F.col("response_id.page").alias("response_page"), lines.alias("headers"))

@@ -437,3 +437,36 @@ def test_revisits_of_no_rows_and_odd_pages(spark, tmp_path):
     got = warc.resolved_pages(spark, str(tmp_path)).collect()
     assert len(got) == 4 and {x.status for x in got} <= {"resolved", "mismatch", "no_url", "missing"}
     assert warc.resolve_revisits(warc.recrawl(pages.limit(0), 10)).collect() == []
+
+
+def test_large_page_ids_and_ids_of_text(spark, tmp_path):
+    big = [(1 << 53) + 1, (1 << 62) + 7, (1 << 63) - 1, -(1 << 63), 1000, 2000]
+    spark.createDataFrame([(i, "http://a.b/c", "x") for i in big], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = {x.page_id: x for x in warc.resolved_pages(spark, str(tmp_path)).collect()}
+    assert set(got) == set(big) and all(x.status == "resolved" for x in got.values())
+    assert [got[i].response_page for i in big] == [big[0], big[1], big[2], big[3], 2000, 2000]
+    spark.createDataFrame([("p", "http://a.b/c", "x"), ("7", "http://a.b/d", "x")], "page_id string, url string, html string").write.parquet(f"{tmp_path}/t/pages.parquet")
+    assert {(x.page_id, x.status) for x in warc.resolved_pages(spark, f"{tmp_path}/t").collect()} == {("p", "resolved"), ("7", "resolved")}
+
+
+def test_a_language_of_one_id_is_learned_within_its_bound(spark):
+    """Whatever the id's own hash is: 3000 texts of one id, or one row 3000 times."""
+    r = random.Random(33)
+    others = [(i, sentence(r, "bb", 12), "bb") for i in range(100, 160)]
+    for one in (3, 4, 6, 8, 11):
+        if zlib.crc32(str(one).encode()) % 5 == 0:
+            continue
+        rows = [(one, sentence(r, "aa", 8), "aa") for _ in range(1500)] + [(one, sentence(r, "aa", 8), "aa")] * 300 + others
+        model = langid.learn(make(spark, rows), fit_rows=100)
+        assert model.languages == ["aa", "bb"]
+        asked = make(spark, [(i, sentence(r, "aa", 10)) for i in range(20)])
+        assert {x.lang_pred for x in langid.identify(asked, model).collect()} == {"aa"}
+
+
+def test_the_fit_takes_so_many_rows_of_each_language(spark, monkeypatch):
+    r, seen = random.Random(34), []
+    rows = [(i, sentence(r, lang, 6), lang) for i in range(900) for lang in [list(LANGUAGES)[i % 3 == 0]]]
+    monkeypatch.setattr(langid, "fit", lambda grams, languages, *a: seen.append(languages))
+    for docs in (make(spark, rows), make(spark, rows).repartition(5)):
+        langid.learn(docs, fit_rows=40)
+    assert seen[0] == seen[1] and {x: seen[0].count(x) for x in set(seen[0])} == {"aa": 40, "bb": 40}

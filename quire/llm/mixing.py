@@ -20,7 +20,7 @@ from .common import ASCII_SPACE, discard, materialize, whole
 #: Weights of the sources in turn, the mix's share of all words, and how often a word may be used.
 WEIGHTS, SHARE, REPEATS, SEED = (5, 2, 1), 1.5, 2, 42
 #: Documents of a cell of the histogram, about.
-CELL_ROWS = 1 << 16
+CELL_ROWS = 1 << 12
 _SPACES = " \t\n\x0b\x0c\r"
 
 

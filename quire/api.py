@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .operators import corpus, documents, jobs
+from .operators.report import document_reports
 from .plans.cascade import Engines, process_pages
 from .sources import files, sinks
 from .sources.scratch import written
@@ -105,7 +106,7 @@ def delete(t: Tables, doc_id: str, user_id: str, store: Store | None = None) ->
 
 
 def report(t: Tables, doc_id: str, user_id: str | None = None) -> DataFrame:
-    """doc_id and json of one document. NotFound without it or its pages, Conflict while it is being processed."""
+    """doc_id, output_engine_tag and json (operators/report.py) of one document. NotFound without it or its pages, Conflict while it is being processed."""
     own = t.documents.filter(F.col("doc_id") == doc_id)
     own = own if user_id is None else own.filter(F.col("user_id") == user_id)
     state = own.select("status").first()
@@ -116,7 +117,7 @@ def report(t: Tables, doc_id: str, user_id: str | None = None) -> DataFrame:
         if state[0] in jobs.ACTIVE:
             raise Conflict("the report isn't ready yet")
         raise NotFound(f"{doc_id} has no pages")
-    return documents.document_json(own, pages)
+    return document_reports(own, pages)
 
 
 def stats(t: Tables) -> DataFrame:

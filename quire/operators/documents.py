@@ -85,15 +85,6 @@ def document_text(pages: DataFrame, between: str = "\n\n") -> DataFrame:
     return pages.groupBy("doc_id").agg(F.array_join(F.transform(ordered, lambda p: p["full_text"]), between).alias("text"))
 
 
-def document_json(documents: DataFrame, pages: DataFrame) -> DataFrame:
-    """doc_id, json: the document's fields and its pages in order, as one object; null fields are left out."""
-    page = F.struct(*[F.col(c) for c in pages.columns if c != "doc_id"])
-    own = pages.groupBy(F.col("doc_id").alias("_d")).agg(F.array_sort(F.collect_list(F.struct(F.col("page_number").alias("_n"), page.alias("page")))).alias("_pages"))
-    fields = F.struct(*[F.col(c) for c in documents.columns])
-    joined = documents.join(own, F.col("doc_id") == F.col("_d"), "left")
-    return joined.select("doc_id", F.to_json(F.struct(fields.alias("document"), F.transform("_pages", lambda x: x["page"]).alias("pages"))).alias("json"))
-
-
 def call_stats(calls: DataFrame) -> DataFrame:
     """engine, calls, tokens, errors of a log of calls; counted from the log, so a retried task counts once."""
     return calls.groupBy("engine").agg(F.count("*").alias("calls"), F.coalesce(F.sum("tokens"), F.lit(0)).alias("tokens"), F.count_if(F.coalesce("failed", F.lit(False))).alias("errors"))

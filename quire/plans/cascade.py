@@ -25,6 +25,8 @@ from ..sources.scratch import written
 Text = Callable[[bytes], str | list[str]]
 Detect = Callable[[bytes], list]
 _DETECTIONS = "array<struct<text:string,conf:double,points:array<struct<x:double,y:double>>>>"
+#: A log of what engines were asked: one element an attempt.
+CALLS = "array<struct<engine:string,attempt:int,tokens:bigint,failed:boolean,ms:double>>"
 #: Characters of the least usable answer, and of an error that is shown.
 LEAST_CHARS, ERROR_CHARS = 20, 180
 #: What a page's log says of each step, and the engines' names and methods.
@@ -39,6 +41,17 @@ PDF_TEXT, PRIMARY, DETECTOR = "PyMuPDF", "surya", "easyocr"
 _made: dict[str, tuple[float, Callable | None]] = {}
 
 
+class Answer(str):
+    """A text with the number of tokens that it has cost, for an engine that knows it."""
+
+    tokens = 0
+
+    def __new__(cls, text: str, tokens: int = 0) -> Answer:
+        out = super().__new__(cls, text)
+        out.tokens = tokens
+        return out
+
+
 class Loaded:
     """An engine that each worker process makes at first use and keeps. Factories are tried in turn until one works (say, for fewer languages).
 
@@ -120,51 +133,68 @@ class Engines:
         return self.corrections.get("lexicon", ())
 
     def models(self) -> list[tuple[str, Text]]:
+        """Those that the settings leave on, in turn; each is asked attempts times."""
         s = self.settings
         off = lambda name: s is not None and (name.startswith("ollama") and not s.ollama_enabled or name.startswith("gemini") and not s.gemini_enabled)
         every = [(self.model_name, self.model)] * (self.model is not None) + list(self.more_models)
-        return [(name, retrying(ask, self.attempts, self.delay)) for name, ask in every if not off(name)]
+        return [(name, ask) for name, ask in every if not off(name)]
 
     def first(self) -> Text | None:
         return self.primary if self.settings is None or self.settings.surya_enabled else None
 
 
-def _asked(engine: Callable, x, empty) -> tuple:
-    """What the engine says, and the start of its error; a page that it fails on is one that it finds nothing on."""
-    try:
-        return engine(bytes(x)) or empty, ""
-    except Exception as e:  # noqa: BLE001  engines are foreign code
-        return empty, (str(e) or type(e).__name__).replace("\n", " ")[:ERROR_CHARS]
+def _asked(name: str, engine: Callable, x, empty, calls: list, attempts: int = 1, delay: float = 0.0) -> tuple:
+    """What the engine says, and the start of its last error; a page that it fails on is one that it finds nothing on. Each attempt is added to calls."""
+    why = ""
+    for attempt in range(1, attempts + 1):
+        began = time.perf_counter()
+        try:
+            said, why = engine(bytes(x) if isinstance(x, (bytearray, memoryview)) else x) or empty, ""
+        except Exception as e:  # noqa: BLE001  engines are foreign code
+            said, why = empty, (str(e) or type(e).__name__).replace("\n", " ")[:ERROR_CHARS]
+        calls.append({"engine": name, "attempt": attempt, "tokens": int(getattr(said, "tokens", 0)), "failed": bool(why), "ms": round((time.perf_counter() - began) * 1000, 3)})
+        if not why:
+            break
+        if attempt < attempts:
+            time.sleep(delay)
+    return said, why
 
 
-def _read(pages: DataFrame, image: str, engine: Text) -> DataFrame:
-    """pages with said (lines joined by line feeds) and why (an error, or nothing)."""
+def _read(pages: DataFrame, image: str, name: str, engine: Text, attempts: int = 1, delay: float = 0.0) -> DataFrame:
+    """pages with said (lines joined by line feeds) and why (an error, or nothing), and the calls in their log."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            got = [_asked(engine, x, "") for x in b[image]]
-            yield b.assign(said=[x if isinstance(x, str) else "\n".join(x) for x, _ in got], why=[e for _, e in got])
+            logs = [[] for _ in range(len(b))]
+            got = [_asked(name, engine, x, "", log, attempts, delay) for x, log in zip(b[image], logs)]
+            yield b.assign(said=[x if isinstance(x, str) else "\n".join(x) for x, _ in got], why=[e for _, e in got], made=logs)
 
-    return pages.mapInPandas(run, _with(pages, "said string, why string"))
+    return _logged(pages.mapInPandas(run, _with(pages, f"said string, why string, made {CALLS}")))
 
 
-def _detect(pages: DataFrame, image: str, engine: Detect) -> DataFrame:
+def _detect(pages: DataFrame, image: str, name: str, engine: Detect) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = [[{"text": t, "conf": float(c), "points": [{"x": float(x), "y": float(y)} for x, y in p]} for t, c, p in _asked(engine, x, [])[0]] for x in b[image]]
-            yield b.assign(seen=rows)
+            logs = [[] for _ in range(len(b))]
+            rows = [[{"text": t, "conf": float(c), "points": [{"x": float(x), "y": float(y)} for x, y in p]} for t, c, p in _asked(name, engine, x, [], log)[0]] for x, log in zip(b[image], logs)]
+            yield b.assign(seen=rows, made=logs)
+
+    return _logged(pages.mapInPandas(run, _with(pages, f"seen {_DETECTIONS}, made {CALLS}")))
 
-    return pages.mapInPandas(run, _with(pages, f"seen {_DETECTIONS}"))
+
+def _logged(pages: DataFrame) -> DataFrame:
+    return pages.withColumn("calls", F.concat("calls", "made")).drop("made")
 
 
 def _mapped(pages: DataFrame, column: str, out: str, f: Callable) -> DataFrame:
-    """pages with the array f(value) of strings or nulls as a column out."""
+    """pages with the array f(value, calls) of strings or nulls as a column out, and the calls in their log."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield b.assign(**{out: [None if x is None else f(x) for x in b[column]]})
+            logs = [[] for _ in range(len(b))]
+            yield b.assign(**{out: [None if x is None else f(x, log) for x, log in zip(b[column], logs)]}, made=logs)
 
-    return pages.mapInPandas(run, _with(pages, f"{out} array<string>"))
+    return _logged(pages.mapInPandas(run, _with(pages, f"{out} array<string>, made {CALLS}")))
 
 
 def _with(pages: DataFrame, more: str) -> str:
@@ -187,7 +217,8 @@ def primary_text(said: str | Column, least_chars: int = LEAST_CHARS, devanagari_
 
 
 def recognise(pages: DataFrame, engines: Engines, image: str = "image") -> DataFrame:
-    """pages with blocks, method, engine, correction_applied, confidence_score and steps."""
+    """pages with blocks, method, engine, correction_applied, confidence_score, steps and calls (what engines were asked for the page)."""
+    pages = pages if "calls" in pages.columns else pages.withColumn("calls", F.array().cast(CALLS))
     kept = pages.columns
     settled: list[DataFrame] = []
     primary, s = engines.first(), engines.settings or Settings()
@@ -206,7 +237,8 @@ def recognise(pages: DataFrame, engines: Engines, image: str = "image") -> DataF
             due = df.withColumn("due", B.repairable(F.col("blocks"), source, **engines.corrections))
             due = _write(due)
             told = F.exists("due", lambda x: x.isNotNull())
-            made = _mapped(due.filter(told), "due", "better", lambda own: [None if t is None else C.repaired(t, engines.repairer) for t in own])
+            ask = lambda t, calls: C.repaired(t, lambda x: _asked("repairer", engines.repairer, x, "", calls)[0])
+            made = _mapped(due.filter(told), "due", "better", lambda own, calls: [None if t is None else ask(t, calls) for t in own])
             df, better = due.filter(~told).withColumn("better", F.lit(None).cast("array<string>")).unionByName(made).drop("due"), "better"
         fixed = df.withColumn("fixed", B.correct_blocks("blocks", source, repaired=better, **engines.corrections))
         return fixed.select(
@@ -215,11 +247,11 @@ def recognise(pages: DataFrame, engines: Engines, image: str = "image") -> DataF
         )
 
     if primary:
-        read = _write(_read(rest, image, primary)).withColumn("said", primary_text("said", engines.least_chars, s.surya_devanagari_reject_threshold, s.surya_min_bangla_ratio))
+        read = _write(_read(rest, image, PRIMARY, primary)).withColumn("said", primary_text("said", engines.least_chars, s.surya_devanagari_reject_threshold, s.surya_min_bangla_ratio))
         settled.append(done(read.filter("said <> ''").withColumn("blocks", B.paragraphs("said")), PRIMARY, LOCAL, PRIMARY, F.format_string(PRIMARY_OK, F.length("said"))))
         rest = read.filter("said = ''").drop("said", "why").withColumn("steps", _log(PRIMARY_EMPTY))
     if engines.quick:
-        seen = _write(_detect(rest, image, engines.quick)).withColumn("blocks", B.detection_blocks("seen"))
+        seen = _write(_detect(rest, image, DETECTOR, engines.quick)).withColumn("blocks", B.detection_blocks("seen"))
         seen = seen.withColumn("c", score("blocks")).withColumn("good", ~S.needs_fallback(F.col("c"), S.is_bangla("blocks")))
         settled.append(done(seen.filter("good"), DETECTOR, LOCAL, DETECTOR, F.concat(F.lit(QUICK_OK), shown(F.col("c")))))
         rest = seen.filter("not good").drop("seen", "blocks", "good", "c")
@@ -227,7 +259,7 @@ def recognise(pages: DataFrame, engines: Engines, image: str = "image") -> DataF
         rest = rest.withColumns({"steps": _log(MODELS), "reasons": F.array().cast("array<string>")})
         answered: list[DataFrame] = []
         for name, ask in models:
-            read = _write(_read(rest, image, ask)).withColumns({"by": F.lit(name), "said": T.strip("said")})
+            read = _write(_read(rest, image, name, ask, engines.attempts, engines.delay)).withColumns({"by": F.lit(name), "said": T.strip("said")})
             usable = F.length("said") >= LEAST_CHARS
             answered.append(read.filter(usable))
             why = F.concat(F.lit(f"{name}="), F.when(F.col("why") == "", "no usable text").otherwise(F.col("why")))
@@ -242,7 +274,7 @@ def recognise(pages: DataFrame, engines: Engines, image: str = "image") -> DataF
         missed = tried.filter(wrong).select(*kept, F.concat(F.slice("steps", 1, F.size("steps") - 1), F.array(F.concat(F.lit(MODEL_MISMATCH), "engine"))).alias("steps"))
         rest = missed.unionByName(rest.withColumn("steps", _log(F.concat(F.lit(MODELS_FAILED), F.array_join("reasons", ";")))).select(*kept, "steps"))
     if last := engines.full or engines.quick:
-        seen = _write(_detect(rest.withColumn("steps", _log(LAST)), image, last)).withColumn("blocks", B.detection_blocks("seen"))
+        seen = _write(_detect(rest.withColumn("steps", _log(LAST)), image, DETECTOR, last)).withColumn("blocks", B.detection_blocks("seen"))
         found = done(seen.withColumn("n", F.size("seen")), DETECTOR, LOCAL, DETECTOR, F.format_string(LAST_FOUND, "n"))
         mismatch = F.when(S.script_mismatch("blocks", *limits), F.array(F.lit(LAST_MISMATCH))).otherwise(F.array().cast("array<string>"))
         n = F.size("steps")
@@ -259,10 +291,12 @@ def recognise(pages: DataFrame, engines: Engines, image: str = "image") -> DataF
 def described(pages: DataFrame, describers: Sequence[Callable[[bytes], str]] = ()) -> DataFrame:
     """pages with their embedded images as structs: image_id, type, detected_text, description, confidence. The first describer with an answer counts."""
 
-    def say(images) -> list[str | None]:
+    pages = pages if "calls" in pages.columns else pages.withColumn("calls", F.array().cast(CALLS))
+
+    def say(images, calls: list) -> list[str | None]:
         def one(image) -> str | None:
-            for ask in describers:
-                said, _ = _asked(ask, image["image_bytes"], "")
+            for n, ask in enumerate(describers, 1):
+                said, _ = _asked(f"describer {n}", ask, image["image_bytes"], "", calls)
                 if said.strip():
                     return said.strip()
             return None
@@ -284,16 +318,17 @@ def process_pages(pages: DataFrame, engines: Engines, domain: str = "unknown", p
     """The whole page pipeline. pages: doc_id, page_number, text, image, tables (arrays of rows, may be null) and images (width, height; image_bytes for describers).
 
     A digital page with a valid text becomes blocks after its numbers are fixed; every other page goes through the cascade and has its table rebuilt from positions.
-    put saves the image of a page that is recognised and says where; it may fail.
+    put saves the image of a page that is recognised and says where; it may fail. Of a page's log there are unicode_validation (of digital text, as JSON), calls (of engines), ms (what these took) and steps.
     """
     from ..functions.validate import validate
     from ..operators.documents import page_decisions
     from ..sources.sinks import with_saved_images
 
-    kept = ["doc_id", "page_number", "tables", "images"]
-    routed = pages.withColumn("kind", T.page_type("text")).withColumn("valid", F.when(F.col("kind") == "digital", validate("text")["is_valid"]).otherwise(False))
+    kept = ["doc_id", "page_number", "tables", "images", "unicode_validation", "calls"]
+    routed = pages.withColumn("kind", T.page_type("text")).withColumn("v", F.when(F.col("kind") == "digital", validate("text")))
+    routed = routed.withColumns({"valid": F.coalesce("v.is_valid", F.lit(False)), "unicode_validation": F.to_json("v"), "calls": F.array().cast(CALLS)})
     # validated once; images of digital pages aren't needed any more
-    routed = _write(routed.withColumns({"image": F.when(~F.col("valid"), F.col("image")), "text": F.when(F.col("valid"), F.col("text"))}))
+    routed = _write(routed.withColumns({"image": F.when(~F.col("valid"), F.col("image")), "text": F.when(F.col("valid"), F.col("text"))}).drop("v"))
     fixed = routed.filter("valid").withColumn("fixed", C.fix_numbers("text")["text"])
     digital = fixed.select(
         *kept, F.lit("").alias("source_image_path"), B.paragraphs("fixed").alias("blocks"), F.lit(DIGITAL).alias("method"), F.lit(PDF_TEXT).alias("engine"), F.lit(False).alias("correction_applied"),
@@ -312,4 +347,11 @@ def process_pages(pages: DataFrame, engines: Engines, domain: str = "unknown", p
     out = out.withColumns({"raised": floored, "steps": log})
     raised = F.when(F.col("raised") != F.col("confidence_score"), F.array(F.lit(FLOOR % S.LLM_FLOOR))).otherwise(F.array().cast("array<string>"))
     out = out.withColumns({"steps": F.concat("steps", raised), "confidence_score": F.col("raised")}).drop("raised")
-    return out.withColumns({"verified": F.lit(False), "domain": F.lit(domain), "decisions": page_decisions()})
+    ms = F.aggregate("calls", F.lit(0.0), lambda total, c: total + c["ms"])
+    more = {"verified": F.lit(False), "domain": F.lit(domain), "decisions": page_decisions(), "numeric_validation_passed": F.lit(True), "ms": T.rounded(ms, 1)}
+    return out.withColumns(more).withColumn("confidence_tier", S.tier(F.col("confidence_score"), F.col("verified"), F.lit("")))
+
+
+def call_log(pages: DataFrame) -> DataFrame:
+    """doc_id, page_number, engine, attempt, tokens, failed, ms: every call that was made for pages. Read it from where the pages were written, and a task that Spark ran twice counts once."""
+    return pages.select("doc_id", "page_number", F.explode("calls").alias("c")).select("doc_id", "page_number", "c.*")

@@ -311,19 +311,62 @@ def verified_twice(spark: SparkSession, sf_dir: str) -> DataFrame:
 _TAGGED = "with p as (" + _TURNS + "), t as (select doc_id, if(count(distinct engine) > 1, 'mixed', replace(min(engine), 'ollama:x', 'ollama')) as tag from p group by doc_id)"
 
 
+def _report_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns with a block each, boxed on even ones and by hand on odd ones of the user, and tables, images and decisions on some."""
+    turn, user = F.col("page_number"), F.col("domain") == "user"
+    real = lambda x: x.cast("double")
+    box = F.when(turn % 2 == 0, F.struct(*[real(turn + F.lit(i)).alias(k) for i, k in enumerate(("x1", "y1", "x2", "y2"))]))
+    b = B.block(F.lit(1), F.col("full_text"), F.col("confidence_score"), language=F.when(user, "bn").otherwise("en"), bbox=box, handwritten=user & (turn % 2 == 1))
+    grid = F.struct(F.lit(1).alias("table_id"), F.lit(0.123456).alias("structure_confidence"), F.array(F.array(F.lit("x"))).alias("rows"))
+    some = lambda due, x: F.when(due, F.array(x)).otherwise(F.slice(F.array(x), 1, 0))
+    decision = lambda keyword, severity: F.struct(turn.alias("page"), keyword.alias("keyword"), F.lit("d").alias("detail"), severity.alias("severity"))
+    decisions = F.array(decision(F.lit("FINAL_ENGINE"), F.lit("info")), decision(F.col("domain"), F.when(turn % 4 == 3, "warning")))
+    image = B.described_image(F.lit(1), F.lit(1), F.lit(2), F.lit(None).cast("string"))
+    more = {"method": F.lit("ocr_local"), "blocks": F.array(b), "tables": some(turn % 3 == 2, grid), "images": some(turn >= 4, image), "decisions": decisions, "ms": real(turn), "verified": user}
+    return _turns(spark, sf_dir).withColumns(more)
+
+
+_REPORT = """struct<source:string,total_pages:bigint,language_detected:array<string>,has_handwriting:boolean,has_tables:boolean,has_images:boolean,
+    processing_summary:struct<pages_processed_locally:bigint,pages_sent_to_api:bigint,overall_confidence:double,processing_time_ms:double>,
+    decision_summary:struct<total:bigint,by_severity:struct<info:bigint,warning:bigint,error:bigint>,unique_keywords:array<string>>,all_decisions:array<struct<page:int,keyword:string>>,output_engine_tag:string>"""
+_PAGE_OF = """array<struct<page_number:int,extraction:struct<method:string,engine:string,confidence_score:double,correction_applied:boolean,numeric_validation_passed:boolean>,
+    content_blocks:array<struct<block_id:int,text:string,language:string,bbox:array<double>,is_handwritten:boolean>>,tables:array<struct<structure_confidence:double>>,images:array<struct<type:string>>,
+    full_text:string,verified:boolean,domain:string,confidence_tier:string>>"""
+
+
 @query(
-    f"""{_TAGGED} select p.doc_id, 'k' as kind, tag as output_engine_tag, count(*) as pages, min(page_number) as first_page, sum(length(full_text))::bigint as chars from p join t on p.doc_id = t.doc_id group by p.doc_id, tag"""
+    f"""with r as ({_TURNS}), p as (select *, domain = 'user' as by_user from r), t as (select doc_id, if(count(distinct engine) > 1, 'mixed', replace(min(engine), 'ollama:x', 'ollama')) as tag from p group by doc_id)
+    select p.doc_id, p.doc_id || '.pdf' as source, tag as output_engine_tag, count(*) as pages, min(page_number) as first_page, sum(length(full_text))::bigint as chars,
+    concat_ws(',', if(bool_or(by_user), 'bn', null), if(bool_or(not by_user), 'en', null)) as languages, bool_or(by_user and page_number % 2 = 1) as has_handwriting, bool_or(page_number % 3 = 2) as has_tables,
+    bool_or(page_number >= 4) as has_images, count(*) filter (engine = 'surya') as pages_local, count(*) filter (engine <> 'surya') as pages_api, {rounded('avg(confidence_score)')} as confidence, sum(page_number)::double as ms,
+    2 * count(*) as decisions, (2 * count(*) - count(*) filter (page_number % 4 = 3))::bigint as info, count(*) filter (page_number % 4 = 3) as warning, 0::bigint as error,
+    array_to_string(list_sort(list_distinct(list(domain) || ['FINAL_ENGINE'])), ',') as keywords, string_agg(page_number || '=' || domain, ',' order by page_number) as decided,
+    string_agg(engine || ':' || printf('%.4f', confidence_score) || ':' || case when confidence_score >= 0.85 and by_user then 'gold' when confidence_score >= 0.65 then 'silver' else 'bronze' end
+        || ':' || if(page_number % 2 = 0, (page_number + 3)::varchar || '.0', '-') || ':' || if(by_user and page_number % 2 = 1, 'hand', '') || ':' || if(page_number % 3 = 2, '0.1235', '') , ',' order by page_number) as shown
+    from p join t on p.doc_id = t.doc_id group by p.doc_id, tag"""
 )
 def document_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Merged documents, written and read back."""
+    """Reports of documents, written to a table and read back from their JSON, field by field."""
     at = scratch_path(spark, "merged")
-    pages = _turns(spark, sf_dir)
-    docs = pages.select("doc_id").distinct().withColumn("kind", F.lit("k"))
+    pages = _report_pages(spark, sf_dir)
+    docs = pages.select("doc_id").distinct().withColumn("source", F.concat("doc_id", F.lit(".pdf")))
     sinks.write_merged_json(docs, pages, at)
-    whole = F.from_json("json", "document struct<doc_id:string,kind:string,output_engine_tag:string>, pages array<struct<page_number:int,full_text:string>>")
-    r = store.current(spark, at, form="json").select(whole.alias("r"))
-    chars = F.aggregate("r.pages", F.lit(0).cast("long"), lambda s, p: s + F.length(p["full_text"]))
-    return r.select("r.document.*", F.size("r.pages").cast("long").alias("pages"), F.col("r.pages")[0]["page_number"].alias("first_page"), chars.alias("chars"))
+    whole = F.from_json("json", f"document {_REPORT}, pages {_PAGE_OF}")
+    r = store.current(spark, at, form="json").select("doc_id", whole.alias("r")).select("doc_id", "r.*")
+    chars = F.aggregate("pages", F.lit(0).cast("long"), lambda s, p: s + F.length(p["full_text"]))
+    own = lambda p, b: F.concat_ws(
+        ":", p["extraction"]["engine"], F.format_string("%.4f", p["extraction"]["confidence_score"]), p["confidence_tier"], F.coalesce(F.get(b["bbox"], F.lit(3)).cast("string"), F.lit("-")),
+        F.when(b["is_handwritten"], "hand").otherwise(""), F.coalesce(F.get(p["tables"], F.lit(0))["structure_confidence"].cast("string"), F.lit("")),
+    )
+    line = lambda x: F.array_join(x, ",")
+    decided = F.filter("document.all_decisions", lambda d: d["keyword"] != "FINAL_ENGINE")
+    return r.select(
+        "doc_id", "document.source", "document.output_engine_tag", F.size("pages").cast("long").alias("pages"), F.col("pages")[0]["page_number"].alias("first_page"), chars.alias("chars"),
+        line("document.language_detected").alias("languages"), "document.has_handwriting", "document.has_tables", "document.has_images", F.col("document.processing_summary.pages_processed_locally").alias("pages_local"),
+        F.col("document.processing_summary.pages_sent_to_api").alias("pages_api"), F.col("document.processing_summary.overall_confidence").alias("confidence"), F.col("document.processing_summary.processing_time_ms").alias("ms"),
+        F.col("document.decision_summary.total").alias("decisions"), "document.decision_summary.by_severity.*", line("document.decision_summary.unique_keywords").alias("keywords"),
+        line(F.transform(decided, lambda d: F.concat_ws("=", d["page"].cast("string"), d["keyword"]))).alias("decided"), line(F.transform("pages", lambda p: own(p, p["content_blocks"][0]))).alias("shown"),
+    )
 
 
 @query(
@@ -508,3 +551,26 @@ def replaced_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     same = sinks.read_page_rows(spark, f"{at}/rows").exceptAll(sinks.read_page_rows(spark, f"{at}/runs"))  # none: at once or by runs is the same
     out = shown(files.read_page_json(spark, f"{at}/json"), "page json").unionAll(shown(sinks.read_page_rows(spark, f"{at}/runs"), "page rows"))
     return out.unionAll(shown(sinks.read_page_rows(spark, f"{at}/folded"), "folded rows")).unionAll(texts).unionAll(shown(same, "differs"))
+
+
+@query(
+    """with c as (select text, length(text) as n from conversations), a as (select n, n % 3 = 0 as fails, n % 2 = 0 as empty from c)
+    select 'ollama:a' as engine, sum(if(fails, 2, 1))::bigint as calls, coalesce(sum(if(fails or empty, 0, n)), 0)::bigint as tokens, coalesce(sum(if(fails, 2, 0)), 0)::bigint as errors from a
+    union all select 'gemini', count(*), sum(n)::bigint, 0 from a where fails or empty"""
+)
+def logged_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a cascade with two models, of which the first fails on some pages and is asked again, and says nothing of others, logs of its calls."""
+    from .cascade import Answer, call_log, recognise
+
+    def first(image: bytes) -> str:
+        text = image.decode()
+        if len(text) % 3 == 0:
+            raise ValueError("busy")
+        return "" if len(text) % 2 == 0 else Answer("an answer that is long enough to be of use", len(text))
+
+    def second(image: bytes) -> str:
+        return Answer("another answer that is long enough to be of use", len(image.decode()))
+
+    pages = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.col("text").cast("binary").alias("image"))
+    out = recognise(pages, Engines(model=first, model_name="ollama:a", more_models=(("gemini", second),), delay=0.0))
+    return documents.call_stats(call_log(out.withColumnsRenamed({"conv_id": "doc_id", "turn": "page_number"})))

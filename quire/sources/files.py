@@ -7,11 +7,12 @@ from collections.abc import Callable, Iterable, Iterator, Mapping
 from dataclasses import dataclass, fields
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ..functions import text as T
+from . import store
 
 MOST_BYTES = 100 * 1024 * 1024
 PAGE_SCHEMA = "page_number int, text string, image binary, tables array<array<array<string>>>, images array<struct<xref:int,image_bytes:binary,ext:string,width:int,height:int>>"
@@ -20,9 +21,14 @@ PAGE_JSON = (
     "doc_id string, page_number int, tables array<struct<table_id:int,structure_confidence:double,rows:array<array<string>>>>, "
     "images array<struct<image_id:int,type:string,detected_text:string,description:string,confidence:double>>, source_image_path string, "
     "blocks array<struct<block_id:int,type:string,language:string,text:string,confidence:double,bbox:struct<x1:double,y1:double,x2:double,y2:double>,is_handwritten:boolean>>, "
-    "method string, engine string, correction_applied boolean, steps array<string>, confidence_score double, full_text string, verified boolean, domain string, "
+    "method string, engine string, correction_applied boolean, numeric_validation_passed boolean, confidence_tier string, unicode_validation string, ms double, steps array<string>, confidence_score double, full_text string, verified boolean, domain string, "
     "decisions array<struct<page:int,keyword:string,detail:string,severity:string>>"
 )
+#: What page files that are reports have instead of some of those columns.
+PAGE_REPORT = (
+    "extraction struct<method:string,engine:string,confidence_score:double,correction_applied:boolean,numeric_validation_passed:boolean>, "
+    "content_blocks array<struct<block_id:int,type:string,language:string,text:string,confidence:double,bbox:array<double>,is_handwritten:boolean>>"
+)
 VERIFICATION_SCHEMA = "doc_id string, page_number int, verified boolean, at timestamp"
 PROGRESS_SCHEMA = "doc_id string, current_page int, total_pages int, status string, message string, updated_at string"
 
@@ -79,16 +85,22 @@ def read_progress(spark: SparkSession, path: str) -> DataFrame:
 def read_page_json(spark: SparkSession, root: str, schema: str | StructType = PAGE_JSON) -> DataFrame:
     """Pages that write_page_json() wrote, and page files page_<n>_<engine>.json or page_<n>.json in a folder for each document. The path gives
     doc_id, page_number and engine where the content has none."""
-    named = spark.read.schema(schema).option("pathGlobFilter", "page_*.json").option("recursiveFileLookup", "true").option("multiLine", True).json(root)
+    own = StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    both = StructType([*own.fields, *[f for f in StructType.fromDDL(PAGE_REPORT).fields if f.name not in own.names]])
+    named = spark.read.schema(both).option("pathGlobFilter", "page_*.json").option("recursiveFileLookup", "true").option("multiLine", True).json(root)
     path = F.url_decode(F.col("_metadata.file_path"))
     given = {"doc_id": F.regexp_extract(path, r"([^/]+)/page_[^/]*$", 1), "page_number": F.regexp_extract(path, r"page_(\d+)[^/]*$", 1).cast("int"), "engine": F.nullif(F.regexp_extract(path, r"page_\d+_([^/]*)\.json$", 1), F.lit(""))}
-    named = named.withColumns({k: F.coalesce(F.col(k), v) for k, v in given.items() if k in named.columns})
-    from . import store
-
-    written = StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    inner = {k: F.col(f"extraction.{k}") for k in ("method", "engine", "confidence_score", "correction_applied", "numeric_validation_passed")} | {"blocks": _own_blocks()}
+    named = named.withColumns({k: F.coalesce(F.col(k), v) for k, v in inner.items() if k in own.names})
+    named = named.withColumns({k: F.coalesce(F.col(k), v) for k, v in given.items() if k in own.names}).select(*own.names)
     if not store.exists(spark, f"{root}/rows"):
         return named
-    return named.unionByName(store.current(spark, root, form="json", schema=written))
+    return named.unionByName(store.current(spark, root, form="json", schema=own))
+
+
+def _own_blocks() -> Column:
+    corner = lambda b: F.when(F.size(b) == 4, F.struct(*[F.get(b, F.lit(i)).alias(k) for i, k in enumerate(("x1", "y1", "x2", "y2"))]))
+    return F.transform("content_blocks", lambda b: b.withField("bbox", corner(b["bbox"])).withField("is_handwritten", F.coalesce(b["is_handwritten"], F.lit(False))))
 
 
 def read_verifications(spark: SparkSession, path: str) -> DataFrame:

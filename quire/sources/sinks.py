@@ -12,7 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.corpus import corpus_records, corpus_stats, latest, verify
-from ..operators.documents import document_json, document_rollup, document_text
+from ..operators.documents import document_rollup, document_text
+from ..operators.report import document_reports, page_report, with_page_columns
 from . import store
 from .files import PROGRESS_SCHEMA, read_page_json, read_verifications
 
@@ -32,8 +33,8 @@ def _tagged(documents: DataFrame, pages: DataFrame) -> DataFrame:
 
 
 def merged_documents(documents: DataFrame, pages: DataFrame) -> DataFrame:
-    """doc_id, output_engine_tag, json: each document with its pages in order, as one object."""
-    return _tagged(document_json(_tagged(documents, pages), pages), pages)
+    """doc_id, output_engine_tag, json: the report of each document with its pages in order."""
+    return document_reports(documents, pages)
 
 
 def document_texts(pages: DataFrame) -> DataFrame:
@@ -52,10 +53,12 @@ def write_texts(pages: DataFrame, root: str, documents: DataFrame | None = None)
 
 
 def page_files(pages: DataFrame) -> DataFrame:
-    """name, content: <doc_id>/page_<n>_<engine>.json for each page."""
+    """name, content: <doc_id>/page_<n>_<engine>.json for each page, its report with the document's id."""
     engine = F.regexp_replace(F.coalesce("engine", F.lit("unknown")), r"[^A-Za-z0-9._-]+", "-")
     name = F.concat("doc_id", F.lit("/page_"), F.col("page_number").cast("string"), F.lit("_"), engine, F.lit(".json"))
-    return pages.select(name.alias("name"), F.to_json(F.struct(*pages.columns)).alias("content"))
+    own = with_page_columns(pages)
+    named = own.select(name.alias("name"), "doc_id", page_report().alias("page")).select("name", "doc_id", "page.*")
+    return named.select("name", F.to_json(F.struct(*named.columns[1:])).alias("content"))
 
 
 def document_files(rows: DataFrame, column: str, suffix: str) -> DataFrame:

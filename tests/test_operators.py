@@ -9,7 +9,7 @@ from quire import api
 from quire.functions import correct as C
 from quire.functions import text as T
 from quire.operators import blocks as B
-from quire.operators import corpus, documents, jobs, lexicon
+from quire.operators import corpus, documents, jobs, lexicon, report
 from quire.operators import score as S
 from quire.plans.cascade import Engines, Loaded, prepared, process_pages, retrying
 from quire.sources import files, sinks, store
@@ -120,7 +120,7 @@ def test_documents(spark):
     assert cover == {"a": (4, [3, 4], "Missing 2"), "b": (1, [], "Complete"), "c": (2, [1, 2], "Missing 2")}
     assert {(r.doc_id, r.page_number) for r in documents.missing_pages(docs, pages).collect()} == {("a", 3), ("a", 4), ("c", 1), ("c", 2)}
     assert {r.doc_id: r.text for r in documents.document_text(pages).collect()} == {"a": "one\n\ntwo", "b": "x"}
-    whole = {r.doc_id: json.loads(r.json) for r in documents.document_json(docs, pages).collect()}
+    whole = {r.doc_id: json.loads(r.json) for r in report.document_reports(docs, pages).collect()}
     assert [p["page_number"] for p in whole["a"]["pages"]] == [1, 2] and whole["a"]["document"]["total_pages"] == 4
     found = documents.languages(spark.createDataFrame([("a", "mixed"), ("b", "en"), ("c", None)], "doc_id string, language string"))
     assert {r.doc_id: r.languages for r in found.collect()} == {"a": ["bn", "en"], "b": ["en"], "c": ["unknown"]}
@@ -177,7 +177,7 @@ def test_jobs_and_api(spark, tmp_path):
         api.register(t, "a@X.Y")
     with pytest.raises(api.NotFound):
         api.verify(t, "D1", 7)
-    assert json.loads(api.report(t, "D1", "u").first().json)["pages"][0]["engine"] == "surya"
+    assert json.loads(api.report(t, "D1", "u").first().json)["pages"][0]["extraction"]["engine"] == "surya"
     for doc, error in (("D3", api.Conflict), ("D2", api.NotFound), ("D9", api.NotFound)):
         with pytest.raises(error):
             api.report(t, doc)

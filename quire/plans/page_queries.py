@@ -574,3 +574,52 @@ def logged_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.col("text").cast("binary").alias("image"))
     out = recognise(pages, Engines(model=first, model_name="ollama:a", more_models=(("gemini", second),), delay=0.0))
     return documents.call_stats(call_log(out.withColumnsRenamed({"conv_id": "doc_id", "turn": "page_number"})))
+
+
+_SILENCE, _LATE = 8 * 86_400_000, 86_400_000
+_EVENT = "case event_type when 'signup' then 'submitted' when 'click' then 'started' when 'view' then 'page' when 'purchase' then 'finished' else if(event_id % 2 = 0, 'canceled', 'failed') end"
+
+
+@query(
+    f"""with recursive v as (select user_id || '/' || (event_id % 12) as doc_id, epoch_us(ts) as us, event_id as seq, {_EVENT} as event, (event_id % 50)::int as page from events),
+    e as (select *, row_number() over (partition by doc_id order by us, seq) as rn from v),
+    s as (select doc_id, 0::bigint as rn, null::varchar as status, 0 as page, 0 as total, null::bigint as started, null::varchar as message, null::bigint as heard from (select distinct doc_id from e)
+        union all select doc_id, rn, case when st is null then if(event = 'submitted', 'pending', null) when st = 'pending' and event = 'started' then 'processing' when st in ('pending', 'processing') and event = 'canceled' then 'failed'
+            when st = 'processing' and event = 'finished' then 'done' when st = 'processing' and event = 'failed' then 'failed' else st end,
+        case when st = 'processing' and event = 'page' then greatest(page, own) when st = 'processing' and event = 'finished' then 50 else page end,
+        if(st = 'processing' and event in ('page', 'finished'), 50, total), if(st = 'pending' and event = 'started', us, started),
+        case when st in ('pending', 'processing') and event = 'canceled' then 'Canceled by user' when st = 'processing' and event = 'failed' then 'm' || seq else msg end,
+        case when st is null and event <> 'submitted' then null when st in ('done', 'failed') then at1 else us end
+        from (select *, if(silent, 'failed', was) as st, if(silent, 'No progress', said) as msg, if(silent, heard + {_SILENCE}000, heard) as at1
+            from (select e.doc_id, e.rn, e.us, e.seq, e.event, e.page as own, s.page, s.total, s.started, s.status as was, s.message as said, s.heard,
+                coalesce(s.status in ('pending', 'processing') and e.us - s.heard > {_SILENCE}000, false) as silent from s join e on e.doc_id = s.doc_id and e.rn = s.rn + 1))),
+    l as (select doc_id, unnest(arg_max(struct_pack(status := status, page := page, total := total, started := started, message := message, heard := heard), rn)) from s group by doc_id), w as (select max(us) // 1000 - {_LATE} as mark from v),
+    x as (select *, status in ('pending', 'processing') and heard // 1000 + {_SILENCE} + 1 <= mark as silent from l, w where status is not null)
+    select doc_id, if(silent, 'failed', status) as status, page as current_page, total as total_pages, started, case when silent then heard + {_SILENCE}000 when status in ('done', 'failed') then heard end as ended, if(silent, 'No progress', message) as error_msg from x"""
+)
+def job_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Jobs by a state machine over a stream of their events, with cancellations as a second one, that stops when it has read all: the last state of each."""
+    from ..streaming import jobs as machine
+
+    kept = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    machine.with_state_store(spark)
+    us = F.timestamp_diff("MICROSECOND", F.to_timestamp_ntz(F.lit("1970-01-01 00:00:00")), F.col("ts").cast("timestamp_ntz"))
+    event = F.expr(_EVENT)
+    some = lambda x: F.when(F.col("event").isin("page", "finished"), x).cast("int")
+    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
+
+    def stream(canceled: bool) -> DataFrame:
+        e = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", "true").parquet(f"{sf_dir}/events.parquet").withColumn("event", event)
+        e = e.filter(F.col("event") == "canceled" if canceled else F.col("event") != "canceled")
+        doc = F.concat(F.col("user_id").cast("string"), F.lit("/"), (F.col("event_id") % 12).cast("string"))
+        message = F.when(F.col("event") == "failed", F.concat(F.lit("m"), F.col("event_id").cast("string")))
+        return e.select(doc.alias("doc_id"), "event", F.timestamp_micros(us).alias("at"), F.col("event_id").alias("seq"), some(F.col("event_id") % 50).alias("page"), some(F.lit(50)).alias("total"), message.alias("message"))
+
+    at = scratch_path(spark, "job-stream")
+    try:
+        states = machine.job_states(stream(False).unionByName(stream(True)), f"{_SILENCE} milliseconds", f"{_LATE} milliseconds", "3650 days")
+        machine.write_states(states, f"{at}/states", f"{at}/checkpoint").awaitTermination()
+    finally:
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", kept)
+    last = machine.last_states(spark, f"{at}/states")
+    return last.select("doc_id", "status", "current_page", "total_pages", F.unix_micros("started_at").alias("started"), F.when(F.col("status").isin("done", "failed"), F.unix_micros("updated_at")).alias("ended"), "error_msg")

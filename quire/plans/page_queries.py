@@ -623,3 +623,34 @@ def job_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
         spark.conf.set("spark.sql.streaming.stateStore.providerClass", kept)
     last = machine.last_states(spark, f"{at}/states")
     return last.select("doc_id", "status", "current_page", "total_pages", F.unix_micros("started_at").alias("started"), F.when(F.col("status").isin("done", "failed"), F.unix_micros("updated_at")).alias("ended"), "error_msg")
+
+
+@query(
+    """with s as (select conv_id, turn, text, count(*) over (partition by conv_id) as n, row_number() over (partition by conv_id order by turn) as i from conversations)
+    select conv_id::varchar as doc_id, i::int as page_number, md5(text) as md5, null as error from s where conv_id % 5 <> 0 and not (conv_id % 3 = 0 and i = 4)
+    union all select conv_id::varchar, null, null, 'page 4: OSError: torn' from s where conv_id % 5 <> 0 and conv_id % 3 = 0 and i = 4
+    union all select distinct conv_id::varchar, null, null, 'ValueError: no document' from s where conv_id % 5 = 0"""
+)
+def paged_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents of two pages a task: some can't be counted, and of some the fourth page breaks, so that all others are there."""
+    from ..sources import paged
+
+    c = table(spark, sf_dir, "conversations").groupBy(F.col("conv_id").cast("string").alias("doc_id")).agg(F.to_json(F.array_sort(F.collect_list(F.struct("turn", "text")))).alias("json"))
+    bad = F.when(F.col("doc_id").cast("long") % 5 == 0, "").otherwise(F.concat("doc_id", F.lit(":"), "json"))
+    docs = c.select("doc_id", F.concat(F.lit("mem:/"), "doc_id").alias("path"), bad.cast("binary").alias("content"))
+
+    def parts(content: bytes) -> tuple[int, list]:
+        doc, _, rest = content.decode().partition(":")
+        if not rest:
+            raise ValueError("no document")
+        return int(doc), json.loads(rest)
+
+    def decode(content: bytes, first: int, last: int):
+        doc, pages = parts(content)
+        for n, page in enumerate(pages[first - 1 : last], first):
+            if doc % 3 == 0 and n == 4:
+                raise OSError("torn")
+            yield {"text": page["text"]}
+
+    out = paged.read_pages(docs, lambda content: len(parts(content)[1]), decode, 2)
+    return out.select("doc_id", "page_number", _md5("text").alias("md5"), "error")

@@ -6,13 +6,14 @@ import os
 from collections.abc import Callable, Iterable, Iterator, Mapping
 from dataclasses import dataclass, fields
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from ..functions import text as T
-from . import store
+from . import paged, store
 
 MOST_BYTES = 100 * 1024 * 1024
 PAGE_SCHEMA = "page_number int, text string, image binary, tables array<array<array<string>>>, images array<struct<xref:int,image_bytes:binary,ext:string,width:int,height:int>>"
@@ -45,21 +46,20 @@ def admitted(raw: DataFrame, most_bytes: int = MOST_BYTES) -> DataFrame:
 
 
 def decode_pages(documents: DataFrame, decoder: Callable[[bytes], Iterable[Mapping]]) -> DataFrame:
-    """doc_id, page columns (PAGE_SCHEMA) and error. decoder gives a page's mapping at a time, in order; a file that it can't read is one row with the error."""
-    names = ["page_number", "text", "image", "tables", "images"]
+    """doc_id, page columns (PAGE_SCHEMA) and error. decoder gives a page's mapping at a time, in order; where a file can't be read, or read on, a row has the error, and the pages before it stay.
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    A file is read by one task, which holds some pages at a time. paged.read_pages() splits files of many pages.
+    """
+    schema = StructType.fromDDL(f"doc_id string, {PAGE_SCHEMA}, error string")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        arrow = to_arrow_schema(schema)
         for b in batches:
-            for doc, content in zip(b["doc_id"], b["content"]):
-                rows = []
-                try:
-                    rows += [{"doc_id": doc, "page_number": i, **{k: page.get(k) for k in names[1:]}, "error": None} for i, page in enumerate(decoder(bytes(content)), 1)]
-                except Exception as e:  # noqa: BLE001  decoders are foreign code; the row says what happened
-                    rows.append({"doc_id": doc, **dict.fromkeys(names), "error": f"{type(e).__name__}: {e}".replace("\n", " ")[:180]})
-                if rows:
-                    yield pd.DataFrame(rows, columns=["doc_id", *names, "error"], dtype=object)
+            for i in range(b.num_rows):
+                doc, content = b.column(0)[i].as_py(), b.column(1)[i].as_py()
+                yield from paged.batched(paged.decoded_range(doc, content, 1, 1 << 30, lambda c, *_: decoder(c)), arrow)
 
-    return documents.select("doc_id", "content").mapInPandas(run, f"doc_id string, {PAGE_SCHEMA}, error string")
+    return documents.select("doc_id", "content").mapInArrow(run, schema)
 
 
 def route(pages: DataFrame) -> DataFrame:
@@ -72,11 +72,6 @@ def read_lexicon(spark: SparkSession, path: str) -> DataFrame:
     return lines.filter(~F.col("value").startswith("#")).select(T.strip("value").alias("word")).filter("word <> ''").distinct()
 
 
-def read_replacements(spark: SparkSession, path: str) -> DataFrame:
-    """wrong, right, stage from CSV with a header."""
-    return spark.read.schema("wrong string, right string, stage string").option("header", True).csv(path)
-
-
 def read_progress(spark: SparkSession, path: str) -> DataFrame:
     """Snapshots; malformed ones are left out."""
     return spark.read.schema(PROGRESS_SCHEMA).option("mode", "DROPMALFORMED").json(path)

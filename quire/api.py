@@ -16,6 +16,7 @@ from .operators import corpus, documents, jobs
 from .operators.report import document_reports
 from .plans.cascade import Engines, process_pages
 from .sources import files, sinks
+from .sources import store as replaced
 from .sources.scratch import written
 
 DOMAINS = ("unknown", "newspaper", "govt", "academic", "general")
@@ -46,27 +47,49 @@ class Tables:
 
 @dataclass
 class Store:
-    """Where page JSON, verifications, corpus and statistics are, and exported files (page files, images, merged documents, texts, uploads)."""
+    """Where page JSON, verifications, corpus and statistics are, and exported files (page files, images, merged documents, texts, uploads). cells: statistics that follow verdicts without a rebuild; page_rows,
+    merged and texts: the tables of sinks, where there are any."""
 
     pages: str
     verifications: str
     corpus: str
     stats: str
     exports: str | None = None
+    cells: str | None = None
+    page_rows: str | None = None
+    merged: str | None = None
+    texts: str | None = None
 
 
-def submit(spark: SparkSession, path: str, decoder, engines: Engines, domain: str = "unknown", user_id: str = "") -> dict[str, DataFrame]:
-    """All documents under a path, processed: documents and jobs in their last state, and pages."""
+def submit(spark: SparkSession, path: str, decoder, engines: Engines, domain: str = "unknown", user_id: str = "", log: str | None = None) -> dict[str, DataFrame]:
+    """All documents under a path, processed: documents and jobs in their last state, events (id of the job, status, error_msg, at) that led there, and pages. log: a folder that the events are
+    appended to as they happen, for whoever asks in between (jobs.current_state())."""
     found = files.read_documents(spark, path)
+    named = found.select(F.lit(user_id).alias("user_id"), F.concat("doc_id", F.lit(".pdf")).alias("filename"), "doc_id")
+    made = jobs.submissions(named, domain)
+
+    def say(events: DataFrame) -> DataFrame:
+        events = written(events.select("id", "status", "error_msg", "at"), "job-events")
+        if log is not None:
+            events.write.mode("append").parquet(log)
+        return events
+
+    none = F.lit(None).cast("string").alias("error_msg")
+    submitted = say(jobs.jobs(made).select("id", "status", none, F.current_timestamp().alias("at")))
+    started = say(jobs.transition(submitted, "processing", ("pending",), F.current_timestamp()))
     decoded = written(files.decode_pages(found, decoder), "decoded")
-    end = written(jobs.outcomes(decoded), "outcomes")
-    own = end.select(
-        F.expr("uuid()").alias("id"), F.expr("uuid()").alias("job_id"), F.lit(user_id).alias("user_id"), F.concat("doc_id", F.lit(".pdf")).alias("filename"), "doc_id", "status", F.lit(domain).alias("domain"), "total_pages",
-        F.current_timestamp().alias("created_at"), "error_msg",
-    )
-    own = written(own, "submitted")  # ids are random
-    done = own.select(F.col("job_id").alias("id"), F.col("id").alias("document_id"), "status", "error_msg", F.col("created_at").alias("started_at"), F.current_timestamp().alias("completed_at"))
-    return {"documents": own.drop("job_id", "error_msg"), "jobs": done, "pages": process_pages(decoded.filter("error is null").drop("error"), engines, domain)}
+    end = written(jobs.outcomes(decoded), "outcomes").withColumnsRenamed({"doc_id": "_doc", "status": "_status", "total_pages": "_pages", "error_msg": "_error"})
+    ended = made.join(end, F.col("doc_id") == F.col("_doc"), "left").select(F.col("job_id").alias("_job"), F.coalesce("_status", F.lit("failed")).alias("_to"), F.when(F.col("_doc").isNull(), "no pages").otherwise(F.col("_error")).alias("_why"))
+    allowed = jobs.transition(started, "done", ("processing",), F.current_timestamp()).join(ended, F.col("id") == F.col("_job"))
+    finished = say(allowed.select("id", F.col("_to").alias("status"), F.col("_why").alias("error_msg"), "at"))
+    events = submitted.unionByName(started).unionByName(finished)
+    state = jobs.current_state(events).select(F.col("id").alias("_j"), "status", "error_msg", F.col("at").alias("completed_at"))
+    begun = started.select(F.col("id").alias("_s"), F.col("at").alias("started_at"))
+    last = jobs.jobs(made).select("id", "document_id").join(state, F.col("id") == F.col("_j")).join(begun, F.col("id") == F.col("_s")).select("id", "document_id", "status", "error_msg", "started_at", "completed_at")
+    known = last.select(F.col("document_id").alias("_i"), F.col("status").alias("_now"))
+    own = made.join(known, F.col("id") == F.col("_i")).join(end, F.col("doc_id") == F.col("_doc"), "left")
+    own = own.select("id", "user_id", "filename", "doc_id", F.col("_now").alias("status"), "domain", F.coalesce("_pages", F.lit(0)).alias("total_pages"), "created_at")
+    return {"documents": own, "jobs": last, "events": events, "pages": process_pages(decoded.filter("error is null").drop("error"), engines, domain)}
 
 
 def job(t: Tables, job_id: str, user_id: str) -> DataFrame:
@@ -92,16 +115,23 @@ def cancel(t: Tables, doc_id: str, user_id: str) -> DataFrame:
 
 
 def delete(t: Tables, doc_id: str, user_id: str, store: Store | None = None) -> dict[str, DataFrame]:
-    """Each table without the document's rows; with a store, its exported files go as well."""
+    """Each table without the document's rows; with a store, it leaves page JSON, page rows, reports and texts, corpus and statistics, and its exported files go as well."""
     gone = t.documents.filter((F.col("doc_id") == doc_id) & (F.col("user_id") == user_id)).select("id", "doc_id")
     if gone.isEmpty():
         raise NotFound(doc_id)
     tables = {"documents": (t.documents, "id"), "jobs": (t.jobs, "document_id"), "chunks": (t.chunks, "document_id"), "chat_sessions": (t.chat_sessions, "document_id")}
     by_name = {"pages": (t.pages, "doc_id", "doc_id"), "progress": (t.progress, "doc_id", "doc_id"), "verifications": (t.verifications, "doc_id", "doc_id")}
     out = jobs.delete_documents({k: v for k, v in (tables | by_name).items() if v[0] is not None}, gone)
-    if store is not None and store.exports:
-        plain = re.sub(r"([\[\]{}*?\\])", r"\\\1", doc_id)  # no wildcard
-        sinks.delete_files(t.documents.sparkSession, *[f"{store.exports}/{kind}/{plain}{end}" for kind in ("pages", "images", "merged", "texts", "uploads") for end in ("", "_*.json", ".json", "_*.txt", ".txt", ".pdf")])
+    if store is not None:
+        spark, ids = t.documents.sparkSession, gone.select("doc_id")
+        for path, form in ((store.pages, "json"), (store.merged, "json"), (store.texts, "json"), (store.page_rows, "parquet")):
+            if path:
+                replaced.remove(ids, path, form=form)
+        if store.corpus and replaced.exists(spark, store.corpus):  # what is left of the pages makes corpus and statistics anew
+            sinks.rebuild_corpus(spark, store.pages, store.corpus, store.stats, store.verifications if replaced.exists(spark, store.verifications) else None, store.cells)
+        if store.exports:
+            plain = re.sub(r"([\[\]{}*?\\])", r"\\\1", doc_id)  # no wildcard
+            sinks.delete_files(spark, *[f"{store.exports}/{kind}/{plain}{end}" for kind in ("pages", "images", "merged", "texts", "uploads") for end in ("", "_*.json", ".json", "_*.txt", ".txt", ".pdf")])
     return out
 
 
@@ -120,8 +150,10 @@ def report(t: Tables, doc_id: str, user_id: str | None = None) -> DataFrame:
     return document_reports(own, pages)
 
 
-def stats(t: Tables) -> DataFrame:
-    """Texts are measured before the join with verifications, which then carries a few numbers a page."""
+def stats(t: Tables, store: Store | None = None) -> DataFrame:
+    """Of a store's cells, if it has them. Else texts are measured before the join with verifications, which then carries a few numbers a page."""
+    if store is not None and store.cells is not None:
+        return sinks.read_stats(t.pages.sparkSession, store.cells)
     return corpus.corpus_stats(corpus.corpus_records(corpus.verify(corpus.measured(t.pages).drop("full_text"), t.verifications)))
 
 
@@ -130,15 +162,17 @@ def export(t: Tables, path: str) -> None:
 
 
 def verify(t: Tables, doc_id: str, page_number: int, verified: bool = True, store: Store | None = None, rebuild: bool = True) -> DataFrame:
-    """The verification of a page that there is, as a row. With a store it is appended there, and corpus and statistics are rebuilt, or left for a later rebuild of many verifications."""
+    """The verification of a page that there is, as a row. With a store it is appended there, and corpus and statistics are rebuilt; or, without rebuild, left for a later one: the statistics of cells follow at once."""
     spark = t.pages.sparkSession
     if files.find_page(t.pages, doc_id, page_number).isEmpty():
         raise NotFound(f"{doc_id}, page {page_number}")
     row = spark.createDataFrame([(doc_id, page_number, verified, datetime.now(timezone.utc))], files.VERIFICATION_SCHEMA)
-    if store is not None:
+    if store is not None and store.cells is not None and not rebuild:
+        sinks.append_verdicts(spark.read.parquet(store.corpus), row, store.verifications, store.cells, uuid.uuid4().hex)
+    elif store is not None:
         row.write.mode("append").json(store.verifications)
     if store is not None and rebuild:
-        sinks.rebuild_corpus(spark, store.pages, store.corpus, store.stats, store.verifications)
+        sinks.rebuild_corpus(spark, store.pages, store.corpus, store.stats, store.verifications, store.cells)
     return row
 
 

@@ -75,3 +75,50 @@ def verify(pages: DataFrame, verifications: DataFrame, at: str | Column = "at")
     was = F.col("verified") if "verified" in pages.columns else F.lit(False)
     joined = pages.join(own, (F.col("doc_id") == F.col("_d")) & (F.col("page_number") == F.col("_p")), "left")
     return joined.select(*[c for c in pages.columns if c != "verified"], F.coalesce("_v", was).alias("verified"))
+
+
+def cells(records: DataFrame) -> DataFrame:
+    """domain, confidence_tier, engine, records, confidence, words, chars: what statistics are made of, a row for each combination that occurs. confidence is a sum of ten-thousandths, so sums of cells are exact in any order."""
+    score = F.round(F.col("confidence_score") * 10_000).cast("long")
+    return records.groupBy("domain", "confidence_tier", "engine").agg(
+        F.count("*").alias("records"), F.sum(score).alias("confidence"), F.sum("word_count").cast("long").alias("words"), F.sum("char_count").cast("long").alias("chars")
+    )
+
+
+def verdict_deltas(records: DataFrame, before: DataFrame, verdicts: DataFrame) -> DataFrame:
+    """Signed cells(): what verdicts change. records: of the corpus, with verified as it was built; before: verifications that count already; verdicts: those that come now.
+
+    A page that is verified leaves the cell that it was in and enters another. Only the columns of records that cells are made of are read, and only pages with a verdict are looked at; of several
+    verdicts on a page the last counts, and pages that aren't in records change nothing.
+    """
+    keys = ["doc_id", "page_number"]
+    last = lambda v, name: latest(v.select(*keys, "verified", "at"), keys, F.struct("at", "verified")).select(F.col("doc_id").alias("_d"), F.col("page_number").alias("_p"), F.col("verified").alias(name), F.col("at").alias(f"{name}_at"))
+    same = lambda: (F.col("doc_id") == F.col("_d")) & (F.col("page_number") == F.col("_p"))
+    own = records.select(*keys, "domain", "engine", "confidence_score", "verified", "word_count", "char_count")
+    met = own.join(last(verdicts, "_new"), same()).drop("_d", "_p").join(last(before, "_old"), same(), "left").drop("_d", "_p")
+    was = F.coalesce("_old", "verified")
+    # a verdict that is older than one that counts already comes too late
+    late = F.col("_old_at").isNotNull() & (F.struct(F.col("_old_at"), F.col("_old")) > F.struct(F.col("_new_at"), F.col("_new")))
+    told = met.withColumns({"was": was, "now": F.when(late, was).otherwise(F.col("_new"))}).filter(~F.col("was").eqNullSafe(F.col("now")))
+    sides = F.explode(F.array(F.struct(F.lit(-1).alias("sign"), F.col("was").alias("v")), F.struct(F.lit(1).alias("sign"), F.col("now").alias("v"))))
+    each = told.withColumn("_s", sides).withColumns({"confidence_tier": tier(F.col("confidence_score"), F.col("_s.v")), "_n": F.col("_s.sign").cast("long")})
+    total = lambda x, name: F.sum(F.col("_n") * x).cast("long").alias(name)
+    out = each.groupBy("domain", "confidence_tier", "engine").agg(
+        F.sum("_n").alias("records"), total(F.round(F.col("confidence_score") * 10_000).cast("long"), "confidence"), total(F.col("word_count"), "words"), total(F.col("char_count"), "chars")
+    )
+    return out.filter("records <> 0 or confidence <> 0 or words <> 0 or chars <> 0")
+
+
+def fold_cells(parts: DataFrame) -> DataFrame:
+    """corpus_stats() of cells() and deltas: their sums. Combinations of which nothing is left are left out."""
+    now = parts.groupBy("domain", "confidence_tier", "engine").agg(*[F.sum(c).cast("long").alias(c) for c in ("records", "confidence", "words", "chars")]).filter("records <> 0")
+    # a row for each combination: the sums of all groupings are made of few rows
+    grouped = now.groupingSets([[F.col("domain")], [F.col("confidence_tier")], [F.col("engine")], []], "domain", "confidence_tier", "engine")
+    kind = F.when(F.grouping_id() == 3, "domain").when(F.grouping_id() == 5, "tier").when(F.grouping_id() == 6, "engine").otherwise("total")
+    counts = grouped.agg(kind.alias("kind"), *[F.sum(c).alias(c) for c in ("records", "confidence", "words", "chars")])
+    counts = counts.withColumn("name", F.coalesce("domain", "confidence_tier", "engine"))
+    entry = lambda kind: F.map_from_entries(F.sort_array(F.collect_list(F.when((F.col("kind") == kind) & F.col("name").isNotNull(), F.struct("name", "records"))))).alias(f"by_{kind}")
+    total = lambda c: F.coalesce(F.sum(F.when(F.col("kind") == "total", F.col(c))), F.lit(0)).cast("long")
+    out = counts.agg(total("records").alias("total_records"), entry("domain"), entry("tier"), entry("engine"), total("confidence").alias("_c"), total("words").alias("total_words"), total("chars").alias("total_chars"))
+    mean = T.rounded(T.ratio(F.col("_c") / 10_000, F.col("total_records")))
+    return out.select("total_records", "by_domain", "by_tier", "by_engine", mean.alias("avg_confidence"), "total_words", "total_chars")

@@ -62,13 +62,14 @@ def delete_documents(tables: dict[str, tuple[DataFrame, str] | tuple[DataFrame,
 
 def submissions(files: DataFrame, domain: str = "unknown", at: Column | None = None) -> DataFrame:
     """A document and a job for each file (user_id, filename) that is admitted by name: id, user_id, filename, doc_id, status, domain, total_pages, created_at and
-    job_id. Ids are random, so the rows are written to the shared folder and read from there: documents() and jobs() of them agree."""
+    job_id. A file that has a doc_id already keeps it. Ids are random, so the rows are written to the shared folder and read from there: documents() and jobs() of them agree."""
     from ..sources.scratch import written
 
-    fresh = files.filter(F.lower("filename").endswith(".pdf")).select("user_id", "filename", F.expr("uuid()").alias("id"), F.expr("uuid()").alias("job_id"), F.expr("uuid()").alias("_u"))
+    given = ["doc_id"] if "doc_id" in files.columns else []
+    fresh = files.filter(F.lower("filename").endswith(".pdf")).select("user_id", "filename", *given, F.expr("uuid()").alias("id"), F.expr("uuid()").alias("job_id"), F.expr("uuid()").alias("_u"))
     unique = F.concat(F.replace("_u", F.lit("-"), F.lit("")), F.lit("_"), "filename")
     out = fresh.select(
-        "id", "user_id", "filename", file_stem(unique).alias("doc_id"), F.lit("pending").alias("status"), F.lit(domain).alias("domain"), F.lit(0).alias("total_pages"),
+        "id", "user_id", "filename", *(given or [file_stem(unique).alias("doc_id")]), F.lit("pending").alias("status"), F.lit(domain).alias("domain"), F.lit(0).alias("total_pages"),
         (F.current_timestamp() if at is None else at).alias("created_at"), "job_id",
     )
     return written(out, "submissions")

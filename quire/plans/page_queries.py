@@ -654,3 +654,33 @@ def paged_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     out = paged.read_pages(docs, lambda content: len(parts(content)[1]), decode, 2)
     return out.select("doc_id", "page_number", _md5("text").alias("md5"), "error")
+
+
+@query(
+    f"""with p as ({_TURNS}), v as (select *, page_number % 3 = 1 or (page_number % 3 = 0 and doc_id::bigint % 2 = 1) as verified, round(confidence_score, 4) as score from p),
+    r as (select *, case when confidence_score >= 0.85 and verified then 'gold' when confidence_score >= 0.65 then 'silver' else 'bronze' end as tier, len({tokens('full_text')}) as words from v)
+    select k as kind, name, records::bigint as records, words::bigint as words, chars::bigint as chars, confidence from (
+        select 'tier' as k, tier as name, count(*) as records, null as words, null as chars, null::double as confidence from r group by tier union all select 'domain', domain, count(*), null, null, null from r group by domain
+        union all select 'engine', engine, count(*), null, null, null from r group by engine union all select 'total', null, count(*), sum(words), sum(length(full_text)), {rounded('sum((score * 10000)::bigint) / 10000 / count(*)')} from r)"""
+)
+def verified_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statistics that follow three runs of verdicts by deltas, one of them made again, and a late one that counts for nothing; pages aren't read."""
+    at = scratch_path(spark, "cells")
+    pages = corpus.measured(_turns(spark, sf_dir)).drop("full_text")
+    corpus.corpus_records(pages).write.parquet(f"{at}/corpus")
+    records = spark.read.parquet(f"{at}/corpus")
+    sinks.write_cells(records, at)
+    key, n = records.select("doc_id", "page_number"), F.col("page_number")
+    odd = F.col("doc_id").cast("long") % 2 == 1
+    when = lambda s: F.timestamp_seconds(F.lit(s)).alias("at")
+    first = key.select("*", (n % 3 != 1).alias("verified"), when(2))
+    last = key.select("*", ((n % 3 == 1) | ((n % 3 == 0) & odd)).alias("verified"), when(3))
+    late = key.select("*", (n % 2 == 0).alias("verified"), when(1))
+    for run, verdicts in (("1", first), ("2", last), ("2", last), ("3", late)):
+        sinks.append_verdicts(records, verdicts, f"{at}/votes", at, run)
+    s = sinks.read_stats(spark, at)
+    entries = lambda k: F.transform(F.map_entries(f"by_{k}"), lambda e: F.struct(F.lit(k).alias("kind"), e["key"].alias("name"), e["value"].alias("records")))
+    each = F.explode(F.flatten(F.array(*map(entries, ("tier", "domain", "engine")))))
+    none = lambda kind: F.lit(None).cast(kind)
+    named = s.select(each.alias("e")).select("e.*", none("long").alias("words"), none("long").alias("chars"), none("double").alias("confidence"))
+    return named.unionAll(s.select(F.lit("total"), none("string"), "total_records", "total_words", "total_chars", "avg_confidence"))

@@ -99,7 +99,9 @@ def _own_blocks() -> Column:
 
 
 def read_verifications(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(VERIFICATION_SCHEMA).option("mode", "DROPMALFORMED").json(path)
+    """All verdicts, of appended files and of runs."""
+    own = StructType.fromDDL(VERIFICATION_SCHEMA).names
+    return spark.read.schema(VERIFICATION_SCHEMA).option("mode", "DROPMALFORMED").option("recursiveFileLookup", True).json(path).select(*own)
 
 
 def find_page(pages: DataFrame, doc_id: str, page_number: int) -> DataFrame:

@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.corpus import corpus_records, corpus_stats, latest, verify
+from ..operators.corpus import cells, corpus_records, corpus_stats, fold_cells, latest, verdict_deltas, verify
 from ..operators.documents import document_rollup, document_text
 from ..operators.report import document_reports, page_report, with_page_columns
 from . import store
@@ -106,12 +106,49 @@ def write_stats(records: DataFrame, path: str) -> None:
     corpus_stats(records).write.mode("overwrite").json(path)
 
 
-def rebuild_corpus(spark: SparkSession, pages_path: str, corpus_path: str, stats_path: str, verifications_path: str | None = None) -> None:
+def rebuild_corpus(spark: SparkSession, pages_path: str, corpus_path: str, stats_path: str, verifications_path: str | None = None, cells_path: str | None = None) -> None:
     """Corpus and statistics anew from all page JSON and the last verification of each page."""
     pages = read_page_json(spark, pages_path)
     pages = verify(pages, read_verifications(spark, verifications_path)) if verifications_path else pages
     write_corpus(pages, corpus_path)
-    write_stats(spark.read.parquet(corpus_path).drop("full_text"), stats_path)
+    records = spark.read.parquet(corpus_path).drop("full_text")
+    write_stats(records, stats_path)
+    if cells_path is not None:
+        write_cells(records, cells_path)
+
+
+def write_cells(records: DataFrame, path: str) -> None:
+    """Statistics of the corpus as cells (corpus.cells()); deltas of before are gone."""
+    spark = records.sparkSession
+    cells(records).write.mode("overwrite").parquet(f"{path}/cells")
+    store.drop(spark, f"{path}/deltas")
+
+
+def append_verdicts(records: DataFrame, verdicts: DataFrame, verifications_path: str, cells_path: str, run: str) -> None:
+    """A run of verdicts: what they change of the statistics, then the verdicts themselves, each under the run's name; a run that is made again replaces itself. No page is read, and of records (of the corpus) no text."""
+    spark = records.sparkSession
+    own = f"{verifications_path}/run=r-{run}"
+    store.drop(spark, own)
+    before = read_verifications(spark, verifications_path) if store.exists(spark, verifications_path) else verdicts.limit(0)
+    verdict_deltas(records, before, verdicts).write.mode("overwrite").parquet(f"{cells_path}/deltas/run=r-{run}")
+    verdicts.write.mode("overwrite").json(own)
+
+
+def read_stats(spark: SparkSession, path: str) -> DataFrame:
+    """The statistics as they are: cells and deltas, folded."""
+    parts = spark.read.parquet(f"{path}/cells")
+    if store.exists(spark, f"{path}/deltas"):
+        parts = parts.unionByName(spark.read.schema(parts.schema).parquet(f"{path}/deltas").select(*parts.columns))
+    return fold_cells(parts)
+
+
+def compact_cells(spark: SparkSession, path: str, to: str) -> None:
+    """Cells and deltas of path as cells in a new place."""
+    parts = spark.read.parquet(f"{path}/cells")
+    if store.exists(spark, f"{path}/deltas"):
+        parts = parts.unionByName(spark.read.schema(parts.schema).parquet(f"{path}/deltas").select(*parts.columns))
+    now = parts.groupBy("domain", "confidence_tier", "engine").agg(*[F.sum(c).cast("long").alias(c) for c in ("records", "confidence", "words", "chars")])
+    now.filter("records <> 0").write.parquet(f"{to}/cells")
 
 
 def append_progress(snapshots: DataFrame, path: str) -> None:

@@ -349,6 +349,8 @@ def test_files_sinks_and_streaming(spark, tmp_path):
     whole = api.submit(spark, str(inbox), decoder, Engines(model=lambda b: b.decode()), "govt", "u")
     assert {(r.doc_id.rsplit("_", 1)[0], r.status, r.total_pages) for r in whole["documents"].collect()} == {("a b", "done", 2), ("c", "failed", 0), ("e", "done", 3), ("f", "done", 1)}
     assert {(r.status, r.error_msg) for r in whole["jobs"].collect()} == {("done", None), ("failed", "ValueError: not a document")} and whole["pages"].count() == 6
+    moves = whole["events"].groupBy("id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", F.when(F.col("status") == "pending", 0).when(F.col("status") == "processing", 1).otherwise(2).alias("n"), "status"))), lambda x: x["status"]), ",").alias("m"))
+    assert sorted(r.m for r in moves.collect()) == ["pending,processing,done"] * 3 + ["pending,processing,failed"]
 
     done = process_pages(pages.filter("error is null").drop("error"), Engines(model=lambda b: b.decode()))
     sinks.write_page_json(done, f"{tmp_path}/json")

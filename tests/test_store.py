@@ -95,3 +95,58 @@ def test_new_columns_and_ids_of_other_types(spark, tmp_path):
     assert [tuple(r) for r in store.current(spark, numbers).collect()] == [(1 << 60, 2)]
     with pytest.raises(FileNotFoundError):
         store.current(spark, f"{tmp_path}/none")
+
+
+def test_statistics_follow_verdicts(spark, tmp_path):
+    """After many runs of verdicts the folded cells are those of a full rebuild, compacted or not; no page JSON is there to be read."""
+    import random
+
+    from pyspark.sql import functions as F
+
+    from quire.operators import corpus
+    from quire.sources import files, sinks
+
+    r = random.Random(3)
+    pages = [(f"d{i % 40}", i // 40 + 1, "w " * r.randint(0, 9), r.choice(["surya", "gemini"]), r.choice([0.5, 0.7, 0.9, 0.86005]), r.choice(["govt", "news"]), r.random() < 0.3) for i in range(200)]
+    own = spark.createDataFrame(pages, "doc_id string, page_number int, full_text string, engine string, confidence_score double, domain string, verified boolean")
+    corpus.corpus_records(own).write.parquet(f"{tmp_path}/corpus")
+    records = spark.read.parquet(f"{tmp_path}/corpus")
+    sinks.write_cells(records, f"{tmp_path}/stats")
+    for run in range(6):
+        some = [(*r.choice(pages)[:2], r.random() < 0.5, r.randint(1, 50)) for _ in range(170)] + [("nowhere", 1, True, 1)]
+        verdicts = spark.createDataFrame(some, "doc_id string, page_number int, verified boolean, s int").select("doc_id", "page_number", "verified", F.timestamp_seconds("s").alias("at"))
+        for _ in range(2 if run % 3 == 0 else 1):
+            sinks.append_verdicts(records, verdicts, f"{tmp_path}/votes", f"{tmp_path}/stats", str(run))
+    votes = files.read_verifications(spark, f"{tmp_path}/votes")
+    assert votes.count() == 6 * 171
+    want = corpus.corpus_stats(corpus.corpus_records(corpus.verify(own, votes))).first()
+    assert sinks.read_stats(spark, f"{tmp_path}/stats").first() == want
+    sinks.compact_cells(spark, f"{tmp_path}/stats", f"{tmp_path}/compact")
+    assert sinks.read_stats(spark, f"{tmp_path}/compact").first() == want
+
+
+def test_a_deleted_document_leaves_the_store(spark, tmp_path):
+    from quire import api
+    from quire.sources import files, sinks
+
+    rows_ = [("D1", 1, "one", "surya", 0.9), ("D1", 2, "two", "surya", 0.9), ("D2", 1, "three", "gemini", 0.7)]
+    pages = spark.createDataFrame(rows_, "doc_id string, page_number int, full_text string, engine string, confidence_score double")
+    at = api.Store(*(f"{tmp_path}/{x}" for x in ("pages", "votes", "corpus", "stats")), cells=f"{tmp_path}/cells", page_rows=f"{tmp_path}/rows", merged=f"{tmp_path}/merged", texts=f"{tmp_path}/texts")
+    docs = spark.createDataFrame([("1", "u", "D1"), ("2", "u", "D2")], "id string, user_id string, doc_id string")
+    sinks.write_page_json(pages, at.pages)
+    sinks.write_page_rows(pages, at.page_rows)
+    sinks.write_texts(pages, at.texts)
+    sinks.write_merged_json(docs.select("doc_id"), pages, at.merged)
+    sinks.rebuild_corpus(spark, at.pages, at.corpus, at.stats, None, at.cells)
+    empty = spark.createDataFrame([], files.PROGRESS_SCHEMA)
+    jobs = spark.createDataFrame([("j", "1")], "id string, document_id string")
+    t = api.Tables(docs, jobs, pages, empty, spark.createDataFrame([], files.VERIFICATION_SCHEMA))
+    assert api.stats(t, at).first().total_records == 3
+    left = api.delete(t, "D1", "u", at)
+    assert left["pages"].count() == 1 and left["jobs"].count() == 0
+    for path, form in ((at.page_rows, "parquet"), (at.texts, "json"), (at.merged, "json")):
+        assert {r.doc_id for r in store.current(spark, path, form=form).collect()} == {"D2"}
+    assert {r.doc_id for r in files.read_page_json(spark, at.pages).collect()} == {r.doc_id for r in spark.read.parquet(at.corpus).collect()} == {"D2"}
+    assert api.stats(t, at).first().total_records == 1
+    api.verify(t, "D2", 1, True, at, rebuild=False)
+    assert dict(api.stats(t, at).first().by_tier) == {"silver": 1}

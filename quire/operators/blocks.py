@@ -95,6 +95,31 @@ def block_detections(blocks: str | Column) -> Column:
     return F.transform(b, lambda x: F.struct(x["text"].alias("text"), x["confidence"].alias("conf"), F.coalesce(F.when(x["bbox"].isNotNull(), corners(x["bbox"])), none).alias("points")))
 
 
+def row_fronts(tops: Column) -> Column:
+    """Of ascending tops, the places (from 0) where rows begin: the first, and then always the first top that is ROW_HEIGHT or more below the front before it.
+
+    Every top points at the front that would follow it, found by bisection. Pointers that are doubled in each round mark twice as many fronts, so n tops take log n rounds and no list is rebuilt for each of them.
+    """
+    int_ = lambda x: F.lit(x).cast("int")
+
+    def marked(ys: Column) -> Column:
+        n = F.size(ys)
+        rounds = F.sequence(int_(1), F.length(F.bin(n)))
+        half = lambda s: F.shiftright(s["lo"] + s["hi"], 1)
+
+        def bisect(y: Column, i: Column) -> Column:
+            near = lambda s: F.get(ys, half(s)) - y < ROW_HEIGHT
+            cut = lambda s: F.struct(F.when(near(s), half(s) + 1).otherwise(s["lo"]).alias("lo"), F.when(near(s), s["hi"]).otherwise(half(s)).alias("hi"))
+            return F.aggregate(rounds, F.struct((i + 1).alias("lo"), n.alias("hi")), lambda s, _: F.when(s["lo"] < s["hi"], cut(s)).otherwise(s))["lo"]
+
+        start = F.struct(F.array(int_(0)).alias("fronts"), F.concat(F.transform(ys, bisect), F.array(n)).alias("next"))
+        hop = lambda xs, s: F.transform(xs, lambda x: F.get(s["next"], x))
+        more = lambda s, _: F.struct(F.concat(s["fronts"], F.filter(hop(s["fronts"], s), lambda x: x < n)).alias("fronts"), hop(s["next"], s).alias("next"))
+        return F.when(n > 0, F.aggregate(rounds, start, more)["fronts"]).otherwise(F.array().cast("array<int>"))
+
+    return let(tops, marked)
+
+
 def scanned_table(detections: str | Column) -> Column:
     """rows of cells of one table, or null: detections by top edge fall into rows, by the distance to the row's first; cells are ordered by left edge.
 
@@ -102,21 +127,17 @@ def scanned_table(detections: str | Column) -> Column:
     """
     d = F.col(detections) if isinstance(detections, str) else detections
     at = lambda x, k: F.coalesce(F.get(x["points"], F.lit(0))[k], F.lit(0.0))
-    placed = F.transform(d, lambda x, i: F.struct(at(x, "y").alias("y"), i.alias("i"), at(x, "x").alias("x"), x["text"].alias("text")))
-    cell = "struct<x:double,i:int,text:string>"
-    start = F.struct(F.lit(-1e300).alias("anchor"), F.array().cast(f"array<array<{cell}>>").alias("rows"))
-    own = lambda x: F.struct(x["x"].cast("double").alias("x"), x["i"].cast("int").alias("i"), x["text"].alias("text"))
-
-    def add(s: Column, x: Column) -> Column:
-        n = F.size(s["rows"])
-        grown = F.concat(F.slice(s["rows"], F.lit(1), F.greatest(n - 1, F.lit(0))), F.array(F.concat(F.element_at(s["rows"], -1), F.array(own(x)))))
-        fresh = F.concat(s["rows"], F.array(F.array(own(x))))
-        same = (n > 0) & (F.abs(x["y"] - s["anchor"]) < ROW_HEIGHT)
-        return F.struct(F.when(same, s["anchor"]).otherwise(x["y"].cast("double")).alias("anchor"), F.when(same, grown).otherwise(fresh).alias("rows"))
-
-    rows = F.aggregate(F.array_sort(placed), start, add)["rows"]
+    placed = F.array_sort(F.transform(d, lambda x, i: F.struct(at(x, "y").alias("y"), i.alias("i"), at(x, "x").alias("x"), x["text"].alias("text"))))
+
+    def rows(p: Column) -> Column:
+        both = lambda fronts: F.struct(fronts.alias("fronts"), F.array_append(F.slice(fronts, 2, F.greatest(F.size(fronts), F.lit(1))), F.size(p)).alias("ends"))
+        cut = lambda f, e: F.slice(p, f + 1, e - f)
+        return let(row_fronts(F.transform(p, lambda x: x["y"])), lambda fronts: let(both(fronts), lambda b: F.zip_with(b["fronts"], b["ends"], cut)))
+
+    cells = lambda r: F.transform(F.array_sort(F.transform(r, lambda c: F.struct(c["x"], c["i"], c["text"].alias("text")))), lambda c: c["text"])
     usable = lambda r: (F.size(r) >= 2) & (F.size(F.array_distinct(F.transform(r, F.size))) <= MOST_WIDTHS)
-    return let(rows, lambda r: F.when(usable(r), F.transform(r, lambda cells: F.transform(F.array_sort(cells), lambda c: c["text"]))))
+    made = let(placed, lambda p: F.when(F.size(p) > 0, rows(p)).otherwise(F.slice(F.array(p), 1, 0)))
+    return let(made, lambda r: F.when(usable(r), F.transform(r, cells)))
 
 
 def table_confidence(rows: str | Column) -> Column:

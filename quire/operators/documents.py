@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -90,12 +90,36 @@ def call_stats(calls: DataFrame) -> DataFrame:
     return calls.groupBy("engine").agg(F.count("*").alias("calls"), F.coalesce(F.sum("tokens"), F.lit(0)).alias("tokens"), F.count_if(F.coalesce("failed", F.lit(False))).alias("errors"))
 
 
-def pick_model(models: DataFrame, priority: DataFrame, keywords: tuple[str, ...] = VISION_KEYWORDS) -> DataFrame:
-    """name: the vision model of the best priority, else the first one. models: pos, name; priority: rank, expected. A theta join on the family's prefix.
+def missing_ranges(documents: DataFrame, pages: DataFrame) -> DataFrame:
+    """doc_id, expected_pages, present, missing (counts of pages from 1 to expected_pages), ranges (first and last of each run of missing pages, in order): coverage() for documents of any number of pages.
 
-    Both tables are lists of a service's configuration, of some tens of rows.
+    Runs are the gaps between neighbours, of which a document has as many as it has pages at most; no list of all expected pages is made. Expected: total_pages if it is positive, else the number of rows.
     """
+    counted = pages.groupBy(F.col("doc_id").alias("_d")).agg(F.count("*").alias("_n"))
+    expected = F.when(F.col("total_pages") > 0, F.col("total_pages")).otherwise(F.coalesce("_n", F.lit(0))).cast("long")
+    due = documents.select("doc_id", "total_pages").join(counted, F.col("doc_id") == F.col("_d"), "left").select("doc_id", expected.alias("expected_pages"))
+    have = pages.select(F.col("doc_id").alias("_d"), F.col("page_number").cast("long").alias("p")).filter("p > 0").distinct()
+    met = due.join(have, F.col("doc_id") == F.col("_d")).filter("p <= expected_pages").select("doc_id", "expected_pages", "p")
+    closed = met.unionByName(due.select("doc_id", "expected_pages", (F.col("expected_pages") + 1).alias("p")))  # what follows the last page
+    before = F.coalesce(F.lag("p").over(Window.partitionBy("doc_id").orderBy("p")), F.lit(0))
+    gap = F.when(F.col("p") - F.col("before") > 1, F.struct((F.col("before") + 1).alias("first"), (F.col("p") - 1).alias("last")))
+    out = closed.withColumn("before", before).groupBy("doc_id", "expected_pages").agg((F.count("*") - 1).alias("present"), F.array_sort(F.collect_list(gap)).alias("ranges"))
+    return out.select("doc_id", "expected_pages", "present", (F.col("expected_pages") - F.col("present")).alias("missing"), "ranges")
+
+
+def by_prefix(names: DataFrame, prefixes: DataFrame, name: str = "name", prefix: str = "prefix") -> DataFrame:
+    """names joined with all prefixes that theirs begin with, as an equi join: each name gives its beginnings of the lengths that prefixes have, of which there are few. An empty prefix is every name's."""
+    lengths = sorted(r[0] for r in prefixes.select(F.length(prefix)).filter(F.col(prefix).isNotNull()).distinct().collect())
+    starts = F.array(*[F.when(F.length(name) >= n, F.substring(name, 1, n)) for n in lengths]).cast("array<string>")
+    each = names.withColumn("_start", F.explode(F.array_compact(starts)))
+    return each.join(prefixes, F.col("_start") == F.col(prefix)).drop("_start")
+
+
+def pick_model(models: DataFrame, priority: DataFrame, keywords: tuple[str, ...] = VISION_KEYWORDS) -> DataFrame:
+    """name: the vision model of the best priority, else the first one. models: pos, name; priority: rank, expected. A model has the priority of a family that its name begins with; one that is expected by its
+    whole name is of that family too."""
     vision = models.filter(F.lower("name").rlike("|".join(k.replace(".", r"\.") for k in keywords)))
-    family = F.split_part("expected", F.lit(":"), F.lit(1))
-    met = vision.join(priority, F.col("name").startswith(family) | (F.col("name") == F.col("expected")), "left")
-    return met.agg(F.min_by("name", F.struct(F.col("rank").isNull(), "rank", "pos")).alias("name"))
+    families = priority.select("rank", F.split_part("expected", F.lit(":"), F.lit(1)).alias("family")).groupBy("family").agg(F.min("rank").alias("rank"))
+    met = by_prefix(vision.select("pos", "name"), families, prefix="family").select("pos", "name", "rank")
+    every = met.unionByName(vision.select("pos", "name", F.lit(None).cast(met.schema["rank"].dataType).alias("rank")))
+    return every.agg(F.min_by("name", F.struct(F.col("rank").isNull(), "rank", "pos")).alias("name"))

@@ -684,3 +684,30 @@ def verified_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     none = lambda kind: F.lit(None).cast(kind)
     named = s.select(each.alias("e")).select("e.*", none("long").alias("words"), none("long").alias("chars"), none("double").alias("confidence"))
     return named.unionAll(s.select(F.lit("total"), none("string"), "total_records", "total_words", "total_chars", "avg_confidence"))
+
+
+@query(
+    """with d as (select o_orderkey as doc_id, if(o_custkey % 4 = 0, 0, o_custkey % 9 * 250000) as total from orders), p as (select l_orderkey as doc_id, if(l_linenumber % 2 = 0, l_linenumber * 100000, l_linenumber) as p from lineitem),
+    n as (select doc_id, count(*) as n from p group by doc_id), e as (select d.doc_id, if(total > 0, total, coalesce(n, 0))::bigint as expected_pages from d left join n on d.doc_id = n.doc_id),
+    h as (select distinct e.doc_id, expected_pages, p from e join p on e.doc_id = p.doc_id where p <= expected_pages), c as (select * from h union all select doc_id, expected_pages, expected_pages + 1 from e),
+    g as (select *, coalesce(lag(p) over (partition by doc_id order by p), 0) as before from c)
+    select doc_id, expected_pages, count(*) - 1 as present, (expected_pages - count(*) + 1)::bigint as missing, coalesce(string_agg(if(p - before > 1, (before + 1) || '-' || (p - 1), null), ',' order by p), '') as ranges from g group by doc_id, expected_pages"""
+)
+def page_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of missing pages of documents of up to two million pages."""
+    d = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"), F.when(F.col("o_custkey") % 4 == 0, 0).otherwise(F.col("o_custkey") % 9 * 250_000).alias("total_pages"))
+    n = F.col("l_linenumber")
+    p = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc_id"), F.when(n % 2 == 0, n * 100_000).otherwise(n).alias("page_number"))
+    line = F.array_join(F.transform("ranges", lambda r: F.concat_ws("-", r["first"].cast("string"), r["last"].cast("string"))), ",")
+    return documents.missing_ranges(d, p).withColumn("ranges", line)
+
+
+@query(
+    """with w as (select distinct unnest(regexp_split_to_array(text, '[ \\x09-\\x0d]+')) as name from documents), p as (select distinct substring(x, 1, 1 + length(x) % 5) as prefix from (select unnest(regexp_split_to_array(text, '[ \\x09-\\x0d]+')) as x from benchmark) where x <> '')
+    select prefix, count(*) as names, min(name) as first from w join p on starts_with(name, prefix) group by prefix"""
+)
+def prefix_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of documents by beginnings of words of the benchmark."""
+    words = lambda name: table(spark, sf_dir, name).select(F.explode(F.split("text", r"[ \x09-\x0d]+")).alias("name")).distinct()
+    prefixes = words("benchmark").filter("name <> ''").select(F.substr("name", F.lit(1), 1 + F.length("name") % 5).alias("prefix")).distinct()
+    return documents.by_prefix(words("documents"), prefixes).groupBy("prefix").agg(F.count("*").alias("names"), F.min("name").alias("first"))

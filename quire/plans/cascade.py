@@ -80,7 +80,7 @@ class Loaded:
 
 
 def prepared(engine: Callable, *steps: Callable[[bytes], bytes]) -> Callable:
-    """The engine over images that the steps (grey scale, threshold, resizing to text.resized(), ...) have made ready."""
+    """The engine over images that the steps have made ready: a decoder of the bytes, then kernels of functions.images, or any others."""
 
     def ask(image: bytes):
         for step in steps:

@@ -86,11 +86,11 @@ def table_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """with c as (select page_id, [url[:12], url[9:14], 'l0', '1.O', 'mail@1', '12', 'a1', '1a', 'O.1'] as w from pages), u as (select page_id, generate_subscripts(w, 1) as i, unnest(w) as w from c)
+    """with c as (select page_id, [url, replace(url, '/', ' 10.5 '), regexp_replace(coalesce(html, ''), '[^0-9OolISsBGZ., ]', '', 'g'), 'l0', '1.O', 'mail@1', '12', 'a1', '1a', 'O.1'] as w from pages), u as (select page_id, generate_subscripts(w, 1) as i, unnest(w) as w from c)
     select page_id, i::int as i, not contains(w, '@') and not (contains(w, '.') and regexp_matches(w, '\\p{L}')) and length(regexp_replace(w, '[^\\p{Nd}OolISsBGZ., ]+', '', 'g')) / greatest(length(w), 1) > 0.5 as numeric from u"""
 )
 def numeric_context(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = F.array(F.substring("url", 1, 12), F.substring("url", 9, 6), *map(F.lit, ("l0", "1.O", "mail@1", "12", "a1", "1a", "O.1")))
+    w = F.array("url", F.replace("url", F.lit("/"), F.lit(" 10.5 ")), F.regexp_replace(F.coalesce("html", F.lit("")), "[^0-9OolISsBGZ., ]", ""), *map(F.lit, ("l0", "1.O", "mail@1", "12", "a1", "1a", "O.1")))
     t = table(spark, sf_dir, "pages").select("page_id", F.posexplode(w).alias("i", "w"))
     return t.select("page_id", (F.col("i") + 1).alias("i"), T.numeric_context(F.col("w")).alias("numeric"))
 
@@ -107,17 +107,17 @@ def _kept_lines(lines: str) -> str:
 
 
 @query(
-    f"""with t as (select conv_id, turn, [{_SQL_BN} || chr(10) || {_NG}, 'x y'] as b from conversations where {strip('text')} <> '' and not contains({strip('text')}, chr(10) || chr(10))),
-    s as (select conv_id, turn, {strip('b[1]')} as t from t), a as (select *, {_UNICODE} as a, {_correct('t')} as c, {tag(share('t', _BN))} as l from s),
+    f"""with m as (select conv_id, turn, {_SQL_BN} || chr(10) || {_NG} || chr(10) || chr(10) || 'x y' as text from conversations), p as (select conv_id, turn, {_PARTS} as b from m),
+    s as (select conv_id, turn, generate_subscripts(b, 1) as block, unnest(b) as t from p), a as (select *, {_UNICODE} as a, {_correct('t')} as c, {tag(share('t', _BN))} as l from s),
     k as (select *, string_split(c, chr(10)) as before, {_kept_lines("string_split(c, chr(10))")} as after from a)
-    select conv_id, turn, l as language, md5(if(l = 'en', t, array_to_string(after, chr(10)))) as md5, l <> 'en' and (a <> t or c <> a or len(before) <> len(after)) as changed from k"""
+    select conv_id, turn, block::int as block, l as language, md5(if(l = 'en', t, coalesce(array_to_string(after, chr(10)), ''))) as md5, bool_or(l <> 'en' and (a <> t or c <> a or len(before) <> len(after))) over (partition by conv_id, turn) as changed from k"""
 )
 def block_corrections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Blocks of a Bangla and a Devanagari line, as the first engine would have read them."""
-    c = table(spark, sf_dir, "conversations").filter((T.strip("text") != "") & ~F.contains(T.strip("text"), F.lit("\n\n")))
+    """All blocks of Bangla and Devanagari lines, as the first engine would have read them."""
     mixed = F.concat(bangla(), F.lit("\n"), F.translate("text", LATIN, NAGARI), F.lit("\n\nx y"))
-    b = c.select("conv_id", "turn", B.paragraphs(mixed).alias("blocks")).select("conv_id", "turn", "blocks", B.correct_blocks("blocks", "surya").alias("f"))
-    return b.select("conv_id", "turn", F.col("blocks")[0]["language"].alias("language"), _md5(F.col("f.blocks")[0]["text"]).alias("md5"), F.col("f.changed").alias("changed"))
+    b = table(spark, sf_dir, "conversations").select("conv_id", "turn", B.paragraphs(mixed).alias("blocks")).select("conv_id", "turn", B.correct_blocks("blocks", "surya").alias("f"))
+    each = b.select("conv_id", "turn", "f.changed", F.explode("f.blocks").alias("b"))
+    return each.select("conv_id", "turn", F.col("b.block_id").alias("block"), "b.language", _md5("b.text").alias("md5"), "changed")
 
 
 @query(
@@ -711,3 +711,11 @@ def prefix_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = lambda name: table(spark, sf_dir, name).select(F.explode(F.split("text", r"[ \x09-\x0d]+")).alias("name")).distinct()
     prefixes = words("benchmark").filter("name <> ''").select(F.substr("name", F.lit(1), 1 + F.length("name") % 5).alias("prefix")).distinct()
     return documents.by_prefix(words("documents"), prefixes).groupBy("prefix").agg(F.count("*").alias("names"), F.min("name").alias("first"))
+
+
+@query(f"select 'j' || o_orderkey as job_id, {_STATUS} as status, c_name as doc_id from orders join customer on o_custkey = c_custkey where c_nationkey = 7 and o_orderkey % 2 = 1")
+def user_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The jobs of one user, and of these each that is asked for by its id."""
+    jobs_ = _jobs(spark, sf_dir)
+    out = jobs.job_status(jobs_, _documents(spark, sf_dir), job_id=F.when(F.substring("job_id", 2, 20).cast("long") % 2 == 1, F.col("job_id")), user_id="7")
+    return out.select("job_id", "status", "document.doc_id")

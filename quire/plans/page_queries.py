@@ -719,3 +719,15 @@ def user_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     jobs_ = _jobs(spark, sf_dir)
     out = jobs.job_status(jobs_, _documents(spark, sf_dir), job_id=F.when(F.substring("job_id", 2, 20).cast("long") % 2 == 1, F.col("job_id")), user_id="7")
     return out.select("job_id", "status", "document.doc_id")
+
+
+@query(
+    """with w as (select distinct x as word from (select unnest(regexp_split_to_array(text, '[ \\x09-\\x0d]+')) as x from benchmark) where length(x) > 3)
+    select doc_id, count(word) as hits from documents left join w on contains(text, word) group by doc_id"""
+)
+def dictionary_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many words of the benchmark occur in each document, also within others."""
+    from ..operators import dictionary
+
+    words = table(spark, sf_dir, "benchmark").select(F.explode(F.split("text", r"[ \x09-\x0d]+")).alias("word")).filter(F.length("word") > 3)
+    return dictionary.hit_counts(table(spark, sf_dir, "documents").select("doc_id", "text"), words).select("doc_id", "hits")

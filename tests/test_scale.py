@@ -63,3 +63,30 @@ def test_prefixes_by_an_equi_join(spark):
     met = documents.by_prefix(names, prefixes)
     assert sorted((x.name, x.k) for x in met.collect()) == [("", 4), ("ab", 1), ("ab", 4), ("abc", 1), ("abc", 2), ("abc", 4), ("x", 4)]
     assert "NestedLoop" not in met._jdf.queryExecution().toString() and documents.by_prefix(names, prefixes.limit(0)).collect() == []
+
+
+def test_dictionaries_of_any_size(spark):
+    from quire.functions import correct as C
+    from quire.operators import dictionary as D
+
+    r = random.Random(4)
+    word = lambda n: "".join(r.choice("abc") for _ in range(r.randint(1, n)))
+    texts = [(i, "".join(r.choice("abcd") for _ in range(r.randint(0, 60)))) for i in range(150)] + [(500, None), (501, "")]
+    df = spark.createDataFrame(texts, "id int, text string")
+    pairs = [(word(5), word(4)) for _ in range(30)]
+    pairs = list(dict(pairs).items()) + [("zz", None), (None, "x"), ("", "y")]
+    table = spark.createDataFrame([(i, *p) for i, p in enumerate(pairs)], "pos int, wrong string, right string")
+
+    def chain(t):
+        for a, b in pairs:
+            t = t.replace(a, b or "") if a else t
+        return t
+
+    words = {a for a, _ in pairs if a}
+    for most in (1 << 20, 20):  # as one automaton, and in many parts
+        assert {x.id: x.text for x in D.replace_all(df, table, most=most).collect()} == {i: None if t is None else chain(t) for i, t in texts}
+        assert {x.id: x.hits for x in D.hit_counts(df, table, word="wrong", most=most).collect()} == {i: None if t is None else sum(w in t for w in words) for i, t in texts}
+    many = spark.range(100_000).selectExpr("concat('w', id, 'x') as word")
+    asked = spark.createDataFrame([(1, "w5x w99999x w100000x"), (2, " ".join(f"w{i}x" for i in range(0, 100_000, 10)))], "id int, text string")
+    assert {x.id: x.hits for x in D.hit_counts(asked, many).collect()} == {1: 2, 2: 10_000}
+    assert D.hit_counts(df, many.limit(0)).agg(F.sum("hits")).first()[0] == 0 and C.WORD_FIXES

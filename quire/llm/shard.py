@@ -56,30 +56,55 @@ class RoomTree:
         return found
 
 
-def best_fit_decreasing(histogram: list[tuple[int, int]], capacity: int, bins: int | None = None) -> list[tuple[int, int, int]] | None:
-    """(size, groups, bin) in the order of placement, for a histogram of (size, groups).
+def best_fit_runs(histogram: list[tuple[int, int]], capacity: int, bins: int | None = None) -> list[tuple[int, int, int, int]] | None:
+    """(size, groups, first, each) in the order of placement, for a histogram of (size, groups): so many groups go into the bins from first on, each of which takes so many, the last perhaps fewer.
 
+    Bins of equal room that follow each other are one node of the tree, however many they are: what fills them fills them alike. So the runs, and the steps, grow with the number of sizes and not with that of groups.
     Without bins, as many are opened as needed, each of the capacity or of a larger single group. With bins, None if they don't suffice.
     """
     tree, opened, out = RoomTree(), 0, []
+    count: dict[int, int] = {}  # bins that stand together, by the first of them
+
+    def put(room: int, first: int, n: int) -> None:
+        if n:
+            count[first] = n
+            tree.add(room, first)
+
     if bins is not None:
-        for opened in range(bins):
-            tree.add(capacity, opened)
+        put(capacity, 0, bins)
     for size, left in sorted(histogram, reverse=True):
         while left:
             at = tree.take_tightest(size)
             if at is None:
                 if bins is not None:
                     return None
-                at = (max(capacity, size), opened)
-                opened += 1
-            n = min(left, at[0] // size)
-            out.append((size, n, at[1]))
-            left -= n
-            tree.add(at[0] - n * size, at[1])
+                each = max(capacity, size) // size
+                at, n = (max(capacity, size), opened), -(-left // each)
+                opened += n
+            else:
+                each, n = at[0] // size, count.pop(at[1])
+            room, first = at
+            used = min(n, -(-left // each))
+            groups = min(left, used * each)
+            out.append((size, groups, first, each))
+            left -= groups
+            last = groups - (used - 1) * each  # of the last used bin
+            full = used if last == each else used - 1
+            put(room - each * size, first, full)
+            if full < used:
+                put(room - last * size, first + full, 1)
+            put(room, first + used, n - used)
     return out
 
 
+def best_fit_decreasing(histogram: list[tuple[int, int]], capacity: int, bins: int | None = None) -> list[tuple[int, int, int]] | None:
+    """best_fit_runs() bin by bin: (size, groups, bin)."""
+    runs = best_fit_runs(histogram, capacity, bins)
+    if runs is None:
+        return None
+    return [(size, min(each, groups - i * each), first + i) for size, groups, first, each in runs for i in range(-(-groups // each))]
+
+
 def pack_into(histogram: list[tuple[int, int]], bins: int) -> list[tuple[int, int, int]]:
     """Best-fit-decreasing into a given number of bins, under the least capacity found that holds all: sizes near equal.
 
@@ -139,15 +164,15 @@ def shard_documents(docs: DataFrame, shards: int | None = 16, capacity: int | No
     groups = materialize(groups.select("digest", size_class(F.col("bytes"), capacity).alias("group_size")), "groups")
     histogram = [(r[0], r[1]) for r in groups.groupBy("group_size").count().collect()]
     rows = base.count()
-    placed = pack_into(histogram, shards) if capacity is None else best_fit_decreasing(histogram, capacity)
-    upto: dict[int, list[tuple[int, int]]] = {}
-    for size, n, at in placed:
+    runs = [(s, n, at, n) for s, n, at in pack_into(histogram, shards)] if capacity is None else best_fit_runs(histogram, capacity)
+    upto: dict[int, list[tuple[int, int, int, int]]] = {}
+    for size, n, first, each in runs:
         own = upto.setdefault(size, [])
-        own.append(((own[-1][0] if own else 0) + n, at))
-    allotted = spark.createDataFrame(list(upto.items()), "group_size long, upto array<struct<end: long, shard: int>>").withColumnRenamed("group_size", "_size")
+        own.append((own[-1][1] if own else 0, (own[-1][1] if own else 0) + n, first, each))
+    allotted = spark.createDataFrame(list(upto.items()), "group_size long, upto array<struct<start: long, end: long, first: int, each: long>>").withColumnRenamed("group_size", "_size")
     ranked = gapless(groups, ["group_size"], ["digest"], F.xxhash64("digest"), max(1, len(histogram) and groups.count() // 1_000_000), "rank")
     where = ranked.join(allotted, F.col("group_size") == F.col("_size")).select(
-        F.col("digest").alias("_digest"), F.filter("upto", lambda x: F.col("rank") < x["end"])[0]["shard"].alias("shard")
+        F.col("digest").alias("_digest"), F.get(F.transform(F.filter("upto", lambda x: F.col("rank") < x["end"]), lambda x: (x["first"] + F.floor((F.col("rank") - x["start"]) / x["each"])).cast("int")), F.lit(0)).alias("shard")
     )
     out = base.join(where, F.col("digest") == F.col("_digest")).select("id", "size", "text_crc32", "shard", F.monotonically_increasing_id().alias("row"))
     out = materialize(out, "sharded")

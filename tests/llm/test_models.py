@@ -470,3 +470,29 @@ def test_the_fit_takes_so_many_rows_of_each_language(spark, monkeypatch):
     for docs in (make(spark, rows), make(spark, rows).repartition(5)):
         langid.learn(docs, fit_rows=40)
     assert seen[0] == seen[1] and {x: seen[0].count(x) for x in set(seen[0])} == {"aa": 40, "bb": 40}
+
+
+def test_runs_of_bins_grow_with_sizes_and_not_with_groups():
+    r = random.Random(35)
+    sizes = r.sample(range(1, 9000), 3000)
+    runs = {}
+    for groups in (80_000, 1_000_000):
+        histogram = [(s, groups // 3000 + r.randint(0, 5)) for s in sizes]
+        found = shard.best_fit_runs(histogram, 10_000)
+        runs[groups] = len(found)
+        assert sum(n for _, n, _, _ in found) == sum(n for _, n in histogram)
+        room: dict[int, int] = defaultdict(int)
+        for s, n, first, each in found:
+            for i in range(-(-n // each)):
+                room[first + i] += s * min(each, n - i * each)
+        assert max(room.values()) <= 10_000 and len(room) <= sum(room.values()) / 10_000 * 11 / 9 + 1 and sorted(room) == list(range(len(room)))
+    assert runs[1_000_000] < 3 * 3000 and runs[1_000_000] < 1.5 * runs[80_000]
+
+
+def test_capacity_with_many_groups(spark):
+    """Groups of few sizes: their bins are computed from runs, and none is over its capacity."""
+    docs = spark.range(60_000).select(F.col("id").alias("doc_id"), F.concat(F.lpad(F.col("id").cast("string"), 6, "0"), F.repeat(F.lit("x"), (F.col("id") % 50).cast("int"))).alias("text"))
+    got = shard.shard_documents(docs, shards=None, capacity=1000).groupBy("shard").agg(F.sum("size").alias("n"), F.count("*").alias("c"), F.max("slot").alias("s")).collect()
+    total = sum(x.n for x in got)
+    assert max(x.n for x in got) <= 1000 and sum(x.c for x in got) == 60_000 and all(x.s == x.c - 1 for x in got)
+    assert len(got) <= total / 1000 * 11 / 9 + 1 and {x.shard for x in got} == set(range(len(got)))

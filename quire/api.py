@@ -61,7 +61,13 @@ class Store:
     texts: str | None = None
 
 
-def submit(spark: SparkSession, path: str, decoder, engines: Engines, domain: str = "unknown", user_id: str = "", log: str | None = None) -> dict[str, DataFrame]:
+def store_of(settings: files.Settings) -> Store:
+    """The store under the settings' data folder."""
+    at, own = settings.data_dir.rstrip("/"), settings.folders()
+    return Store(own["pages"], f"{at}/verifications", f"{at}/corpus", f"{at}/corpus_stats", at, f"{at}/corpus_cells", f"{at}/page_rows", own["merged"], own["texts"])
+
+
+def submit(spark: SparkSession, path: str, decoder, engines: Engines, domain: str = "unknown", user_id: str = "", log: str | None = None, dpi: int | None = None) -> dict[str, DataFrame]:
     """All documents under a path, processed: documents and jobs in their last state, events (id of the job, status, error_msg, at) that led there, and pages. log: a folder that the events are
     appended to as they happen, for whoever asks in between (jobs.current_state())."""
     found = files.read_documents(spark, path)
@@ -77,7 +83,7 @@ def submit(spark: SparkSession, path: str, decoder, engines: Engines, domain: st
     none = F.lit(None).cast("string").alias("error_msg")
     submitted = say(jobs.jobs(made).select("id", "status", none, F.current_timestamp().alias("at")))
     started = say(jobs.transition(submitted, "processing", ("pending",), F.current_timestamp()))
-    decoded = written(files.decode_pages(found, decoder), "decoded")
+    decoded = written(files.decode_pages(found, decoder, dpi), "decoded")
     end = written(jobs.outcomes(decoded), "outcomes").withColumnsRenamed({"doc_id": "_doc", "status": "_status", "total_pages": "_pages", "error_msg": "_error"})
     ended = made.join(end, F.col("doc_id") == F.col("_doc"), "left").select(F.col("job_id").alias("_job"), F.coalesce("_status", F.lit("failed")).alias("_to"), F.when(F.col("_doc").isNull(), "no pages").otherwise(F.col("_error")).alias("_why"))
     allowed = jobs.transition(started, "done", ("processing",), F.current_timestamp()).join(ended, F.col("id") == F.col("_job"))
@@ -198,10 +204,12 @@ def health(spark: SparkSession) -> dict[str, str]:
 def parser() -> argparse.ArgumentParser:
     out = argparse.ArgumentParser("quire", description="Process PDF files to a corpus. The decoder and engines are given as module:function.")
     out.add_argument("path")
-    out.add_argument("output")
+    out.add_argument("output", nargs="?", help="the corpus; without it, corpus under the settings' data folder")
     out.add_argument("--domain", default="general")
     out.add_argument("--decoder", required=True)
     out.add_argument("--engines", help="a function without arguments that gives the Engines; without it scanned pages stay unread")
+    out.add_argument("--env", help="a file of settings (NAME=value); the environment overrides it")
+    out.add_argument("--dpi", action="store_true", help="the decoder takes the settings' resolution as dpi")
     out.add_argument("--verbose", action="store_true")
     return out
 
@@ -214,11 +222,14 @@ def _named(name: str):
 def main(arguments: list[str] | None = None) -> None:
     a = parser().parse_args(arguments)
     spark = SparkSession.builder.appName("quire").getOrCreate()
-    spark.sparkContext.setLogLevel("INFO" if a.verbose else "WARN")
+    text = "\n".join(r[0] for r in spark.read.text(a.env).collect()) if a.env else ""
+    settings = files.Settings.load(env_text=text)
+    spark.sparkContext.setLogLevel("INFO" if a.verbose else settings.log_level if a.env else "WARN")
     engines = _named(a.engines)() if a.engines else Engines()
-    found = submit(spark, a.path, _named(a.decoder), engines, a.domain)
+    engines.settings = engines.settings or settings
+    found = submit(spark, a.path, _named(a.decoder), engines, a.domain, dpi=settings.dpi if a.dpi else None)
     pages = written(found["pages"], "pages")
-    sinks.write_corpus(pages, a.output)
+    sinks.write_corpus(pages, a.output or store_of(settings).corpus)
     for status, error, n in found["jobs"].groupBy("status", "error_msg").count().orderBy("status", "error_msg").limit(20).collect():
         print(f"{status}: {n} documents" + (f" ({error})" if error else ""))
     for engine, n, mean in pages.groupBy("engine").agg(F.count("*"), F.avg("confidence_score")).orderBy("engine").limit(20).collect():

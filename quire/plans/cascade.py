@@ -9,6 +9,8 @@ from __future__ import annotations
 import time
 import uuid
 from collections.abc import Callable, Iterator, Sequence
+from concurrent.futures import ThreadPoolExecutor
+from concurrent.futures import TimeoutError as FutureTimeout
 from dataclasses import dataclass, field
 
 import pandas as pd
@@ -106,6 +108,21 @@ def retrying(engine: Callable, attempts: int = 2, delay: float = 2.0) -> Callabl
     return ask
 
 
+def limited(engine: Callable, seconds: float) -> Callable:
+    """An engine that has failed if its answer isn't there after so many seconds; what it still does is not waited for."""
+
+    def ask(x):
+        pool = ThreadPoolExecutor(1)
+        try:
+            return pool.submit(engine, x).result(seconds)
+        except FutureTimeout:
+            raise TimeoutError(f"no answer in {seconds:g} s") from None
+        finally:
+            pool.shutdown(wait=False, cancel_futures=True)
+
+    return ask
+
+
 @dataclass
 class Engines:
     """primary and model read a page to text or lines, quick and full to detections (text, confidence, points). A missing one is passed over. The model's engine is its name.
@@ -133,11 +150,12 @@ class Engines:
         return self.corrections.get("lexicon", ())
 
     def models(self) -> list[tuple[str, Text]]:
-        """Those that the settings leave on, in turn; each is asked attempts times."""
+        """Those that the settings leave on, in turn, within the time that they have; each is asked attempts times."""
         s = self.settings
         off = lambda name: s is not None and (name.startswith("ollama") and not s.ollama_enabled or name.startswith("gemini") and not s.gemini_enabled)
         every = [(self.model_name, self.model)] * (self.model is not None) + list(self.more_models)
-        return [(name, ask) for name, ask in every if not off(name)]
+        timed = lambda name, ask: limited(ask, s.ollama_timeout) if s is not None and name.startswith("ollama") else ask
+        return [(name, timed(name, ask)) for name, ask in every if not off(name)]
 
     def first(self) -> Text | None:
         return self.primary if self.settings is None or self.settings.surya_enabled else None

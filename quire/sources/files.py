@@ -45,11 +45,12 @@ def admitted(raw: DataFrame, most_bytes: int = MOST_BYTES) -> DataFrame:
     return small.select("path", T.doc_id(T.file_stem(F.url_decode("path"))).alias("doc_id"), "content")
 
 
-def decode_pages(documents: DataFrame, decoder: Callable[[bytes], Iterable[Mapping]]) -> DataFrame:
+def decode_pages(documents: DataFrame, decoder: Callable[..., Iterable[Mapping]], dpi: int | None = None) -> DataFrame:
     """doc_id, page columns (PAGE_SCHEMA) and error. decoder gives a page's mapping at a time, in order; where a file can't be read, or read on, a row has the error, and the pages before it stay.
 
-    A file is read by one task, which holds some pages at a time. paged.read_pages() splits files of many pages.
+    A file is read by one task, which holds some pages at a time. paged.read_pages() splits files of many pages. dpi, if given, goes to the decoder by that name.
     """
+    more = {} if dpi is None else {"dpi": dpi}
     schema = StructType.fromDDL(f"doc_id string, {PAGE_SCHEMA}, error string")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -57,7 +58,7 @@ def decode_pages(documents: DataFrame, decoder: Callable[[bytes], Iterable[Mappi
         for b in batches:
             for i in range(b.num_rows):
                 doc, content = b.column(0)[i].as_py(), b.column(1)[i].as_py()
-                yield from paged.batched(paged.decoded_range(doc, content, 1, 1 << 30, lambda c, *_: decoder(c)), arrow)
+                yield from paged.batched(paged.decoded_range(doc, content, 1, 1 << 30, lambda c, *_: decoder(c, **more)), arrow)
 
     return documents.select("doc_id", "content").mapInArrow(run, schema)
 
@@ -118,9 +119,18 @@ def read_table(spark: SparkSession, url: str, name: str, key: str | None = None,
 
 @dataclass
 class Settings:
-    """Options with their defaults; the environment overrides them by the name in capitals."""
+    """Options with their defaults; a .env text and then the environment override them by the name in capitals. What a foreign engine or decoder needs of them (place, model, resolution, processor) is there for its factory."""
 
+    data_dir: str = "data"
     dpi: int = 200
+    use_gpu: bool = False
+    max_workers: int = 2
+    fast_mode: bool = False
+    fast_mode_bangla: bool = True
+    log_level: str = "INFO"
+    database_url: str = ""
+    ollama_base_url: str = "http://localhost:11434"
+    ollama_image_model: str = "moondream2"
     surya_enabled: bool = True
     gemini_enabled: bool = False
     ollama_enabled: bool = True
@@ -143,6 +153,15 @@ class Settings:
                 setattr(out, f.name, raw.strip().lower() in ("1", "true", "yes", "on") if kind is bool else kind(raw))
         return out
 
+    @property
+    def flow_mode(self) -> str:
+        return "surya_first" if self.surya_enabled else "skip_surya"
+
+    def folders(self) -> dict[str, str]:
+        """Where results go under data_dir: images, pages, merged documents, texts and logs."""
+        names = {"images": "output_images", "pages": "output_jsons", "merged": "merged_outputs", "texts": "output_texts", "logs": "logs"}
+        return {k: f"{self.data_dir.rstrip('/')}/{v}" for k, v in names.items()}
+
     def prompt(self, engine: str, folder: str | None = None) -> str:
         """The engine's prompt, or the general one: from <engine>.txt or ocr.txt in a folder, if it is there and not blank, else from the settings."""
         for name in dict.fromkeys((engine, "ocr")) if folder else ():

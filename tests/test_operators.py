@@ -268,6 +268,17 @@ def test_settings_switch_engines_off(spark):
     assert process_pages(pages, engines).first().engine == "none"
 
 
+def test_slow_models_fail_and_decoders_get_the_resolution(spark):
+    import time
+
+    slow = lambda b: time.sleep(3) or "what the model reads, too late for anybody"
+    engines = Engines(model=slow, more_models=(("gemini", lambda b: "what the second model reads on it"),), attempts=1, settings=files.Settings(ollama_timeout=0.2, gemini_enabled=True))
+    got = process_pages(_images(spark, ["one"]), engines).first()
+    assert got.engine == "gemini" and [(c.engine, c.failed) for c in got.calls] == [("ollama", True), ("gemini", False)]
+    docs = spark.createDataFrame([("d", bytearray(b"x"))], "doc_id string, content binary")
+    assert files.decode_pages(docs, lambda c, dpi: [{"text": str(dpi)}], 300).first().text == "300"
+
+
 def test_engines_are_made_once_and_the_next_factory_is_tried(tmp_path):
     made = []
 
@@ -402,6 +413,8 @@ def test_small_sources(spark, tmp_path):
     assert sinks.last_progress(spark, f"{tmp_path}/progress").first().current_page == 2
     s = files.Settings.load({"DPI": "300"}, "GEMINI_ENABLED=true\n#DPI=1\nOLLAMA_PROMPT='p'\n")
     assert (s.dpi, s.gemini_enabled, s.prompt("ollama"), s.prompt("x")) == (300, True, "p", "Read all text of this page.")
+    assert files.Settings.load({"DATA_DIR": "/d/", "SURYA_ENABLED": "false"}).folders()["merged"] == "/d/merged_outputs" and files.Settings(surya_enabled=False).flow_mode == "skip_surya"
+    assert api.store_of(files.Settings(data_dir="/d")).texts == "/d/output_texts"
     assert api.health(spark)["status"] == "ok" and api.parser().parse_args(["a", "b", "--decoder", "m:f"]).domain == "general"
 
 

@@ -5,7 +5,10 @@ from __future__ import annotations
 import atexit
 import shutil
 import tempfile
+import time
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -49,6 +52,37 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def scoped(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Tables and paths that are made within go at its end, for a caller that has read what it needs of them. It gives a function that keeps the table that it is called with."""
+    before, kept = len(_made), set()
+
+    def keep(df: DataFrame) -> DataFrame:
+        kept.update(x[1] for x in _made for f in df.inputFiles() if x[1].rsplit("/", 1)[-1] in f)
+        return df
+
+    try:
+        yield keep
+    finally:
+        for at in [x for x in _made[before:] if x[1] not in kept]:
+            _delete(*at)
+            _made.remove(at)
+
+
+def sweep(spark: SparkSession, hours: float = 72.0) -> int:
+    """Delete what drivers that were killed have left in the shared folder: scratch paths that nothing was written to for so long. How many there were. A path's age is that of the newest of its entries."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
+    system = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    own, now, gone = {x[1].rsplit("/", 1)[-1] for x in _made}, time.time() * 1000, 0
+    for found in system.listStatus(root) if system.exists(root) else []:
+        name = found.getPath().getName()
+        if name.startswith("quire-") and name not in own and found.isDirectory():
+            newest = max([found.getModificationTime(), *[f.getModificationTime() for f in system.listStatus(found.getPath())]])
+            if now - newest > hours * 3_600_000:
+                gone += bool(system.delete(found.getPath(), True))
+    return gone
+
+
 def discard(spark: SparkSession, *tables: DataFrame) -> None:
     """Delete tables of written() that are no longer read."""
     for df in tables:

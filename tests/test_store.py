@@ -150,3 +150,22 @@ def test_a_deleted_document_leaves_the_store(spark, tmp_path):
     assert api.stats(t, at).first().total_records == 1
     api.verify(t, "D2", 1, True, at, rebuild=False)
     assert dict(api.stats(t, at).first().by_tier) == {"silver": 1}
+
+
+def test_scratch_tables_go_with_their_scope_and_old_ones_are_swept(spark, monkeypatch, tmp_path):
+    import os
+
+    from quire.sources import scratch
+
+    with scratch.scoped(spark) as keep:
+        gone, kept = scratch.written(rows(spark, ("a", 1)), "x"), keep(scratch.written(rows(spark, ("b", 2)), "y"))
+        paths = [p for _, p in scratch._made[-2:]]
+        assert gone.count() == 1
+    assert [store.exists(spark, p) for p in paths] == [False, True] and kept.count() == 1
+    monkeypatch.setattr(scratch, "shared_dir", lambda spark: f"file://{tmp_path}")
+    for name, age in (("quire-old-1", 100), ("quire-new-2", 1), ("other", 100)):
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "part").write_text("x")
+        for p in (tmp_path / name / "part", tmp_path / name):
+            os.utime(p, (p.stat().st_mtime - age * 3600,) * 2)
+    assert scratch.sweep(spark) == 1 and {p.name for p in tmp_path.iterdir()} == {"quire-new-2", "other"}

@@ -158,4 +158,13 @@ SQL: dict[str, str] = {
         e as (select c.source, odds as edge, (lack - before) // sharers as part from c join n on c.source is not distinct from n.source where before < lack and lack <= before + n)
         select doc_id, size::bigint as size, words as source_size, target, (copies * size + case when odds < edge then size when odds = edge then least(size, part) else 0 end)::bigint as taken
         from k left join e on k.source is not distinct from e.source""",
+    "op13_fill_middle": r"""
+        with d as (select doc_id, coalesce(text, '') as text, regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') as t, sha256('42:' || coalesce(doc_id::varchar, '')) as h from documents),
+        r as (select *, len(t) as n, ('0x' || h[1:8])::bigint as h1, ('0x' || h[9:16])::bigint as h2, ('0x' || h[17:24])::bigint as h3, ('0x' || h[25:32])::bigint as h4 from d),
+        c as (select *, least(h1 % (n + 1), h2 % (n + 1)) as a, greatest(h1 % (n + 1), h2 % (n + 1)) as b,
+            case when text = '' or contains(text, '<P>') or contains(text, '<S>') or contains(text, '<M>') or h3 % 100 >= 50 then 'plain' when h4 % 100 < 80 then 'spm' else 'psm' end as form from r),
+        p as (select *, coalesce(array_to_string(t[1:a], ''), '') as prefix, coalesce(array_to_string(t[a + 1:b], ''), '') as middle, coalesce(array_to_string(t[b + 1:], ''), '') as suffix from c)
+        select doc_id, n::bigint as n, form, if(form = 'plain', null, length(prefix))::bigint as prefix_chars, if(form = 'plain', null, length(middle))::bigint as middle_chars,
+            sha256(case form when 'plain' then text when 'psm' then '<P>' || prefix || '<S>' || suffix || '<M>' || middle else '<S>' || suffix || '<P>' || prefix || '<M>' || middle end) as output_sha256,
+            sha256(prefix || middle || suffix) as restored_sha256 from p""",
 }

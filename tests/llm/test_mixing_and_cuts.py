@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import os
 import random
 import re
 from collections import Counter, defaultdict
@@ -14,10 +15,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from quire.llm import fill_middle, mixing, token_links
-from quire.llm.queries import SQL
+from quire.llm.queries import QUERIES, SQL
 
 from .conftest import make, sentence
 
+DATA = "/root/testdata/sf0.01"
 SPACE, WORD = r"[\x20\x09-\x0D]", r"[^\x20\x09-\x0D]"
 HARD = ["<|endoftext|> x", "a <s></s> b", "▁mark", " lead", "trail ", "tab\tand\n\nlines  two", "\x00nul", "é ﬁ 😀 \U0001d400", "x" * 3000, "=" * 200, "don't it's 123456", "  　 wide"]
 
@@ -166,6 +168,17 @@ def test_runs_hold_units_and_classes():
     assert np.diff(runs.before(bounds)).tolist() == [2, 0, 3]
 
 
+@pytest.mark.parametrize("name", ["op12_mix_pareto", "op13_fill_middle"])
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
+def test_queries_against_sql(spark, name):
+    got = QUERIES[name](spark, DATA)
+    db = duckdb.connect()
+    db.sql(f"create view documents as select * from '{DATA}/documents.parquet'")
+    want = db.sql(SQL[name])
+    assert sorted(want.columns) == sorted(got.columns)
+    assert sorted(map(repr, map(tuple, got.select(*want.columns).collect()))) == sorted(map(repr, want.fetchall()))
+
+
 def _mixed(spark, rows):
     """rows: (doc_id, text, source)."""
     return spark.createDataFrame(rows, "doc_id long, text string, source string").select("*", F.lit("x").alias("target"), F.lit(1).alias("size"), F.lit(2).alias("cell"), F.lit(2).alias("odds"), F.lit(1).alias("u"))

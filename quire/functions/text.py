@@ -253,11 +253,13 @@ def server_engine_tag(engine: str | Column) -> Column:
     return F.when(F.contains(e, F.lit("surya")), "surya").otherwise(engine_tag(engine))
 
 
-def format_duration(ms: str | Column) -> Column:
+def format_duration(ms: str | Column, exact: bool = True) -> Column:
+    """exact: seconds beside minutes as toFixed() of their double has them; else by the double's product with ten, half of which goes up, as SQL's floor(x * 10 + 0.5) / 10."""
     v = F.coalesce((F.col(ms) if isinstance(ms, str) else ms).cast("double"), F.lit(0.0))
     s = v / 1000
     whole = lambda x: F.floor(x + 0.5).cast("string")
-    minutes = F.concat(F.floor(s / 60).cast("string"), F.lit("m "), F.format_string("%.1f", rounded(s % 60, 1, False)), F.lit("s"))
+    rest = rounded(s % 60, 1, False) if exact else F.floor(s % 60 * 10 + 0.5) / 10
+    minutes = F.concat(F.floor(s / 60).cast("string"), F.lit("m "), F.format_string("%.1f", rest), F.lit("s"))
     return F.when(F.isnan(v) | (v <= 0) | (v == float("inf")), "n/a").when(v < 1000, F.concat(whole(v), F.lit(" ms"))).when(s < 60, F.concat(F.format_string("%.2f", rounded(s, 2, False)), F.lit(" s"))).otherwise(minutes)
 
 

@@ -612,7 +612,7 @@ def fix_artifacts(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def formats(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("n")).filter("n > 0")
-    return o.select("id", "n", T.format_size("n").alias("size"), T.format_duration("n").alias("duration"))
+    return o.select("id", "n", T.format_size("n").alias("size"), T.format_duration("n", exact=False).alias("duration"))
 
 
 @query("select page_id, md5(replace(replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#39;')) as md5 from pages")

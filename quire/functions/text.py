@@ -64,6 +64,17 @@ def tokens(text: str | Column) -> Column:
     return F.filter(F.split(col(text), f"[{WS}]+"), lambda w: w != "")
 
 
+#: Letters that are more than one code point in upper case, and what stands for each alone: a title case of one code point, the capital sharp s, or themselves.
+_ONE_UPPER = {c: "ẞ" if c == "ß" else c.title() if len(c.title()) == 1 else c for c in map(chr, [*range(0x80, 0xD800), *range(0xE000, 0x110000)]) if len(c.upper()) > 1}
+
+
+def upper(text: str | Column) -> Column:
+    """Upper case code point by code point, as SQL engines have it: a text keeps its length."""
+    many = "".join(_ONE_UPPER)
+    one = lambda c: F.when(c.rlike(f"[{many}]"), F.translate(c, many, "".join(_ONE_UPPER.values()))).otherwise(F.upper(c))
+    return F.when(col(text).rlike(f"[{many}]"), F.array_join(F.transform(F.split(col(text), ""), one), "")).otherwise(F.upper(col(text)))
+
+
 def split_lines(text: str | Column) -> Column:
     """Lines as Python's splitlines() has them."""
     plain = F.regexp_replace(col(text), r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85  ]", "\n")

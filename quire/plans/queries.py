@@ -310,7 +310,7 @@ def bangla_word_validity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def replaced_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of the benchmark replaced in documents, by a join with their table."""
     w = table(spark, sf_dir, "benchmark").select(F.explode(T.tokens("text")).alias("wrong")).distinct().filter((F.length("wrong") > 6) & ~F.col("wrong").rlike(r"[।,?!;:()]+\z"))
-    out = lexicon.replace_words(table(spark, sf_dir, "documents").select("doc_id", "text"), w.select("wrong", F.concat(F.upper("wrong"), F.lit("+")).alias("right")), "doc_id")
+    out = lexicon.replace_words(table(spark, sf_dir, "documents").select("doc_id", "text"), w.select("wrong", F.concat(T.upper("wrong"), F.lit("+")).alias("right")), "doc_id")
     return out.select("doc_id", F.md5(F.col("text").cast("binary")).alias("md5"))
 
 

@@ -60,7 +60,7 @@ def page_reports(pages: DataFrame) -> DataFrame:
 
 def document_facts(pages: DataFrame) -> DataFrame:
     """What a report says of a document beside its pages, of all its pages: doc_id, language_detected, has_handwriting, has_tables, has_images, pages, pages_processed_locally, pages_sent_to_api,
-    overall_confidence, processing_time_ms, output_engine_tag, decision_summary. One aggregate of numbers, short lists and the keywords of decisions; no text and no list of decisions is gathered."""
+    overall_confidence, processing_time_ms, output_engine_tag, decision_summary. One aggregate of numbers, short lists, the keywords of decisions and the pages' confidences, whose mean is a sum in page order; no text and no list of decisions is gathered."""
     own = with_page_columns(pages)
     spoken = lambda *x: F.coalesce(F.bool_or(F.exists("blocks", lambda b: b["language"].isin(*x))), F.lit(False))
     any_ = lambda x: F.coalesce(F.bool_or(x), F.lit(False))
@@ -71,7 +71,7 @@ def document_facts(pages: DataFrame) -> DataFrame:
         spoken("bn", "mixed").alias("bn"), spoken("en", "mixed").alias("en"), any_(F.exists("blocks", lambda b: b["is_handwritten"])).alias("has_handwriting"),
         any_(F.size("tables") > 0).alias("has_tables"), any_(F.size("images") > 0).alias("has_images"), F.count("*").alias("pages"),
         F.count_if(e.isin(*D.LOCAL_ENGINES)).alias("pages_processed_locally"), F.count_if(e.startswith("ollama") | (e == "gemini")).alias("pages_sent_to_api"),
-        F.coalesce(F.avg("confidence_score"), F.lit(0.0)).alias("overall_confidence"), F.coalesce(F.sum("ms"), F.lit(0.0)).alias("processing_time_ms"),
+        F.coalesce(D.mean_in_order("confidence_score", "page_number"), F.lit(0.0)).alias("overall_confidence"), F.coalesce(F.sum("ms"), F.lit(0.0)).alias("processing_time_ms"),
         F.when(F.size(tags) > 1, "mixed").otherwise(F.get(tags, F.lit(0))).alias("output_engine_tag"),
         F.sum(F.size(_some("decisions"))).alias("total"), *[F.sum(said(s)).alias(s) for s in ("info", "warning", "error")],
         F.array_sort(F.array_distinct(F.flatten(F.collect_set(F.array_distinct(F.transform(_some("decisions"), lambda d: d["keyword"])))))).alias("keywords"),

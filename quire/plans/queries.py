@@ -322,7 +322,7 @@ def replaced_words(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def document_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     engine = F.when(F.col("role") == "user", "surya").when(F.col("role") == "assistant", "gemini").otherwise("ollama:x")
-    p = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc_id"), engine.alias("engine"), (F.length("text") % 1000 / 1000).alias("confidence_score"))
+    p = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("page_number"), engine.alias("engine"), (F.length("text") % 1000 / 1000).alias("confidence_score"))
     return documents.document_rollup(p).withColumn("mean_confidence", T.rounded(F.col("mean_confidence"), 6))
 
 

@@ -5,7 +5,8 @@ from __future__ import annotations
 import unicodedata
 from collections.abc import Callable, Iterator, Mapping, Sequence
 
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
@@ -20,6 +21,8 @@ NOISE_WORDS = ("HERE", "SEAL", "COPY", "STAMP")
 #: What counts as a number, and as a reference number.
 _NUMERIC = rf"{EDGE}[\p{{Nd}}{LOOK_ALIKES}]+[.,\p{{Nd}}]*{EDGE}"
 _REFERENCE_NUMBER = rf"স্মারক[{WS}]*নং[{WS}]*[:।]?[{WS}]*[\p{{Nd}}.{WS}/]+"
+#: Rows of a batch that are Python's at once.
+FEW_ROWS = 512
 #: Small samples of own making; real lists come from tables.
 WORD_FIXES: tuple[tuple[str, str], ...] = (("বাংলদেশ", "বাংলাদেশ"), ("সরকর", "সরকার"))
 VOWEL_FIXES: Mapping[str, str] = {"বলদশ": "বাংলাদেশ", "সরকর": "সরকার", "ঢক": "ঢাকা"}
@@ -38,20 +41,25 @@ def clean_text(text: str | Column) -> Column:
     return T.strip(F.regexp_replace(F.regexp_replace(out, r"[ \t]+", " "), r"\n{3,}", "\n\n"))
 
 
-def _composed(text: str | None) -> str | None:
-    return text if text is None or text.isascii() else unicodedata.normalize("NFC", text)
+def _composed(texts: pa.Array) -> pa.Array:
+    """Composed few at a time: a worker holds a batch and its result as Arrow has them, and few Python strings."""
+    one = lambda t: t if t is None or t.isascii() else unicodedata.normalize("NFC", t)
+    parts = [pa.array([one(t) for t in texts.slice(i, FEW_ROWS).to_pylist()], pa.string()) for i in range(0, len(texts), FEW_ROWS)]
+    return pa.concat_arrays(parts) if parts else pa.array([], pa.string())
 
 
-@F.pandas_udf(StringType())
-def nfc(texts: pd.Series) -> pd.Series:
+@F.arrow_udf(StringType())
+def nfc(texts: pa.Array) -> pa.Array:
     """Unicode composition, which Spark has no expression for."""
-    return texts.map(_composed)
+    return _composed(texts)
 
 
-@F.pandas_udf(ArrayType(StringType()))
-def nfc_all(arrays: pd.Series) -> pd.Series:
+@F.arrow_udf(ArrayType(StringType()))
+def nfc_all(arrays: pa.Array) -> pa.Array:
     """nfc() of each element: a Python function can't be called within a lambda."""
-    return arrays.map(lambda a: None if a is None else [_composed(t) for t in a])
+    ends = pc.cumulative_sum(pc.fill_null(pc.list_value_length(arrays), 0))
+    offsets = pa.concat_arrays([pa.array([0], pa.int32()), ends.cast(pa.int32())])
+    return pa.ListArray.from_arrays(offsets, _composed(arrays.flatten()), mask=arrays.is_null())
 
 
 def normalise(text: str | Column, composed: Column | None = None) -> Column:
@@ -60,7 +68,8 @@ def normalise(text: str | Column, composed: Column | None = None) -> Column:
 
 def fix_combining(text: str | Column) -> Column:
     """Without marks that no letter or number carries."""
-    return F.regexp_replace(col(text), r"(^|[^\p{L}\p{N}\p{M}])\p{M}+", "$1")
+    # a letter beyond the basic plane in the pattern makes Java look back by code points
+    return F.regexp_replace(col(text), r"\p{M}(?<![\p{L}\p{N}\p{M}𝐀]\p{M})\p{M}*", "")
 
 
 def fix_vowel_signs(text: str | Column) -> Column:
@@ -69,11 +78,15 @@ def fix_vowel_signs(text: str | Column) -> Column:
 
 def fix_virama(text: str | Column) -> Column:
     once = F.replace(col(text), F.lit("্্"), F.lit("্"))
-    return F.regexp_replace(F.regexp_replace(once, rf"(?<=[{WS}])্", ""), r"\A্", "")
+    return F.regexp_replace(once, rf"্(?<=\A্|[{WS}]্)", "")
 
 
 def fix_digits(text: str | Column) -> Column:
     """In a text of enough Bangla, words with digits of both scripts get Bangla ones."""
+    return let(col(text), _fixed_digits)
+
+
+def _fixed_digits(text: Column) -> Column:
     pieces = F.regexp_extract_all(col(text), F.lit(rf"[{WS}]+|[^{WS}]+"), F.lit(0))
     mixed = lambda w: w.rlike("[0-9]") & w.rlike(f"[{BANGLA_DIGITS}]")
     fixed = F.array_join(F.transform(pieces, lambda w: F.when(mixed(w), F.translate(w, ASCII_DIGITS, BANGLA_DIGITS)).otherwise(w)), "")
@@ -83,31 +96,28 @@ def fix_digits(text: str | Column) -> Column:
 
 def restore_vowels(text: str | Column, fixes: Mapping[str, str] = VOWEL_FIXES) -> Column:
     """Words whose vowel signs were lost, by a dictionary; all white space becomes single spaces."""
-    known = F.create_map(*[F.lit(x) for pair in fixes.items() for x in pair]) if fixes else F.create_map().cast("map<string,string>")
+    pairs = [F.lit(x) for pair in fixes.items() if pair[1] for x in pair]
+    known = F.create_map(*pairs) if pairs else F.create_map().cast("map<string,string>")
     return replaced_words(T.tokens(text), known)
 
 
 def bare_word(word: Column) -> Column:
     """A word without the marks that close it."""
-    return F.regexp_replace(word, r"[।,?!;:()]+\z", "")
+    return F.rtrim(word, F.lit("।,?!;:()"))
 
 
 def replaced_words(words: Column, known: Column) -> Column:
-    """Words, those that a map knows without their closing marks replaced, with single spaces between."""
-
-    def fix(w: Column) -> Column:
-        found = F.element_at(known, bare_word(w))
-        return F.when(found.isNull() | (found == ""), w).otherwise(F.concat(found, F.substring(w, F.length(bare_word(w)) + 1, F.length(w))))
-
+    """Words, those that a map knows without their closing marks replaced, with single spaces between. The map has no empty values."""
+    fix = lambda w: let(bare_word(w), lambda b: F.coalesce(F.concat(F.element_at(known, b), F.substring(w, F.length(b) + 1, F.length(w))), w))
     return F.array_join(F.transform(words, fix), " ")
 
 
 def fix_artifacts(text: str | Column, fixes: Sequence[tuple[str, str]] = WORD_FIXES) -> Column:
     """Marks that a recogniser takes for others, years, reference numbers, and words by a list in its order."""
     out = F.regexp_replace(col(text), rf"\|(?=[{WS}]|$)", "।")
-    out = F.regexp_replace(out, rf"(?<=[।{WS}{BANGLA}])[\[\]](?=[{WS}]|$)", "।")
+    out = F.regexp_replace(out, rf"[\[\]](?<=[।{WS}{BANGLA}][\[\]])(?=[{WS}]|$)", "।")
     out = F.regexp_replace(out, "[`^~]", "")
-    out = F.regexp_replace(out, r"(?<!\p{Nd})১০([২-৯]\p{Nd})(?!\p{Nd})", "২০$1")
+    out = F.regexp_replace(out, r"১০(?<!\p{Nd}১০)([২-৯]\p{Nd})(?!\p{Nd})", "২০$1")
     out = let(out, lambda t: edit_matches(t, _REFERENCE_NUMBER, lambda m: F.translate(m, ASCII_DIGITS, BANGLA_DIGITS)))
     for wrong, right in fixes:
         out = F.replace(out, F.lit(wrong), F.lit(right))
@@ -169,8 +179,9 @@ def digital_tables(tables: str | Column) -> Column:
 
 def word_validity(text: str | Column, lexicon: Sequence[str]) -> Column:
     """Share of words with a Bangla character that a small lexicon has; 1 without such words. For a large one see operators.lexicon."""
-    words = F.filter(T.tokens(text), lambda w: w.rlike(f"[{BANGLA}]"))
-    known = F.array(*map(F.lit, lexicon)) if lexicon else F.array().cast("array<string>")
+    if not lexicon:
+        return F.when(col(text).rlike(f"[{BANGLA}]"), 0.0).otherwise(1.0)
+    words, known = F.filter(T.tokens(text), lambda w: w.rlike(f"[{BANGLA}]")), F.array(*map(F.lit, lexicon))
     return let(words, lambda ws: F.when(F.size(ws) == 0, 1.0).otherwise(F.size(F.filter(ws, lambda w: F.array_contains(known, w))) / F.size(ws)))
 
 
@@ -187,7 +198,14 @@ def correct(
     model's stage made of staged, or null; the stages after it go on from there.
     """
     src = F.lit(source) if isinstance(source, str) else source
-    before = col(text)
+    both = F.struct(col(text).alias("before"), normalise(text, composed).alias("normal"))  # no Python function within a lambda
+    return let(both, lambda x: let(fix_combining(x["normal"]), lambda a: _corrected(x["before"], a, src, lexicon, word_fixes, vowel_fixes, validity, repaired, log)))
+
+
+def _corrected(
+    before: Column, unicode: Column, src: Column, lexicon: Sequence[str], word_fixes: Sequence[tuple[str, str]], vowel_fixes: Mapping[str, str], validity: Column | None, repaired: Column | None, log: bool
+) -> Column:
+    """The stages after Unicode's; before and unicode are bound."""
 
     def staged(a: Column) -> Column:
         return let(fix_digits(fix_virama(fix_vowel_signs(a))), lambda first: repaired_(a, first))
@@ -198,7 +216,7 @@ def correct(
     def finished(a: Column, first: Column, c: Column) -> Column:
         valid = validity if validity is not None else word_validity(a, lexicon)
         late = F.when(src == "ollama", restore_vowels(c, vowel_fixes)).when(src.isin(*EASYOCR), fix_artifacts(c, word_fixes)).otherwise(c)
-        restored = lambda d: (src == "ollama") & (F.size(F.filter(T.tokens(c), lambda w: restore_vowels(w, vowel_fixes) != w)) > 0)
+        restored = lambda d: (src == "ollama") & (d != F.array_join(T.tokens(c), " "))  # words have no spaces, so the joins differ if a word does
         logged = lambda d: [
             F.length(before).alias("original_length"),
             src.alias("source"),
@@ -227,7 +245,7 @@ def correct(
             ),
         )
 
-    return let(fix_combining(normalise(before, composed)), staged)
+    return staged(unicode)
 
 
 def repaired(text: str, model: Callable[[str], str], prompt_chars: int = 2000) -> str:
@@ -242,11 +260,16 @@ def repaired(text: str, model: Callable[[str], str], prompt_chars: int = 2000) -
 
 
 def repair(corrected: DataFrame, model: Callable[[str], str], text: str = "text", due: str = "needs_repair", prompt_chars: int = 2000) -> DataFrame:
-    """The model's stage: rows that are due go through a function of a text, in batches."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            yield b.assign(**{text: [repaired(t, model, prompt_chars) for t in b[text]]})
-
-    asked = corrected.filter(F.col(due) & (F.length(text) >= 20)).mapInPandas(run, corrected.schema)
-    return corrected.filter(~(F.col(due) & (F.length(text) >= 20))).unionByName(asked)
+    """The model's stage: texts that are due go through a function of a text. All rows pass, so what they come of is computed once."""
+    schema = corrected.schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for start in range(0, whole.num_rows, FEW_ROWS):
+                b = whole.slice(start, FEW_ROWS)
+                at = b.schema.get_field_index(text)
+                asked = pc.and_kleene(b.column(b.schema.get_field_index(due)), pc.greater_equal(pc.utf8_length(b.column(at)), 20))
+                said = [repaired(t, model, prompt_chars) for t in b.column(at).filter(asked).to_pylist()]
+                yield b.set_column(at, b.schema.field(at), pc.replace_with_mask(b.column(at), pc.fill_null(asked, False), pa.array(said, b.schema.field(at).type))) if said else b
+
+    return corrected.mapInArrow(run, schema)

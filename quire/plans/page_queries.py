@@ -141,7 +141,7 @@ def primary_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def model_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The model's stage with a model that ends what it is asked about with a mark."""
-    c = table(spark, sf_dir, "documents").select("doc_id", C.correct(bangla(), "easyocr").alias("c")).select("doc_id", F.col("c.text").alias("text"), F.col("c.needs_repair").alias("needs_repair"))
+    c = table(spark, sf_dir, "documents").select("doc_id", bangla().alias("t")).select("doc_id", C.correct("t", "easyocr", log=False).alias("c")).select("doc_id", F.col("c.text").alias("text"), F.col("c.needs_repair").alias("needs_repair"))
     return C.repair(c, lambda t: t + "।").select("doc_id", F.col("needs_repair").alias("due"), _md5("text").alias("md5"))
 
 

@@ -577,7 +577,7 @@ _LETTERED = f"translate(text, {q(LATIN + C.ASCII_DIGITS)}, {q(BENGALI + C.BANGLA
     {_edit_sql('t', 'd')} as edit_distance from d"""
 )
 def restore_vowels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = table(spark, sf_dir, "documents").select("doc_id", C.correct(bangla(), "ollama").alias("c"))
+    c = table(spark, sf_dir, "documents").select("doc_id", bangla().alias("t")).select("doc_id", C.correct("t", "ollama").alias("c"))
     return c.select("doc_id", F.length("c.text").cast("long").alias("n"), F.array_join("c.corrections", ",").alias("corrections"), "c.edit_distance")
 
 
@@ -602,7 +602,7 @@ def _artifacts(x: str) -> str:
 )
 def fix_artifacts(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = F.translate("text", LATIN + C.ASCII_DIGITS, BENGALI + C.BANGLA_DIGITS)
-    c = table(spark, sf_dir, "documents").select("doc_id", C.correct(t, "easyocr").alias("c"))
+    c = table(spark, sf_dir, "documents").select("doc_id", t.alias("t")).select("doc_id", C.correct("t", "easyocr").alias("c"))
     return c.select("doc_id", F.length("c.text").cast("long").alias("n"), F.array_join("c.corrections", ",").alias("corrections"), "c.stage_f_fixes", "c.needs_repair", "c.edit_distance")
 
 

@@ -5,6 +5,7 @@ Texts follow Python's rules: white space, digits and letters are Unicode's, leng
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Callable
 
 from pyspark.sql import Column
@@ -86,31 +87,27 @@ def count_of(text: str | Column, cls: str) -> Column:
     return F.length(F.regexp_replace(col(text), f"[^{cls}]+", ""))
 
 
-def _beyond_ascii(text: str | Column) -> Column:
-    """The text without ASCII characters: one quick range before a class of many."""
-    return F.regexp_replace(col(text), r"[\x00-\x7F]+", "")
-
-
 def letters(text: str | Column) -> Column:
     return count_of(text, r"\p{L}")
 
 
-def _letter_share(text: str | Column, cls: str, among: Column | None = None, within: Column | None = None) -> Column:
-    """What isn't of the class goes in runs, so a text in another script is one match. among: the number of letters, if it is known; within: a part that has all of the class."""
-    return ratio(F.length(F.regexp_replace(col(text) if within is None else within, rf"[^{cls}]+|\P{{L}}+", "")), letters(text) if among is None else among)
+def _letter_share(text: str | Column, first: str, last: str, among: Column | None = None) -> Column:
+    """Letters between two characters are what a text loses when they are translated to nothing: a look at each character, however scripts are mixed. among: the number of letters, if it is known."""
+    own = "".join(c for c in map(chr, range(ord(first), ord(last) + 1)) if unicodedata.category(c)[0] == "L")
+    return let(col(text), lambda t: ratio(F.length(t) - F.length(F.translate(t, own, "")), letters(t) if among is None else among))
 
 
 def bangla_ratio(text: str | Column, among: Column | None = None) -> Column:
     """Bangla letters among letters; vowel signs aren't letters."""
-    return _letter_share(text, BANGLA, among, _beyond_ascii(text))
+    return _letter_share(text, BANGLA[0], BANGLA[-1], among)
 
 
 def devanagari_ratio(text: str | Column, among: Column | None = None) -> Column:
-    return _letter_share(text, DEVANAGARI, among, _beyond_ascii(text))
+    return _letter_share(text, DEVANAGARI[0], DEVANAGARI[-1], among)
 
 
 def ascii_ratio(text: str | Column, among: Column | None = None) -> Column:
-    return _letter_share(text, "A-Za-z", among)
+    return _letter_share(text, "A", "z", among)
 
 
 def bangla_share(text: str | Column) -> Column:
@@ -119,11 +116,11 @@ def bangla_share(text: str | Column) -> Column:
 
 
 def suspicious_glyphs(text: str | Column) -> Column:
-    return count_of(_beyond_ascii(text), SUSPICIOUS)
+    return F.regexp_count(col(text), F.lit(f"[{SUSPICIOUS}]"))
 
 
 def legacy_glyphs(text: str | Column) -> Column:
-    return count_of(_beyond_ascii(text), LEGACY_FONT)
+    return F.regexp_count(col(text), F.lit(f"[{LEGACY_FONT}]"))
 
 
 def control_ratio(text: str | Column) -> Column:
@@ -147,23 +144,26 @@ def cid_references(text: str | Column) -> Column:
 def entropy(text: str | Column) -> Column:
     """Shannon entropy of the code points, in bits.
 
-    A character's count is what the text loses without it: ASCII ones are looked for one by one, others only if the rest of the text has them, and a
-    rest of many different ones (Chinese, say) is sorted and cut into runs.
+    A character's count is what the text loses without it. The first character of what is left is taken out of it until nothing is left: frequent ones come early, so those after them look at little. What a text
+    of over a hundred different ones (Chinese, say) has left then is sorted and cut into runs.
     """
     t = col(text)
-    ascii_ = "".join(map(chr, [9, 10, 13, *range(32, 127)]))
-    plain = F.array(*map(F.lit, ascii_))
-    first = F.transform(plain, lambda c: F.octet_length(t) - F.octet_length(F.replace(t, c, F.lit(""))))
 
-    def others(rest: Column) -> Column:
-        cells = F.filter(F.split(rest, ""), lambda c: c != "")
-        few = lambda own: F.transform(own, lambda c: F.length(rest) - F.length(F.replace(rest, c, F.lit(""))))
-        runs = F.transform(F.regexp_extract_all(F.array_join(F.array_sort(cells), ""), F.lit(r"(?s)(.)\1*"), F.lit(0)), F.length)
-        return F.when(rest == "", F.array().cast("array<int>")).otherwise(let(F.array_distinct(cells), lambda own: F.when(F.size(own) <= 100, few(own)).otherwise(runs)))
+    def folded(n: Column) -> Column:
+        share = lambda count: count / n * F.log2(count / n)
+
+        def without(acc: Column, _: Column) -> Column:
+            rest, first = acc["rest"], F.substring(acc["rest"], 1, 1)
+            lost = lambda left: (F.octet_length(rest) - F.octet_length(left)) / F.octet_length(first)
+            return F.when(rest == "", acc).otherwise(let(F.replace(rest, first, F.lit("")), lambda left: F.struct(left.alias("rest"), (acc["bits"] - let(lost(left), share)).alias("bits"))))
+
+        def finished(acc: Column) -> Column:
+            runs = F.regexp_extract_all(F.array_join(F.array_sort(F.split(acc["rest"], "")), ""), F.lit(r"(?s)(.)\1*"), F.lit(0))
+            return F.when(acc["rest"] == "", acc["bits"]).otherwise(F.aggregate(runs, acc["bits"], lambda s, run: s - let(F.length(run), share)))
+
+        return F.when(n > 0, F.aggregate(F.sequence(F.lit(1), F.lit(100)), F.struct(t.alias("rest"), F.lit(0.0).alias("bits")), without, finished)).otherwise(0.0)
 
-    counts = F.concat(first, let(F.regexp_replace(t, r"[\t\n\r -~]+", ""), others))
-    n = F.length(t)
-    return F.when(n > 0, F.aggregate(F.filter(counts, lambda c: c > 0), F.lit(0.0), lambda s, c: s - c / n * F.log2(c / n))).otherwise(0.0)
+    return let(F.length(t), folded)
 
 
 def numeric_consistency(text: str | Column) -> Column:
@@ -173,13 +173,14 @@ def numeric_consistency(text: str | Column) -> Column:
 
 def invalid_combining(text: str | Column, strict: bool = True) -> Column:
     """A mark that doesn't follow a letter or number; strict: nor if it follows a mark that does."""
-    return col(text).rlike(r"(?:^|[^\p{L}\p{N}])\p{M}" if strict else r"(?:^|[^\p{L}\p{N}\p{M}])\p{M}")
+    # marks first: they are few, and what is before one is looked at only there; a letter beyond the basic plane in the pattern makes Java look back by code points
+    return col(text).rlike(r"\p{M}(?<![\p{L}\p{N}𝐀]\p{M})" if strict else r"\p{M}(?<![\p{L}\p{N}\p{M}𝐀]\p{M})")
 
 
 def edit_ratio(before: str | Column, after: str | Column) -> Column:
     """Places that differ and the difference of lengths over the larger length, 4 places."""
-    a, b = (F.filter(F.split(col(x), ""), lambda c: c != "") for x in (before, after))
-    differ = F.size(F.filter(F.zip_with(a, b, lambda x, y: ~x.eqNullSafe(y)), lambda d: d))
+    a, b = (F.when(col(x) == "", F.array().cast("array<string>")).otherwise(F.split(col(x), "")) for x in (before, after))
+    differ = F.size(F.array_remove(F.zip_with(a, b, lambda x, y: x.eqNullSafe(y)), True))
     return F.when(col(before) == col(after), 0.0).otherwise(rounded(differ / F.greatest(F.length(col(before)), F.length(col(after)))))
 
 
@@ -188,7 +189,7 @@ def language(share: Column) -> Column:
 
 
 def language_tag(text: str | Column) -> Column:
-    return language(bangla_ratio(text))
+    return let(bangla_ratio(text), language)
 
 
 def page_type(text: str | Column, least: int = DIGITAL_CHARS) -> Column:

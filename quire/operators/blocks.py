@@ -29,7 +29,7 @@ def block(number: Column, text: Column, confidence: Column, kind: Column | None
 
 def paragraphs(text: str | Column) -> Column:
     """Blocks of a digital text: its parts between empty lines, or lines if there is no empty one."""
-    parts = F.when(F.contains(col(text), F.lit("\n\n")), F.split(col(text), "\n\n", -1)).otherwise(F.split(col(text), "\n", -1))
+    parts = let(col(text), lambda t: F.when(F.contains(t, F.lit("\n\n")), F.split(t, "\n\n", -1)).otherwise(F.split(t, "\n", -1)))
     kept = F.filter(F.transform(parts, T.strip), lambda p: p != "")
     return F.transform(kept, lambda p, i: block(i + 1, p, F.lit(0.9)))
 

@@ -29,6 +29,8 @@ Detect = Callable[[bytes], list]
 _DETECTIONS = "array<struct<text:string,conf:double,points:array<struct<x:double,y:double>>>>"
 #: A log of what engines were asked: one element an attempt.
 CALLS = "array<struct<engine:string,attempt:int,tokens:bigint,failed:boolean,ms:double>>"
+#: Pages whose answers a worker holds at once.
+BATCH_PAGES = 128
 #: Characters of the least usable answer, and of an error that is shown.
 LEAST_CHARS, ERROR_CHARS = 20, 180
 #: What a page's log says of each step, and the engines' names and methods.
@@ -178,11 +180,18 @@ def _asked(name: str, engine: Callable, x, empty, calls: list, attempts: int = 1
     return said, why
 
 
+def _few(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Batches in parts, as what engines say of a page is many small objects until it is written."""
+    for b in batches:
+        for start in range(0, len(b), BATCH_PAGES):
+            yield b.iloc[start : start + BATCH_PAGES]
+
+
 def _read(pages: DataFrame, image: str, name: str, engine: Text, attempts: int = 1, delay: float = 0.0) -> DataFrame:
     """pages with said (lines joined by line feeds) and why (an error, or nothing), and the calls in their log."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
+        for b in _few(batches):
             logs = [[] for _ in range(len(b))]
             got = [_asked(name, engine, x, "", log, attempts, delay) for x, log in zip(b[image], logs)]
             yield b.assign(said=[x if isinstance(x, str) else "\n".join(x) for x, _ in got], why=[e for _, e in got], made=logs)
@@ -192,7 +201,7 @@ def _read(pages: DataFrame, image: str, name: str, engine: Text, attempts: int =
 
 def _detect(pages: DataFrame, image: str, name: str, engine: Detect) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
+        for b in _few(batches):
             logs = [[] for _ in range(len(b))]
             rows = [[{"text": t, "conf": float(c), "points": [{"x": float(x), "y": float(y)} for x, y in p]} for t, c, p in _asked(name, engine, x, [], log)[0]] for x, log in zip(b[image], logs)]
             yield b.assign(seen=rows, made=logs)
@@ -208,7 +217,7 @@ def _mapped(pages: DataFrame, column: str, out: str, f: Callable) -> DataFrame:
     """pages with the array f(value, calls) of strings or nulls as a column out, and the calls in their log."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
+        for b in _few(batches):
             logs = [[] for _ in range(len(b))]
             yield b.assign(**{out: [None if x is None else f(x, log) for x, log in zip(b[column], logs)]}, made=logs)
 

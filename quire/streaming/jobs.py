@@ -58,14 +58,21 @@ class Jobs(StatefulProcessor):
     def _shown(self, key: tuple, s: tuple, at: int, version: int) -> Row:
         return Row(doc_id=key[0], status=s[0], current_page=s[1], total_pages=s[2], started_at=s[3], updated_at=at, error_msg=s[4], version=version)
 
-    def _put(self, s: tuple, at: int, version: int) -> None:
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer)
+    def _due(self, status: str, at: int) -> int:
+        return at // 1000 + (self.silence if status in ("pending", "processing") else self.keep) + 1
+
+    def _put(self, s: tuple, at: int, version: int, timer: int | None) -> None:
+        """A job's state and its one timer. What a worker asks of the store is a round trip each, so the timer that there is follows from the state and isn't asked for."""
+        own = self._due(s[0], at)
         self.job.update((s[0], s[1], s[2], s[3], at, s[4], version))
-        self.handle.registerTimer(at // 1000 + (self.silence if s[0] in ("pending", "processing") else self.keep) + 1)
+        if timer != own:
+            if timer is not None:
+                self.handle.deleteTimer(timer)
+            self.handle.registerTimer(own)
 
     def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        own = tuple(self.job.get()) if self.job.exists() else None
+        own = self.job.get()
+        timer = None if own is None else self._due(own[0], own[4])
         s, at, version = (None, None, 0) if own is None else ((*own[:4], own[5]), own[4], own[6])
         for r in sorted(rows, key=lambda r: (r.us, r.seq or 0)):
             if s is not None and at is not None and s[0] in ("pending", "processing") and r.us - at > self.silence * 1000:
@@ -80,17 +87,17 @@ class Jobs(StatefulProcessor):
                 yield self._shown(key, after, r.us, version)
             s, at = after, at if ended else r.us
         if s is not None:
-            self._put(s, at, version)
+            self._put(s, at, version, timer)
 
     def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        if not self.job.exists():
+        own = self.job.get()
+        if own is None:
             return
-        own = tuple(self.job.get())
         if own[0] not in ("pending", "processing"):
             self.job.clear()
             return
         s, at, version = ("failed", own[1], own[2], own[3], SILENT), own[4] + self.silence * 1000, own[6] + 1
-        self._put(s, at, version)
+        self._put(s, at, version, self._due(own[0], own[4]))
         yield self._shown(key, s, at, version)
 
     def close(self) -> None:

@@ -248,19 +248,19 @@ def _corrected(
     return staged(unicode)
 
 
-def repaired(text: str, model: Callable[[str], str], prompt_chars: int = 2000) -> str:
-    """What a model makes of a text: its answer counts if it has over half of the text's length. A model that fails changes nothing."""
+def repaired(text: str, model: Callable[[str], str]) -> str:
+    """What a model makes of a whole text: its answer counts if it has over half of the text's length. A model that fails changes nothing."""
     if len(text) < 20:
         return text
     try:
-        said = (model(text[:prompt_chars]) or "").strip()
+        said = (model(text) or "").strip()
     except Exception:  # noqa: BLE001  models are foreign code
         return text
     return said if len(said) > len(text) * 0.5 else text
 
 
-def repair(corrected: DataFrame, model: Callable[[str], str], text: str = "text", due: str = "needs_repair", prompt_chars: int = 2000) -> DataFrame:
-    """The model's stage: texts that are due go through a function of a text. All rows pass, so what they come of is computed once."""
+def repair(corrected: DataFrame, model: Callable[[str], str], text: str = "text", due: str = "needs_repair") -> DataFrame:
+    """The model's stage: texts that are due go whole through a function of a text. All rows pass, so what they come of is computed once."""
     schema = corrected.schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -269,7 +269,7 @@ def repair(corrected: DataFrame, model: Callable[[str], str], text: str = "text"
                 b = whole.slice(start, FEW_ROWS)
                 at = b.schema.get_field_index(text)
                 asked = pc.and_kleene(b.column(b.schema.get_field_index(due)), pc.greater_equal(pc.utf8_length(b.column(at)), 20))
-                said = [repaired(t, model, prompt_chars) for t in b.column(at).filter(asked).to_pylist()]
+                said = [repaired(t.as_py(), model) for t in b.column(at).filter(asked)]  # beside the answers, one text at a time is Python's
                 yield b.set_column(at, b.schema.field(at), pc.replace_with_mask(b.column(at), pc.fill_null(asked, False), pa.array(said, b.schema.field(at).type))) if said else b
 
     return corrected.mapInArrow(run, schema)

@@ -136,7 +136,7 @@ def primary_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     f"""with t as (select doc_id, {_SQL_BN} as t from documents), c as (select doc_id, {_correct('t')} as c, {_UNICODE} as a from t),
-    f as (select doc_id, {_artifacts('c')} as d, {share('c', _BN)} > 0.2 and regexp_matches(a, '[{_BN}]') and length(c) > 30 as due from c), s as (select *, {strip("substring(d, 1, 2000) || '।'")} as s from f)
+    f as (select doc_id, {_artifacts('c')} as d, {share('c', _BN)} > 0.2 and regexp_matches(a, '[{_BN}]') and length(c) > 30 as due from c), s as (select *, {strip("d || '।'")} as s from f)
     select doc_id, due, md5(if(due and length(d) >= 20 and length(s) > length(d) * 0.5, s, d)) as md5 from s"""
 )
 def model_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
